@@ -17,18 +17,18 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
-
 import duckdb
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from feedloom.llm.arrow import slices, with_columns
 from feedloom.shared import ship
 
 #: Words in one recursive query, and entries that a dictionary may hold before it starts anew.
 WORDS_A_QUERY, KEPT = 50_000, 350_000
+TOKENS_A_QUERY = 1_000_000
 LONG = 64
 
 #: A space inside or at the end of a run of white space, where cutting before each space would change matches.
@@ -212,14 +212,16 @@ class RankCodec:
 
     def decode(self, encoded: list[bytes]) -> list[bytes]:
         """Bytes of each id sequence."""
-        out = [b""] * len(encoded)
+        out: list[list[bytes]] = [[] for _ in encoded]
         lens = np.fromiter((len(x) // 4 for x in encoded), np.int64, len(encoded))
         ids = np.frombuffer(b"".join(encoded), "<u4").astype(np.int32)
         row = np.repeat(np.arange(len(encoded), dtype=np.int32), lens)
-        found = self._ask(_PIECES, "tokens", {"w": row, "pos": np.arange(len(ids)), "id": ids})
-        for i, text in zip(found.column("w").to_pylist(), found.column("text").to_pylist(), strict=True):
-            out[i] = text.encode("utf-16-le")[::2]  # the low bytes of U+0100 to U+01FF
-        return out
+        for i in range(0, len(ids), TOKENS_A_QUERY):
+            some = ids[i : i + TOKENS_A_QUERY]
+            found = self._ask(_PIECES, "tokens", {"w": row[i : i + TOKENS_A_QUERY], "pos": np.arange(len(some)), "id": some})
+            for at, text in zip(found.column("w").to_pylist(), found.column("text").to_pylist(), strict=True):
+                out[at].append(text.encode("utf-16-le")[::2])  # the low bytes of U+0100 to U+01FF
+        return [b"".join(x) for x in out]
 
 
 _CODECS: dict[tuple[bytes, str], RankCodec] = {}
@@ -234,22 +236,6 @@ def codec(rank_file: bytes, pattern: str) -> RankCodec:
     return _CODECS[key]
 
 
-#: Characters that are encoded together, so that a batch of very long texts stays small.
-CHARS_A_BATCH = 4_000_000
-
-
-def slices(texts: list) -> Iterator[slice]:
-    """Parts of a batch with about ``CHARS_A_BATCH`` characters (or bytes) each."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        size += len(text or "")
-        if size >= CHARS_A_BATCH:
-            yield slice(start, i + 1)
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))
-
-
 def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` with a binary column of token ids (little-endian unsigned 32-bit integers); null texts count as empty."""
     ship(df.sparkSession)
@@ -267,7 +253,7 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", ids:
                 piece = batch.slice(part.start, part.stop - part.start)
                 yield pa.RecordBatch.from_arrays([*piece.columns, encoded], [*names, ids])
 
-    return df.mapInArrow(run, _with(df, f"`{ids}` binary"))
+    return df.mapInArrow(run, with_columns(df, f"`{ids}` binary"))
 
 
 def decode(df: DataFrame, rank_path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -285,11 +271,7 @@ def decode(df: DataFrame, rank_path: str, pattern: str, ids: str = "ids", decode
             out = [x for part in slices(encoded) for x in own.decode(encoded[part])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*names, decoded])
 
-    return df.mapInArrow(run, _with(df, f"`{decoded}` binary"))
-
-
-def _with(df: DataFrame, *more: str) -> str:
-    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), *more])
+    return df.mapInArrow(run, with_columns(df, f"`{decoded}` binary"))
 
 
 def digests(df: DataFrame, rank_path: str, pattern: str, text: str = "text") -> DataFrame:
@@ -323,4 +305,4 @@ def digests(df: DataFrame, rank_path: str, pattern: str, text: str = "text") ->
                     [*kept, "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return df.mapInArrow(run, _with(df.select(*kept), "n_tokens long", "ids_sha256 string", "decoded_sha256 string"))
+    return df.mapInArrow(run, with_columns(df.select(*kept), "n_tokens long", "ids_sha256 string", "decoded_sha256 string"))
