@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.llm import byte_bpe, decontamination, importance, language_id, licenses, near_duplicates, token_files, toxicity
+from feedloom.llm import byte_bpe, decontamination, importance, language_id, licenses, main_text, near_duplicates, neighbours, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,15 @@ def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(documents, table(spark, sf_dir, "labels")).drop("row")
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(embeddings, embeddings.where("vec_id % 100 = 0"))
+
+
 def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -59,6 +68,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_language_id": op5_language_id,
     "op6_importance_resampling": op6_importance_resampling,
+    "op7_main_text": op7_main_text,
+    "op8_learned_partitions": op8_learned_partitions,
     "op9_licence_scan": op9_licence_scan,
     "op10_near_duplicates": op10_near_duplicates,
 }
