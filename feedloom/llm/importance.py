@@ -33,16 +33,29 @@ SIZE = 2 * (1 << WORD_BITS) + 2 * (1 << SHAPE_BITS) + 2
 _tokens = regex.compile(r"\w+|[^\w\s]+").findall
 
 
+def _shape(token: str) -> str:
+    """Kinds of characters of a token, runs shortened; punctuation as it is, three characters at most."""
+    if token.isalpha():
+        if token.islower():
+            return "a"
+        if token.isupper():
+            return "AA" if len(token) > 1 else "A"
+        if token[0].isupper() and token[1:].islower():
+            return "Aa"
+    if not (token[0].isalnum() or token[0] == "_"):
+        return token[:3]
+    shape = "".join("A" if c.isupper() else "a" if c.islower() else "0" if c.isnumeric() else "x" for c in token)
+    return _runs(r"\1", shape)
+
+
+_runs = regex.compile(r"(.)\1+").sub
+
+
 def _codes(piece: str) -> bytes:
     """Word and shape hash of each token of a piece."""
     out: list[int] = []
     for token in _tokens(piece):
-        if token[0].isalnum() or token[0] == "_":
-            shape = "".join("A" if c.isupper() else "a" if c.islower() else "0" if c.isnumeric() else "x" for c in token)
-            shape = regex.sub(r"(.)\1+", r"\1\1", shape).replace("aa", "a").replace("00", "0").replace("xx", "x")
-        else:
-            shape = token[:3]
-        out += [xxhash.xxh32_intdigest(token.lower()), xxhash.xxh32_intdigest(shape, 1)]
+        out += (xxhash.xxh32_intdigest(token.lower()), xxhash.xxh32_intdigest(_shape(token), 1))
     return np.array(out, "<u4").tobytes()
 
 
@@ -54,25 +67,23 @@ def _pairs(x: np.ndarray, bits: int) -> np.ndarray:
     return (mixed >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def ngrams(texts: list[str | None]) -> list[np.ndarray]:
-    """Bucket of each n-gram of each text."""
-    out = []
+def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Text and bucket of each n-gram of a batch of texts."""
     words, shapes = 1 << WORD_BITS, 1 << SHAPE_BITS
-    for data in _CACHE.run(texts):
-        codes = np.frombuffer(data, "<u4").reshape(-1, 2)
-        word, shape = codes[:, 0], codes[:, 1]
-        out.append(
-            np.concatenate(
-                [
-                    (word >> np.uint32(32 - WORD_BITS)).astype(np.int64),
-                    _pairs(word, WORD_BITS) + words,
-                    (shape >> np.uint32(32 - SHAPE_BITS)).astype(np.int64) + 2 * words,
-                    _pairs(shape, SHAPE_BITS) + 2 * words + shapes,
-                    (word[1:] == word[:-1]).astype(np.int64) + 2 * words + 2 * shapes,
-                ]
-            )
-        )
-    return out
+    found = _CACHE.run(texts)
+    codes = np.frombuffer(b"".join(found), "<u4").reshape(-1, 2)
+    owner = np.repeat(np.arange(len(texts)), [len(x) // 8 for x in found])
+    word, shape = codes[:, 0], codes[:, 1]
+    inside = owner[1:] == owner[:-1]  # pairs within a text
+    second = owner[1:][inside]
+    buckets = [
+        (word >> np.uint32(32 - WORD_BITS)).astype(np.int64),
+        _pairs(word, WORD_BITS)[inside] + words,
+        (shape >> np.uint32(32 - SHAPE_BITS)).astype(np.int64) + 2 * words,
+        _pairs(shape, SHAPE_BITS)[inside] + 2 * words + shapes,
+        (word[1:] == word[:-1])[inside].astype(np.int64) + 2 * words + 2 * shapes,
+    ]
+    return np.concatenate([owner, second, owner, second, second]), np.concatenate(buckets)
 
 
 def models(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -83,11 +94,10 @@ def models(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         for batch in batches:
             texts, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for some in slices(texts):
-                for x, label in zip(ngrams(texts[some]), labels[some], strict=True):
-                    n = np.bincount(x, minlength=SIZE)
-                    raw += n
-                    if label == 1:
-                        good += n
+                owner, bucket = ngrams(texts[some])
+                target = np.array([x == 1 for x in labels[some]], bool)
+                raw += np.bincount(bucket, minlength=SIZE)
+                good += np.bincount(bucket[target[owner]], minlength=SIZE)
         used = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(good[used]), pa.array(raw[used])], ["bucket", "good", "raw"])
 
@@ -154,10 +164,11 @@ def resample(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for some in slices(texts):
-                found = ngrams(texts[some])
-                mean = [float(ratio.value[x].mean()) if len(x) else None for x in found]
+                owner, bucket = ngrams(texts[some])
                 part = batch.slice(some.start, some.stop - some.start)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array([len(x) for x in found], pa.int64()), pa.array(mean, pa.float64())], ["doc_id", "row", "label", "n_ngrams", "mean"])
+                n = np.bincount(owner, minlength=part.num_rows)
+                mean = np.bincount(owner, weights=ratio.value[bucket], minlength=part.num_rows) / np.maximum(n, 1)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(n), pa.array(mean, mask=n == 0)], ["doc_id", "row", "label", "n_ngrams", "mean"])
 
     scored = rows.select("doc_id", "row", "text", "label").mapInArrow(run, "doc_id long, row long, label int, n_ngrams long, mean double")
     uniform = (F.pmod(F.xxhash64("row", F.lit(17)), F.lit(1 << 52)) + 0.5) / float(1 << 52)

@@ -161,7 +161,8 @@ def classify(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         key = hashlib.sha256(model.value).digest()
         if key not in _MODELS:
             _MODELS.clear()
-            _MODELS[key] = (Terms(pickle.loads(model.value)[0]), *pickle.loads(model.value)[1:])
+            learned = pickle.loads(model.value)
+            _MODELS[key] = (Terms(learned[0]), *learned[1:])
         own, models, least = _MODELS[key]
         for batch in batches:
             texts = batch.column(place).to_pylist()
