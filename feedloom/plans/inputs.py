@@ -42,6 +42,22 @@ SELECT CAST(c_custkey AS BIGINT) AS uid, CAST(c_custkey % 97 AS BIGINT) AS worke
     "vectors": """
 SELECT vec_id, CAST(floor(vec_id / 10) AS BIGINT) AS batch_id, vec_id % 10 AS pos, embedding, label FROM {embeddings}""",
 }
+#: Small dimension tables of the queries; the corpus has invented words, so most keywords are those that "articles" adds.
+VIEWS |= {
+    "assets": """
+SELECT * FROM (VALUES (1, 'ABC', 'Acme Corp', 'equity', 'Technology'), (2, 'XYZ', 'Globex', 'equity', 'energy'), (3, 'NVDA', 'nvidia', 'equity', 'Technology'), (4, 'BTC', 'bitcoin', 'crypto', 'unknown'),
+  (5, 'XAU', 'gold', 'commodity', 'materials'), (6, 'TGT', 'target', 'equity', 'finance'), (7, 'INI', 'Initech', 'index', 'finance'), (8, 'THE', 'the', 'equity', 'finance')) AS t(asset_id, symbol, name, asset_class, sector)""",
+    "gazetteer": """
+SELECT * FROM (VALUES (1, 'cashtag', '$ABC', 0), (1, 'case_sensitive', 'ABC', 1), (1, 'identifier', 'acme corp', 2), (2, 'cashtag', '$XYZ', 3), (2, 'case_sensitive', 'XYZ', 4), (2, 'alias', 'globex', 5), (3, 'identifier', 'nvidia', 6),
+  (4, 'cashtag', '$BTC', 7), (4, 'identifier', 'bitcoin', 8), (5, 'alias', 'gold', 9), (6, 'alias', 'target', 10), (7, 'identifier', 'initech', 11), (8, 'identifier', 'the', 12), (8, 'alias', 'them', 13)) AS t(asset_id, kind, keyword, pos)""",
+    "word_freq": "SELECT * FROM (VALUES ('gold', 4.8), ('target', 4.9), ('the', 7.7), ('bitcoin', 3.9), ('globex', 1.1)) AS t(word, zipf)",
+    "common_words": "SELECT * FROM (VALUES ('gold'), ('target'), ('the')) AS t(word)",
+    "edges": """
+SELECT * FROM (VALUES ('ABC', 0, 'XYZ', 'supplier'), ('ABC', 1, 'NVDA', 'competitor'), ('XYZ', 0, 'XAU', 'sector_peer'), ('XYZ', 1, 'ABC', 'customer'), ('NVDA', 0, 'TGT', 'index_member'), ('NVDA', 1, 'tgt2', 'odd'), ('BTC', 0, 'XAU', 'odd'), ('BTC', 1, 'NVDA', 'odd'), ('THE', 0, 'TGT', 'supplier')) AS t(source_ticker, edge_pos, target_ticker, relationship)""",
+    "sectors": """
+SELECT * FROM (VALUES (1, 'CRYPTO', 'cashtag', '$BTC', 0), (1, 'CRYPTO', 'identifier', 'bitcoin', 1), (2, 'MACRO', 'identifier', 'inflation', 2), (2, 'MACRO', 'identifier', 'central bank', 3), (2, 'MACRO', 'identifier', 'china', 4), (4, 'EQUITIES', 'cashtag', '$ABC', 5),
+  (4, 'EQUITIES', 'identifier', 'shares', 6), (4, 'EQUITIES', 'identifier', 'stocks', 7), (5, 'COMMODITIES', 'identifier', 'gold', 8), (5, 'COMMODITIES', 'identifier', 'oil', 9), (9, 'OTHER', 'identifier', 'the', 10)) AS t(sector_id, symbol, kind, keyword, pos)""",
+}
 #: Spelled differently by the two engines.
 DIALECT = {"spark": {"epoch_s": "unix_timestamp(ts)"}, "duckdb": {"epoch_s": "epoch(ts)"}}
 

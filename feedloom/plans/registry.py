@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from feedloom.plans import texts
+from feedloom.plans import matching, texts
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (texts,):
+for module in (texts, matching):
     QUERIES |= module.P.queries
     ORACLE_SQL |= module.P.sql
