@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -162,6 +163,16 @@ def clean_text(c: Column) -> Column:
     return F.when((out == "") | gutted, base).otherwise(out)
 
 
+def norm_text(c: Column) -> Column:
+    """NFC and single spaces. NFC is the one step without a built-in function."""
+
+    @F.pandas_udf("string")
+    def nfc(texts: pd.Series) -> pd.Series:
+        return texts.str.normalize("NFC")
+
+    return squeezed(nfc(text_of(c)))
+
+
 def norm_author(c: Column) -> Column:
     return F.trim(F.lower(text_of(c)))
 

@@ -66,7 +66,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, or a view of them."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    sql = VIEWS[name].replace("{epoch_s}", DIALECT["spark"]["epoch_s"])
+    sql = VIEWS[name].replace("{epoch_s}", DIALECT["spark"]["epoch_s"]).replace('"end"', "`end`")
     return spark.sql(sql, **{x: table(spark, sf_dir, x) for x in set(re.findall(r"\{(\w+)\}", sql))})
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from feedloom.plans import comparisons, ledgers, matching, texts
+from feedloom.plans import claims, comparisons, feeds, ledgers, matching, texts
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (texts, matching, ledgers, comparisons):
+for module in (texts, matching, ledgers, comparisons, claims, feeds):
     QUERIES |= module.P.queries
     ORACLE_SQL |= module.P.sql
