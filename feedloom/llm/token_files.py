@@ -17,9 +17,11 @@ order of their text; a null id comes first; an empty table gives an empty datase
 from __future__ import annotations
 
 import hashlib
+import os
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -104,16 +106,29 @@ class Dac:
         return out
 
 
+#: Entries that the dictionary of solved pieces may hold.
+KEPT = 900_000
+
+
+def encoder(own: Tokenizer) -> PieceCache:
+    """Ids of texts, solved piece by piece: the tokenizer's tokens never cross white space, so texts may be cut at spaces."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's threads would only contend
+
+    def solve(pieces: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in own.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    return PieceCache(solve, KEPT)
+
+
 _ENCODERS: dict[bytes, PieceCache] = {}
 
 
 def _encoder(file: bytes) -> PieceCache:
-    """The tokenizer of this Python worker. Its pieces never cross white space, so texts may be cut at single spaces."""
+    """The encoder of this Python worker; it outlives a task."""
     key = hashlib.sha256(file).digest()
     if key not in _ENCODERS:
-        own = Tokenizer.from_buffer(file)
         _ENCODERS.clear()
-        _ENCODERS[key] = PieceCache(lambda pieces: [np.array(x.ids, "<u4").tobytes() for x in own.encode_batch(pieces, add_special_tokens=False)])
+        _ENCODERS[key] = encoder(Tokenizer.from_buffer(file))
     return _ENCODERS[key]
 
 
