@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from feedloom.plans import claims, comparisons, feeds, flows, ledgers, matching, texts
+from feedloom.plans import claims, comparisons, feeds, flows, ledgers, matching, records, texts
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (texts, matching, ledgers, comparisons, claims, feeds, flows):
+for module in (texts, matching, ledgers, comparisons, claims, feeds, flows, records):
     QUERIES |= module.P.queries
     ORACLE_SQL |= module.P.sql
