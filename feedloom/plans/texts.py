@@ -97,11 +97,11 @@ def _cue_sql(cues) -> str:
 
 
 P.add("t17_horizon_bucket", lambda df: df.select("article_id", F.posexplode(T.sentences(F.col("body"))).alias("pos", "s")).select("article_id", "pos", S.horizon_bucket(F.col("s")).alias("bucket")),
-      rf"""WITH e AS (SELECT article_id, list_transform(list_filter(list_transform(string_split_regex(regexp_replace(body, '([^\d.!?])[.!?]+\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(x)), lambda x: length(x) > 20)[1:20], lambda x: substr(x, 1, 200)) AS l FROM articles),
+      rf"""WITH e AS (SELECT article_id, list_transform(list_filter(list_transform(string_split_regex(regexp_replace(body, '([^\d])[.!?]+\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(x)), lambda x: length(x) > 20)[1:20], lambda x: substr(x, 1, 200)) AS l FROM articles),
 u AS (SELECT article_id, unnest(l) AS s, unnest(range(len(l))) AS pos FROM e), c AS (SELECT article_id, pos, {_cue_sql(S.SHORT_CUES)} AS a, {_cue_sql(S.LONG_CUES)} AS l, {_cue_sql(S.MEDIUM_CUES)} AS m FROM u)
 SELECT article_id, pos, CASE WHEN greatest(a, l, m) = 0 THEN 'medium' WHEN l = greatest(a, l, m) THEN 'long' WHEN a = greatest(a, l, m) THEN 'short' ELSE 'medium' END AS bucket FROM c""", "articles")
 P.add("t41_split_sentences", lambda df: df.select("article_id", F.posexplode(T.sentences(F.col("body"))).alias("pos", "s")),
-      r"""WITH e AS (SELECT article_id, list_transform(list_filter(list_transform(string_split_regex(regexp_replace(body, '([^\d.!?])[.!?]+\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(x)), lambda x: length(x) > 20)[1:20], lambda x: substr(x, 1, 200)) AS l FROM articles)
+      r"""WITH e AS (SELECT article_id, list_transform(list_filter(list_transform(string_split_regex(regexp_replace(body, '([^\d])[.!?]+\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(x)), lambda x: length(x) > 20)[1:20], lambda x: substr(x, 1, 200)) AS l FROM articles)
 SELECT article_id, unnest(range(len(l))) AS pos, unnest(l) AS s FROM e""", "articles")
 _SG = lambda x: f"sign(3 - {x})"
 P.add("t18_reconcile_direction", lambda df: _t18(df),
