@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Word lists, patterns and thresholds of the text features.
@@ -84,22 +84,24 @@ def bare_word(w: Column) -> Column:
     return F.regexp_replace(F.lower(w), rf"^[{EDGE}]+|[{EDGE}]+$", "")
 
 
-def syllables(word: Column) -> Column:
-    """Vowel groups, less a silent last e; short words have one."""
-    w = bare_word(word)
-    groups = F.regexp_count(w, F.lit("[aeiouy]+"))
-    return F.when(F.length(w) <= 2, 1).otherwise(F.greatest(groups - F.when(w.endswith("e") & (groups > 1), 1).otherwise(0), F.lit(1)))
+def syllables(body: Column) -> Column:
+    """Syllables of a text: vowel groups of each word, less a silent last e; short words have one.
 
+    Every word is looked at once; in a lambda each use of an expression would evaluate it again.
+    """
+    shape = F.transform(F.transform(words(body), bare_word), lambda w: F.struct(F.length(w).alias("n"), F.regexp_count(w, F.lit("[aeiouy]+")).alias("groups"), w.endswith("e").alias("e")))
+    return F.aggregate(shape, F.lit(0), lambda total, w: total + F.when(w["n"] <= 2, 1).otherwise(F.greatest(w["groups"] - F.when(w["e"] & (w["groups"] > 1), 1).otherwise(0), F.lit(1)))).cast("long")
 
-def readability(body: Column) -> dict[str, Column]:
-    """Flesch reading ease (0 to 100) and Flesch-Kincaid grade (0 or more); null without words."""
-    shape = length_features(body)
-    n, sentences = shape["word_count"], shape["sentence_count"]
-    total = F.aggregate(words(body), F.lit(0), lambda sum_, w: sum_ + syllables(w))
+
+def readability(df: DataFrame, body: str) -> DataFrame:
+    """``df`` with syllables, Flesch reading ease (0 to 100) and Flesch-Kincaid grade (0 or more); null without words."""
+    shape = length_features(F.col(body))
+    rows = df.withColumns({"_words": shape["word_count"], "_sentences": shape["sentence_count"], "syllables": syllables(F.col(body))})
+    n, sentences, total = F.col("_words"), F.col("_sentences"), F.col("syllables")
     usable = (n > 0) & (sentences > 0)
     ease = 206.835 - 1.015 * (n / sentences) - 84.6 * (total / n)
     grade = 0.39 * (n / sentences) + 11.8 * (total / n) - 15.59
-    return {"syllables": total.cast("long"), "flesch_ease": F.when(usable, F.greatest(F.lit(0.0), F.least(F.lit(100.0), ease))), "flesch_kincaid": F.when(usable, F.greatest(F.lit(0.0), grade))}
+    return rows.withColumns({"flesch_ease": F.when(usable, F.greatest(F.lit(0.0), F.least(F.lit(100.0), ease))), "flesch_kincaid": F.when(usable, F.greatest(F.lit(0.0), grade))}).drop("_words", "_sentences")
 
 
 def density_features(body: Column) -> dict[str, Column]:

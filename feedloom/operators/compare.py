@@ -99,13 +99,21 @@ def asset_agreement(pairs: DataFrame, key: str = "article_id") -> DataFrame:
     return pairs.select(key).join(common, key, "left").select(key, F.coalesce("n_common", F.lit(0)).alias("n_common"), F.coalesce("agreement", F.lit(1.0)).alias("agreement"))
 
 
+#: Texts that are compared in normalised form; normalised() adds them once, as each score uses them several times.
+TEXTS = ("headline", "one_liner", "paragraph", "event_title")
+
+
+def normalised(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumns({f"n{side}_{t}": normalize_for_compare(F.col(f"{side}_{t}")) for side in ("m", "v") for t in TEXTS})
+
+
 def tier3_parts() -> dict[str, Column]:
-    """The eight parts of the tolerant score."""
+    """The eight parts of the tolerant score, over pairs with normalised texts."""
     enums = []
     for name, ladder in ENUMS.items():
         a, b = F.coalesce(F.lower(_m(name)), F.lit("none")), F.coalesce(F.lower(_v(name)), F.lit("none"))
         enums.append(S.ordinal_score(a, b, S.LADDERS[ladder]) if ladder else (a == b).cast("double"))
-    text = lambda n: S.levenshtein_ratio(normalize_for_compare(_m(n)), normalize_for_compare(_v(n)))
+    text = lambda n: S.levenshtein_ratio(F.col(f"nm_{n}"), F.col(f"nv_{n}"))
     lower = lambda c: F.array_distinct(F.transform(c, F.lower))
     tickers = lambda c: F.array_distinct(F.transform(c, lambda a: a["ticker"]))
     return {
@@ -123,16 +131,23 @@ def tier3_parts() -> dict[str, Column]:
 def tier3_composite(pairs: DataFrame, dim: int, floor: float = TIER3_FLOOR, key: str = "article_id") -> DataFrame:
     """key, failed_gate (the first, or null), composite (0 behind a failed gate) and is_valid."""
     agreed = asset_agreement(pairs, key)
-    composite = sum((tier3_parts()[name] * w for name, w in WEIGHTS.items()), F.lit(0.0))
+    scored = normalised(pairs).select("*", *[c.alias(f"part_{n}") for n, c in tier3_parts().items()])
+    composite = sum((F.col(f"part_{n}") * w for n, w in WEIGHTS.items()), F.lit(0.0))
     gate = (
-        F.when(~tier1_gate(), "tier1").when(~tier2_gate(), "tier2").when(~asset_presence_gate(), "asset_presence")
-        .when((F.col("n_common") > 0) & (F.col("agreement") < AGREEMENT_FLOOR), "asset_agreement").when(~contagion_gate(), "contagion").when(embedding_gate(dim) != "ok", "embedding")
+        F.when(~F.col("g.tier1"), "tier1").when(~F.col("g.tier2"), "tier2").when(~F.col("g.presence"), "asset_presence")
+        .when((F.col("n_common") > 0) & (F.col("agreement") < AGREEMENT_FLOOR), "asset_agreement").when(~F.col("g.contagion"), "contagion").when(F.col("e") != "ok", "embedding")
     )
-    rows = pairs.join(agreed, key).select(key, gate.alias("failed_gate"), composite.alias("c"))
+    rows = scored.select(key, gate_columns().alias("g"), embedding_gate(dim).alias("e"), composite.alias("c")).join(agreed, key)
+    rows = rows.select(key, gate.alias("failed_gate"), "c")
     score = F.when(F.col("failed_gate").isNull(), F.col("c")).otherwise(0.0)
     return rows.select(key, "failed_gate", score.alias("composite"), (F.col("failed_gate").isNull() & (score >= floor)).alias("is_valid"))
 
 
+def gate_columns() -> Column:
+    """The gates that need nothing but the pair."""
+    return F.struct(tier1_gate().alias("tier1"), tier2_gate().alias("tier2"), asset_presence_gate().alias("presence"), contagion_gate().alias("contagion"))
+
+
 def pair_submissions(submissions: DataFrame, references: DataFrame, key: str = "article_id") -> DataFrame:
     """Submissions with their reference, matched on the key as text; has_reference tells which have one."""
     m = submissions.select(*[F.col(c).alias(c if c == key else f"m_{c}") for c in submissions.columns]).withColumn("k", F.col(key).cast("string"))

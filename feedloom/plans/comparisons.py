@@ -99,7 +99,7 @@ for name, column, alias in (("f04_tier1_gate", "tier1", "ok"), ("f05_tier2_gate"
     P.sql[name] = f"WITH {DUCK}, {GATES} SELECT article_id, {column} AS {alias} FROM gates"
 P.add("j10_asset_agreement", lambda b: C.asset_agreement(_records(b)), None, "records_base")
 P.sql["j10_asset_agreement"] = f"WITH {DUCK}, {AGREE} SELECT * FROM agree"
-P.add("a07_tier3_parts", lambda b: _records(b).select("article_id", *[c.alias(n) for n, c in C.tier3_parts().items()]), None, "records_base")
+P.add("a07_tier3_parts", lambda b: C.normalised(_records(b)).select("article_id", *[c.alias(n) for n, c in C.tier3_parts().items()]), None, "records_base")
 P.sql["a07_tier3_parts"] = f"WITH {DUCK}, {PARTS} SELECT article_id, {', '.join(f'{n}::DOUBLE AS {n}' for n in C.WEIGHTS)} FROM parts"
 P.add("a07_tier3_composite", _scored, None, "records_base")
 P.sql["a07_tier3_composite"] = f"WITH {SCORED} SELECT article_id, failed_gate, composite, is_valid FROM verdicts"

@@ -26,7 +26,7 @@ P.add("t01_text_length", _features(T.length_features, "body"), rf"""WITH {_LEN}
 SELECT article_id, length(body) AS char_count, w AS word_count, s::BIGINT AS sentence_count, p::BIGINT AS paragraph_count, w / greatest(s, 1) AS avg_sentence_length, length(regexp_replace(body, '\s+', '', 'g')) / greatest(w, 1) AS avg_word_length FROM a""", "articles")
 
 _BARE = rf"regexp_replace(lower(w), '^[{T.EDGE.replace("'", "''")}]+|[{T.EDGE.replace("'", "''")}]+$', '', 'g')"
-P.add("t02_readability", _features(T.readability, "body"), rf"""WITH {_LEN},
+P.add("t02_readability", lambda df: T.readability(df.select("article_id", "body"), "body").drop("body"), rf"""WITH {_LEN},
 b AS (SELECT article_id, w, s, list_transform(list_transform(regexp_extract_all(body, '\S+'), lambda w: {_BARE}), lambda x: CASE WHEN length(x) <= 2 THEN 1 ELSE greatest(1, len(regexp_extract_all(x, '[aeiouy]+')) - CASE WHEN ends_with(x, 'e') AND len(regexp_extract_all(x, '[aeiouy]+')) > 1 THEN 1 ELSE 0 END) END) AS y FROM a)
 SELECT article_id, coalesce(list_sum(y), 0)::BIGINT AS syllables, CASE WHEN w > 0 THEN greatest(0.0, least(100.0, 206.835 - 1.015 * (w / s) - 84.6 * (list_sum(y) / w))) END::DOUBLE AS flesch_ease, CASE WHEN w > 0 THEN greatest(0.0, 0.39 * (w / s) + 11.8 * (list_sum(y) / w) - 15.59) END::DOUBLE AS flesch_kincaid FROM b""", "articles")
 
