@@ -26,11 +26,16 @@ def apply_model(df: DataFrame, column: str, output: str, fn: Callable) -> DataFr
     return df.mapInPandas(run, schema)
 
 
-def trigrams(df: DataFrame, key: str, text: str, most: int = 2000) -> DataFrame:
-    """key and trigram, one row for each trigram of words of at most ``most`` first characters."""
-    body = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.substring(text_of(F.col(text)), 1, most)), r"[^\p{L}]+", " "), F.lit(" "))
-    spots = df.select(key, body.alias("b")).where(F.length("b") >= 3)
-    return spots.select(key, "b", F.explode(F.sequence(F.lit(1), F.length("b") - 2)).alias("i")).select(key, F.substring("b", F.col("i"), F.lit(3)).alias("trigram"))
+def _letters(text: str):
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(text_of(F.col(text))), r"[^\p{L}]+", " "), F.lit(" "))
+
+
+def trigrams(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key and trigram, one row for each trigram of the whole text's words. The text is cut into characters once: taking
+    substrings at each place would cost the square of its length."""
+    spots = df.select(key, F.split(_letters(text), "").alias("c")).where(F.size("c") >= 3)
+    at = F.sequence(F.lit(0), F.size("c") - 3)
+    return spots.select(key, F.explode(F.transform(at, lambda i: F.concat(F.get("c", i), F.get("c", i + 1), F.get("c", i + 2)))).alias("trigram"))
 
 
 def learn_profiles(df: DataFrame, lang: str, text: str, most: int = 300) -> DataFrame:
@@ -43,10 +48,9 @@ def learn_profiles(df: DataFrame, lang: str, text: str, most: int = 300) -> Data
 
 def detect_language(df: DataFrame, profiles: DataFrame, key: str, text: str, floor: float = -12.0) -> DataFrame:
     """key, code, confidence: the language whose profile fits a text's trigrams best, ("en", 0) for a text without any."""
-    counts = trigrams(df, key, text).groupBy(key, "trigram").agg(F.count("*").alias("n"))
     langs = profiles.select("lang").distinct()
-    hits = counts.join(small(profiles), "trigram").groupBy(key, "lang").agg(F.sum(F.col("n") * (F.col("weight") - floor)).alias("s"))
-    sizes = counts.groupBy(key).agg(F.sum("n").alias("total"))
+    hits = trigrams(df, key, text).join(small(profiles), "trigram").groupBy(key, "lang").agg(F.sum(F.col("weight") - floor).alias("s"))
+    sizes = df.select(key, (F.length(_letters(text)) - 2).alias("n")).where("n > 0").groupBy(key).agg(F.sum("n").alias("total"))
     rows = sizes.crossJoin(small(langs)).join(hits, [key, "lang"], "left").withColumn("score", F.coalesce("s", F.lit(0.0)) / F.col("total"))
     each = Window.partitionBy(key)
     rows = rows.withColumn("p", F.exp(F.col("score")) / F.sum(F.exp(F.col("score"))).over(each)).withColumn("i", F.row_number().over(each.orderBy(F.desc("score"), "lang"))).where("i = 1")

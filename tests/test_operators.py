@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from feedloom.operators import attest, compare, entities, events, health, ledger, match
+from feedloom.operators import attest, compare, entities, events, health, ledger, match, models
 from feedloom.sources import feeds
 
 
@@ -143,3 +143,30 @@ def test_writing_an_epoch_again_replaces_it(spark, tmp_path):
     assert rows(feeds.read_state(spark, path, "worker long, points long, epoch long")) == [(1, 5, 1), (3, 7, 2)]
 
 
+def test_language_reads_the_whole_text(spark):
+    import math
+    import re
+    from collections import Counter
+
+    def grams(x):
+        b = " " + re.sub(r"[^a-zé]+", " ", (x or "").lower()) + " "
+        return [b[i : i + 3] for i in range(len(b) - 2)]
+
+    # The first 2,000 characters are of one language, what follows of the other.
+    data = [(1, "aa bab abba " * 40, "aa"), (2, "éé oxo exx " * 40 + "!", "ee"), (3, "aa bab abba " * 170 + "éé oxo exx " * 600, None), (4, "", None), (5, None, None), (6, "b" * 1999 + " oxo" * 900, "ee")]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    profiles = {}
+    for lang in ("aa", "ee"):
+        n = Counter(g for _, x, k in data if k == lang for g in grams(x))
+        top = sorted(n.items(), key=lambda x: (-x[1], x[0].encode()))[:5]
+        profiles[lang] = {g: math.log(c / sum(n.values())) for g, c in top}
+    got = models.learn_profiles(df.where("lang IS NOT NULL"), "lang", "text", most=5)
+    assert {(r.lang, r.trigram): r.weight for r in got.collect()} == pytest.approx({(k, g): w for k, p in profiles.items() for g, w in p.items()})
+    found = {r.doc_id: (r.code, r.confidence) for r in models.detect_language(df, got, "doc_id", "text").collect()}
+    for key, x, _ in data:
+        own = grams(x)
+        score = {k: sum(p[g] + 12 for g in own if g in p) / len(own) for k, p in profiles.items()} if own else {}
+        best = max(sorted(score), key=score.get, default="en")
+        want = math.exp(score[best]) / sum(map(math.exp, score.values())) if score else 0.0
+        assert found[key][0] == best and found[key][1] == pytest.approx(want)
+    assert found[3][0] == "ee"
