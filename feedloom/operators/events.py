@@ -45,24 +45,44 @@ def star_edges(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(least, key).where("id <> b").select(F.col("id").alias("a"), "b")
 
 
-def similar_vectors(rows: DataFrame, above: float, within: str | None = None, planes: int = 6, tables: int = 12, dim: int = 64, seed: int = 11) -> DataFrame:
-    """a, b, sim: pairs of rows (id, vector) with a dot product above the bar, found by random hyperplanes and checked exactly.
+def similar_vectors(rows: DataFrame, above: float, within: str | None = None, block: int = 2000) -> DataFrame:
+    """a, b, sim: all pairs of rows (id, vector) with a dot product above the bar, without a miss: each block of rows meets
+    each other block of its group in one task, as a matrix product, and what is near the bar is computed again exactly.
 
-    Vectors that agree on all signs of a table meet in a bucket; equal vectors are joined once through the smallest id,
-    so a large group of copies makes no pairs of its own. Parameters are for unit vectors.
+    Equal vectors are joined once through the smallest id, so a large group of copies makes no pairs of its own. Vectors of
+    different lengths and those with a null make no pair. The work is the square of a group's distinct vectors.
     """
-    draw = np.random.default_rng(seed).normal(size=(tables, planes, dim))
-    key = [within] if within else []
-    one = rows.groupBy(*key, "vector").agg(F.min("id").alias("id"))
-    # Products as column expressions: the sum of sign bits is the bucket of a table.
-    def bucket(t: int) -> Column:
-        bits = [(S.dot(F.col("vector"), F.array(*[F.lit(float(x)) for x in draw[t, p]])) > 0).cast("int") * 2**p for p in range(planes)]
-        return F.struct(F.lit(t).alias("t"), sum(bits, F.lit(0)).alias("k"))
-
-    placed = one.select(*key, "id", "vector", F.explode(F.array(*[bucket(t) for t in range(tables)])).alias("cell"))
-    left = placed.select(*key, "cell", F.col("id").alias("a"), F.col("vector").alias("va"))
-    right = placed.select(*key, "cell", F.col("id").alias("b"), F.col("vector").alias("vb"))
-    return left.join(right, [*key, "cell"]).where(F.col("a") < F.col("b")).withColumn("sim", S.dot(F.col("va"), F.col("vb"))).where(F.col("sim") > above).select("a", "b", "sim").distinct()
+    whole = "g IS NOT NULL AND size(vector) > 0 AND NOT exists(vector, x -> x IS NULL)"
+    one = rows.select((F.col(within) if within else F.lit(0)).alias("g"), "id", "vector").where(whole)
+    one = written(one.groupBy("g", "vector").agg(F.min("id").alias("id")).withColumn("dim", F.size("vector")), "vectors")
+    n = one.groupBy("g", "dim").agg(F.count("*").alias("n"))
+    # Blocks of a group: up to 8 for the sake of parallel tasks, then as many as the block's size asks for.
+    parts = F.greatest(F.least(F.lit(8), F.ceil(F.col("n") / 500)), F.ceil(F.col("n") / block)).cast("int")
+    placed = one.join(n, ["g", "dim"]).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    sent = placed.select("g", "dim", "id", "vector", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    sent = sent.select("g", "dim", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "vector")
+
+    def close(group: pd.DataFrame) -> pd.DataFrame:
+        i, j = group["i"].iloc[0], group["j"].iloc[0]
+        found = [pd.DataFrame({"a": np.array([], np.int64), "b": np.array([], np.int64), "sim": np.array([], float)})]
+        left, right = group[group["part"] == i], group[group["part"] == j]
+        if len(left) and len(right):
+            ids, other = left["id"].to_numpy(), right["id"].to_numpy()
+            x, y = (np.stack(side["vector"].to_list()).astype(float) for side in (left, right))
+            slack = 1e-9 * (1 + np.abs(x).max() * np.abs(y).max() * x.shape[1])
+            for at in range(0, len(x), 256):
+                p, q = np.nonzero(x[at : at + 256] @ y.T > above - slack)
+                p += at
+                kept = ids[p] < other[q] if i == j else np.ones(len(p), bool)
+                p, q = p[kept], q[kept]
+                for k in range(0, len(p), 50_000):
+                    u, v = p[k : k + 50_000], q[k : k + 50_000]
+                    sim = np.cumsum(x[u] * y[v], axis=1)[:, -1]  # in the order of the expression dot
+                    u, v, sim = u[sim > above], v[sim > above], sim[sim > above]
+                    found.append(pd.DataFrame({"a": np.minimum(ids[u], other[v]), "b": np.maximum(ids[u], other[v]), "sim": sim}))
+        return pd.concat(found)
+
+    return sent.groupBy("g", "dim", "i", "j").applyInPandas(close, "a long, b long, sim double")
 
 
 def title_pairs(rows: DataFrame, least: float = TITLE_JACCARD) -> DataFrame:

@@ -31,7 +31,7 @@ def _articles(links):
 
 P.add("e02_cluster_events", lambda e: E.cluster_events(_articles(e)), None, "event_links_whole")
 P.add("e03_merge_clusters", lambda e: E.merge_clusters(e.select("id", "event_type", F.col("published_s").alias("first_s"), F.split("title", " ").alias("words"), "vector")), None, "event_links_whole")
-P.add("j12_similar_vectors", lambda v: E.similar_vectors(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 0.7, planes=3, tables=24), None, "vectors")
+P.add("j12_similar_vectors", lambda v: E.similar_vectors(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 0.7), None, "vectors")
 P.add("e02_title_pairs", lambda e: E.title_pairs(e.select("id", F.split("title", " ").alias("words"))), """WITH s AS (SELECT list_sort(list_distinct(string_split(title, ' '))) AS w, min(id) AS id FROM event_links GROUP BY 1) SELECT a.id AS a, b.id AS b FROM s a JOIN s b ON a.id < b.id WHERE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.6""", "event_links")
 P.add("e04_event_summary", lambda e: E.event_summary(e), "SELECT event_id, count(*) AS articles, min(published_s) AS first_s, max(published_s) AS last_s, count(*) FILTER (sentiment = 'bullish') AS bullish, count(*) FILTER (sentiment = 'bearish') AS bearish, max(impact) AS impact, list_sort(list(DISTINCT entity)) AS entities FROM event_links GROUP BY event_id", "event_links")
 P.add("k01_select_narratives", lambda e, n: E.select_narratives(e.select("id", "vector", (F.col("id") % 2 == 0).alias("has_crypto")), n), f"SELECT id, n.slug, row_number() OVER (PARTITION BY id ORDER BY {_DOT('vector', 'centroid')} DESC, narrative_pos) AS rank FROM event_links e, narrative_dim n WHERE {_DOT('vector', 'centroid')} >= 0.3 AND (NOT crypto_only OR id % 2 = 0) QUALIFY rank <= 3", "event_links", "narrative_dim")

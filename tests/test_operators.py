@@ -170,3 +170,26 @@ def test_language_reads_the_whole_text(spark):
         want = math.exp(score[best]) / sum(map(math.exp, score.values())) if score else 0.0
         assert found[key][0] == best and found[key][1] == pytest.approx(want)
     assert found[3][0] == "ee"
+
+
+def test_vector_pairs_miss_none_near_the_bar(spark):
+    import numpy as np
+
+    # 400 pairs of a type just above the bar, and 100 just below; vectors of others are far away.
+    rng, data, close = np.random.default_rng(7), [], set()
+    for i in range(500):
+        u, v = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
+        c = 0.7501 if i < 400 else 0.7499
+        data += [(2 * i, f"t{i % 2}", u.tolist()), (2 * i + 1, f"t{i % 2}", (c * u + (1 - c * c) ** 0.5 * v).tolist())]
+    data += [(5000, "t0", data[0][2]), (5001, "t1", data[0][2]), (5002, None, data[0][2]), (5003, "t0", None), (5004, "t0", data[0][2][:3]), (5005, "t0", [None] + data[0][2][1:])]
+    x = np.array([v for i, _, v in data if i < 5000])
+    for a, b in zip(*np.nonzero(np.triu(x @ x.T, 1) > 0.75), strict=True):
+        if data[a][1] == data[b][1]:
+            close.add((int(a), int(b)))
+    df = spark.createDataFrame(data, "id long, type string, vector array<double>")
+    for block in (2000, 60):
+        got = [(r.a, r.b) for r in events.similar_vectors(df, 0.75, "type", block=block).collect()]
+        assert len(got) == len(set(got)) and set(got) == close and len(close) >= 400
+    words = spark.createDataFrame([(i, f"f{i}", f"h{i}", t, v, [f"w{i}"]) for i, t, v in data if i < 1000], "id long, fingerprint string, content_hash string, event_type string, title_vector array<double>, title_words array<string>")
+    event = {r.id: r.event_id for r in events.cluster_events(words).collect()}
+    assert all(event[a] == event[b] for a, b in close if b < 1000)
