@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -174,18 +176,26 @@ def narrative_candidates(unmatched: DataFrame, as_of_day: int, days: int = 7, ar
 
 def centroid_drift(vectors: DataFrame, alpha: float = DRIFT) -> DataFrame:
     """slug, centroid: the moving average of a narrative's vectors (slug, seq, vector) in order, of length one after each
-    step. Order is part of the result, so a narrative is folded by one task, in batches of its sorted rows."""
-
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, now = rows.sort_values("seq"), None
-        for v in rows["vector"]:
-            x = np.asarray(v, float)
-            now = x if now is None else (1 - alpha) * now + alpha * x
-            now = now / max(np.linalg.norm(now), 1e-12)
-        return pd.DataFrame({"slug": [rows["slug"].iloc[0]], "centroid": [now.tolist()]})
-
-    return vectors.select("slug", "seq", "vector").groupBy("slug").applyInPandas(one, "slug string, centroid array<double>")
+    step. Order is part of the result, so a narrative is folded by one task, which reads it as a sorted stream and holds
+    one centroid and one Arrow batch, however many rows the narrative has."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        slug, now = None, None
+        for batch in batches:
+            done = []
+            for s, v in zip(batch["slug"], batch["vector"], strict=True):
+                s, x = None if pd.isna(s) else s, np.asarray(v, float)
+                if now is not None and s != slug:
+                    done.append((slug, now.tolist()))
+                    now = None
+                slug, now = s, x if now is None else (1 - alpha) * now + alpha * x
+                now = now / max(np.linalg.norm(now), 1e-12)
+            yield pd.DataFrame(done, columns=["slug", "centroid"])
+        if now is not None:
+            yield pd.DataFrame([(slug, now.tolist())], columns=["slug", "centroid"])
+
+    rows = vectors.select("slug", "seq", "vector").repartition("slug").sortWithinPartitions("slug", "seq")
+    return rows.drop("seq").mapInPandas(run, "slug string, centroid array<double>")
 
 
 def split_candidates(vectors: DataFrame, below: float = SPLIT_BELOW) -> DataFrame:

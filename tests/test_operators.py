@@ -193,3 +193,29 @@ def test_vector_pairs_miss_none_near_the_bar(spark):
     words = spark.createDataFrame([(i, f"f{i}", f"h{i}", t, v, [f"w{i}"]) for i, t, v in data if i < 1000], "id long, fingerprint string, content_hash string, event_type string, title_vector array<double>, title_words array<string>")
     event = {r.id: r.event_id for r in events.cluster_events(words).collect()}
     assert all(event[a] == event[b] for a, b in close if b < 1000)
+
+
+def test_centroid_drift_streams_a_narrative(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    sizes = {"hot": 900, "b": 40, "c": 1, None: 5}
+    data = [(slug, i, rng.normal(size=8).tolist()) for slug, n in sizes.items() for i in range(n)]
+    shuffled = [data[i] for i in rng.permutation(len(data))]
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = events.centroid_drift(spark.createDataFrame(shuffled, "slug string, seq long, vector array<double>"))
+        # No group is gathered in one frame.
+        plan = out._jdf.queryExecution().toString()
+        assert "FlatMapGroups" not in plan and "MapInPandas" in plan
+        got = {r.slug: r.centroid for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    want = {}
+    for slug, _, v in data:
+        x = np.array(v) if slug not in want else 0.95 * want[slug] + 0.05 * np.array(v)
+        want[slug] = x / np.linalg.norm(x)
+    assert set(got) == set(want)
+    for slug, x in want.items():
+        assert got[slug] == pytest.approx(x.tolist())
