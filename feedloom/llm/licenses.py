@@ -1,8 +1,9 @@
 """Licence scan by sentence rules: known sentences become identifiers, ordered identifier runs become licences.
 
-Each text is cut into sentences (at line ends and after ``.``, ``!`` or ``?`` before white space), a sentence is
-normalised (lower case, runs of anything but letters and digits as one space) and looked up among the known licence
-sentences. The identifiers of a document, in order, are matched against the rules; a rule is an ordered run of
+Each text is normalised (lower case, runs of anything but letters and digits as one space) and marked where a sentence
+can begin or end: after ``.``, ``!`` or ``?`` before white space, at a blank line, at a line end, and after ``:`` or ``;``
+before white space. The first two part sentences; the others may also lie inside one, so a notice that is wrapped over
+lines (also behind comment marks) is found. Of known sentences that begin at one place the longest counts. The identifiers of a document, in order, are matched against the rules; a rule is an ordered run of
 identifiers with no other known sentence between them. All of it is one projection of built-in functions over the
 documents: no shuffle, no Python, and the work is proportional to the text.
 
@@ -73,12 +74,14 @@ def _pieces() -> list[tuple[str, str]]:
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    sentences = F.split(F.regexp_replace(lower, r"([.!?]|\n)[ \t\r\n]+", "$1\n"), "\n")
+    body = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    # Capitals are free now: S parts sentences, L is a line end or clause end. Each pattern takes whole runs.
+    for pattern, mark in ((r"[.!?][ \t\r\n]+", "S"), (r"\n[^a-z0-9S]*\n", "S"), (r"[:;][ \t\r]+|\n", "L"), ("[^a-z0-9SL]+", " "), ("(?: ?L)+ ?", "L"), ("[ L]?S[ SL]*", "S")):
+        body = F.regexp_replace(body, pattern, mark)
     known = F.create_map(*[F.lit(x) for pair in _pieces() for x in pair])
-    likely = F.filter(sentences, lambda s: F.length(s) >= min(len(a) for a, _ in _pieces()))
-    found = F.transform(likely, lambda s: F.try_element_at(known, F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))))
-    return F.filter(found, lambda x: x.isNotNull())
+    wanted = "|".join(a.replace(" ", "[ L]") for a, _ in sorted(_pieces(), key=lambda x: -len(x[0])))
+    found = F.regexp_extract_all(F.concat(F.lit("S"), F.trim(body), F.lit("S")), F.lit(f"(?<=[SL])(?:{wanted})(?=[SL])"), F.lit(0))
+    return F.transform(found, lambda s: F.try_element_at(known, F.translate(s, "L", " ")))
 
 
 def scan(df: DataFrame, text: str = "text", rules: list[tuple[str, list[str]]] | None = None) -> DataFrame:
@@ -96,7 +99,7 @@ def scan(df: DataFrame, text: str = "text", rules: list[tuple[str, list[str]]] |
 
 
 def oracle() -> str:
-    """DuckDB SQL for :func:`scan` over documents (doc_id)."""
+    """DuckDB SQL for :func:`scan` over documents (doc_id) whose notices each stand on one line."""
     known = ", ".join(f"('{a}', '{key}')" for a, key in _pieces())
     cases = ", ".join(f"('{name}', ',{','.join(ids)},')" for name, ids in RULES)
     return rf"""

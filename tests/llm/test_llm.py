@@ -259,6 +259,38 @@ def test_licence_rules(spark):
     assert got == ["MIT", "Apache-2.0,Proprietary", "Apache-2.0", "", "", "", ""]
 
 
+def test_licences_wrapped_over_lines(spark):
+    import textwrap
+
+    apache = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+    s = licenses.SENTENCES
+    bsd = "\n\n".join([textwrap.fill(s["bsd-1"], 72), *[textwrap.fill(f"{i}. {s[k]}", 72, subsequent_indent="   ") for i, k in ((1, "bsd-2"), (3, "bsd-3"))]])
+    gpl = "\n".join(f" * {x}" for k in ("gpl-1", "gpl-2") for x in [*textwrap.wrap(s[k], 70), ""])
+    texts = [
+        apache, apache.replace("\n", "\r\n"), "\n".join(f"# {x}" for x in apache.split("\n")), bsd, gpl, textwrap.fill(s["mit-1"] + " " + s["warranty-1"], 40),
+        " ".join(apache.split()),
+        # Not one sentence: words on either side of a full stop or a blank line, or with others before and after.
+        "You may obtain a copy. Of the License at\n", "All rights\n\nreserved.\n", "All rights\n  #\nreserved.\n", "We say: not all rights\nreserved. x", "All rights\nreserved for us", "All rights\nreserved.",
+    ]
+    got = [(r.sentence_ids, r.licences) for r in licenses.scan(frame(spark, texts)).orderBy("doc_id").collect()]
+    whole = ("apache-1,apache-2,apache-3,apache-4", "Apache-2.0")
+    assert got[:3] == [whole] * 3
+    assert got[3:6] == [("bsd-1,bsd-2,bsd-3", "BSD-2-Clause,BSD-3-Clause"), ("gpl-1,gpl-2", "GPL-3.0"), ("mit-1,warranty-1", "MIT")]
+    # Run together on one line, "at" is followed by the address, so that sentence doesn't end.
+    assert got[6] == ("apache-1,apache-2,apache-4", "Apache-2.0")
+    assert got[7:] == [("", "")] * 5 + [("reserved", "Proprietary")]
+
+
 # -- 10: near duplicates
 def exact_components(texts, size, num, den):
     sets = []
