@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Characters of text (or bytes) that are worked on together, so that a batch of very long texts stays small.
 CHARS_A_BATCH = 4_000_000
-#: Entries that a dictionary of solved pieces may hold before it starts anew.
-KEPT = 350_000
+#: Bytes, about, that a dictionary of solved pieces may hold before it starts anew, and what an entry costs beside its content.
+CACHE_BYTES, ENTRY_BYTES = 224_000_000, 170
 
 
 def slices(texts: list, most: int = CHARS_A_BATCH) -> Iterator[slice]:
@@ -24,36 +25,78 @@ def slices(texts: list, most: int = CHARS_A_BATCH) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
+def cuts(text: str | None, most: int = CHARS_A_BATCH) -> Iterator[str]:
+    """A text in parts of about ``most`` characters that were parted by single spaces."""
+    start = 0
+    while text and start <= len(text):
+        end = text.find(" ", start + most) if start + most < len(text) else -1
+        yield text[start : len(text) if end < 0 else end]
+        start = (len(text) if end < 0 else end) + 1
+
+
 def with_columns(df: DataFrame, *more: str) -> str:
     """The schema of ``df`` and more columns, as mapInArrow takes it."""
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), *more])
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without columns that have the name of one that an operator adds (in any case of letters): the operator's stays."""
+    own = {x.lower() for x in names}
+    return df.select(*[f"`{c}`" for c in df.columns if c.lower() not in own])
+
+
+#: The columns of :func:`row_key`.
+KEY = ["row", "row2"]
+
+
+def row_key(*columns: Column) -> list[Column]:
+    """128 bits, in two columns, that tell rows of different content apart."""
+    return [F.xxhash64(*columns).alias("row"), F.xxhash64(F.lit(20_240_229), *columns, F.lit(7)).alias("row2")]
+
+
+_HELD: dict[Hashable, object] = {}
+
+
+def held(key: Hashable, make: Callable[[], object]) -> object:
+    """What this Python worker keeps between tasks: the last thing asked for, and nothing of an earlier operator."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Let go of what this Python worker keeps for an earlier operator."""
+    _HELD.clear()
+
+
 class PieceCache:
     """What a function of a piece of text gives, for pieces between single spaces; solved once while it is kept.
 
     ``solve`` takes a list of new pieces and returns a list of bytes. It must be a function for which the result of a
-    text is that of its pieces, put one after the other.
+    text is that of its pieces, put one after the other. What is kept is bounded in bytes.
     """
 
-    def __init__(self, solve: Callable[[list[str]], list[bytes]], kept: int = KEPT):
-        self.solve, self.kept, self.known = solve, kept, {}
+    def __init__(self, solve: Callable[[list[str]], list[bytes]], most: int = CACHE_BYTES):
+        self.solve, self.most, self.known, self.size = solve, most, {}, 0
+
+    def _learn(self, texts: list[list[str]]) -> None:
+        if self.size > self.most:
+            self.known, self.size = {}, 0
+        new = list(set().union(*texts).difference(self.known))
+        for i in range(0, len(new), 50_000):
+            part = new[i : i + 50_000]
+            done = self.solve(part)
+            self.known.update(zip(part, done, strict=True))
+            self.size += sum(map(len, part)) + sum(map(len, done)) + ENTRY_BYTES * len(part)
 
     def run(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > self.kept:
-            self.known.clear()
-        cut, new = [], set()
-        for text in texts:
-            pieces = text.split(" ") if text else []
-            got = list(map(self.known.get, pieces))
-            if None in got:
-                for i, x in enumerate(pieces):
-                    if got[i] is None:
-                        new.add(x)
-                        got[i] = x
-            cut.append(got)
-        some = list(new)
-        for i in range(0, len(some), 50_000):
-            part = some[i : i + 50_000]
-            self.known.update(zip(part, self.solve(part), strict=True))
-        return [b"".join([x if isinstance(x, bytes) else self.known[x] for x in got]) for got in cut]
+        if sum(len(x) for x in texts if x) > 2 * CHARS_A_BATCH:  # very long texts go part by part
+            return [b"".join([self._some([part])[0] for part in cuts(x)]) for x in texts]
+        return self._some(texts)
+
+    def _some(self, texts: list[str | None]) -> list[bytes]:
+        cut = [text.split(" ") if text else [] for text in texts]
+        self._learn(cut)
+        find = self.known.__getitem__
+        return [b"".join(map(find, pieces)) for pieces in cut]

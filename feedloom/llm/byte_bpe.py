@@ -6,10 +6,12 @@ contracts the leftmost pair of least rank of every word, until no word has a pai
 with the vocabulary and puts the pieces together by an aggregation ordered by position. The encoder keeps the
 words that it has solved in dictionaries of bounded size, so a repeated word costs one lookup.
 
-Edge cases: null and empty texts give no ids; repeated rows are encoded each for themselves; a word longer
-than ``LONG`` bytes is first cut between bytes that stand side by side in no vocabulary entry (no merge can
-cross there), and its remaining long parts contract all equal pairs in one round where that is provably the
-same as one by one.
+Edge cases: null and empty texts give no ids; repeated rows are encoded each for themselves; an empty table gives an
+empty table; columns of the input with the name of a result's column give way to it. Very long texts are encoded part
+by part. A word longer than ``LONG`` bytes is first cut between bytes that stand side by side in no vocabulary entry
+(no merge can cross there); its remaining long parts are contracted in overlapping windows (all equal pairs of a window
+in one round where that is provably the same as one by one) that are put together where two windows have the same
+token. So a word of any length takes memory in proportion to its length.
 """
 
 from __future__ import annotations
@@ -17,22 +19,26 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections.abc import Iterator
+
 import duckdb
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from feedloom.llm.arrow import slices, with_columns
+from feedloom.llm.arrow import CACHE_BYTES, CHARS_A_BATCH, ENTRY_BYTES, held, slices, with_columns, without
 from feedloom.shared import ship
 
-#: Words in one recursive query, and entries that a dictionary may hold before it starts anew.
-WORDS_A_QUERY, KEPT = 50_000, 350_000
+#: Words, and bytes of words, in one recursive query; tokens in one query that decodes.
+WORDS_A_QUERY, BYTES_A_QUERY = 50_000, 500_000
 TOKENS_A_QUERY = 1_000_000
 LONG = 64
 
 #: A space inside or at the end of a run of white space, where cutting before each space would change matches.
 _RUN = re.compile(r"\s (?:\s|\Z)")
+#: A space between two other characters, before which a text may be cut.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 _START = """
  SELECT w, pos, tok, lead(tok) OVER x AS nt, lead(pos) OVER x AS np, true AS going FROM start
@@ -80,6 +86,15 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, data.splitlines()) if rank}
 
 
+def parts_of(text: str, most: int = CHARS_A_BATCH) -> Iterator[str]:
+    """A text in parts of about ``most`` characters, cut where no match of the pattern can cross."""
+    start = 0
+    while start < len(text):
+        cut = _CUT.search(text, start + most)
+        yield text[start : cut.start() if cut else len(text)]
+        start = cut.start() if cut else len(text)
+
+
 class RankCodec:
     """Merge table and vocabulary of one rank file in an in-memory DuckDB, with what has been solved so far."""
 
@@ -107,9 +122,12 @@ class RankCodec:
             self.joined[x, y] = True
         # White space as the rank files' own library has it: the Unicode property, without the separators 1C to 1F.
         self.matches = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+        self.length = np.zeros(max(ranks.values(), default=-1) + 1, np.int64)
+        self.length[list(ranks.values())] = list(map(len, ranks))
         self.words: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
         self.after_space: dict[str, bytes] = {}
+        self.size = 0
 
     def _table(self, name: str, columns: dict) -> None:
         self.db.register("given", pa.table(columns))
@@ -124,12 +142,12 @@ class RankCodec:
             self.db.unregister(name)
 
     def _contract(self, parts: list[bytes], sql: str) -> list[np.ndarray]:
-        """Ids of each part by the recursive query, ``WORDS_A_QUERY`` parts or about as many bytes at a time."""
+        """Ids of each part by the recursive query, ``WORDS_A_QUERY`` parts or ``BYTES_A_QUERY`` bytes at a time."""
         out: list[np.ndarray] = []
         at = 0
         while at < len(parts):
             end, size = at, 0
-            while end < len(parts) and end - at < WORDS_A_QUERY and (size == 0 or size + len(parts[end]) < 16 * WORDS_A_QUERY):
+            while end < len(parts) and end - at < WORDS_A_QUERY and (size == 0 or size + len(parts[end]) < BYTES_A_QUERY):
                 size += len(parts[end])
                 end += 1
             lens = np.fromiter(map(len, parts[at:end]), np.int64, end - at)
@@ -142,72 +160,104 @@ class RankCodec:
             at = end
         return out
 
+    def _stitched(self, part: bytes, width: int, found: dict[bytes, np.ndarray]) -> np.ndarray | None:
+        """Ids of a part from those of its overlapping windows, or None if two windows agree on no token.
+
+        A sequence of tokens is what contraction gives if each two neighbours are what contraction gives for their own
+        bytes: the first merge across a token border would also happen with the two alone. Where two windows have the
+        same token at the same place, the left window's tokens up to it and the right window's from it on are such a
+        sequence.
+        """
+        out, left, begins, taken = [], None, None, 0
+        for start in range(0, max(len(part) - width // 2, 1), width // 2):
+            ids = found[part[start : start + width]]
+            size = self.length[ids]
+            place = start + np.cumsum(size) - size
+            if left is not None:
+                _, i, j = np.intersect1d(begins, place, assume_unique=True, return_indices=True)
+                same = np.flatnonzero(left[i] == ids[j])
+                if not len(same):
+                    return None
+                middle = same[len(same) // 2]
+                out.append(left[taken : i[middle]])
+                taken = int(j[middle])
+            left, begins = ids, place
+        return np.concatenate([*out, left[taken:]])
+
+    def _long(self, parts: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of parts of more than ``LONG`` bytes: by windows, wider ones for parts whose windows don't fit together."""
+        done: dict[bytes, bytes] = {}
+        todo, width = sorted(parts), 2 * LONG
+        while todo:
+            windows = sorted({part[i : i + width] for part in todo for i in range(0, max(len(part) - width // 2, 1), width // 2)})
+            found = dict(zip(windows, self._contract(windows, _TOGETHER), strict=True))
+            left = []
+            for part in todo:
+                ids = self._stitched(part, width, found)
+                if ids is None:
+                    left.append(part)
+                else:
+                    done[part] = ids.astype("<u4").tobytes()
+            todo, width = left, 8 * width
+        return done
+
     def encode_words(self, words: list[str]) -> None:
         """Put the ids of words that are not known yet into ``self.words``, as little-endian 32-bit integers."""
-        short, long = [], []
-        for word in words:
-            data = word.encode()
-            (short if len(data) <= LONG else long).append((word, data))
-        for (word, _), ids in zip(short, self._contract([x for _, x in short], _LEFTMOST), strict=True):
-            self.words[word] = ids.tobytes()
+        coded = [x.encode() for x in words]
+        short = [i for i, x in enumerate(coded) if len(x) <= LONG]
+        done = [x.tobytes() for x in self._contract([coded[i] for i in short], _LEFTMOST)]
+        self.words.update(zip([words[i] for i in short], done, strict=True))
+        self.size += sum(map(len, done)) + sum(len(coded[i]) for i in short) + ENTRY_BYTES * len(short)
+        if len(short) == len(words):
+            return
         parts, spans = [], []
-        for _, data in long:
-            codes = np.frombuffer(data, np.uint8)
-            cuts = [0, *(np.flatnonzero(~self.joined[codes[:-1], codes[1:]]) + 1).tolist(), len(data)]
-            spans.append((len(parts), len(parts) + len(cuts) - 1))
-            parts += [data[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-        done: dict[bytes, bytes] = {}
-        for sql, some in ((_LEFTMOST, {x for x in parts if len(x) <= LONG}), (_TOGETHER, {x for x in parts if len(x) > LONG})):
-            ordered = sorted(some)
-            done |= {part: ids.tobytes() for part, ids in zip(ordered, self._contract(ordered, sql), strict=True)}
-        for (word, _), (x, y) in zip(long, spans, strict=True):
-            self.words[word] = b"".join(done[part] for part in parts[x:y])
-
-    def _solve(self, pieces: list[tuple[dict, str, str]]) -> None:
-        """Ids of new pieces (dictionary, key, text) from those of their words."""
-        found = [self.matches(text) for _, _, text in pieces]
-        new = {word for words in found for word in words if word not in self.words}
-        if len(self.words) + len(new) > KEPT:
-            self.words.clear()
-            new = {word for words in found for word in words}
-        self.encode_words(list(new))
-        for (kept, key, _), words in zip(pieces, found, strict=True):
-            kept[key] = b"".join([self.words[word] for word in words])
+        for word, data in zip(words, coded, strict=True):
+            if len(data) > LONG:
+                codes = np.frombuffer(data, np.uint8)
+                cuts = [0, *(np.flatnonzero(~self.joined[codes[:-1], codes[1:]]) + 1).tolist(), len(data)]
+                spans.append((word, len(parts), len(parts) + len(cuts) - 1))
+                parts += [data[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        few = sorted({x for x in parts if len(x) <= LONG})
+        solved = {part: ids.tobytes() for part, ids in zip(few, self._contract(few, _LEFTMOST), strict=True)}
+        solved |= self._long({x for x in parts if len(x) > LONG})
+        for word, x, y in spans:
+            self.words[word] = b"".join([solved[part] for part in parts[x:y]])
+            self.size += 4 * len(word) + len(self.words[word])
+
+    def _solve(self, kept: dict[str, bytes], pieces: list[str], before: str) -> None:
+        """Ids of new pieces, each after ``before``, from those of their words."""
+        for i in range(0, len(pieces), WORDS_A_QUERY):
+            some = pieces[i : i + WORDS_A_QUERY]
+            found = [self.matches(before + x) for x in some]
+            self.encode_words(list(set().union(*found).difference(self.words)))
+            word = self.words.__getitem__
+            done = [b"".join(map(word, x)) for x in found]
+            kept.update(zip(some, done, strict=True))
+            self.size += sum(map(len, some)) + sum(map(len, done)) + ENTRY_BYTES * len(some)
+
+    def _part(self, text: str) -> bytes:
+        """Ids of a text with runs of white space: all its matches are looked up."""
+        words = self.matches(text)
+        self.encode_words(list(set(words).difference(self.words)))
+        return b"".join(map(self.words.__getitem__, words))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        if len(self.after_space) + len(self.bare) > KEPT:
-            self.after_space.clear()
-            self.bare.clear()
-        cut: list[list] = []
-        heads, tails = set(), set()
-        for text in texts:
-            if not text:
-                cut.append([])
-            elif _RUN.search(text):
-                cut.append(words := self.matches(text))
-                self.encode_words(list({x for x in words if x not in self.words}))
-                words[:] = map(self.words.get, words)
-            else:
-                head, *pieces = text.split(" ")
-                got = [self.bare.get(head), *map(self.after_space.get, pieces)]
-                if None in got:
-                    if got[0] is None:
-                        heads.add(head)
-                        got[0] = head
-                    for i, x in enumerate(pieces, 1):
-                        if got[i] is None:
-                            tails.add(x)
-                            got[i] = x
-                cut.append(got)
-        new = [(self.bare, x, x) for x in heads] + [(self.after_space, x, f" {x}") for x in tails]
-        for i in range(0, len(new), WORDS_A_QUERY):
-            self._solve(new[i : i + WORDS_A_QUERY])
+        if self.size > CACHE_BYTES:
+            self.words, self.bare, self.after_space, self.size = {}, {}, {}, 0
+        if sum(len(x) for x in texts if x) > 2 * CHARS_A_BATCH:  # very long texts go part by part
+            return [b"".join([self.encode([part])[0] for part in parts_of(x)]) if x and len(x) > CHARS_A_BATCH else self.encode([x])[0] for x in texts]
+        cut = [None if not text or _RUN.search(text) else text.split(" ") for text in texts]
+        plain = [x for x in cut if x]
+        self._solve(self.bare, list({x[0] for x in plain}.difference(self.bare)), "")
+        self._solve(self.after_space, list(set().union(*(x[1:] for x in plain)).difference(self.after_space)), " ")
+        find = self.after_space.__getitem__
         out = []
-        for got in cut:
-            if got and isinstance(got[0], str):
-                got[0] = self.bare[got[0]]
-            out.append(b"".join([x if isinstance(x, bytes) else self.after_space[x] for x in got]))
+        for text, x in zip(texts, cut, strict=True):
+            if x:
+                out.append(self.bare[x[0]] + b"".join(map(find, x[1:])))
+            else:
+                out.append(self._part(text) if text else b"")
         return out
 
     def decode(self, encoded: list[bytes]) -> list[bytes]:
@@ -224,16 +274,9 @@ class RankCodec:
         return [b"".join(x) for x in out]
 
 
-_CODECS: dict[tuple[bytes, str], RankCodec] = {}
-
-
 def codec(rank_file: bytes, pattern: str) -> RankCodec:
     """The codec of this Python worker; it outlives a task, and with it what it has solved."""
-    key = (hashlib.sha256(rank_file).digest(), pattern)
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = RankCodec(rank_file, pattern)
-    return _CODECS[key]
+    return held(("bpe", hashlib.sha256(rank_file).digest(), pattern), lambda: RankCodec(rank_file, pattern))
 
 
 def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -241,6 +284,7 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", ids:
     ship(df.sparkSession)
     with open(rank_path, "rb") as f:
         file = df.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: about 1 MB
+    df = without(df, ids)
     names = [*df.columns]
     place = names.index(text)
 
@@ -261,6 +305,7 @@ def decode(df: DataFrame, rank_path: str, pattern: str, ids: str = "ids", decode
     ship(df.sparkSession)
     with open(rank_path, "rb") as f:
         file = df.sparkSession.sparkContext.broadcast(f.read())
+    df = without(df, decoded)
     names = [*df.columns]
     place = names.index(ids)
 
@@ -283,6 +328,7 @@ def digests(df: DataFrame, rank_path: str, pattern: str, text: str = "text") ->
     ship(df.sparkSession)
     with open(rank_path, "rb") as f:
         file = df.sparkSession.sparkContext.broadcast(f.read())
+    df = without(df, "n_tokens", "ids_sha256", "decoded_sha256")
     kept = [c for c in df.columns if c != text]
     place = df.columns.index(text)
 

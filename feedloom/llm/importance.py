@@ -11,7 +11,9 @@ in hash buckets of their own. The target model and the cut are fitted on a bound
 of each class); the raw model counts every n-gram of every text.
 
 Edge cases: a null, empty or blank text has no n-grams and is rejected; without labels of both classes nothing is
-rejected but texts without n-grams; rows that tie at the k-th place are all kept; equal rows get equal results.
+rejected but texts without n-grams; rows that tie at the k-th place are all kept; equal rows get equal results; an
+empty table gives an empty table; a very long text is scored whole, part by part; other columns are not read, whatever
+their names. Where ids repeat, the learning sample holds at most four rows for each of its ids on average.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.arrow import PieceCache, slices
+from feedloom.llm.arrow import KEY, PieceCache, held, row_key, slices
 from feedloom.llm.labelled import sample
 from feedloom.shared import ship, written
 
@@ -34,7 +36,7 @@ _tokens = regex.compile(r"\w+|[^\w\s]+").findall
 
 
 def _shape(token: str) -> str:
-    """Kinds of characters of a token, runs shortened; punctuation as it is, three characters at most."""
+    """Kinds of characters of a token, runs shortened; punctuation as it is."""
     if token.isalpha():
         if token.islower():
             return "a"
@@ -43,7 +45,7 @@ def _shape(token: str) -> str:
         if token[0].isupper() and token[1:].islower():
             return "Aa"
     if not (token[0].isalnum() or token[0] == "_"):
-        return token[:3]
+        return token
     shape = "".join("A" if c.isupper() else "a" if c.islower() else "0" if c.isnumeric() else "x" for c in token)
     return _runs(r"\1", shape)
 
@@ -59,7 +61,8 @@ def _codes(piece: str) -> bytes:
     return np.array(out, "<u4").tobytes()
 
 
-_CACHE = PieceCache(lambda pieces: [_codes(x) for x in pieces])
+def _cache() -> PieceCache:
+    return held("n-grams", lambda: PieceCache(lambda pieces: [_codes(x) for x in pieces]))
 
 
 def _pairs(x: np.ndarray, bits: int) -> np.ndarray:
@@ -70,7 +73,7 @@ def _pairs(x: np.ndarray, bits: int) -> np.ndarray:
 def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Text and bucket of each n-gram of a batch of texts."""
     words, shapes = 1 << WORD_BITS, 1 << SHAPE_BITS
-    found = _CACHE.run(texts)
+    found = _cache().run(texts)
     codes = np.frombuffer(b"".join(found), "<u4").reshape(-1, 2)
     owner = np.repeat(np.arange(len(texts)), [len(x) // 8 for x in found])
     word, shape = codes[:, 0], codes[:, 1]
@@ -152,29 +155,30 @@ def kth_largest(keys: DataFrame, column: str, k: int, bins: int = 4096) -> float
 
 
 def resample(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = PER_CLASS) -> DataFrame:
-    """doc_id, row, n_ngrams, importance, gumbel_key and kept of every row; ``row`` is a hash of id and text."""
+    """doc_id, row, row2, n_ngrams, importance, gumbel_key and kept of every row; row and row2 are hashes of id and text."""
     spark = df.sparkSession
     ship(spark)
     chosen = sample(labels, label, per_class)
-    rows = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("row"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id", "left")
+    rows = df.select(F.col(doc_id).alias("doc_id"), *row_key(F.col(doc_id), F.col(text)), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id", "left")
     good, raw = models(rows.select("text", "label"))
     ratio = spark.sparkContext.broadcast(log_ratio(good, raw) if good.any() else np.zeros(SIZE))  # SIZE numbers: 1 MB
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(2).to_pylist()
+            texts = batch.column(3).to_pylist()
             for some in slices(texts):
                 owner, bucket = ngrams(texts[some])
                 part = batch.slice(some.start, some.stop - some.start)
                 n = np.bincount(owner, minlength=part.num_rows)
                 mean = np.bincount(owner, weights=ratio.value[bucket], minlength=part.num_rows) / np.maximum(n, 1)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(n), pa.array(mean, mask=n == 0)], ["doc_id", "row", "label", "n_ngrams", "mean"])
+                yield pa.RecordBatch.from_arrays([*part.select([0, 1, 2, 4]).columns, pa.array(n), pa.array(mean, mask=n == 0)], ["doc_id", *KEY, "label", "n_ngrams", "mean"])
 
-    scored = rows.select("doc_id", "row", "text", "label").mapInArrow(run, "doc_id long, row long, label int, n_ngrams long, mean double")
+    scored = rows.select("doc_id", *KEY, "text", "label").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, row long, row2 long, label int, n_ngrams long, mean double")
     uniform = (F.pmod(F.xxhash64("row", F.lit(17)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     importance = F.col("mean") * LENGTH
-    scored = written(scored.select("doc_id", "row", "label", "n_ngrams", importance.alias("importance"), (importance - F.log(-F.log(uniform))).alias("gumbel_key")), "importance")
-    known = scored.where("label IS NOT NULL AND importance IS NOT NULL").select("label", "importance").toPandas()  # bounded by per_class
+    scored = written(scored.select("doc_id", *KEY, "label", "n_ngrams", importance.alias("importance"), (importance - F.log(-F.log(uniform))).alias("gumbel_key")), "importance")
+    known = scored.where("label IS NOT NULL AND importance IS NOT NULL").groupBy("label", "importance").count()
+    known = known.orderBy(F.xxhash64("label", "importance"), "importance", "label").limit(4 * per_class).toPandas()  # bounded also where ids repeat
     parts = [known.loc[known["label"] == x, "importance"].to_numpy() for x in (1, 0)]
     usable = scored.where("importance IS NOT NULL")
     least = float("-inf")
@@ -182,4 +186,4 @@ def resample(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         k = usable.where(F.col("importance") >= cut_between(*parts)).count()
         least = kth_largest(usable.select("gumbel_key"), "gumbel_key", k) if k else float("inf")
     kept = F.coalesce(F.col("gumbel_key") >= F.lit(least), F.lit(False))
-    return scored.select("doc_id", "row", "n_ngrams", "importance", "gumbel_key", kept.alias("kept"))
+    return scored.select("doc_id", *KEY, "n_ngrams", "importance", "gumbel_key", kept.alias("kept"))

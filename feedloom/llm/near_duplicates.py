@@ -12,11 +12,15 @@
    a component need no comparison, so a large group of copies costs its members and not its pairs, and no link
    between components is lost.
 
-No group is ever in one task as a whole: star groups and buckets are cut into blocks of ``BLOCK`` members. Links,
-labels and fingerprints stay in tables in the shared folder.
+No group is ever in one task as a whole: star groups and buckets are cut into blocks of about ``BLOCK`` members and
+``SHINGLES`` shingles. Links, labels and fingerprints stay in tables in the shared folder, which are deleted as soon as
+nothing reads them any more; a class is named by the number of its first row, so that keys are longs.
 
 Edge cases: a null, empty or blank text has no shingles, is linked with nothing and is kept; a text with fewer words
-than a shingle has its whole sequence as the one shingle; equal rows share a class; a null id is larger than any other.
+than a shingle has its whole sequence as the one shingle; equal rows share a class; a null id is larger than any other;
+repeated ids are told apart by row; an empty table gives an empty table; other columns, whatever their names, are not
+read by near_duplicates and kept as they are by deduplicated. A very long text is hashed whole; it is one member of a
+block.
 """
 
 from __future__ import annotations
@@ -27,21 +31,22 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.arrow import slices
-from feedloom.shared import ship, written
+from feedloom.llm.arrow import KEY, release, row_key, slices
+from feedloom.shared import discard, ship, written
 
 BANDS, ROWS = 30, 5
 #: Probability with which a pair at the threshold may be dropped by its signature.
 MISS = 1e-6
 #: Signature values that are compared between two looks at the posterior.
 BATCH = 30
-BLOCK = 512
+#: Members, and shingles of members, of a block.
+BLOCK, SHINGLES = 512, 1_000_000
 #: Buckets up to this size have their smallest class as leader, so that they agree on it; larger ones have one of
-#: ``LEADERS`` that are chosen by hash, which joins more members at once.
-SMALL, LEADERS = 16, 3
+#: three, which joins more members at once.
+SMALL, TURN = 16, 0x5DEECE66D1B2C3A5
 _MASK = np.uint64(2**64 - 1)
 _ODD = np.random.default_rng(20_240_229).integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -87,48 +92,51 @@ def least_matches(threshold: float, seen: int, miss: float = MISS) -> int:
 
 
 def signed(df: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
-    """row, doc_id, n_shingles, class (fingerprint, null for an empty set) and signature of each document."""
+    """uid, row, row2, doc_id, n_shingles, h1 and h2 (fingerprint, null for an empty set) and signature of each document."""
     ship(df.sparkSession)
 
     def run(batches):
+        release()
         for batch in batches:
-            texts = batch.column(2).to_pylist()
+            texts = batch.column(3).to_pylist()
             for part in slices(texts):
                 sets = [shingle_set(x, size) for x in texts[part]]
                 some = batch.slice(part.start, part.stop - part.start)
+                marks = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), np.int64).reshape(-1, 2)
+                empty = np.array([not len(x) for x in sets], bool)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        some.column(0),
-                        some.column(1),
+                        *some.select([0, 1, 2]).columns,
                         pa.array([len(x) for x in sets], pa.int64()),
-                        pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary()),
+                        pa.array(marks[:, 0], mask=empty),
+                        pa.array(marks[:, 1], mask=empty),
                         pa.array([signature(x).tobytes() if len(x) else None for x in sets], pa.binary()),
                     ],
-                    ["row", "doc_id", "n_shingles", "class", "signature"],
+                    [*KEY, "doc_id", "n_shingles", "h1", "h2", "signature"],
                 )
 
-    docs = _keyed(df, doc_id, text)
-    return docs.mapInArrow(run, "row long, doc_id long, n_shingles long, class binary, signature binary")
+    found = _keyed(df, doc_id, text).mapInArrow(run, "row long, row2 long, doc_id long, n_shingles long, h1 long, h2 long, signature binary")
+    return found.select(F.monotonically_increasing_id().alias("uid"), "*")
 
 
 def _keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return df.select(F.xxhash64(F.col(doc_id), F.col(text)).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return df.select(*row_key(F.col(doc_id), F.col(text)), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
 
 def bands(classes: DataFrame) -> DataFrame:
-    """bucket, class and band: one row for each band of each class."""
+    """bucket, class and n_shingles: one row for each band of each class."""
 
     def run(batches):
         for batch in batches:
             n = batch.num_rows
-            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(n, BANDS, ROWS).astype(np.uint64)
+            values = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(n, BANDS, ROWS).astype(np.uint64)
             key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (n, BANDS)).copy()
             for i in range(ROWS):
                 key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + values[:, :, i])
-            owner = batch.column(0).take(pa.array(np.repeat(np.arange(n), BANDS)))
-            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), owner, pa.array(np.tile(np.arange(BANDS, dtype=np.int32), n))], ["bucket", "class", "band"])
+            owner = pa.array(np.repeat(np.arange(n), BANDS))
+            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), batch.column(0).take(owner), batch.column(1).take(owner)], ["bucket", "class", "n_shingles"])
 
-    return classes.select("class", "signature").mapInArrow(run, "bucket long, class binary, band int")
+    return classes.select("class", "n_shingles", "signature").mapInArrow(run, "bucket long, class long, n_shingles long")
 
 
 def _in_groups(df: DataFrame, run: Callable[[pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
@@ -137,6 +145,7 @@ def _in_groups(df: DataFrame, run: Callable[[pa.Table], pa.RecordBatch | None],
     place = names.index("g")
 
     def each(batches) -> Iterator[pa.RecordBatch]:
+        release()
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
@@ -155,6 +164,11 @@ def _in_groups(df: DataFrame, run: Callable[[pa.Table], pa.RecordBatch | None],
     return df.repartition("g").sortWithinPartitions("g").mapInArrow(each, schema)
 
 
+def _blocks(members: Column, shingles: Column) -> Column:
+    """Blocks that so many members with so many shingles are cut into."""
+    return F.greatest(F.ceil(members / BLOCK), F.ceil(shingles / SHINGLES)).cast("int")
+
+
 def survivors(groups: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """Rows of groups (g, class, first, other, part) that have a partner left after the signatures were compared.
 
@@ -182,19 +196,21 @@ def survivors(groups: DataFrame, classes: DataFrame, threshold: float) -> DataFr
                 stays[left] = True
         if not stays.any():
             return None
-        return table.select(["g", "class", "first", "other", "part", "row"]).filter(pa.array(stays)).combine_chunks().to_batches()[0]
+        return table.select(["g", "class", "first", "other", "part", *KEY]).filter(pa.array(stays)).combine_chunks().to_batches()[0]
 
-    rows = groups.join(classes.select("class", "signature", "n_shingles", "row"), "class")
-    return _in_groups(rows.select("g", "class", "first", "other", "part", "row", "signature", "n_shingles"), run, "g long, class binary, first boolean, other boolean, part binary, row long")
+    rows = groups.join(classes.select("class", "signature", "n_shingles", *KEY), "class")
+    return _in_groups(rows.select("g", "class", "first", "other", "part", *KEY, "signature", "n_shingles"), run, "g long, class long, first boolean, other boolean, part long, row long, row2 long")
 
 
 def confirmed(groups: DataFrame, docs: DataFrame, numerator: int, denominator: int, size: int) -> DataFrame:
     """a, b: links between classes of different parts, checked on full sets; one link for each pair of parts of a group."""
 
     def run(table: pa.Table) -> pa.RecordBatch | None:
-        sets = [shingle_set(x, size) for x in table.column("text").to_pylist()]
         names, parts = table.column("class").to_pylist(), table.column("part").to_pylist()
-        first, other = (table.column(c).to_numpy(zero_copy_only=False) for c in ("first", "other"))
+        once = np.unique(names, return_index=True)[1].tolist() if len(set(names)) < len(names) else list(range(len(names)))  # equal rows of the documents
+        first, other = (table.column(c).to_numpy(zero_copy_only=False)[once] for c in ("first", "other"))
+        sets = [shingle_set(table.column("text")[i].as_py(), size) for i in once]
+        names, parts = [names[i] for i in once], [parts[i] for i in once]
         lens = np.array([len(x) for x in sets])
         values, codes = np.unique(np.concatenate(sets), return_inverse=True)
         ends = np.cumsum(lens)
@@ -215,10 +231,10 @@ def confirmed(groups: DataFrame, docs: DataFrame, numerator: int, denominator: i
                     links.append((names[i], names[j]))
         if not links:
             return None
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.binary()), pa.array([y for _, y in links], pa.binary())], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
-    rows = groups.join(docs.select("row", "text"), "row")
-    return _in_groups(rows.select("g", "class", "first", "other", "part", "text"), run, "a binary, b binary")
+    rows = groups.join(docs.select(*KEY, "text"), KEY)
+    return _in_groups(rows.select("g", "class", "first", "other", "part", "text"), run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -230,51 +246,58 @@ def components(links: DataFrame) -> DataFrame:
         near = edges.join(now.withColumnRenamed("class", "b"), "b").groupBy("a").agg(F.min("part").alias("near"))
         step = now.join(near.withColumnRenamed("a", "class"), "class").select("class", "part", F.least("part", "near").alias("new"))
         jump = step.select(F.col("class").alias("new"), F.col("new").alias("far"))
-        after = written(step.join(jump, "new").select("class", "part", F.least("new", "far").alias("new")), "parts")
-        if after.where(F.col("new") != F.col("part")).isEmpty():
-            return after.select("class", F.col("new").alias("part"))
-        now = after.select("class", F.col("new").alias("part"))
+        after = written(step.join(jump, "new").select("class", F.least("new", "far").alias("part"), (F.least("new", "far") != F.col("part")).alias("moved")), "parts")
+        discard(now)
+        now = after
+        if after.where("moved").isEmpty():
+            discard(edges)
+            return after
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``df``.
+def grouped(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:
+    """row, row2, doc_id, n_shingles, part (a number for each group; null for an empty set) and component_id of every row.
 
     Texts are linked when ``denominator * |intersection| >= numerator * |union|`` of their ``size``-word shingle sets.
     """
     threshold = numerator / denominator
     all_docs = written(signed(df, doc_id, text, size), "signed")
     docs = _keyed(df, doc_id, text)
-    owners = all_docs.where("class IS NOT NULL").groupBy("class")
-    classes = written(owners.agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "classes")
+    owners = written(all_docs.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min("uid").alias("class"), F.min("doc_id").alias("least")), "owners")
+    classes = written(all_docs.join(owners.select(F.col("class").alias("uid")), "uid").select(F.col("uid").alias("class"), *KEY, "n_shingles", "signature"), "classes")
 
     placed = written(bands(classes), "bands")
-    sized = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("least"), *[F.min(F.struct(F.xxhash64("class", F.lit(i)), F.col("class")))["class"].alias(f"l{i}") for i in range(LEADERS)], F.first("band").alias("band")).where("n > 1")
-    leader = F.when(F.col("n") <= SMALL, F.col("least"))
-    for i in range(LEADERS):
-        leader = leader.when(F.col("band") % LEADERS == i, F.col(f"l{i}"))
-    buckets = sized.select("bucket", "n", leader.alias("leader"))
-    members = written(placed.select("bucket", "class").join(buckets, "bucket"), "members")
+    turned = F.min(F.col("class").bitwiseXOR(F.lit(TURN))).alias("turned")
+    sized = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("least"), F.max("class").alias("most"), turned).where("n > 1")
+    turn = F.pmod("bucket", F.lit(3))
+    leader = F.when((F.col("n") <= SMALL) | (turn == 0), F.col("least")).when(turn == 1, F.col("most")).otherwise(F.col("turned").bitwiseXOR(F.lit(TURN)))
+    members = written(placed.join(sized.select("bucket", "n", leader.alias("leader")), "bucket"), "members")
+    discard(placed)
 
     # Stars: a leader against its members, in blocks.
-    star = members.where("class != leader").select("leader", "class").distinct()
-    counted = star.groupBy("leader").agg(F.count("*").alias("n"))
-    star = written(star.join(counted, "leader").withColumn("block", F.pmod(F.xxhash64("class", F.lit(7)), F.ceil(F.col("n") / BLOCK))), "stars")
+    star = written(members.where("class != leader").select("leader", "class", "n_shingles").distinct(), "stars")
+    counted = star.groupBy("leader").agg(_blocks(F.count("*"), F.sum("n_shingles")).alias("blocks"))
+    cut = star.join(counted, "leader").withColumn("block", F.pmod(F.xxhash64("class", F.lit(7)), F.col("blocks")))
     g = F.xxhash64("leader", "block").alias("g")
     no, yes = F.lit(False), F.lit(True)
-    groups = star.select(g, "class", no.alias("first"), yes.alias("other"), F.col("class").alias("part")).union(
-        star.select(g, F.col("leader").alias("class"), yes.alias("first"), no.alias("other"), F.col("leader").alias("part")).distinct()
+    groups = cut.select(g, "class", no.alias("first"), yes.alias("other"), F.col("class").alias("part")).union(
+        cut.select(g, F.col("leader").alias("class"), yes.alias("first"), no.alias("other"), F.col("leader").alias("part")).distinct()
     )
-    links = written(confirmed(written(survivors(groups, classes, threshold), "survivors"), docs, numerator, denominator, size), "links")
+    left = written(survivors(groups, classes, threshold), "survivors")
+    links = written(confirmed(left, docs, numerator, denominator, size), "links")
+    discard(star, left)
 
     # The rest: members of a bucket that are in different components now, without the leaders, which were compared.
     parts = components(links)
-    inside = members.where("n > 2 AND class != leader").join(parts, "class", "left").select("bucket", "class", F.coalesce("part", "class").alias("part"))
-    tally = inside.groupBy("bucket", "part").agg(F.count("*").alias("n"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("mark"))
-    mixed = tally.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max(F.struct("n", "part"))["part"].alias("largest"), F.sum("mark").alias("mark"))
-    mixed = mixed.where("parts > 1").groupBy("mark", "n").agg(F.min("bucket").alias("bucket"), F.min_by("largest", "bucket").alias("largest"))  # buckets with the same members count once
-    rest = inside.join(mixed.select("bucket", "n", "largest"), "bucket").withColumn("minor", F.col("part") != F.col("largest"))
-    rest = rest.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    inside = members.where("n > 2 AND class != leader").join(parts, "class", "left").select("bucket", "class", "n_shingles", F.coalesce("part", "class").alias("part"))
+    marks = [F.bit_xor(F.xxhash64("class", F.lit(i))).alias(f"mark{i}") for i in (0, 1)]
+    tally = inside.groupBy("bucket", "part").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"), *marks)
+    marks = [F.bit_xor(f"mark{i}").alias(f"mark{i}") for i in (0, 1)]
+    mixed = tally.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("shingles").alias("shingles"), F.count("*").alias("parts"), F.max(F.struct("n", "part"))["part"].alias("largest"), *marks)
+    # Buckets with the same members count once.
+    mixed = mixed.where("parts > 1").groupBy("mark0", "mark1", "n").agg(F.min("bucket").alias("bucket"), F.min_by("largest", "bucket").alias("largest"), F.max("shingles").alias("shingles"))
+    rest = inside.join(mixed.select("bucket", "largest", _blocks(F.col("n"), F.col("shingles")).alias("blocks")), "bucket").withColumn("minor", F.col("part") != F.col("largest"))
     rest = written(rest.withColumn("own", F.pmod(F.xxhash64("class", F.lit(11)), F.col("blocks")).cast("int")), "rest")
+    discard(members)
     cells = F.sequence(F.lit(0), F.col("blocks") - 1)
     key = F.xxhash64("bucket", "x", "y").alias("g")
     groups = (
@@ -282,12 +305,37 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
         .union(rest.select("bucket", "class", "part", F.explode(cells).alias("x"), F.col("own").alias("y"), no.alias("first"), yes.alias("other")))
         .select(key, "class", "first", "other", "part")
     )
-    more = written(confirmed(written(survivors(groups, classes, threshold), "survivors"), docs, numerator, denominator, size), "links")
+    left = written(survivors(groups, classes, threshold), "survivors")
+    more = written(confirmed(left, docs, numerator, denominator, size), "links")
+    discard(rest, left, classes)
     if not more.isEmpty():
+        discard(parts)
         parts = components(links.union(more))
+    discard(links, more)
 
-    least = classes.select("class", "least").join(parts, "class", "left").withColumn("part", F.coalesce("part", "class"))
+    least = owners.join(parts.select("class", "part"), "class", "left").select("h1", "h2", "least", F.coalesce("part", "class").alias("part"))
     roots = least.groupBy("part").agg(F.min("least").alias("component_id"))
-    named = least.join(roots, "part").select("class", "component_id")
-    component = F.coalesce("component_id", "doc_id")
-    return all_docs.select("doc_id", "n_shingles", "class").join(named, "class", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, yes).alias("kept"))
+    named = least.join(roots, "part").select("h1", "h2", "part", "component_id")
+    result = all_docs.select(*KEY, "doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
+    result = written(result.select(*KEY, "doc_id", "n_shingles", "part", F.coalesce("component_id", "doc_id").alias("component_id")), "groups")
+    discard(all_docs, owners, parts)
+    return result
+
+
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept (doc_id is component_id) for every row of ``df``; see :func:`grouped`."""
+    found = grouped(df, doc_id, text, size, numerator, denominator)
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:
+    """``df`` with one row of each group: that of the smallest id; among rows of that id, one of the smallest row key."""
+    found = grouped(df, doc_id, text, size, numerator, denominator)
+    best = found.where("part IS NOT NULL").groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *KEY)).alias("best"))
+    best = best.select("best.row", "best.row2")
+    gone = found.where("part IS NOT NULL").select(*KEY).distinct().join(best, KEY, "left_anti")
+    again = written(found.where("part IS NOT NULL").groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1").select(*KEY).join(best, KEY), "again")
+    rows = df.select(F.struct(*[f"`{c}`" for c in df.columns]).alias("doc"), *row_key(F.col(doc_id), F.col(text))).join(gone, KEY, "left_anti")
+    if not again.isEmpty():  # rows that are equal in id and text
+        rows = rows.join(again, KEY, "left_anti").select(*KEY, "doc").union(rows.join(again, KEY, "left_semi").select(*KEY, "doc").dropDuplicates(KEY))
+    return rows.select("doc.*")

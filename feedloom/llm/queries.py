@@ -40,7 +40,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return importance.resample(documents, table(spark, sf_dir, "labels")).drop("row")
+    return importance.resample(documents, table(spark, sf_dir, "labels")).drop("row", "row2")
 
 
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ little-endian: ``DAC1``, u32 chunk bits, u32 levels, u64 tokens; then for each l
 (one byte each), the bitmap (lowest bit first) and the u32 counts before each 512 bits.
 
 Edge cases: a null or empty text is a document of the end id alone; documents with equal ids stay apart, in the
-order of their text; a null id comes first; an empty table gives an empty dataset.
+order of their text; a null id comes first; an empty table gives an empty dataset; other columns are not read, whatever
+their names. A very long text is encoded part by part; it lies in one shard as a whole. Texts of one id go to one task.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from feedloom.llm.arrow import PieceCache, slices
+from feedloom.llm.arrow import PieceCache, held, slices
 from feedloom.shared import shared_dir, ship, small
 
 CHUNK_BITS = 8
@@ -106,10 +107,6 @@ class Dac:
         return out
 
 
-#: Entries that the dictionary of solved pieces may hold.
-KEPT = 900_000
-
-
 def encoder(own: Tokenizer) -> PieceCache:
     """Ids of texts, solved piece by piece: the tokenizer's tokens never cross white space, so texts may be cut at spaces."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's threads would only contend
@@ -117,19 +114,12 @@ def encoder(own: Tokenizer) -> PieceCache:
     def solve(pieces: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in own.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    return PieceCache(solve, KEPT)
-
-
-_ENCODERS: dict[bytes, PieceCache] = {}
+    return PieceCache(solve)
 
 
 def _encoder(file: bytes) -> PieceCache:
     """The encoder of this Python worker; it outlives a task."""
-    key = hashlib.sha256(file).digest()
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = encoder(Tokenizer.from_buffer(file))
-    return _ENCODERS[key]
+    return held(("token-files", hashlib.sha256(file).digest()), lambda: encoder(Tokenizer.from_buffer(file)))
 
 
 def write(df: DataFrame, tokenizer_path: str, end_id: int, path: str, doc_id: str = "doc_id", text: str = "text", shard_tokens: int = SHARD_TOKENS) -> None:
@@ -210,13 +200,21 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
     return read.join(small(starts(spark, path)), ["part", "seq"]).select("doc_id", (F.col("shard_start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def tokens_at(spark: SparkSession, path: str, places: DataFrame, place: str = "place") -> DataFrame:
-    """place and token of the global token places in ``places``: each goes to its shard, which reads just those ids."""
+def tokens_at(spark: SparkSession, path: str, places: DataFrame, place: str = "place", most: int = 100_000) -> DataFrame:
+    """place and token of the global token places in ``places``: each goes to its shard, which reads just those ids.
+
+    Shards are found by the cells of ``SHARD_TOKENS`` places that they lie in (an equality join), and the places that are
+    asked of one shard are cut into lists of about ``most``.
+    """
     ship(spark)
-    size = spark.read.parquet(path).select("part", "seq", "n_tokens")
-    spans = starts(spark, path).join(size, ["part", "seq"])
-    asked = places.select(F.col(place).cast("long").alias("place")).join(small(spans), (F.col("place") >= F.col("shard_start")) & (F.col("place") < F.col("shard_start") + F.col("n_tokens")))
-    asked = asked.groupBy("part", "seq", "shard_start").agg(F.collect_list("place").alias("places"))
+    spans = starts(spark, path).join(spark.read.parquet(path).select("part", "seq", "n_tokens"), ["part", "seq"])
+    cells = F.sequence(F.floor(F.col("shard_start") / SHARD_TOKENS), F.floor((F.col("shard_start") + F.col("n_tokens") - 1) / SHARD_TOKENS))
+    spans = spans.where("n_tokens > 0").withColumn("cell", F.explode(cells))
+    asked = places.select(F.col(place).cast("long").alias("place")).withColumn("cell", F.floor(F.col("place") / SHARD_TOKENS))
+    asked = asked.join(small(spans), "cell").where((F.col("place") >= F.col("shard_start")) & (F.col("place") < F.col("shard_start") + F.col("n_tokens")))
+    counted = asked.groupBy("part", "seq").agg(F.ceil(F.count("*") / most).alias("lists"))
+    asked = asked.join(small(counted), ["part", "seq"]).withColumn("list", F.pmod(F.xxhash64("place"), F.col("lists")))
+    asked = asked.groupBy("part", "seq", "shard_start", "list").agg(F.collect_list("place").alias("places"))
 
     def run(batches):
         for batch in batches:

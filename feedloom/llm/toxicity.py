@@ -14,7 +14,9 @@ rows of each class, and the ``TERMS`` clearest terms. Every text is scored whole
 
 Edge cases: a null or empty text has no features, is scored like any other text without terms, and is not toxic; with
 no usable label of both classes nothing is learned and nothing is toxic; equal rows get equal scores; null ids are
-scored; a label without its document is ignored.
+scored; a label without its document is ignored; of several texts under one labelled id the smallest is learned from;
+an empty table gives an empty table; a very long text is scored whole, part by part; columns of the input with the name
+of a result's column give way to it.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.arrow import PieceCache, slices, with_columns
+from feedloom.llm.arrow import PieceCache, held, slices, with_columns, without
 from feedloom.llm.labelled import logistic, probability, sample
 from feedloom.shared import ship, written
 
@@ -125,27 +127,28 @@ def threshold(p: np.ndarray, y: np.ndarray, share: float) -> float:
     return float((q[best] + q[best + 1]) / 2) if best + 1 < len(q) else float(q[best])
 
 
-_MODELS: dict[bytes, tuple] = {}
-
-
-def classify(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = PER_CLASS) -> DataFrame:
-    """``df`` with p_abusive, p_insistent, p_toxic and is_toxic."""
+def classify(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = PER_CLASS, most_terms: int = TERMS) -> DataFrame:
+    """``df`` with p_abusive, p_insistent, p_toxic and is_toxic; the models see at most ``most_terms`` learned terms."""
     ship(df.sparkSession)
     chosen = sample(labels, label, per_class)
-    known = written(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id"), "labelled")
+    known = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")  # at most per_class ids a class
+    known = written(known.groupBy("doc_id", "label").agg(F.min("text").alias("text")), "labelled")
     share = labels.agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.0
-    terms = learned_terms(known.select("text", "label"))
+    terms = learned_terms(known.select("text", "label"), most_terms)
     models, least = [], 1.0
     if terms:
 
         def featured(batches):
             mine = Terms(terms)
             for batch in batches:
-                x, places = mine.features(batch.column(1).to_pylist())
-                hits = [np.flatnonzero(row).tolist() for row in x]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(hits, pa.list_(pa.int32())), pa.array(places)], ["doc_id", "label", "hits", "places"])
-
-        rows = known.select("doc_id", "text", "label").mapInArrow(featured, "doc_id long, label int, hits array<int>, places long")
+                texts, hits, counts = batch.column(1).to_pylist(), [], []
+                for some in slices(texts):
+                    x, places = mine.features(texts[some])
+                    hits += [np.flatnonzero(row).tolist() for row in x]
+                    counts += places.tolist()
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(hits, pa.list_(pa.int32())), pa.array(counts, pa.int64())], ["doc_id", "label", "hits", "places"])
+
+        rows = known.select("doc_id", "text", "label").mapInArrow(featured, f"doc_id {known.schema['doc_id'].dataType.simpleString()}, label int, hits array<int>, places long")
         rows = rows.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(FOLDS))).orderBy("doc_id").toPandas()  # bounded by per_class
         x = np.zeros((len(rows), len(terms)))
         for i, hits in enumerate(rows["hits"]):
@@ -155,15 +158,15 @@ def classify(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         models, out = fit_chain(x, y, rows["fold"].to_numpy(), CATEGORIES)
         least = threshold(out, toxic, min(max(share, 0.001), 0.999))
     model = df.sparkSession.sparkContext.broadcast(pickle.dumps((terms, models, least)))  # at most TERMS coefficients a model
+    df = without(df, *(f"p_{c}" for c in CATEGORIES), "is_toxic")
     names, place = [*df.columns], df.columns.index(text)
 
     def run(batches):
-        key = hashlib.sha256(model.value).digest()
-        if key not in _MODELS:
-            _MODELS.clear()
+        def make():
             learned = pickle.loads(model.value)
-            _MODELS[key] = (Terms(learned[0]), *learned[1:])
-        own, models, least = _MODELS[key]
+            return Terms(learned[0]), *learned[1:]
+
+        own, models, least = held(("toxicity", hashlib.sha256(model.value).digest()), make)
         for batch in batches:
             texts = batch.column(place).to_pylist()
             for some in slices(texts):
