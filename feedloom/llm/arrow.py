@@ -54,6 +54,11 @@ def row_key(*columns: Column) -> list[Column]:
     return [F.xxhash64(*columns).alias("row"), F.xxhash64(F.lit(20_240_229), *columns, F.lit(7)).alias("row2")]
 
 
+def kept_apart(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The key of each row, and the row as a struct ``doc``, so that no column's name clashes."""
+    return df.select(*row_key(F.col(doc_id), F.col(text)), F.struct(*[f"`{c}`" for c in df.columns]).alias("doc"))
+
+
 _HELD: dict[Hashable, object] = {}
 
 
@@ -100,3 +105,21 @@ class PieceCache:
         self._learn(cut)
         find = self.known.__getitem__
         return [b"".join(map(find, pieces)) for pieces in cut]
+
+
+#: Words of 64 bits of the filter of :func:`possible`; a broadcast of that many rows at most.
+FILTER_WORDS = 2**18
+
+
+def possible(df: DataFrame, keys: DataFrame, inside: bool = True) -> DataFrame:
+    """Rows of ``df`` whose ``row`` may be among ``keys`` (or, not ``inside``, those for which that is ruled out).
+
+    A bitmap of hash buckets, 64 a row, is broadcast: ``FILTER_WORDS`` rows at most, whatever the number of keys. It keeps
+    most texts out of the shuffle of the exact join that has to follow; with very many keys it lets more pass.
+    """
+    bucket = F.pmod("row", F.lit(64 * FILTER_WORDS))
+    word, bit = F.shiftright(bucket, 6), F.call_function("shiftleft", F.lit(1).cast("long"), (bucket % 64).cast("int"))
+    bits = keys.select(word.alias("filter_word"), bit.alias("bit")).groupBy("filter_word").agg(F.bit_or("bit").alias("filter_bits"))
+    found = df.select("*", word.alias("filter_word")).join(F.broadcast(bits), "filter_word", "inner" if inside else "left")
+    hit = F.coalesce(F.col("filter_bits"), F.lit(0)).bitwiseAND(bit) != 0
+    return found.where(hit if inside else ~hit).select(*df.columns)

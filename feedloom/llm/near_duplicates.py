@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.arrow import KEY, release, row_key, slices
+from feedloom.llm.arrow import KEY, kept_apart, possible, release, row_key, slices
 from feedloom.shared import discard, ship, written
 
 BANDS, ROWS = 30, 5
@@ -233,7 +233,7 @@ def confirmed(groups: DataFrame, docs: DataFrame, numerator: int, denominator: i
             return None
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
-    rows = groups.join(docs.select(*KEY, "text"), KEY)
+    rows = groups.join(possible(docs.select(*KEY, "text"), groups), KEY)
     return _in_groups(rows.select("g", "class", "first", "other", "part", "text"), run, "a long, b long")
 
 
@@ -335,7 +335,10 @@ def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size
     best = best.select("best.row", "best.row2")
     gone = found.where("part IS NOT NULL").select(*KEY).distinct().join(best, KEY, "left_anti")
     again = written(found.where("part IS NOT NULL").groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1").select(*KEY).join(best, KEY), "again")
-    rows = df.select(F.struct(*[f"`{c}`" for c in df.columns]).alias("doc"), *row_key(F.col(doc_id), F.col(text))).join(gone, KEY, "left_anti")
+    gone = written(gone, "gone")
+    rows = kept_apart(df, doc_id, text)
+    rows = possible(rows, gone, inside=False).select(*KEY, "doc").union(possible(rows, gone).join(gone, KEY, "left_anti").select(*KEY, "doc"))
     if not again.isEmpty():  # rows that are equal in id and text
-        rows = rows.join(again, KEY, "left_anti").select(*KEY, "doc").union(rows.join(again, KEY, "left_semi").select(*KEY, "doc").dropDuplicates(KEY))
+        copies = possible(rows, again).join(again, KEY, "left_semi").select(*KEY, "doc").dropDuplicates(KEY)
+        rows = possible(rows, again, inside=False).union(possible(rows, again).join(again, KEY, "left_anti").select(*KEY, "doc")).union(copies)
     return rows.select("doc.*")

@@ -49,7 +49,7 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     embeddings = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return neighbours.nearest(embeddings, embeddings.where("vec_id % 100 = 0"))
+    return neighbours.nearest(embeddings, "vec_id % 100 = 0")
 
 
 def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
