@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Hashable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of text (or bytes) that are worked on together, so that a batch of very long texts stays small.
-CHARS_A_BATCH = 4_000_000
+#: Characters of text (or bytes), and texts, that are worked on together, so that a batch of very long texts stays small.
+CHARS_A_BATCH, ROWS_A_BATCH = 2_000_000, 4096
 #: Bytes, about, that a dictionary of solved pieces may hold before it starts anew, and what an entry costs beside its content.
-CACHE_BYTES, ENTRY_BYTES = 224_000_000, 170
+CACHE_BYTES, ENTRY_BYTES = 100_000_000, 200
 
 
 def slices(texts: list, most: int = CHARS_A_BATCH) -> Iterator[slice]:
-    """Parts of a batch with about ``most`` characters (or bytes) each."""
+    """Parts of a batch with about ``most`` characters (or bytes) each, and ``ROWS_A_BATCH`` texts at most."""
     start = size = 0
     for i, text in enumerate(texts):
         size += len(text or "")
-        if size >= most:
+        if size >= most or i + 1 - start >= ROWS_A_BATCH:
             yield slice(start, i + 1)
             start, size = i + 1, 0
     if start < len(texts):
@@ -65,14 +67,17 @@ _HELD: dict[Hashable, object] = {}
 def held(key: Hashable, make: Callable[[], object]) -> object:
     """What this Python worker keeps between tasks: the last thing asked for, and nothing of an earlier operator."""
     if key not in _HELD:
-        _HELD.clear()
+        release()
         _HELD[key] = make()
     return _HELD[key]
 
 
 def release() -> None:
     """Let go of what this Python worker keeps for an earlier operator."""
-    _HELD.clear()
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
 
 
 class PieceCache:

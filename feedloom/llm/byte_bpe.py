@@ -31,7 +31,7 @@ from feedloom.llm.arrow import CACHE_BYTES, CHARS_A_BATCH, ENTRY_BYTES, held, sl
 from feedloom.shared import ship
 
 #: Words, and bytes of words, in one recursive query; tokens in one query that decodes.
-WORDS_A_QUERY, BYTES_A_QUERY = 50_000, 500_000
+WORDS_A_QUERY, BYTES_A_QUERY = 20_000, 400_000
 TOKENS_A_QUERY = 1_000_000
 LONG = 64
 

@@ -30,6 +30,8 @@ from feedloom.llm.labelled import sample
 from feedloom.shared import ship, written
 
 PER_CLASS, LENGTH, PRIOR = 8000, 50.0, 0.5
+#: Characters whose n-grams are counted together.
+CHARS = 600_000
 WORD_BITS, SHAPE_BITS = 16, 12
 SIZE = 2 * (1 << WORD_BITS) + 2 * (1 << SHAPE_BITS) + 2
 _tokens = regex.compile(r"\w+|[^\w\s]+").findall
@@ -96,7 +98,7 @@ def models(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         good, raw = np.zeros(SIZE, np.int64), np.zeros(SIZE, np.int64)
         for batch in batches:
             texts, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for some in slices(texts):
+            for some in slices(texts, CHARS):
                 owner, bucket = ngrams(texts[some])
                 target = np.array([x == 1 for x in labels[some]], bool)
                 raw += np.bincount(bucket, minlength=SIZE)
@@ -166,7 +168,7 @@ def resample(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     def run(batches):
         for batch in batches:
             texts = batch.column(3).to_pylist()
-            for some in slices(texts):
+            for some in slices(texts, CHARS):
                 owner, bucket = ngrams(texts[some])
                 part = batch.slice(some.start, some.stop - some.start)
                 n = np.bincount(owner, minlength=part.num_rows)

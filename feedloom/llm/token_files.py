@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from feedloom.llm.arrow import PieceCache, held, slices
+from feedloom.llm.arrow import CACHE_BYTES, PieceCache, held, slices
 from feedloom.shared import shared_dir, ship, small
 
 CHUNK_BITS = 8
@@ -114,7 +114,7 @@ def encoder(own: Tokenizer) -> PieceCache:
     def solve(pieces: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in own.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    return PieceCache(solve)
+    return PieceCache(solve, 2 * CACHE_BYTES)
 
 
 def _encoder(file: bytes) -> PieceCache:
