@@ -135,38 +135,39 @@ def mention_sentences(sentences: DataFrame, assets: DataFrame, doc: str = "doc_i
 
 
 def aspect_votes(mentions: DataFrame, assets: DataFrame, directions: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """doc, ticker, direction, magnitude, confidence: the votes of an asset's mentions.
+    """doc, ticker, direction, magnitude, confidence, from_article: the votes of an asset's mentions.
 
-    A primary subject with little confidence, and an asset without mentions, take the article's direction.
+    A primary subject with little confidence, and an asset without mentions, take the article's direction (from_article).
     """
     vote = F.col("vote")
     sums = mentions.groupBy(doc, "ticker").agg(F.count("*").alias("n"), F.count_if(vote == 1).alias("pos"), F.count_if(vote == -1).alias("neg"))
     rows = assets.select(doc, "ticker", "is_primary").join(sums, [doc, "ticker"], "left").join(directions, doc, "left")
     net, n = F.col("pos") - F.col("neg"), F.col("n")
-    agree = F.when(net > 0, F.col("pos")).when(net < 0, F.col("neg")).otherwise(n - F.col("pos") - F.col("neg"))
+    agree = F.greatest("pos", "neg")
     label, magnitude = S.vote_to_sentiment(net, n, agree)
     confidence = agree / n * F.least(F.lit(1.0), agree / 4) * (0.7 + 0.3 * magnitude)
     weak = n.isNotNull() & F.col("is_primary") & (confidence < PRIMARY_FLOOR)
     none = n.isNull()
     own = F.coalesce("article_direction", F.lit("neutral"))
-    return rows.select(doc, "ticker", F.when(none | weak, own).otherwise(label).alias("direction"), F.when(none | weak, 0.4).otherwise(magnitude).alias("magnitude"), F.when(none, 0.3).when(weak, F.greatest(confidence, F.lit(0.3))).otherwise(confidence).alias("confidence"))
+    return rows.select(doc, "ticker", F.when(none | weak, own).otherwise(label).alias("direction"), F.when(none | weak, 0.4).otherwise(magnitude).alias("magnitude"), F.when(none, 0.3).when(weak, F.greatest(confidence, F.lit(0.3))).otherwise(confidence).alias("confidence"), (none | F.coalesce(weak, F.lit(False))).alias("from_article"))
 
 
 def horizon_outlooks(mentions: DataFrame, votes: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """doc, ticker, short, medium, long: outlooks by the time cues of the mentions; the direction thrice without near or far cues."""
+    """doc, ticker, short, medium, long: outlooks by the time cues of the mentions; the direction thrice without near or far
+    cues, and where the direction is the article's."""
     rows = mentions.withColumn("bucket", S.horizon_bucket(F.col("text")))
     aggs = []
     for b in ("short", "medium", "long"):
         here = F.col("bucket") == b
         aggs += [F.count_if(here).alias(f"{b}_n"), F.count_if(here & (F.col("vote") == 1)).alias(f"{b}_p"), F.count_if(here & (F.col("vote") == -1)).alias(f"{b}_m")]
-    sums = votes.select(doc, "ticker", "direction").join(rows.groupBy(doc, "ticker").agg(*aggs), [doc, "ticker"], "left")
+    sums = votes.select(doc, "ticker", "direction", "from_article").join(rows.groupBy(doc, "ticker").agg(*aggs), [doc, "ticker"], "left")
 
     def view(b):
         p, m, n = F.col(f"{b}_p"), F.col(f"{b}_m"), F.col(f"{b}_n")
-        agree = F.when(p > m, p).when(m > p, m).otherwise(n - p - m)
+        agree = F.greatest(p, m)
         return F.when(n > 0, S.vote_to_sentiment(p - m, n, agree)[0])
 
-    plain = F.coalesce(F.col("short_n") + F.col("long_n"), F.lit(0)) == 0
+    plain = F.col("from_article") | (F.coalesce(F.col("short_n") + F.col("long_n"), F.lit(0)) == 0)
     base = F.coalesce(view("medium"), F.col("direction"))
     return sums.select(doc, "ticker", *[F.when(plain, F.col("direction")).otherwise(F.coalesce(view(b), S.decay_one_step(base))).alias(b) for b in ("short", "medium", "long")])
 

@@ -27,6 +27,8 @@ ECONOMIES = (
     r"federal reserve|bank of england|bank of japan|bundesbank|renminbi|pound sterling)\b"
 )
 ABBREVIATIONS = r"\b(U\.?S\.?A?|EU|UK|IMF|ECB|Fed|BOJ|PBOC|OPEC|Treasury)\b|\b(dollar|euro|yen|yuan|ruble|rupee)s?\b"
+#: First tokens of keywords up to which they are looked for by an expression instead of a join of all tokens.
+FIRST_TOKENS = 2000
 #: Phases of a match in order of strength, with relevance, bonus in the title, and confidence.
 KINDS = {"cashtag": (3.0, 3.0, 1.0), "case_sensitive": (2.0, 2.0, 0.95), "identifier": (1.0, 2.0, 0.9), "alias": (0.5, 0.0, 0.7)}
 #: How a dependency's relationship acts.
@@ -68,6 +70,9 @@ def gazetteer_hits(articles: DataFrame, gazetteer: DataFrame, doc: str = "articl
     both = F.concat(text_of(F.col("title")), F.lit("\n"), text_of(F.col("body")))
     docs = articles.select(doc, text_of(F.col("title")).alias("title"), both.alias("text"))
     tokens = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))
+    firsts = [row.token for row in keys.select("token").distinct().limit(FIRST_TOKENS + 1).collect()]
+    if len(firsts) <= FIRST_TOKENS:  # few enough for the expression: only tokens that begin a keyword become rows with the text
+        tokens = F.array_intersect(tokens, F.array(*map(F.lit, firsts)).cast("array<string>"))
     near = docs.withColumn("token", F.explode(tokens)).join(small(keys), "token")
     own = F.when(F.col("kind") == "case_sensitive", F.col("text")).otherwise(F.lower("text"))
     head = F.when(F.col("kind") == "case_sensitive", F.col("title")).otherwise(F.lower("title"))
@@ -103,6 +108,20 @@ def asset_matches(hits: DataFrame, flags: DataFrame, doc: str = "article_id") ->
     return found.where(F.col("strong") | (F.col("context") & F.col("corroborates"))).select(doc, "asset_id", "relevance", F.col("first.kind").alias("method"), confidence.alias("confidence"), "in_title", "strong", F.transform("evidence", lambda e: e["keyword"]).alias("evidence"))
 
 
+def title_subjects(matches: DataFrame, articles: DataFrame, assets: DataFrame, common_words: DataFrame, doc: str = "article_id") -> DataFrame:
+    """``matches`` with in_title also where the asset's name, or its first word of four letters or more that isn't common,
+    stands in the title."""
+    name = F.lower(F.trim(F.coalesce("name", F.lit(""))))
+    lead = F.split(name, r"\s+")[0]
+    named = assets.select("asset_id", name.alias("_name"), F.when(F.length(lead) >= 4, lead).alias("_lead"))
+    named = named.join(small(common_words.select(F.col("word").alias("_lead"), F.lit(True).alias("_common"))), "_lead", "left")
+    word = lambda c: F.concat(F.lit(r"\b"), F.regexp_replace(c, r"([\\^$.|?*+()\[\]{}])", r"\\$1"), F.lit(r"\b"))
+    named = named.select("asset_id", F.when(F.col("_name") != "", word(F.col("_name"))).alias("_name"), F.when(F.col("_common").isNull(), word(F.col("_lead"))).alias("_lead"))
+    rows = matches.join(small(named), "asset_id", "left").join(articles.select(doc, F.lower(text_of(F.col("title"))).alias("_title")), doc)
+    found = [F.coalesce(F.regexp_count("_title", F.col(c)) > 0, F.lit(False)) for c in ("_name", "_lead")]
+    return rows.withColumn("in_title", F.col("in_title") | found[0] | found[1]).select(*matches.columns)
+
+
 def primary_subjects(matches: DataFrame, assets: DataFrame, doc: str = "article_id") -> DataFrame:
     """``matches`` (doc, asset_id, relevance, in_title) with is_primary.
 

@@ -11,13 +11,15 @@ from feedloom.operators import triage as G
 from feedloom.plans.inputs import VIEWS, Plans
 
 P = Plans()
+#: Spans anywhere in a text; two of the four of a document may overlap.
 VIEWS["candidates"] = """
-SELECT doc_id, k AS pos, lang, (doc_id * (k + 3)) % 40 AS start, (doc_id * (k + 3)) % 40 + 3 + (doc_id + k) % 9 AS "end", substr(coalesce(text, ''), CAST((doc_id * (k + 3)) % 40 + 1 AS INT), CAST(3 + (doc_id + k) % 9 AS INT)) AS text, concat('m', k % 2) AS model, 'ORG' AS label, (doc_id * 13 + k * 17) % 100 / 100 AS score
-FROM {documents} CROSS JOIN (VALUES (0), (1), (2), (3)) AS t(k)"""
+SELECT doc_id, k AS pos, lang, start, start + 3 + (doc_id + k) % 9 AS "end", substr(body, CAST(start + 1 AS INT), CAST(3 + (doc_id + k) % 9 AS INT)) AS text, concat('m', k % 2) AS model, 'ORG' AS label, (doc_id * 13 + k * 17) % 100 / 100 AS score
+FROM (SELECT doc_id, lang, k, coalesce(text, '') AS body, (doc_id * 37 + CAST(floor(k / 2) AS BIGINT) * 101 + k % 2 * 4) % greatest(length(coalesce(text, '')), 1) AS start FROM {documents} CROSS JOIN (VALUES (0), (1), (2), (3)) AS t(k)) AS x"""
 VIEWS["stoplist"] = "SELECT * FROM (VALUES ('en', 'the'), ('en', 'and'), ('en', 'today'), ('fr', 'les'), ('de', 'der')) AS t(lang, word)"
+#: The sentences of whole texts.
 VIEWS["mentions_in"] = """
-SELECT doc_id, k AS sent_pos, concat(substr(coalesce(text, ''), CAST(1 + k * 20 AS INT), 20), CASE (doc_id + k) % 6 WHEN 0 THEN ' ABC fell today' WHEN 1 THEN ' the company plans next year' WHEN 2 THEN ' Globex and ABC guidance' WHEN 3 THEN ' shares of Acme' ELSE '' END) AS text, (doc_id * 7 + k * 5) % 3 - 1 AS vote
-FROM {documents} CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8)) AS t(k)"""
+SELECT doc_id, k AS sent_pos, concat(sentence, CASE (doc_id + k) % 6 WHEN 0 THEN ' ABC fell today' WHEN 1 THEN ' the company plans next year' WHEN 2 THEN ' Globex and ABC guidance' WHEN 3 THEN ' shares of Acme' ELSE '' END) AS text, (doc_id * 7 + k * 5) % 3 - 1 AS vote
+FROM {sentences_of_documents}"""
 VIEWS["triage_items"] = """
 SELECT doc_id AS article_id, CAST(floor(doc_id / 12) AS BIGINT) AS batch_id, doc_id % 12 AS pos, CASE doc_id % 5 WHEN 0 THEN 'relevant' WHEN 1 THEN 'irrelevant' WHEN 2 THEN 'borderline' WHEN 3 THEN 'borderline' ELSE 'irrelevant' END AS claim, doc_id % 17 <> 3 AS well_formed,
  CASE WHEN doc_id % 4 = 0 THEN 'valuable' WHEN doc_id % 4 = 1 THEN 'not_valuable' END AS flag, doc_id % 3 = 0 AS analysed, doc_id % 8 < 5 AS valuable, doc_id % 19 <> 0 AS proof_ok, CASE WHEN doc_id % 13 = 0 THEN 'pos' WHEN doc_id % 13 = 1 THEN 'neg' END AS canary, doc_id % 26 = 0 AS canary_sure,
@@ -29,7 +31,7 @@ def _cands(df):
 
 
 P.add("f02_entity_blocklist", lambda c, s: E.entity_blocklist(_cands(c), s).select("doc_id", "pos", "text"), r"SELECT doc_id, pos, text FROM candidates c WHERE score >= 0.3 AND length(trim(text)) >= 2 AND regexp_matches(text, '\p{L}') AND NOT EXISTS (SELECT 1 FROM stoplist s WHERE s.word = lower(trim(c.text)) AND s.lang IN ('en', c.lang))", "candidates", "stoplist")
-P.add("f03_salience_filter", lambda c, d: E.salience_filter(_cands(c).select("doc_id", "pos", "start", "end"), d.where("doc_id % 3 <> 0").select("doc_id", F.lit(0).alias("start"), F.lit(25).alias("end"))), 'SELECT doc_id, pos, start, "end" FROM candidates WHERE doc_id % 3 = 0 OR (start >= 0 AND "end" <= 25)', "candidates", "documents")
+P.add("f03_salience_filter", lambda c, d: E.salience_filter(_cands(c).select("doc_id", "pos", "start", "end"), d.where("doc_id % 3 <> 0").select("doc_id", F.lit(0).alias("start"), F.floor(F.length(F.coalesce("text", F.lit(""))) / 2).alias("end"))), 'SELECT c.doc_id, pos, start, "end" FROM candidates c JOIN documents d ON d.doc_id = c.doc_id WHERE c.doc_id % 3 = 0 OR (start >= 0 AND "end" <= floor(length(coalesce(d.text, \'\')) / 2))', "candidates", "documents")
 P.add("w01_ground_entities", lambda c: E.ground_entities(_cands(c)).select("doc_id", "start", "end", "text", "models"), """WITH o AS (SELECT *, CASE WHEN start >= coalesce(max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" DESC, text, model ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) THEN 1 ELSE 0 END AS new FROM candidates),
 i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY start, "end" DESC, text, model ROWS UNBOUNDED PRECEDING) AS island FROM o), g AS (SELECT doc_id, island, count(DISTINCT model) AS models, max(score) AS top FROM i GROUP BY ALL)
 SELECT doc_id, start, "end", text, models FROM i JOIN g USING (doc_id, island) WHERE top >= CASE WHEN models >= 2 THEN 0.4 ELSE 0.6 END QUALIFY row_number() OVER (PARTITION BY doc_id, island ORDER BY score DESC, "end" - start DESC, text DESC, start DESC) = 1""", "candidates")
@@ -69,9 +71,9 @@ def _lab(net: str, n: str, agree: str) -> str:
 
 
 _VOTES = f"""dir AS (SELECT doc_id, CASE WHEN sum(vote) > 0 THEN 'bullish' WHEN sum(vote) < 0 THEN 'bearish' ELSE 'neutral' END AS ad FROM mentions_in GROUP BY doc_id), su AS (SELECT doc_id, ticker, count(*) AS n, count(*) FILTER (vote = 1) AS p, count(*) FILTER (vote = -1) AS m FROM men GROUP BY ALL),
-ag AS (SELECT a.doc_id, a.ticker, is_primary, n, p - m AS net, CASE WHEN p > m THEN p WHEN m > p THEN m ELSE n - p - m END AS agree, ad FROM assets_in a LEFT JOIN su USING (doc_id, ticker) LEFT JOIN dir ON dir.doc_id = a.doc_id),
+ag AS (SELECT a.doc_id, a.ticker, is_primary, n, p - m AS net, greatest(p, m) AS agree, ad FROM assets_in a LEFT JOIN su USING (doc_id, ticker) LEFT JOIN dir ON dir.doc_id = a.doc_id),
 cf AS (SELECT *, {_lab('net', 'n', 'agree')} AS label, CASE WHEN net = 0 THEN 0.0 ELSE abs(net) / n END AS mag, agree / n * least(1.0, agree / 4) * (0.7 + 0.3 * CASE WHEN net = 0 THEN 0.0 ELSE abs(net) / n END) AS conf FROM ag),
-votes AS (SELECT doc_id, ticker, CASE WHEN n IS NULL OR (is_primary AND conf < 0.15) THEN ad ELSE label END AS direction, CASE WHEN n IS NULL OR (is_primary AND conf < 0.15) THEN 0.4 ELSE mag END::DOUBLE AS magnitude, CASE WHEN n IS NULL THEN 0.3 WHEN is_primary AND conf < 0.15 THEN greatest(conf, 0.3) ELSE conf END::DOUBLE AS confidence FROM cf)"""
+votes AS (SELECT doc_id, ticker, CASE WHEN n IS NULL OR (is_primary AND conf < 0.15) THEN ad ELSE label END AS direction, CASE WHEN n IS NULL OR (is_primary AND conf < 0.15) THEN 0.4 ELSE mag END::DOUBLE AS magnitude, CASE WHEN n IS NULL THEN 0.3 WHEN is_primary AND conf < 0.15 THEN greatest(conf, 0.3) ELSE conf END::DOUBLE AS confidence, n IS NULL OR (is_primary AND conf < 0.15) AS from_article FROM cf)"""
 _votes = lambda m, d: E.aspect_votes(_mentions(m, d), _assets(d), E.article_direction(m))
 P.add("a03_aspect_votes", _votes, f"WITH {_MEN}, {_VOTES} SELECT * FROM votes", "mentions_in", "documents")
 
@@ -82,10 +84,10 @@ def _cue(cues) -> str:
 
 _SC = "[" + ", ".join(f"'{x}'" for x in S.SENTIMENT) + "]"
 _HOR = f"""bk AS (SELECT *, {_cue(S.SHORT_CUES)} AS a, {_cue(S.LONG_CUES)} AS l, {_cue(S.MEDIUM_CUES)} AS d FROM men), bu AS (SELECT doc_id, ticker, vote, CASE WHEN greatest(a, l, d) = 0 THEN 'medium' WHEN l = greatest(a, l, d) THEN 'long' WHEN a = greatest(a, l, d) THEN 'short' ELSE 'medium' END AS b FROM bk),
-hs AS (SELECT doc_id, ticker, b, count(*) AS n, count(*) FILTER (vote = 1) AS p, count(*) FILTER (vote = -1) AS m FROM bu GROUP BY ALL), hv AS (SELECT doc_id, ticker, b, {_lab('(p - m)', 'n', '(CASE WHEN p > m THEN p WHEN m > p THEN m ELSE n - p - m END)')} AS v FROM hs),
-hp AS (SELECT v.doc_id, v.ticker, direction, max(h.v) FILTER (b = 'short') AS s, max(h.v) FILTER (b = 'medium') AS m, max(h.v) FILTER (b = 'long') AS l FROM votes v LEFT JOIN hv h ON h.doc_id = v.doc_id AND h.ticker = v.ticker GROUP BY ALL),
+hs AS (SELECT doc_id, ticker, b, count(*) AS n, count(*) FILTER (vote = 1) AS p, count(*) FILTER (vote = -1) AS m FROM bu GROUP BY ALL), hv AS (SELECT doc_id, ticker, b, {_lab('(p - m)', 'n', 'greatest(p, m)')} AS v FROM hs),
+hp AS (SELECT v.doc_id, v.ticker, direction, from_article, max(h.v) FILTER (b = 'short') AS s, max(h.v) FILTER (b = 'medium') AS m, max(h.v) FILTER (b = 'long') AS l FROM votes v LEFT JOIN hv h ON h.doc_id = v.doc_id AND h.ticker = v.ticker GROUP BY ALL),
 hd AS (SELECT *, list_position({_SC}, coalesce(m, direction)) - 1 AS spot FROM hp), he AS (SELECT *, ({_SC})[(spot + sign(3 - spot) + 1)::INT] AS decayed FROM hd)"""
-P.add("a04_horizon_outlooks", lambda m, d: E.horizon_outlooks(_mentions(m, d), _votes(m, d)), f"WITH {_MEN}, {_VOTES}, {_HOR} SELECT doc_id, ticker, CASE WHEN s IS NULL AND l IS NULL THEN direction ELSE coalesce(s, decayed) END AS short, CASE WHEN s IS NULL AND l IS NULL THEN direction ELSE coalesce(m, decayed) END AS medium, CASE WHEN s IS NULL AND l IS NULL THEN direction ELSE coalesce(l, decayed) END AS long FROM he", "mentions_in", "documents")
+P.add("a04_horizon_outlooks", lambda m, d: E.horizon_outlooks(_mentions(m, d), _votes(m, d)), f"WITH {_MEN}, {_VOTES}, {_HOR} SELECT doc_id, ticker, CASE WHEN from_article OR (s IS NULL AND l IS NULL) THEN direction ELSE coalesce(s, decayed) END AS short, CASE WHEN from_article OR (s IS NULL AND l IS NULL) THEN direction ELSE coalesce(m, decayed) END AS medium, CASE WHEN from_article OR (s IS NULL AND l IS NULL) THEN direction ELSE coalesce(l, decayed) END AS long FROM he", "mentions_in", "documents")
 STOP = ["the", "of", "and", "to", "in", "that", "is", "de", "la", "el", "der", "die", "und", "le", "les", "que"]
 P.add("w03_block_labels", lambda d: E.block_labels(d, STOP).drop("block"), rf"""WITH b AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents), u AS (SELECT doc_id, unnest(l) AS block, unnest(range(len(l))) AS pos FROM b),
 w AS (SELECT *, regexp_extract_all(block, '[\p{{L}}\p{{N}}\p{{M}}_]+') AS w FROM u), f AS (SELECT doc_id, pos, len(w) AS n, len(list_filter(w, lambda x: lower(x) IN ({", ".join(f"'{x}'" for x in STOP)}))) / len(w) AS stop, least(1.0, 10 * len(regexp_extract_all(block, '[|/\\•·›»>#*=~^]')) / greatest(length(block), 1)) AS sym FROM w),

@@ -35,9 +35,9 @@ _RECORD = """SELECT id AS article_id, floor(id / 12) AS batch_id, lang AS v_lang
  split(concat('cpi:', id % 5), ',') AS v_economic, split(concat('cpi:', id % 5, CASE WHEN id % 6 = 0 THEN ',gdp:1' ELSE '' END), ',') AS m_economic, split('ABC>XYZ,XYZ>XAU', ',') AS v_links, split(CASE WHEN id % 37 = 0 THEN 'ABC>XYZ' ELSE 'XYZ>XAU,ABC>XYZ' END, ',') AS m_links,
  e AS v_title_embedding, CASE WHEN id % 41 = 0 THEN NULL WHEN id % 43 = 0 THEN f ELSE e END AS m_title_embedding, e AS v_narrative_embedding, CASE WHEN id % 3 = 0 THEN f ELSE e END AS m_narrative_embedding, id,
  __ENUMS__ FROM __BASE__"""
-VIEWS["records_base"] = "SELECT d.doc_id AS id, lang, regexp_replace(lower(substr(coalesce(text, ''), 1, 200)), '[^ -~]', '{g}') AS t, length(coalesce(text, '')) AS n, substr(coalesce(text, ''), 1, 20) AS h, a.embedding AS e, b.embedding AS f FROM {documents} d JOIN {embeddings} a ON a.vec_id = d.doc_id % 400 JOIN {embeddings} b ON b.vec_id = (d.doc_id + 7) % 400".replace(", '{g}'", ", ''")
+VIEWS["records_base"] = "SELECT d.doc_id AS id, lang, regexp_replace(lower(coalesce(text, '')), '[^ -~]', '{g}') AS t, length(coalesce(text, '')) AS n, md5(coalesce(text, '')) AS h, a.embedding AS e, b.embedding AS f FROM (SELECT *, doc_id % (SELECT count(*) FROM {embeddings}) AS v, (doc_id + 7) % (SELECT count(*) FROM {embeddings}) AS v7 FROM {documents}) d JOIN {embeddings} a ON a.vec_id = d.v JOIN {embeddings} b ON b.vec_id = d.v7".replace(", '{g}'", ", ''")
 _BOTH = _RECORD.replace("__ENUMS__", f"{_enum_sql('v')}, {_enum_sql('m')}")
-DUCK = "records AS (" + _BOTH.replace("__BASE__", "(SELECT * REPLACE (regexp_replace(lower(substr(coalesce(text, ''), 1, 200)), '[^ -~]', '', 'g') AS t) FROM (SELECT d.doc_id AS id, lang, text, '' AS t, length(coalesce(text, '')) AS n, substr(coalesce(text, ''), 1, 20) AS h, a.embedding AS e, b.embedding AS f FROM documents d JOIN embeddings a ON a.vec_id = d.doc_id % 400 JOIN embeddings b ON b.vec_id = (d.doc_id + 7) % 400))").replace("{base}", " + 1") + ")"
+DUCK = "records AS (" + _BOTH.replace("__BASE__", "(SELECT * REPLACE (regexp_replace(lower(coalesce(text, '')), '[^ -~]', '', 'g') AS t) FROM (SELECT d.doc_id AS id, lang, text, '' AS t, length(coalesce(text, '')) AS n, md5(coalesce(text, '')) AS h, a.embedding AS e, b.embedding AS f FROM (SELECT *, doc_id % (SELECT count(*) FROM embeddings) AS v, (doc_id + 7) % (SELECT count(*) FROM embeddings) AS v7 FROM documents) d JOIN embeddings a ON a.vec_id = d.v JOIN embeddings b ON b.vec_id = d.v7))").replace("{base}", " + 1") + ")"
 
 
 
@@ -118,7 +118,7 @@ P.add("j09_pair_submissions", lambda a: _titles(a).select("article_id", "batch_i
 P.add("f10_title_content_match", lambda a: C.title_content_match(_titles(a)), "SELECT batch_id, count(*) FILTER (article_id % 10 <> 4 AND article_id % 26 = 0) AS mismatches, bool_or(article_id % 10 <> 4 AND article_id % 26 = 0) AS rejected FROM articles WHERE article_id % 2 = 0 GROUP BY batch_id", "articles")
 P.add("f11_summary_agreement", lambda b: C.summary_agreement(b.select(F.col("id").alias("article_id"), F.col("t").alias("m_summary"), F.when(F.col("id") % 9 == 0, "x").otherwise(F.col("t")).alias("v_summary"), F.col("e").alias("m_vector"), F.col("f").alias("v_vector"))), None, "records_base")
 _COS = f"{_DOT('e', 'f')} / (sqrt({_DOT('e', 'e')}) * sqrt({_DOT('f', 'f')}))"
-P.sql["f11_summary_agreement"] = f"WITH b AS (SELECT d.doc_id AS id, length(regexp_replace(substr(coalesce(text, ''), 1, 200), '[^ -~]', '', 'g')) AS n, a.embedding AS e, b.embedding AS f FROM documents d JOIN embeddings a ON a.vec_id = d.doc_id % 400 JOIN embeddings b ON b.vec_id = (d.doc_id + 7) % 400), c AS (SELECT id AS article_id, CASE WHEN n >= 3 AND id % 9 <> 0 THEN {_COS} END AS cosine FROM b) SELECT article_id, cosine, cosine < 0.4 AS mismatch FROM c"
+P.sql["f11_summary_agreement"] = f"WITH b AS (SELECT d.doc_id AS id, length(regexp_replace(coalesce(text, ''), '[^ -~]', '', 'g')) AS n, a.embedding AS e, b.embedding AS f FROM (SELECT *, doc_id % (SELECT count(*) FROM embeddings) AS v, (doc_id + 7) % (SELECT count(*) FROM embeddings) AS v7 FROM documents) d JOIN embeddings a ON a.vec_id = d.v JOIN embeddings b ON b.vec_id = d.v7), c AS (SELECT id AS article_id, CASE WHEN n >= 3 AND id % 9 <> 0 THEN {_COS} END AS cosine FROM b) SELECT article_id, cosine, cosine < 0.4 AS mismatch FROM c"
 P.add("f12_exact_match", lambda p: C.exact_match(p.selectExpr("article_id", "concat('L', i) AS m_sentiment", "concat('l', j) AS v_sentiment", "concat('c', m) AS m_content", "concat('C', m % 8) AS v_content", "article_id % 13 = 0 AS m_missing", "article_id % 17 = 0 AS v_failed"), ["sentiment", "content"]), "SELECT article_id, i = j AS same_sentiment, m = m % 8 AS same_content, CASE WHEN article_id % 13 = 0 THEN 'missing_analysis' WHEN article_id % 17 = 0 THEN 'reference_failed' WHEN i = j AND m = m % 8 THEN 'ok' ELSE 'mismatch' END AS reason FROM pairs", "pairs")
 P.add("f13_map_tolerance", lambda p: p.select("article_id", *[c.alias(n) for n, c in C.map_tolerance(F.create_map(F.lit("a"), F.col("i") / 10, F.lit("b"), F.col("j") / 10, F.lit("c"), F.lit(0.01)), F.create_map(F.lit("a"), F.col("j") / 10, F.lit("d"), F.col("m") / 100)).items()]),
       """WITH v AS (SELECT article_id, i / 10 AS sa, j / 10 AS sb, j / 10 AS ra, CASE WHEN m / 100 >= 0.05 THEN m / 100 ELSE 0 END AS rd FROM pairs), d AS (SELECT article_id, k, CASE k WHEN 'a' THEN abs(sa - ra) WHEN 'b' THEN sb ELSE rd END AS x FROM v, (VALUES ('a'), ('b'), ('d')) t(k)), w AS (SELECT article_id, k, x FROM d WHERE x > 0.05)

@@ -10,10 +10,9 @@ from feedloom.plans.inputs import VIEWS, Plans
 P = Plans()
 VIEWS["event_links"] = """
 SELECT a.article_id AS id, concat('e', a.article_id % 60) AS event_id, concat('n', a.article_id % 7) AS slug, published_s, CAST(floor(published_s / 86400) AS BIGINT) AS day, source, CASE a.article_id % 3 WHEN 0 THEN 'bullish' WHEN 1 THEN 'bearish' ELSE 'neutral' END AS sentiment,
- a.article_id % 3 - 1 AS mood, a.article_id % 10 AS impact, concat('x', a.article_id % 5) AS entity, e.embedding AS vector, e.label AS event_type, lower(title) AS title FROM {articles} a JOIN {embeddings} e ON e.vec_id = a.article_id % 450"""
-#: As event_links with all vectors; for the queries without SQL.
-VIEWS["event_links_whole"] = VIEWS["event_links"].replace("JOIN {embeddings} e ON e.vec_id = a.article_id % 450", "CROSS JOIN (SELECT count(*) AS n FROM {embeddings}) c JOIN {embeddings} e ON e.vec_id = a.article_id % c.n")
-VIEWS["narrative_dim"] = "SELECT vec_id AS narrative_pos, concat('n', vec_id) AS slug, vec_id % 3 = 0 AS crypto_only, embedding AS centroid, concat('Name ', vec_id) AS name, label FROM {embeddings} WHERE vec_id < 12"
+ a.article_id % 3 - 1 AS mood, a.article_id % 10 AS impact, concat('x', a.article_id % 5) AS entity, e.embedding AS vector, e.label AS event_type, lower(title) AS title FROM (SELECT *, article_id % (SELECT count(*) FROM {embeddings}) AS v FROM {articles}) a JOIN {embeddings} e ON e.vec_id = a.v"""
+#: A narrative for each label of the vectors, with its first vector as centroid.
+VIEWS["narrative_dim"] = "SELECT label AS narrative_pos, concat('n', label) AS slug, label % 3 = 0 AS crypto_only, min_by(embedding, vec_id) AS centroid, concat('Name ', label) AS name, label FROM {embeddings} WHERE label IS NOT NULL GROUP BY label"
 _DOT = lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}), lambda x: x[1]::DOUBLE * x[2]))"
 _TOP = "(SELECT max(day) FROM event_links)"
 
@@ -29,18 +28,18 @@ def _articles(links):
     return links.select("id", F.sha2(F.concat_ws("|", "event_type", F.substring("title", 1, 30)), 256).alias("fingerprint"), F.md5("title").alias("content_hash"), "event_type", F.col("vector").alias("title_vector"), F.split("title", " ").alias("title_words"))
 
 
-P.add("e02_cluster_events", lambda e: E.cluster_events(_articles(e)), None, "event_links_whole")
-P.add("e03_merge_clusters", lambda e: E.merge_clusters(e.select("id", "event_type", F.col("published_s").alias("first_s"), F.split("title", " ").alias("words"), "vector")), None, "event_links_whole")
+P.add("e02_cluster_events", lambda e: E.cluster_events(_articles(e)), None, "event_links")
+P.add("e03_merge_clusters", lambda e: E.merge_clusters(e.select("id", "event_type", F.col("published_s").alias("first_s"), F.split("title", " ").alias("words"), "vector")), None, "event_links")
 P.add("j12_similar_vectors", lambda v: E.similar_vectors(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 0.7), None, "vectors")
 P.add("e02_title_pairs", lambda e: E.title_pairs(e.select("id", F.split("title", " ").alias("words"))), """WITH s AS (SELECT list_sort(list_distinct(string_split(title, ' '))) AS w, min(id) AS id FROM event_links GROUP BY 1) SELECT a.id AS a, b.id AS b FROM s a JOIN s b ON a.id < b.id WHERE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.6""", "event_links")
 P.add("e04_event_summary", lambda e: E.event_summary(e), "SELECT event_id, count(*) AS articles, min(published_s) AS first_s, max(published_s) AS last_s, count(*) FILTER (sentiment = 'bullish') AS bullish, count(*) FILTER (sentiment = 'bearish') AS bearish, max(impact) AS impact, list_sort(list(DISTINCT entity)) AS entities FROM event_links GROUP BY event_id", "event_links")
 P.add("k01_select_narratives", lambda e, n: E.select_narratives(e.select("id", "vector", (F.col("id") % 2 == 0).alias("has_crypto")), n), f"SELECT id, n.slug, row_number() OVER (PARTITION BY id ORDER BY {_DOT('vector', 'centroid')} DESC, narrative_pos) AS rank FROM event_links e, narrative_dim n WHERE {_DOT('vector', 'centroid')} >= 0.3 AND (NOT crypto_only OR id % 2 = 0) QUALIFY rank <= 3", "event_links", "narrative_dim")
 P.add("e05_match_narratives", lambda e, n: E.match_narratives(e.select("id", "vector", F.array("slug").alias("slugs"), F.split("title", " ").alias("keywords")), n.select("slug", "centroid", F.array(F.lit("the"), F.lit("of")).alias("narrative_keywords"))), f"""WITH x AS (SELECT id, n.slug, e.slug = n.slug AS same, {_DOT('vector', 'centroid')} AS sim, len(list_intersect(list_distinct(string_split(title, ' ')), ['the', 'of'])) / len(list_distinct(list_concat(string_split(title, ' '), ['the', 'of']))) AS j FROM event_links e, narrative_dim n),
 y AS (SELECT id, slug, CASE WHEN same THEN 'slug' WHEN sim >= 0.55 THEN 'embedding' WHEN j >= 0.5 THEN 'keywords' END AS signal, CASE WHEN same THEN 0.95 WHEN sim >= 0.55 THEN sim ELSE j END::DOUBLE AS score FROM x) SELECT * FROM y WHERE signal IS NOT NULL""", "event_links", "narrative_dim")
-P.add("e06_narrative_intensity", lambda e: E.narrative_intensity(e.where("id % 4 <> 1").select("slug", "day", F.col("mood").alias("sentiment"))), "WITH d AS (SELECT slug, day, count(*) AS articles, avg(mood) AS sentiment FROM event_links WHERE id % 4 <> 1 GROUP BY ALL), s AS (SELECT slug, unnest(range(min(day), max(day) + 1)) AS day FROM d GROUP BY slug) SELECT s.slug, s.day, coalesce(articles, 0) AS articles, sentiment FROM s LEFT JOIN d ON d.slug = s.slug AND d.day = s.day", "event_links")
-P.add("e07_narrative_lifecycle", lambda e: E.narrative_lifecycle(e.where("day < 19727 OR slug > 'n3'"), _day(e)), f"WITH r AS (SELECT slug, count(*) AS articles, {_TOP} - max(day) AS idle_days FROM event_links WHERE day < 19727 OR slug > 'n3' GROUP BY slug) SELECT *, CASE WHEN idle_days >= 30 THEN 'dormant' WHEN idle_days >= 5 THEN 'fading' WHEN articles >= 20 THEN 'active' ELSE 'emerging' END AS state FROM r", "event_links")
+P.add("e06_narrative_intensity", lambda e: E.narrative_intensity(e.select("slug", "day", F.col("mood").alias("sentiment"))), "WITH d AS (SELECT slug, day, count(*) AS articles, avg(mood) AS sentiment FROM event_links GROUP BY ALL), s AS (SELECT slug, unnest(range(min(day), max(day) + 1)) AS day FROM d GROUP BY slug) SELECT s.slug, s.day, coalesce(articles, 0) AS articles, sentiment FROM s LEFT JOIN d ON d.slug = s.slug AND d.day = s.day", "event_links")
+P.add("e07_narrative_lifecycle", lambda e: E.narrative_lifecycle(e, _day(e)), f"WITH r AS (SELECT slug, count(*) AS articles, {_TOP} - max(day) AS idle_days FROM event_links GROUP BY slug) SELECT *, CASE WHEN idle_days >= 30 THEN 'dormant' WHEN idle_days >= 5 THEN 'fading' WHEN articles >= 20 THEN 'active' ELSE 'emerging' END AS state FROM r", "event_links")
 P.add("e08_narrative_candidates", lambda e: E.narrative_candidates(e.select("id", "source", "day", F.split("title", " ").alias("keywords")), _day(e)), f"WITH k AS (SELECT DISTINCT id, source, unnest(string_split(title, ' ')) AS keyword FROM event_links WHERE day > {_TOP} - 7) SELECT keyword, count(DISTINCT id) AS articles, count(DISTINCT source) AS sources FROM k GROUP BY keyword HAVING count(DISTINCT id) >= 10 AND count(DISTINCT source) >= 3", "event_links")
-P.add("e09_centroid_drift", lambda e: E.centroid_drift(e.select("slug", F.col("id").alias("seq"), "vector")), None, "event_links_whole")
+P.add("e09_centroid_drift", lambda e: E.centroid_drift(e.select("slug", F.col("id").alias("seq"), "vector")), None, "event_links")
 P.add("e10_split_candidates", lambda e: E.split_candidates(e.select("slug", "vector")), "WITH s AS (SELECT slug, i, sum(x) AS s, count(*) AS n FROM (SELECT slug, unnest(vector)::DOUBLE AS x, unnest(range(64)) AS i FROM event_links) GROUP BY ALL), q AS (SELECT slug, max(n) AS n, sum(s * s) AS q FROM s GROUP BY slug HAVING max(n) > 1) SELECT slug, n, (q - n) / (n * (n - 1)) AS cohesion FROM q WHERE (q - n) / (n * (n - 1)) < 0.5", "event_links")
 P.add("e11_merge_candidates", lambda n: E.merge_candidates(n.select("slug", "centroid"), 0.2), f"WITH p AS (SELECT a.slug AS a, b.slug AS b, {_DOT('a.centroid', 'b.centroid')} / sqrt({_DOT('a.centroid', 'a.centroid')} * {_DOT('b.centroid', 'b.centroid')}) AS sim FROM narrative_dim a JOIN narrative_dim b ON a.slug < b.slug) SELECT * FROM p WHERE sim > 0.2", "narrative_dim")
 P.add("e12_narrative_text", lambda n: E.narrative_text(n.select("slug", "name", F.col("label").cast("string").alias("description"), F.array("slug", F.lit("x")).alias("keywords"), F.when(F.col("narrative_pos") % 4 != 0, F.col("centroid")).alias("centroid"), F.when(F.col("narrative_pos") % 5 != 0, "mini").alias("model")), "mini", 64), "SELECT slug, name || '. ' || label || '. ' || slug || ', x' AS text, narrative_pos % 4 = 0 OR narrative_pos % 5 = 0 AS stale FROM narrative_dim", "narrative_dim")

@@ -20,7 +20,7 @@ VIEWS: dict[str, str] = {
 SELECT doc_id AS article_id, CAST(floor(doc_id / 12) AS BIGINT) AS batch_id, doc_id % 12 AS pos, doc_id % 50 AS worker, lang, source,
        1704067200 + doc_id * 3600 AS published_s,
        concat(substr(split_part(coalesce(text, ''), chr(10), 1), 1, 200), CASE doc_id % 5 WHEN 0 THEN ' shares surge to record high: why?' WHEN 1 THEN ' 5 reasons for the BREAKING crash!!'
-              WHEN 2 THEN ' The a the plan of nvidia' WHEN 3 THEN ' bitcoin and gold' ELSE '' END) AS title,
+              WHEN 2 THEN ' The a the plan of nvidia' WHEN 3 THEN ' bitcoin and gold' ELSE CASE doc_id % 3 WHEN 0 THEN ' Globex and Acme gain' ELSE '' END END) AS title,
        concat(coalesce(text, ''), CASE doc_id % 7
          WHEN 0 THEN ' Shares of $ABC and $XYZ rose 4.5% today to $1,200. Follow us on Google for updates. Inflation in China may possibly rise, confirmed the board of bitcoin.'
          WHEN 1 THEN concat(chr(10), chr(10), 'Analysts said "this is a long quoted statement" at https://example.com/a1 with a chart. See ![img] and <img src=x>. | a | b | c | The target price of target and ABC was raised. Acme Corp said it will pay.')
@@ -34,11 +34,11 @@ SELECT conv_id * 100 + turn AS post_id, text, role AS author, 1704067200 + conv_
 FROM {conversations}""",
     "pairs": """
 SELECT a.doc_id AS article_id, a.t AS sub_text, b.t AS ref_text, a.doc_id % 7 AS i, b.doc_id % 5 AS j, a.doc_id % 11 AS m
-FROM (SELECT doc_id, substr(coalesce(text, ''), 1, 120) AS t FROM {documents}) a JOIN (SELECT doc_id, substr(coalesce(text, ''), 1, 120) AS t FROM {documents}) b ON a.doc_id = b.doc_id + 1""",
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM {documents}) a JOIN (SELECT doc_id, coalesce(text, '') AS t FROM {documents}) b ON a.doc_id = b.doc_id + 1""",
     "ledger": """
 SELECT event_id, user_id % 97 AS worker, CAST(floor({epoch_s} / 3600) AS BIGINT) AS epoch, event_type, value, CAST(round(abs(value)) AS BIGINT) AS points FROM {events}""",
     "nodes": """
-SELECT CAST(c_custkey AS BIGINT) AS uid, CAST(c_custkey % 97 AS BIGINT) AS worker, c_acctbal > 0 AS permit, CAST(c_acctbal AS DOUBLE) AS stake, c_custkey * 1000 AS block_at_registration FROM {customer} WHERE c_custkey < 80""",
+SELECT CAST(c_custkey AS BIGINT) AS uid, CAST(c_custkey AS BIGINT) AS worker, c_acctbal > 0 AS permit, CAST(c_acctbal AS DOUBLE) AS stake, c_custkey * 1000 AS block_at_registration FROM {customer}""",
     "vectors": """
 SELECT vec_id, CAST(floor(vec_id / 10) AS BIGINT) AS batch_id, vec_id % 10 AS pos, embedding, label FROM {embeddings}""",
 }
@@ -58,15 +58,40 @@ SELECT * FROM (VALUES ('ABC', 0, 'XYZ', 'supplier'), ('ABC', 1, 'NVDA', 'competi
 SELECT * FROM (VALUES (1, 'CRYPTO', 'cashtag', '$BTC', 0), (1, 'CRYPTO', 'identifier', 'bitcoin', 1), (2, 'MACRO', 'identifier', 'inflation', 2), (2, 'MACRO', 'identifier', 'central bank', 3), (2, 'MACRO', 'identifier', 'china', 4), (4, 'EQUITIES', 'cashtag', '$ABC', 5),
   (4, 'EQUITIES', 'identifier', 'shares', 6), (4, 'EQUITIES', 'identifier', 'stocks', 7), (5, 'COMMODITIES', 'identifier', 'gold', 8), (5, 'COMMODITIES', 'identifier', 'oil', 9), (9, 'OTHER', 'identifier', 'the', 10)) AS t(sector_id, symbol, kind, keyword, pos)""",
 }
+#: Dimensions with what the given tables add: every word of the documents as a keyword, every part as an asset.
+VIEWS |= {
+    "gazetteer_whole": VIEWS["gazetteer"] + """
+UNION ALL SELECT DISTINCT CAST(1 + length(word) % 8 AS INT) AS asset_id, CASE WHEN length(word) <= 4 THEN 'alias' ELSE 'identifier' END AS kind, word AS keyword, CAST(100 + length(word) AS INT) AS pos FROM {words_of_documents}""",
+    "assets_whole": VIEWS["assets"] + """
+UNION ALL SELECT CAST(1000 + p_partkey AS INT) AS asset_id, concat('P', p_partkey) AS symbol, p_name AS name, lower(p_type) AS asset_class, p_brand AS sector FROM {part}""",
+}
 #: Spelled differently by the two engines.
-DIALECT = {"spark": {"epoch_s": "unix_timestamp(ts)"}, "duckdb": {"epoch_s": "epoch(ts)"}}
+DIALECT = {
+    "spark": {
+        "epoch_s": "unix_timestamp(ts)",
+        "words_of_documents": "(SELECT lower(word) AS word FROM {documents} LATERAL VIEW explode(split(coalesce(text, ''), '[^A-Za-z]+')) AS word WHERE word <> '') AS x",
+        "sentences_of_documents": "(SELECT doc_id, CAST(k AS BIGINT) AS k, sentence FROM {documents} LATERAL VIEW posexplode(split(coalesce(text, ''), '[.!?]+ ')) AS k, sentence) AS x",
+    },
+    "duckdb": {
+        "epoch_s": "epoch(ts)",
+        "words_of_documents": "(SELECT lower(word) AS word FROM (SELECT unnest(string_split_regex(coalesce(text, ''), '[^A-Za-z]+')) AS word FROM {documents}) WHERE word <> '') AS x",
+        "sentences_of_documents": "(SELECT doc_id, CAST(unnest(range(len(l))) AS BIGINT) AS k, unnest(l) AS sentence FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '[.!?]+ ') AS l FROM {documents})) AS x",
+    },
+}
+
+
+def _spelled(name: str, engine: str) -> str:
+    sql = VIEWS[name]
+    for word, text in DIALECT[engine].items():
+        sql = sql.replace(f"{{{word}}}", text)
+    return sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, or a view of them."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    sql = VIEWS[name].replace("{epoch_s}", DIALECT["spark"]["epoch_s"]).replace('"end"', "`end`")
+    sql = _spelled(name, "spark").replace('"end"', "`end`")
     return spark.sql(sql, **{x: table(spark, sf_dir, x) for x in set(re.findall(r"\{(\w+)\}", sql))})
 
 
@@ -75,7 +100,7 @@ def cte(*names: str) -> str:
     out: list[str] = []
 
     def add(name: str) -> None:
-        sql = VIEWS[name].replace("{epoch_s}", DIALECT["duckdb"]["epoch_s"])
+        sql = _spelled(name, "duckdb")
         for x in re.findall(r"\{(\w+)\}", sql):
             if x in VIEWS:
                 add(x)

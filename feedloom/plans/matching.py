@@ -25,7 +25,8 @@ MATCHES = """m0 AS (SELECT h.*, f.ambiguous, f.weak, f.pos, CASE h.kind WHEN 'ca
    CASE h.kind WHEN 'cashtag' THEN 3.0 + 3.0 * in_title::INT WHEN 'case_sensitive' THEN 2.0 + 2.0 * in_title::INT WHEN 'identifier' THEN 1.0 + 0.3 * (hits - 1) + 2.0 * in_title::INT ELSE 0.5 END::DOUBLE AS r FROM hits h JOIN flags f ON f.asset_id = h.asset_id AND f.kind = h.kind AND f.keyword = h.keyword),
  matches AS (SELECT article_id, asset_id, sum(r) AS relevance, arg_min(kind, phase) AS method, CASE min(phase) WHEN 1 THEN 1.0 WHEN 2 THEN 0.95 WHEN 3 THEN 0.9 ELSE 0.7 END::DOUBLE AS confidence, bool_or(in_title) AS in_title, bool_or(kind = 'cashtag' OR NOT ambiguous) AS strong, list(keyword ORDER BY phase, pos) AS evidence
   FROM m0 GROUP BY article_id, asset_id HAVING bool_or(kind = 'cashtag' OR NOT ambiguous) OR (bool_or(context) AND bool_or(NOT weak)))"""
-PRIMARY = """p0 AS (SELECT m.*, a.asset_class, a.symbol, a.asset_class IN ('index', 'forex') AS macro FROM matches m JOIN assets a USING (asset_id)), p1 AS (SELECT *, NOT macro OR NOT bool_or(NOT macro) OVER (PARTITION BY article_id) AS eligible FROM p0),
+PRIMARY = r"""nm AS (SELECT asset_id, lower(name) AS name, split_part(lower(name), ' ', 1) AS lead FROM assets), tm AS (SELECT m.* REPLACE (in_title OR regexp_matches(lower(title), '\b' || name || '\b') OR (length(lead) >= 4 AND lead NOT IN (SELECT word FROM common_words) AND regexp_matches(lower(title), '\b' || lead || '\b')) AS in_title) FROM matches m JOIN nm USING (asset_id) JOIN articles USING (article_id)),
+ p0 AS (SELECT m.*, a.asset_class, a.symbol, a.asset_class IN ('index', 'forex') AS macro FROM tm m JOIN assets a USING (asset_id)), p1 AS (SELECT *, NOT macro OR NOT bool_or(NOT macro) OVER (PARTITION BY article_id) AS eligible FROM p0),
  p2 AS (SELECT *, row_number() OVER w AS i, lead(relevance) OVER w AS second, bool_or(eligible AND in_title) OVER (PARTITION BY article_id) AS titled, sum(eligible::INT) OVER (PARTITION BY article_id) AS n FROM p1 WINDOW w AS (PARTITION BY article_id, eligible ORDER BY relevance DESC, symbol)),
  subjects AS (SELECT article_id, asset_id, symbol, relevance, eligible AND CASE WHEN titled THEN in_title ELSE i = 1 AND n <= 3 AND relevance >= 3.0 AND relevance >= 1.5 * coalesce(second, 0.0) END AS is_primary FROM p2)"""
 RANKED = "ranked AS (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY relevance DESC, symbol) AS rank FROM subjects)"
@@ -36,18 +37,23 @@ def _matches(articles: DataFrame, gazetteer: DataFrame, word_freq: DataFrame, co
     return M.asset_matches(M.gazetteer_hits(articles, gazetteer), M.keyword_flags(gazetteer, word_freq, common_words))
 
 
-def _ranked(articles, gazetteer, word_freq, common_words, assets) -> DataFrame:
-    return M.top_assets(M.primary_subjects(_matches(articles, gazetteer, word_freq, common_words), assets))
+def _subjects(articles, gazetteer, word_freq, common_words, assets) -> DataFrame:
+    found = M.title_subjects(_matches(articles, gazetteer, word_freq, common_words), articles, assets, common_words)
+    return M.primary_subjects(found, assets)
+
+
+def _ranked(*dims) -> DataFrame:
+    return M.top_assets(_subjects(*dims))
 
 
 def _doc_assets(*dims) -> DataFrame:
     return _ranked(*dims).select("article_id", "symbol", F.col("rank").alias("asset_pos"))
 
 
-P.add("j02_keyword_flags", lambda g, w, c: M.keyword_flags(g, w, c), f"WITH {FLAGS} SELECT * FROM flags", "gazetteer", "word_freq", "common_words")
+P.add("j02_keyword_flags", lambda g, w, c: M.keyword_flags(g, w, c), f"WITH {FLAGS.replace('FROM gazetteer g', 'FROM gazetteer_whole g')} SELECT * FROM flags", "gazetteer_whole", "word_freq", "common_words")
 P.add("j01_gazetteer_hits", lambda a, g: M.gazetteer_hits(a, g), f"WITH {HITS} SELECT * FROM hits", "articles", "gazetteer")
 P.add("a01_asset_matches", lambda a, g, w, c: _matches(a, g, w, c), f"WITH {FLAGS}, {HITS}, {MATCHES} SELECT * FROM matches", *DIMS[:4])
-P.add("a02_primary_subjects", lambda *d: M.primary_subjects(_matches(*d[:4]), d[4]).select("article_id", "asset_id", "symbol", "relevance", "is_primary"), f"WITH {FLAGS}, {HITS}, {MATCHES}, {PRIMARY} SELECT * FROM subjects", *DIMS)
+P.add("a02_primary_subjects", lambda *d: _subjects(*d[:5]).select("article_id", "asset_id", "symbol", "relevance", "is_primary"), f"WITH {FLAGS}, {HITS}, {MATCHES}, {PRIMARY} SELECT * FROM subjects", *DIMS)
 P.add("k02_top_assets", lambda *d: _ranked(*d).where("rank <= 3").select("article_id", "symbol", "rank"), f"WITH {FLAGS}, {HITS}, {MATCHES}, {PRIMARY}, {RANKED} SELECT article_id, symbol, rank FROM ranked WHERE rank <= 3", *DIMS)
 P.add("f01_triage_stage", lambda a, g, w, c: M.triage_stage(a, _matches(a, g, w, c)), f"""WITH {FLAGS}, {HITS}, {MATCHES}, x AS (SELECT article_id, article_id IN (SELECT article_id FROM matches) AS has, title || chr(10) || substr(body, 1, 4000) AS t FROM articles), y AS (SELECT *, regexp_matches(t, '{MACRO}') AS macro, regexp_matches(t, '{ECON}') OR regexp_matches(t, '{ABBR}') AS economy FROM x)
 SELECT article_id, CASE WHEN has OR (macro AND economy) THEN 'relevant' WHEN macro THEN 'borderline' ELSE 'irrelevant' END AS label, CASE WHEN NOT has AND NOT macro THEN 'non_economic' END AS reason_code, CASE WHEN has THEN 0.95 WHEN macro AND economy THEN 0.7 WHEN macro THEN 0.5 ELSE 0.8 END::DOUBLE AS confidence FROM y""", *DIMS[:4])
@@ -82,7 +88,7 @@ P.add("t39_gics_of_primary", lambda *d: _primary_sector(*d), f"""WITH {FLAGS}, {
 def _primary_sector(*d) -> DataFrame:
     from feedloom.functions.scores import gics_to_sector
 
-    rows = M.primary_subjects(_matches(*d[:4]), d[4]).where("is_primary").select("article_id", "asset_id", "symbol")
+    rows = _subjects(*d[:5]).where("is_primary").select("article_id", "asset_id", "symbol")
     return rows.join(F.broadcast(d[4].select("asset_id", "sector")), "asset_id").select("article_id", "symbol", gics_to_sector(F.col("sector"))[0].alias("sector_id"))
 
 

@@ -40,7 +40,7 @@ def _canonical(p):
 
 P.add("t29_canonical_string", _canonical, "SELECT article_id, i || '|news|' || CASE WHEN j > 2 THEN '2024' ELSE 'none' END || CASE WHEN i % 2 = 0 THEN '|ABC|direction|short|medium|long|XYZ|direction|short|medium|long' ELSE '|Q|direction|short|medium|long' END AS article, i || '|x|' || array_to_string(list_sort(['beta', 'alpha', lower(sub_text)]), '|') AS post FROM pairs", "pairs")
 _F = lambda: {"sentiment": F.col("sub_text"), "asset_symbol": F.when(F.col("i") > 2, F.lit("ABC")), "content_type": F.lit("news")}
-P.add("t30_categorical_key", lambda p: p.where("NOT regexp_like(sub_text, '[\\\\x00-\\\\x1F\"]')").select("article_id", R.categorical_key(list(_F().values())).alias("k"), R.analysis_hash(_F()).alias("h")), r"""SELECT article_id, sub_text || '|' || CASE WHEN i > 2 THEN 'ABC' ELSE '' END || '|news' AS k, sha256('{"asset_symbol":' || CASE WHEN i > 2 THEN '"ABC"' ELSE 'null' END || ',"content_type":"news","sentiment":"' || replace(sub_text, '\', '\\') || '"}') AS h FROM pairs WHERE NOT regexp_matches(sub_text, '[\x00-\x1F"]')""", "pairs")
+P.add("t30_categorical_key", lambda p: p.select("article_id", R.categorical_key(list(_F().values())).alias("k"), R.analysis_hash(_F()).alias("h")), r"""SELECT article_id, sub_text || '|' || CASE WHEN i > 2 THEN 'ABC' ELSE '' END || '|news' AS k, sha256('{"asset_symbol":' || CASE WHEN i > 2 THEN '"ABC"' ELSE 'null' END || ',"content_type":"news","sentiment":' || to_json(sub_text) || '}') AS h FROM pairs""", "pairs")
 P.add("f09_validate_record", lambda p: R.validate_record(p.select("article_id", (F.col("m") / 9).alias("magnitude"), F.col("sub_text").alias("title"), F.col("i").cast("string").alias("kind")), {"magnitude": (0.0, 1.0)}, {"title": 100}, {"kind": ["0", "1", "2", "3"]}).select("article_id", "is_valid", "invalid_reason"), "WITH r AS (SELECT article_id, CASE WHEN m / 9 > 1 THEN 'magnitude out of range' WHEN length(sub_text) > 100 THEN 'title too long' WHEN i > 3 THEN 'kind unknown' END AS invalid_reason FROM pairs) SELECT article_id, invalid_reason IS NULL AS is_valid, invalid_reason FROM r", "pairs")
 _REASONS = "split('classification_mismatch,odd,validation_failed,cloned_embeddings', ',')"
 P.add("a14_penalty_detail", lambda p: R.penalty_detail(p.select(F.col("i").alias("worker"), F.col("j").alias("epoch"), F.when(F.col("m") != 3, F.col("article_id").cast("string")).alias("resource_id"), F.expr(f"{_REASONS}[CAST(article_id % 4 AS INT)]").alias("reason"), F.create_map(F.lit("a"), F.col("i") > 3, F.lit("b"), F.col("j") > 2).alias("field_results"), F.substring("sub_text", 1, 10).alias("preview"), F.when(F.col("m") > 5, F.col("m") / 11).alias("composite"), (F.col("i") / 7).alias("agreement"))), f"SELECT i AS worker, j AS epoch, article_id::VARCHAR AS resource_id, {_REASONS}[(article_id % 4 + 1)::INT] AS cause, CASE WHEN i <= 3 AND j <= 2 THEN 'a,b' WHEN i <= 3 THEN 'a' WHEN j <= 2 THEN 'b' END AS failed_fields, substr(sub_text, 1, 10) AS preview, CASE WHEN m > 5 THEN m / 11 ELSE i / 7 END AS score FROM pairs WHERE m <> 3 AND article_id % 4 <> 1", "pairs")
@@ -55,7 +55,7 @@ def _groups(c, g):
 
 
 P.add("j17_message_group_class", _groups, None, "conversations", "gazetteer")
-P.add("a28_gazetteer_integrity", lambda g, a, w: R.gazetteer_integrity(g.union(g.sparkSession.createDataFrame([(2, "identifier", "acme corp", 20)], g.schema)), a, w, ["globex"]), "WITH g AS (SELECT * FROM gazetteer UNION ALL SELECT 2, 'identifier', 'acme corp', 20), r AS (SELECT g.*, asset_class FROM g JOIN assets a ON a.asset_id = g.asset_id WHERE kind IN ('identifier', 'alias')) SELECT keyword, 'shared' AS problem FROM r WHERE asset_class = 'equity' GROUP BY keyword HAVING count(DISTINCT asset_id) > 1 UNION SELECT keyword, 'banned' FROM r WHERE keyword = 'globex' UNION SELECT keyword, 'common' FROM r WHERE NOT contains(keyword, ' ') AND keyword IN (SELECT word FROM word_freq WHERE zipf >= 4.0)", "gazetteer", "assets", "word_freq")
+P.add("a28_gazetteer_integrity", lambda g, a, w: R.gazetteer_integrity(g.union(g.sparkSession.createDataFrame([(2, "identifier", "acme corp", 20)], g.schema)), a, w, ["globex"]), "WITH g AS (SELECT * FROM gazetteer_whole UNION ALL SELECT 2, 'identifier', 'acme corp', 20), r AS (SELECT g.*, asset_class FROM g JOIN assets_whole a ON a.asset_id = g.asset_id WHERE kind IN ('identifier', 'alias')) SELECT keyword, 'shared' AS problem FROM r WHERE asset_class = 'equity' GROUP BY keyword HAVING count(DISTINCT asset_id) > 1 UNION SELECT keyword, 'banned' FROM r WHERE keyword = 'globex' UNION SELECT keyword, 'common' FROM r WHERE NOT contains(keyword, ' ') AND keyword IN (SELECT word FROM word_freq WHERE zipf >= 4.0)", "gazetteer_whole", "assets_whole", "word_freq")
 _PRED = lambda d, k: d.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % k == 0, "xx").otherwise(F.col("lang")).alias("language"), F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("ABC"))).otherwise(F.array(F.lit("XYZ"), F.concat(F.lit("T"), (F.col("doc_id") % k).cast("string")))).alias("assets"), (F.col("doc_id") % 3 - 1).alias("direction"))
 P.add("a27_gold_eval", lambda d: R.gold_eval(_PRED(d, 7), d.select(F.col("doc_id").alias("id"), F.col("lang").alias("language"), F.array(F.lit("ABC")).alias("expect_assets"), F.array(F.lit("T1")).alias("forbid_assets"), (F.col("doc_id") % 2).alias("direction"))), "SELECT avg((doc_id % 3 = 0)::INT) AS asset_recall, count(*) FILTER (doc_id % 3 <> 0 AND doc_id % 7 = 1) AS forbidden_found, avg((doc_id % 7 <> 0)::INT) AS language_accuracy, avg((sign(doc_id % 2) = sign(doc_id % 3 - 1))::INT) AS direction_agreement FROM documents", "documents")
 P.add("a26_corpus_compare", lambda d: R.corpus_compare(_PRED(d, 7), _PRED(d, 5)), """WITH o AS (SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN 'xx' ELSE lang END AS language, CASE WHEN doc_id % 3 = 0 THEN ['ABC'] ELSE ['XYZ', 'T' || doc_id % 7] END AS assets FROM documents), n AS (SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN 'xx' ELSE lang END AS language, CASE WHEN doc_id % 3 = 0 THEN ['ABC'] ELSE ['XYZ', 'T' || doc_id % 5] END AS assets FROM documents),
@@ -64,20 +64,22 @@ SELECT kind, key, sum(o)::BIGINT AS old, sum(n)::BIGINT AS new FROM a GROUP BY A
 
 
 def _dims(a, s):
-    """Dimension files that Spark writes as JSON arrays, read as a source."""
+    """Dimension files that Spark writes as JSON arrays of about 1,000 objects, read as a source."""
     path = f"{shared_dir(a.sparkSession)}/dims-{uuid.uuid4().hex}"
     for name, frame in (("assets", a), ("sectors", s)):
-        frame.coalesce(1).agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")).write.text(f"{path}/{name}.json")
+        groups = frame.count() // 1000 + 1
+        rows = frame.select(F.struct("*").alias("row")).groupBy(F.pmod(F.xxhash64("row"), F.lit(groups)).alias("part"))
+        rows.agg(F.to_json(F.collect_list("row")).alias("value")).write.partitionBy("part").text(f"{path}/{name}.json")
     found = feeds.load_dims(a.sparkSession, path, ["assets", "sectors"])
     return found["assets"].groupBy("asset_class").agg(F.count("*").alias("n"))
 
 
-P.add("s05_load_dims", _dims, "SELECT asset_class, count(*) AS n FROM assets GROUP BY asset_class", "assets", "sectors")
+P.add("s05_load_dims", _dims, "SELECT asset_class, count(*) AS n FROM assets_whole GROUP BY asset_class", "assets_whole", "sectors")
 
 
 def _gold(d):
     path = f"{shared_dir(d.sparkSession)}/gold-{uuid.uuid4().hex}"
-    d.select(F.struct(F.col("doc_id").cast("string").alias("id"), F.substring("text", 1, 40).alias("title"), "source").alias("article"), F.struct(F.array("lang").alias("assets_includes")).alias("expect")).write.json(path)
+    d.select(F.struct(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("title"), "source").alias("article"), F.struct(F.array("lang").alias("assets_includes")).alias("expect")).write.json(path)
     return feeds.read_gold(d.sparkSession, path).select("id", "source", F.get("expect.assets_includes", F.lit(0)).alias("first"))
 
 

@@ -3,7 +3,7 @@ and its SQL give them rounded to ``PLACES`` places, without negative zeros."""
 
 from __future__ import annotations
 
-PLACES = 6
+PLACES = 9
 COLUMNS: dict[str, list[str]] = {
     "a01_asset_matches": ["relevance", "confidence"],
     "a02_primary_subjects": ["relevance"],
@@ -44,7 +44,6 @@ COLUMNS: dict[str, list[str]] = {
     "t02_readability": ["flesch_ease", "flesch_kincaid"],
     "t03_density": ["numeric_density", "quote_density"],
     "t06_language_style": ["hedging", "certainty", "clickbait"],
-    "t12_levenshtein_ratio": ["r"],
     "t13_jaccard": ["tier", "quality"],
     "t14_ordinal_score": ["s"],
     "t15_sentiment_agreement": ["s"],

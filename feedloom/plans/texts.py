@@ -66,8 +66,8 @@ _CMP = r"trim(regexp_replace(lower(title), '\s+', ' ', 'g'))"
 P.add("t10_normalize_for_compare", lambda df: df.select("article_id", T.normalize_for_compare(F.col("title")).alias("t")), rf"""SELECT article_id, trim(regexp_replace(replace(replace(replace({_CMP}, ' a ', ' '), ' an ', ' '), ' the ', ' '), '\s+', ' ', 'g')) AS t FROM articles""", "articles")
 _HASH = r"sha256(trim(regexp_replace(lower(concat(title, ' ', substr(body, 1, 500))), '\s+', ' ', 'g')))"
 P.add("t11_content_hash", lambda df: df.select("article_id", T.content_hash(F.col("title"), F.col("body")).alias("h")), f"SELECT article_id, {_HASH} AS h FROM articles", "articles")
-P.add("t12_levenshtein_ratio", lambda df: df.where("NOT regexp_like(concat(sub_text, ref_text), '[^\\\\x00-\\\\x7F]')").select("article_id", S.levenshtein_ratio(F.col("sub_text"), F.col("ref_text")).alias("r")),
-      r"SELECT article_id, CASE WHEN sub_text = ref_text THEN 1.0 WHEN sub_text = '' OR ref_text = '' THEN 0.0 ELSE 1 - levenshtein(sub_text, ref_text) / greatest(length(sub_text), length(ref_text)) END::DOUBLE AS r FROM pairs WHERE NOT regexp_matches(concat(sub_text, ref_text), '[^\x00-\x7F]')", "pairs")
+# DuckDB counts bytes where the ratio counts characters, so there is no SQL: tests hold it against plain Python.
+P.add("t12_levenshtein_ratio", lambda df: df.repartition(64, "article_id").select("article_id", S.levenshtein_ratio(F.col("sub_text"), F.col("ref_text")).alias("r")), None, "pairs")
 _J = "len(list_intersect(list_distinct(a), list_distinct(b))) / len(list_distinct(list_concat(a, b)))"
 
 
