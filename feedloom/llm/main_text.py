@@ -3,17 +3,19 @@
 A page becomes lines: one for each block of text, with the kind of place that it stands in (article, page furniture,
 or neither). Within a host, pages are put in order of their URL path, and each page is paired with the neighbour in
 that order whose path shares the longer beginning. The hashes of the two pages' lines are aligned by their longest
-common subsequence; lines that both pages have in the same order are shared furniture and are deleted. Two things
-are known from the markup and are not left to the alignment: lines inside menus, headers, footers, sidebars, notices,
-adverts, forms and comments always go, and lines inside a page's article always stay (copies of an article under
-several paths would otherwise delete each other). So the alignment decides for text outside such elements.
+common subsequence; lines that both pages have in the same order are shared furniture and are deleted. Two things are
+known from the markup. Lines inside a page's article always stay: articles share passages, and copies of an article under
+several paths would delete each other. And lines that the alignment leaves, since no neighbour shares them or the page
+has none, still go where an element is marked as menu, header, footer, sidebar, notice, advert, form or comments.
 
 The order within a host comes from a range-partitioned sort with one boundary row for each partition, so a host that
 holds a third of all pages is spread over many tasks; only hashes of lines travel to the partner, never its text.
 
 Edge cases: null or empty html gives an empty text; a page that is alone on its host, or has no host, has no partner
 and keeps all lines outside of furniture; equal pages, equal ids and null ids are handled row by row (rows are told
-apart by their content, equal rows get equal results); unclosed elements end with the page.
+apart by their content, equal rows get equal results); unclosed elements end with the page; of partners whose paths are
+equally near the one before is taken; an empty table gives an empty table; other columns are not read, whatever their
+names; a very long page is read whole, and its alignment takes memory in proportion to its lines.
 """
 
 from __future__ import annotations
@@ -66,8 +68,7 @@ def lines(page: str | None) -> list[tuple[str, int]]:
 
     page = page or ""
     while tag := _TAG.search(page, at):
-        if place != OUT:
-            held.append(page[at : tag.start()])
+        held.append(page[at : tag.start()])
         at = tag.end()
         name = (tag[2] or "").lower()
         if not name:
@@ -113,10 +114,15 @@ def lines(page: str | None) -> list[tuple[str, int]]:
             flush()
         stack.append((name, place))
         place = new
-    if place != OUT:
-        held.append(page[at:])
+    held.append(page[at:])
     flush()
-    return [x for x in out if x[1] != OUT]
+    return out
+
+
+def kept_lines(found: list[tuple[str, int]], shared: set[int]) -> list[str]:
+    """The lines of the main text: those of the article, and others that the alignment did not find on the neighbour and
+    that the markup does not call furniture."""
+    return [text for i, (text, place) in enumerate(found) if place == ARTICLE or (i not in shared and place != OUT)]
 
 
 def matched(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -130,20 +136,34 @@ def matched(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x, y = a[start : len(a) - end], b[start : len(b) - end]
     own = np.flatnonzero(np.isin(x, y)).tolist()  # only lines that both have can be matched
     x, y = x[own], y[np.isin(y, x)]
-    best = np.zeros((len(x) + 1, len(y) + 1), np.int32)
-    for i in range(1, len(x) + 1):
-        diagonal = best[i - 1, :-1] + (y == x[i - 1])
-        best[i, 1:] = np.maximum.accumulate(np.maximum(diagonal, best[i - 1, 1:]))
-    found, i, j = [], len(x), len(y)
-    while i and j:
-        if best[i, j] == best[i - 1, j]:
-            i -= 1
-        elif best[i, j] == best[i, j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            found.append(own[i] + start)
-    return np.array([*range(start), *found[::-1], *range(len(a) - end, len(a))], np.int64)
+    found = [own[i] + start for i in _common(x, y)]
+    return np.array([*range(start), *found, *range(len(a) - end, len(a))], np.int64)
+
+
+def _row(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of ``x`` and each beginning of ``y``."""
+    best = np.zeros(len(y) + 1, np.int32)
+    for value in x:
+        best[1:] = np.maximum.accumulate(np.maximum(best[:-1] + (y == value), best[1:]))
+    return best
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> list[int]:
+    """Places of ``x`` in one longest common subsequence: the problem is halved where the two halves' lengths add up to
+    the most, so that only single rows of the table are held."""
+    out, todo = [], [(0, len(x), 0, len(y))]
+    while todo:
+        a, b, c, d = todo.pop()
+        if a == b or c == d:
+            continue
+        if b - a == 1:
+            if (y[c:d] == x[a]).any():
+                out.append(a)
+            continue
+        middle = (a + b) // 2
+        cut = c + int(np.argmax(_row(x[a:middle], y[c:d]) + _row(x[a:b][::-1][: b - middle], y[c:d][::-1])[::-1]))
+        todo += [(middle, b, cut, d), (a, middle, c, cut)]
+    return sorted(out)
 
 
 def url_host(url: Column) -> Column:
@@ -233,8 +253,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
                 part = batch.slice(some.start, some.stop - some.start)
                 out = []
                 for page, drop in zip(texts[some], drops[some], strict=True):
-                    gone = set(drop or ())
-                    out.append("\n".join(text for i, (text, place) in enumerate(lines(page)) if place == ARTICLE or i not in gone))
+                    out.append("\n".join(kept_lines(lines(page), set(drop or ()))))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     rows = keyed.join(shared, "row", "left").select("page_id", "url", "html", "shared")
