@@ -128,3 +128,13 @@ def possible(df: DataFrame, keys: DataFrame, inside: bool = True) -> DataFrame:
     found = df.select("*", word.alias("filter_word")).join(F.broadcast(bits), "filter_word", "inner" if inside else "left")
     hit = F.coalesce(F.col("filter_bits"), F.lit(0)).bitwiseAND(bit) != 0
     return found.where(hit if inside else ~hit).select(*df.columns)
+
+
+def except_rows(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """``rows`` whose key is not among ``gone``; only rows that may be meet ``gone`` in a shuffled join.
+
+    An outer join, since an anti join would be moved below the filter and shuffle every row.
+    """
+    marked = gone.select(*KEY, F.lit(True).alias("is_gone"))
+    left = possible(rows, gone).join(marked, KEY, "left").where("is_gone IS NULL").select(*rows.columns)
+    return possible(rows, gone, inside=False).union(left)

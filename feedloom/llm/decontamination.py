@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloom.llm.arrow import KEY, kept_apart, possible, row_key
+from feedloom.llm.arrow import KEY, except_rows, kept_apart, possible, row_key
 from feedloom.shared import discard, small, written
 
 WINDOW = 13
@@ -94,7 +94,7 @@ def alignments(index: DataFrame, rare: DataFrame) -> DataFrame:
 def phrase_matches(docs: DataFrame, items: DataFrame, found: DataFrame) -> DataFrame:
     """row, row2, item, first, last: positions in the document of every maximal run of words that an item shares with it
     at one of its alignments, and that holds at least one of the item's windows."""
-    near = possible(docs, found).join(found.select(*KEY).distinct(), KEY, "left_semi").select(*KEY, "text").dropDuplicates(KEY)
+    near = possible(docs, found).join(found.select(*KEY, F.lit(True).alias("near")).distinct(), KEY).select(*KEY, "text").dropDuplicates(KEY)
     at = near.select(*KEY, F.posexplode(words(F.col("text"))).alias("pos", "term"))
     asked = found.join(small(items.select("item", "run", F.posexplode("item_words").alias("offset", "term"))), "item").withColumn("pos", F.col("shift") + F.col("offset"))
     equal = asked.where("pos >= 0").join(at, [*KEY, "pos", "term"]).select(*KEY, "item", "shift", "run", "pos")
@@ -152,8 +152,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc
 def decontaminated(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``documents`` that are not contaminated."""
     bad = written(judged(documents, benchmark, doc_id, text, item_id, item_text).where("contaminated").select(*KEY).distinct(), "contaminated")
-    rows = kept_apart(documents, doc_id, text)
-    return possible(rows, bad, inside=False).select("doc.*").union(possible(rows, bad).join(bad, KEY, "left_anti").select("doc.*"))
+    return except_rows(kept_apart(documents, doc_id, text), bad).select("doc.*")
 
 
 def oracle() -> str:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.arrow import KEY, kept_apart, possible, release, row_key, slices
+from feedloom.llm.arrow import KEY, except_rows, kept_apart, possible, release, row_key, slices
 from feedloom.shared import discard, ship, written
 
 BANDS, ROWS = 30, 5
@@ -336,9 +336,8 @@ def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size
     gone = found.where("part IS NOT NULL").select(*KEY).distinct().join(best, KEY, "left_anti")
     again = written(found.where("part IS NOT NULL").groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1").select(*KEY).join(best, KEY), "again")
     gone = written(gone, "gone")
-    rows = kept_apart(df, doc_id, text)
-    rows = possible(rows, gone, inside=False).select(*KEY, "doc").union(possible(rows, gone).join(gone, KEY, "left_anti").select(*KEY, "doc"))
+    rows = except_rows(kept_apart(df, doc_id, text), gone)
     if not again.isEmpty():  # rows that are equal in id and text
-        copies = possible(rows, again).join(again, KEY, "left_semi").select(*KEY, "doc").dropDuplicates(KEY)
-        rows = possible(rows, again, inside=False).union(possible(rows, again).join(again, KEY, "left_anti").select(*KEY, "doc")).union(copies)
+        copies = possible(rows, again).join(again.withColumn("again", F.lit(True)), KEY).select(*rows.columns).dropDuplicates(KEY)
+        rows = except_rows(rows, again).union(copies)
     return rows.select("doc.*")
