@@ -17,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from feedloom.llm import byte_bpe, decontamination, importance, near_duplicates, toxicity
-from feedloom.llm.arrow import KEY, kept_apart, possible
+from feedloom.llm.arrow import KEY, except_rows, kept_apart
 from feedloom.shared import remove, shared_dir, ship, written
 
 
@@ -28,8 +28,7 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling draws; rows that are equal in id and text are drawn alike."""
     gone = written(importance.resample(docs, _labels(spark, sf_dir)).where("NOT kept").select(*KEY).distinct(), "not-drawn")
-    rows = kept_apart(docs)
-    return possible(rows, gone, inside=False).select("doc.*").union(possible(rows, gone).join(gone, KEY, "left_anti").select("doc.*"))
+    return except_rows(kept_apart(docs), gone).select("doc.*")
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
