@@ -116,13 +116,13 @@ class PieceCache:
 FILTER_WORDS = 2**18
 
 
-def possible(df: DataFrame, keys: DataFrame, inside: bool = True) -> DataFrame:
-    """Rows of ``df`` whose ``row`` may be among ``keys`` (or, not ``inside``, those for which that is ruled out).
+def possible(df: DataFrame, keys: DataFrame, inside: bool = True, key: str = "row") -> DataFrame:
+    """Rows of ``df`` whose ``key`` may be among ``keys`` (or, not ``inside``, those for which that is ruled out).
 
     A bitmap of hash buckets, 64 a row, is broadcast: ``FILTER_WORDS`` rows at most, whatever the number of keys. It keeps
     most texts out of the shuffle of the exact join that has to follow; with very many keys it lets more pass.
     """
-    bucket = F.pmod("row", F.lit(64 * FILTER_WORDS))
+    bucket = F.pmod(F.xxhash64(key), F.lit(64 * FILTER_WORDS))
     word, bit = F.shiftright(bucket, 6), F.call_function("shiftleft", F.lit(1).cast("long"), (bucket % 64).cast("int"))
     bits = keys.select(word.alias("filter_word"), bit.alias("bit")).groupBy("filter_word").agg(F.bit_or("bit").alias("filter_bits"))
     found = df.select("*", word.alias("filter_word")).join(F.broadcast(bits), "filter_word", "inner" if inside else "left")

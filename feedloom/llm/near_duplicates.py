@@ -198,7 +198,7 @@ def survivors(groups: DataFrame, classes: DataFrame, threshold: float) -> DataFr
             return None
         return table.select(["g", "class", "first", "other", "part", *KEY]).filter(pa.array(stays)).combine_chunks().to_batches()[0]
 
-    rows = groups.join(classes.select("class", "signature", "n_shingles", *KEY), "class")
+    rows = groups.join(possible(classes.select("class", "signature", "n_shingles", *KEY), groups, key="class"), "class")
     return _in_groups(rows.select("g", "class", "first", "other", "part", *KEY, "signature", "n_shingles"), run, "g long, class long, first boolean, other boolean, part long, row long, row2 long")
 
 
