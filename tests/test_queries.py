@@ -47,7 +47,7 @@ def test_events_take_all_articles_and_vectors(spark, tmp_path):
 
     spark.createDataFrame([(i, f"text {i}", "en", "s") for i in (3, 4, 460, 499)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, [float(i)] * 64, i % 3) for i in range(500)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
-    assert sorted((r.id, r.vector[0]) for r in table(spark, str(tmp_path), "event_links_whole").collect()) == [(3, 3.0), (4, 4.0), (460, 460.0), (499, 499.0)]
+    assert sorted((r.id, r.vector[0]) for r in table(spark, str(tmp_path), "event_links").collect()) == [(3, 3.0), (4, 4.0), (460, 460.0), (499, 499.0)]
     for name in ("e02_cluster_events", "e03_merge_clusters"):
         assert sorted(r.id for r in entry.queries()[name](spark, str(tmp_path)).collect()) == [3, 4, 460, 499]
     drift = {r.slug: r.centroid for r in entry.queries()["e09_centroid_drift"](spark, str(tmp_path)).collect()}
