@@ -219,3 +219,25 @@ def test_centroid_drift_streams_a_narrative(spark):
     assert set(got) == set(want)
     for slug, x in want.items():
         assert got[slug] == pytest.approx(x.tolist())
+
+
+def test_votes_without_a_majority_have_no_confidence(spark):
+    mentions = spark.createDataFrame([(1, "ABC", i, "x", 0) for i in range(3)] + [(2, "ABC", 0, "next year", 1), (2, "ABC", 1, "today", -1), (2, "ABC", 2, "x", 0)], "doc_id long, ticker string, sent_pos int, text string, vote int")
+    assets = spark.createDataFrame([(1, "ABC", False), (2, "ABC", True)], "doc_id long, ticker string, is_primary boolean")
+    directions = spark.createDataFrame([(1, "bearish"), (2, "bullish")], "doc_id long, article_direction string")
+    votes = entities.aspect_votes(mentions, assets, directions)
+    got = {r.doc_id: r for r in votes.collect()}
+    assert (got[1].direction, got[1].confidence, got[1].from_article) == ("neutral", 0.0, False)
+    # A primary subject with conflicting mentions takes the article's direction, on all horizons.
+    assert (got[2].direction, got[2].magnitude, got[2].confidence, got[2].from_article) == ("bullish", 0.4, 0.3, True)
+    outlook = {r.doc_id: (r.short, r.medium, r.long) for r in entities.horizon_outlooks(mentions, votes).collect()}
+    assert outlook[2] == ("bullish",) * 3
+
+
+def test_subjects_by_name_in_the_title(spark):
+    matches = spark.createDataFrame([(1, i, False) for i in (1, 2, 3, 4)], "article_id long, asset_id int, in_title boolean")
+    articles = spark.createDataFrame([(1, "3M and Take-Two shares jump; target missed")], "article_id long, title string")
+    assets = spark.createDataFrame([(1, "3M"), (2, "Take-Two Interactive"), (3, "Target Corp"), (4, "Globex")], "asset_id int, name string")
+    common = spark.createDataFrame([("target",)], "word string")
+    got = {r.asset_id: r.in_title for r in match.title_subjects(matches, articles, assets, common).collect()}
+    assert got == {1: True, 2: True, 3: False, 4: False}
