@@ -42,6 +42,15 @@ def test_bpe_equals_the_library_and_decodes(spark):
         assert got[i].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
 
 
+def test_bpe_of_very_long_words(spark):
+    with open(RANKS, "rb") as f:
+        data = f.read()
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(data), special_tokens={})
+    codec, draw = byte_bpe.RankCodec(data, public_tokenizers.PATTERN), random.Random(8)
+    for text in ("ab" * 1_000_000, "abc" * 30_000, "a" * 70_001, "-" * 5_000, "".join(draw.choices("abcdefghij", k=60_000)), "".join(draw.choices("éß漢字", k=9_000)), " " * 9_000 + "x"):
+        assert np.frombuffer(codec.encode([text])[0], "<u4").tolist() == own.encode_ordinary(text), text[:9]
+
+
 def test_bpe_round_trip_keeps_columns(spark):
     encoded = byte_bpe.encode(frame(spark, ["one two", None], "x"), RANKS, public_tokenizers.PATTERN)
     back = byte_bpe.decode(encoded, RANKS, public_tokenizers.PATTERN)
@@ -194,6 +203,15 @@ def test_language_of_held_out_rows(spark):
     assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i, _, _ in rows)
 
 
+def test_language_of_long_runs_sums_all_segmentations():
+    pieces = ["?", "a", "b", "ab", "ba", "aba"]
+    lattice = language_id.Lattice(pieces)
+    p = np.array([[0.01, 0.02], [0.2, 0.1], [0.3, 0.2], [0.1, 0.2], [0.05, 0.1], [0.07, 0.3], [0.0, 0.0]])
+    word = "".join(random.Random(2).choices("abq", k=20))
+    assert lattice.log_sum_long(word, p) == pytest.approx(lattice.log_sums([word], p)[0])
+    assert np.isfinite(lattice.log_sum_long(word * 2000, p)).all()
+
+
 # -- 6: quality
 def test_importance_parts_good_from_bad(spark):
     draw = random.Random(5)
@@ -347,6 +365,17 @@ def test_near_duplicates_empty_table(spark):
     assert near_duplicates.near_duplicates(frame(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    long = long_text(60, 3)
+    rows = [(3, long, "a"), (5, long, "b"), (5, long_text(50, 4), "c"), (7, "one two", "d"), (7, "one two", "e"), (None, long, "f"), (None, "", "g"), (9, None, "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    got = near_duplicates.deduplicated(docs)
+    assert got.columns == docs.columns
+    kept = sorted((r.row for r in got.collect()))
+    assert [x for x in kept if x not in "de"] == ["a", "c", "g", "h"] and sum(x in "de" for x in kept) == 1
+    assert near_duplicates.deduplicated(docs.limit(0)).count() == 0
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     import corpus_pipeline
 
