@@ -17,6 +17,7 @@ TITLE_COSINE, TITLE_JACCARD, MERGE_HOURS, MERGE_COSINE = 0.75, 0.6, 48, 0.80
 SLUG, EMBEDDING, KEYWORDS = 0.95, 0.55, 0.50
 ACTIVE_AT, FADING_DAYS, DORMANT_DAYS = 20, 5, 30
 DRIFT, SPLIT_BELOW, MERGE_ABOVE = 0.05, 0.50, 0.85
+KNOWN_ABOVE, GROUP_ABOVE = 0.75, 0.70
 
 
 def event_fingerprint(event_type: Column, date: Column, entities: Column) -> Column:
@@ -174,6 +175,25 @@ def narrative_candidates(unmatched: DataFrame, as_of_day: int, days: int = 7, ar
     return rows.groupBy("keyword").agg(F.countDistinct("id").alias("articles"), F.countDistinct("source").alias("sources")).where((F.col("articles") >= articles) & (F.col("sources") >= sources))
 
 
+def candidate_groups(candidates: DataFrame, narratives: DataFrame) -> DataFrame:
+    """id, merged_into, group_id of candidates (id, vector): the narrative (slug, centroid) that a candidate is closest to if
+    it is too close to be promoted (cosine above ``KNOWN_ABOVE``, ties to the smaller slug), else the smallest id of the
+    candidates that links of cosine above ``GROUP_ABOVE`` lead to. A candidate without a vector stays by itself.
+    """
+    length = S.norm(F.col("vector"))
+    rows = written(candidates.select("id", F.when(length > 0, F.transform("vector", lambda x: x / length)).alias("vector")), "candidates")
+    far = S.norm(F.col("centroid"))
+    known = small(narratives.select("slug", F.when(far > 0, F.transform("centroid", lambda x: x / far)).alias("centroid")))
+    sim = S.dot(F.col("vector"), F.col("centroid"))
+    best = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "slug"))
+    near = rows.join(known, sim > KNOWN_ABOVE).select("id", "slug", sim.alias("sim")).withColumn("i", best).where("i = 1").select("id", F.col("slug").alias("merged_into"))
+    near = written(near, "merged")
+    left = written(rows.join(near, "id", "left_anti"), "candidates")
+    edges = similar_vectors(left, GROUP_ABOVE).select("a", "b").union(star_edges(left, "vector"))
+    groups = components(edges, left).select("id", F.col("component").alias("group_id"))
+    return rows.select("id").join(near, "id", "left").join(groups, "id", "left")
+
+
 def centroid_drift(vectors: DataFrame, alpha: float = DRIFT) -> DataFrame:
     """slug, centroid: the moving average of a narrative's vectors (slug, seq, vector) in order, of length one after each
     step. Order is part of the result, so a narrative is folded by one task, which reads it as a sorted stream and holds

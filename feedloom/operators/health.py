@@ -23,17 +23,24 @@ def fresh() -> dict[str, float]:
     return dict(zip(FIELDS, (WINDOW_START, 0, 0, 0, 0, 0, 0, 0, 0, SIZE_START), strict=True))
 
 
+def batch_size(s: dict[str, float]) -> int:
+    return int(max(SIZE_LEAST, min(SIZE_MOST, s["size"])))
+
+
 def step(s: dict[str, float], ts: float, kind: str, value: float | None) -> str | None:
-    """Take one event into the state; parked or unparked if that is what it did."""
+    """Take one event into the state; parked or unparked if that is what it did. The state's size holds its new batch size."""
 
     def cool() -> None:
         s["level"] = min(s["level"] + 1, len(BACKOFF))
         s["until"] = ts + BACKOFF[int(s["level"]) - 1]
 
+    def shrink() -> None:
+        s["size"] = max(SIZE_LEAST, s["size"] * SIZE_DOWN)
+
     def park() -> str:
         s["park_level"] = min(s["park_level"] + 1, len(PARK))
         s["parked_until"] = ts + PARK[int(s["park_level"]) - 1]
-        s["size"] = max(SIZE_LEAST, s["size"] * SIZE_DOWN)
+        shrink()
         return "parked"
 
     if kind == "valid":
@@ -44,8 +51,10 @@ def step(s: dict[str, float], ts: float, kind: str, value: float | None) -> str
     elif kind == "invalid":
         s["timeouts"] = 0
         s["window"] = max(WINDOW_FLOOR, s["window"] * SHRINK)
+        shrink()
     elif kind == "timeout":
         s["window"] = max(WINDOW_FLOOR, s["window"] * SHRINK)
+        shrink()
         s["timeouts"] += 1
         if s["timeouts"] >= CHRONIC:
             s["timeouts"] = 0
@@ -84,14 +93,16 @@ def _folded(events: DataFrame, out: str, emit) -> DataFrame:
         for batch in batches:
             for w, ts, kind, value in zip(batch["worker"], batch["ts_s"], batch["kind"], batch["value"], strict=True):
                 if w != worker:
-                    rows += emit(worker, state, None, None) if worker is not None else []
+                    rows += emit(worker, state, None, None, 0) if worker is not None else []
                     worker, state = w, fresh()
-                rows += emit(worker, state, ts, step(state, float(ts), kind, None if pd.isna(value) else float(value)))
+                before = batch_size(state)
+                what = step(state, float(ts), kind, None if pd.isna(value) else float(value))
+                rows += emit(worker, state, ts, what, before)
             if len(rows) >= 10_000:
                 yield pd.DataFrame(rows, columns=names)
                 rows = []
         if worker is not None:
-            rows += emit(worker, state, None, None)
+            rows += emit(worker, state, None, None, 0)
         yield pd.DataFrame(rows, columns=names)
 
     names = [x.split()[0] for x in out.split(", ")]
@@ -100,19 +111,26 @@ def _folded(events: DataFrame, out: str, emit) -> DataFrame:
 
 def worker_health(events: DataFrame) -> DataFrame:
     """worker and its state after all events."""
-    return _folded(events, f"worker long, {STATE}", lambda w, s, ts, what: [(w, *(s[f] for f in FIELDS))] if ts is None else [])
+    return _folded(events, f"worker long, {STATE}", lambda w, s, ts, what, before: [(w, *(s[f] for f in FIELDS))] if ts is None else [])
 
 
 def health_sessions(events: DataFrame, most: int = 2000) -> DataFrame:
-    """worker, ts_s, what: the newest ``most`` times that a worker was parked or unparked."""
-    log = _folded(events, "worker long, ts_s long, what string", lambda w, s, ts, what: [(w, ts, what)] if what else [])
-    return log.orderBy(F.desc("ts_s"), "worker", "what").limit(most)
+    """worker, ts_s, what, size_before, size_after: the newest ``most`` times that a worker was parked or unparked, or that
+    its batch size changed (batch_size_changed); a parking that changes the size gives both rows."""
+
+    def log(w, s, ts, what, before) -> list:
+        after = batch_size(s) if ts is not None else before
+        sized = [(w, ts, "batch_size_changed", before, after)] if after != before else []
+        return sized + ([(w, ts, what, None, None)] if what else [])
+
+    rows = _folded(events, "worker long, ts_s long, what string, size_before long, size_after long", log)
+    return rows.orderBy(F.desc("ts_s"), "worker", "what", "size_before", "size_after").limit(most)
 
 
 def parked_spans(sessions: DataFrame) -> DataFrame:
     """worker, start_s, end_s: from a parking to the next event that ended it (null: still parked)."""
     order = Window.partitionBy("worker").orderBy("ts_s", "what")
-    rows = sessions.withColumn("before", F.lag("what").over(order)).withColumn("end_s", F.min(F.when(F.col("what") == "unparked", F.col("ts_s"))).over(order.rowsBetween(1, Window.unboundedFollowing)))
+    rows = sessions.where("what <> 'batch_size_changed'").withColumn("before", F.lag("what").over(order)).withColumn("end_s", F.min(F.when(F.col("what") == "unparked", F.col("ts_s"))).over(order.rowsBetween(1, Window.unboundedFollowing)))
     return rows.where((F.col("what") == "parked") & (F.coalesce("before", F.lit("unparked")) == "unparked")).select("worker", F.col("ts_s").alias("start_s"), "end_s")
 
 

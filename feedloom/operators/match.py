@@ -33,6 +33,28 @@ FIRST_TOKENS = 2000
 KINDS = {"cashtag": (3.0, 3.0, 1.0), "case_sensitive": (2.0, 2.0, 0.95), "identifier": (1.0, 2.0, 0.9), "alias": (0.5, 0.0, 0.7)}
 #: How a dependency's relationship acts.
 MECHANISMS = {"supplier": "supply_chain", "customer": "supply_chain", "competitor": "competitive", "sector_peer": "sector_rotation", "index_member": "index_flow", "parent": "ownership", "subsidiary": "ownership"}
+# The entity type that each label stands for.
+LABEL_TYPES = {
+    "PERSON": "person",
+    "person": "person",
+    "ORG": "organization",
+    "company": "organization",
+    "organization": "organization",
+    "financial institution": "organization",
+    "GPE": "location",
+    "NORP": "government",
+    "government body": "government",
+    "regulatory body": "regulatory_body",
+    "cryptocurrency": "asset",
+    "stock ticker": "asset",
+    "index": "asset",
+    "commodity": "asset",
+    "economic indicator": "metric",
+    "MONEY": "metric",
+    "PERCENT": "metric",
+    "PRODUCT": "product",
+    "EVENT": "event",
+}
 
 
 def keyword_flags(gazetteer: DataFrame, word_freq: DataFrame, common_words: DataFrame) -> DataFrame:
@@ -212,16 +234,26 @@ def triage_stage(articles: DataFrame, asset_docs: DataFrame, doc: str = "article
 
 
 def resolve_entities(candidates: DataFrame, overrides: DataFrame, qids: DataFrame) -> DataFrame:
-    """Candidates with canonical name, type and confidence: an override, else a knowledge-base id, else the label."""
-    rows = candidates.withColumn("surface", F.lower("text")).join(small(overrides), "surface", "left").join(small(qids), "qid", "left")
-    over, known = F.col("canonical").isNotNull(), F.col("qid").isNotNull()
-    kinds = F.create_map(*[F.lit(x) for kv in {"ORG": "company", "PERSON": "person", "GPE": "place"}.items() for x in kv])
+    """Candidates (text, label, score, qid, qid_title) with name, entity_type, confidence, resolved_ticker and resolved_by.
+
+    First an override (surface, canonical, type, ticker) of the trimmed lower-cased text, then the linked id in ``qids``
+    (qid, qid_name, qid_type, qid_ticker), then the title that the linker gave for an id that ``qids`` doesn't hold, and
+    else the text itself with the type of its label. Surfaces and ids are unique in their tables.
+    """
+    over = overrides.select(F.col("surface").alias("_surface"), F.col("canonical").alias("_name"), F.col("type").alias("_type"), F.col("ticker").alias("_ticker"))
+    known = qids.select(F.col("qid").alias("_qid"), F.col("qid_name").alias("_qname"), F.col("qid_type").alias("_qtype"), F.col("qid_ticker").alias("_qticker"))
+    rows = candidates.join(small(over), F.lower(F.trim("text")) == F.col("_surface"), "left").join(small(known), F.col("qid") == F.col("_qid"), "left")
+    by = F.when(F.col("_surface").isNotNull(), "override").when(F.col("_qid").isNotNull(), "linked").when(F.col("qid").isNotNull() & (F.col("qid_title") != ""), "title").otherwise("label")
+    kinds = F.create_map(*[F.lit(x) for pair in LABEL_TYPES.items() for x in pair])
+    labelled = F.coalesce(F.try_element_at(kinds, F.col("label")), F.lit("organization"))
+    pick = lambda override, linked, title, label: F.when(by == "override", override).when(by == "linked", linked).when(by == "title", title).otherwise(label)
     return rows.select(
-        *candidates.columns,
-        F.when(over, F.col("canonical")).when(F.col("qid_ticker").isNotNull(), F.col("qid_title")).otherwise(F.col("text")).alias("name"),
-        F.when(over, F.col("type")).otherwise(F.coalesce(F.try_element_at(kinds, F.col("label")), F.lit("other"))).alias("entity_type"),
-        F.when(over, 1.0).when(F.col("qid_ticker").isNotNull(), 0.9).when(known, 0.7).otherwise(F.col("score")).alias("confidence"),
-        F.coalesce(F.col("ticker"), F.col("qid_ticker")).alias("resolved_ticker"),
+        *[F.col(c) for c in candidates.columns],
+        pick(F.col("_name"), F.coalesce("_qname", "qid_title", "text"), F.col("qid_title"), F.col("text")).alias("name"),
+        pick(F.col("_type"), F.coalesce("_qtype", F.lit("unknown")), labelled, labelled).alias("entity_type"),
+        pick(F.lit(1.0), F.lit(0.9), F.lit(0.7), F.col("score")).alias("confidence"),
+        pick(F.col("_ticker"), F.col("_qticker"), F.lit(None), F.lit(None)).alias("resolved_ticker"),
+        by.alias("resolved_by"),
     )
 
 

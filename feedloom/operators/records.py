@@ -120,14 +120,21 @@ def gazetteer_integrity(gazetteer: DataFrame, assets: DataFrame, word_freq: Data
 
 
 def gold_eval(predicted: DataFrame, gold: DataFrame) -> DataFrame:
-    """One row: how often the language is right, recall of expected assets, forbidden assets found, directions with the right sign."""
+    """One row: how often the language is right (of the cases that give one), recall of expected assets, forbidden assets
+    found, forbidden parts of entity names found (entity_leaks), directions with the right sign.
+
+    predicted: id, language, assets, entities, direction; gold: id, language, expect_assets, forbid_assets,
+    forbid_entities, direction. A part leaks if the entity names of its case, joined with spaces, hold it in any case.
+    """
     found = predicted.select("id", F.explode("assets").alias("ticker"))
-    expected = gold.select("id", F.explode("expect_assets").alias("ticker"))
+    expected = gold.select("id", F.explode(F.array_distinct("expect_assets")).alias("ticker"))
     recall = expected.join(found.distinct().withColumn("hit", F.lit(1.0)), ["id", "ticker"], "left").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("asset_recall"))
-    leaks = gold.select("id", F.explode("forbid_assets").alias("ticker")).join(found.distinct(), ["id", "ticker"], "left_semi").agg(F.count("*").alias("forbidden_found"))
+    leaks = gold.select("id", F.explode(F.array_distinct("forbid_assets")).alias("ticker")).join(found.distinct(), ["id", "ticker"], "left_semi").agg(F.count("*").alias("forbidden_found"))
+    names = predicted.select("id", F.lower(F.array_join("entities", " ")).alias("names"))
+    parts = gold.select("id", F.explode("forbid_entities").alias("part")).join(names, "id").agg(F.count_if(F.col("names").contains(F.lower("part"))).alias("entity_leaks"))
     both = gold.select("id", F.col("language").alias("want"), F.col("direction").alias("want_sign")).join(predicted.select("id", "language", "direction"), "id")
-    rates = both.agg(F.avg((F.col("want") == F.col("language")).cast("double")).alias("language_accuracy"), F.avg((F.signum("want_sign") == F.signum("direction")).cast("double")).alias("direction_agreement"))
-    return recall.crossJoin(leaks).crossJoin(rates)  # each is one row
+    rates = both.agg(F.avg(F.when(F.col("want") != "", F.col("want").eqNullSafe(F.col("language")).cast("double"))).alias("language_accuracy"), F.avg((F.signum("want_sign") == F.signum("direction")).cast("double")).alias("direction_agreement"))
+    return recall.crossJoin(leaks).crossJoin(parts).crossJoin(rates)  # each is one row
 
 
 def corpus_compare(old: DataFrame, new: DataFrame) -> DataFrame:

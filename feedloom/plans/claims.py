@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from feedloom.functions import scores as S
 from feedloom.functions import text as T
 from feedloom.operators import entities as E
+from feedloom.operators import match as M
 from feedloom.operators import triage as G
 from feedloom.plans.inputs import VIEWS, Plans
 
@@ -42,6 +43,16 @@ def _resolved(c):
     return _cands(c).select("doc_id", "pos", F.concat(F.lit("Name"), F.when(F.col("pos") % 2 == 0, "x").otherwise("X")).alias("name"), F.when(F.col("doc_id") % 2 == 0, "org").otherwise(F.col("model")).alias("type"), F.col("score").alias("confidence"), F.when((F.col("doc_id") + F.col("pos")) % 3 == 0, "subject").otherwise("mentioned").alias("role"), F.when((F.col("doc_id") + F.col("pos")) % 5 == 0, "bullish").alias("sentiment"))
 
 
+#: Linked and named candidates; the overrides are the words of the stoplist.
+VIEWS["linked"] = """
+SELECT doc_id, pos, CASE (doc_id + pos) % 5 WHEN 0 THEN ' The ' WHEN 1 THEN 'Today' ELSE text END AS text, CASE pos WHEN 0 THEN 'ORG' WHEN 1 THEN 'GPE' WHEN 2 THEN 'index' ELSE 'unheard' END AS label, score,
+ CASE WHEN (doc_id + pos) % 3 > 0 THEN concat('Q', (doc_id + pos) % 10) END AS qid, CASE WHEN doc_id % 4 > 0 THEN concat('Title ', doc_id % 6) END AS qid_title FROM {candidates}"""
+VIEWS["overrides"] = "SELECT word AS surface, concat('The word ', word) AS canonical, 'word' AS type, CASE WHEN word = 'today' THEN 'TDY' END AS ticker FROM {stoplist}"
+VIEWS["qids"] = "SELECT concat('Q', r_regionkey) AS qid, CASE WHEN r_regionkey <> 2 THEN r_name END AS qid_name, CASE WHEN r_regionkey <> 3 THEN 'region' END AS qid_type, concat('R', r_regionkey) AS qid_ticker FROM {region}"
+_KIND = "CASE label WHEN 'ORG' THEN 'organization' WHEN 'GPE' THEN 'location' WHEN 'index' THEN 'asset' ELSE 'organization' END"
+P.add("j13_resolve_entities", lambda c, o, q: M.resolve_entities(c, o, q).drop("label", "score"), f"""WITH j AS (SELECT c.*, surface, canonical, type, ticker, q.qid AS known, qid_name, qid_type, qid_ticker FROM linked c LEFT JOIN overrides ON surface = lower(trim(text)) LEFT JOIN qids q ON q.qid = c.qid)
+SELECT doc_id, pos, text, qid, qid_title, CASE WHEN surface IS NOT NULL THEN canonical WHEN known IS NOT NULL THEN coalesce(qid_name, qid_title, text) WHEN qid IS NOT NULL AND qid_title <> '' THEN qid_title ELSE text END AS name, CASE WHEN surface IS NOT NULL THEN type WHEN known IS NOT NULL THEN coalesce(qid_type, 'unknown') ELSE {_KIND} END AS entity_type,
+ CASE WHEN surface IS NOT NULL THEN 1.0 WHEN known IS NOT NULL THEN 0.9 WHEN qid IS NOT NULL AND qid_title <> '' THEN 0.7 ELSE score END::DOUBLE AS confidence, CASE WHEN surface IS NOT NULL THEN ticker WHEN known IS NOT NULL THEN qid_ticker END AS resolved_ticker, CASE WHEN surface IS NOT NULL THEN 'override' WHEN known IS NOT NULL THEN 'linked' WHEN qid IS NOT NULL AND qid_title <> '' THEN 'title' ELSE 'label' END AS resolved_by FROM j""", "linked", "overrides", "qids")
 P.add("a06_dedup_entities", lambda c: E.dedup_entities(_resolved(c)), """WITH r AS (SELECT doc_id, pos, CASE WHEN pos % 2 = 0 THEN 'Namex' ELSE 'NameX' END AS name, CASE WHEN doc_id % 2 = 0 THEN 'org' ELSE model END AS type, score::DOUBLE AS confidence, CASE WHEN (doc_id + pos) % 3 = 0 THEN 'subject' ELSE 'mentioned' END AS role, CASE WHEN (doc_id + pos) % 5 = 0 THEN 'bullish' END AS sentiment FROM candidates),
 w AS (SELECT doc_id, lower(name) AS key, type, min(pos) AS pos, arg_max(name, (confidence, -pos)) AS name, max(confidence) AS confidence, CASE WHEN bool_or(role = 'subject') THEN 'subject' ELSE 'mentioned' END AS role, max(sentiment) AS sentiment FROM r GROUP BY ALL)
 SELECT doc_id, type, name, confidence, role, sentiment, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rank FROM w QUALIFY rank <= 15""", "candidates")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from feedloom.operators import events as E
@@ -39,6 +41,19 @@ y AS (SELECT id, slug, CASE WHEN same THEN 'slug' WHEN sim >= 0.55 THEN 'embeddi
 P.add("e06_narrative_intensity", lambda e: E.narrative_intensity(e.select("slug", "day", F.col("mood").alias("sentiment"))), "WITH d AS (SELECT slug, day, count(*) AS articles, avg(mood) AS sentiment FROM event_links GROUP BY ALL), s AS (SELECT slug, unnest(range(min(day), max(day) + 1)) AS day FROM d GROUP BY slug) SELECT s.slug, s.day, coalesce(articles, 0) AS articles, sentiment FROM s LEFT JOIN d ON d.slug = s.slug AND d.day = s.day", "event_links")
 P.add("e07_narrative_lifecycle", lambda e: E.narrative_lifecycle(e, _day(e)), f"WITH r AS (SELECT slug, count(*) AS articles, {_TOP} - max(day) AS idle_days FROM event_links GROUP BY slug) SELECT *, CASE WHEN idle_days >= 30 THEN 'dormant' WHEN idle_days >= 5 THEN 'fading' WHEN articles >= 20 THEN 'active' ELSE 'emerging' END AS state FROM r", "event_links")
 P.add("e08_narrative_candidates", lambda e: E.narrative_candidates(e.select("id", "source", "day", F.split("title", " ").alias("keywords")), _day(e)), f"WITH k AS (SELECT DISTINCT id, source, unnest(string_split(title, ' ')) AS keyword FROM event_links WHERE day > {_TOP} - 7) SELECT keyword, count(DISTINCT id) AS articles, count(DISTINCT source) AS sources FROM k GROUP BY keyword HAVING count(DISTINCT id) >= 10 AND count(DISTINCT source) >= 3", "event_links")
+
+
+def _candidate_groups(links, narratives):
+    """Candidates with the mean vector of their articles of the last days."""
+    as_of = _day(links)
+    rows = links.select("id", "source", "day", F.split("title", " ").alias("keywords"), "vector")
+    words = rows.where(F.col("day").between(as_of - 6, as_of)).select(F.explode(F.array_distinct("keywords")).alias("keyword"), array_to_vector("vector").alias("v"))
+    vectors = words.groupBy("keyword").agg(Summarizer.mean(F.col("v")).alias("v")).select("keyword", vector_to_array("v").alias("vector"))
+    found = E.narrative_candidates(rows, as_of).join(vectors, "keyword").withColumn("id", F.conv(F.substring(F.md5("keyword"), 1, 15), 16, 10).cast("long"))
+    return found.select("id", "keyword").join(E.candidate_groups(found.select("id", "vector"), narratives.select("slug", "centroid")), "id").drop("id")
+
+
+P.add("e08_candidate_groups", _candidate_groups, None, "event_links", "narrative_dim")
 P.add("e09_centroid_drift", lambda e: E.centroid_drift(e.select("slug", F.col("id").alias("seq"), "vector")), None, "event_links")
 P.add("e10_split_candidates", lambda e: E.split_candidates(e.select("slug", "vector")), "WITH s AS (SELECT slug, i, sum(x) AS s, count(*) AS n FROM (SELECT slug, unnest(vector)::DOUBLE AS x, unnest(range(64)) AS i FROM event_links) GROUP BY ALL), q AS (SELECT slug, max(n) AS n, sum(s * s) AS q FROM s GROUP BY slug HAVING max(n) > 1) SELECT slug, n, (q - n) / (n * (n - 1)) AS cohesion FROM q WHERE (q - n) / (n * (n - 1)) < 0.5", "event_links")
 P.add("e11_merge_candidates", lambda n: E.merge_candidates(n.select("slug", "centroid"), 0.2), f"WITH p AS (SELECT a.slug AS a, b.slug AS b, {_DOT('a.centroid', 'b.centroid')} / sqrt({_DOT('a.centroid', 'a.centroid')} * {_DOT('b.centroid', 'b.centroid')}) AS sim FROM narrative_dim a JOIN narrative_dim b ON a.slug < b.slug) SELECT * FROM p WHERE sim > 0.2", "narrative_dim")

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from feedloom.operators import health as H
 from feedloom.operators import ledger as L
 from feedloom.operators import logs as G
-from feedloom.operators import match as M
-from feedloom.plans.inputs import VIEWS, Plans
+from feedloom.plans import matching
+from feedloom.plans.inputs import VIEWS, Plans, cte, spelled, table
 from feedloom.shared import shared_dir
 from feedloom.sources import feeds as R
 from feedloom.streaming import jobs as J
@@ -87,6 +87,19 @@ P.add("k05_mismatch_patterns", lambda t: G.mismatch_patterns(_log(t)), rf"WITH {
 _WC = r"wc AS (SELECT substr(regexp_extract(line, 'for miner (\w{12})', 1), 1, 12) AS worker, count(*) FILTER (contains(line, 'passed')) AS accepted, count(*) FILTER (contains(line, 'failed for')) AS rejected FROM logs WHERE contains(line, 'for miner') GROUP BY 1)"
 P.add("a24_worker_counts", lambda t: G.worker_counts(_log(t)), f"WITH {_LOGS}, {_WC} SELECT * FROM wc", "log_text")
 P.add("a25_worker_report", lambda t: G.worker_report(_log(t), "worker100"), f"WITH {_LOGS}, {_WC} SELECT *, 100.0 * accepted / (accepted + rejected) AS rate, CASE WHEN accepted = 0 THEN 'always_rejected' WHEN accepted < rejected THEN 'mostly_rejected' ELSE 'mostly_accepted' END AS band FROM wc WHERE starts_with(worker, 'worker100')", "log_text")
+#: A log with both forms of failure lines, by worker.
+_PAD = lambda x: f"lpad(CAST(CAST(floor({x}) AS BIGINT) AS STRING), 2, '0')"
+VIEWS["worker_log"] = f"""
+SELECT event_id, worker, kind, logged, concat(logged, CASE WHEN kind < 2 THEN concat(' Batch validation passed for miner ', worker, '.. ok') WHEN kind IN (2, 4) THEN concat(' Batch validation failed for miner ', worker, '.. no')
+  WHEN kind = 3 THEN concat(' Mismatch for ', worker, ': sentiment(m=neutral|v=v', event_id % 4, '), f', event_id % 3, '(m=low|v=high) | preview=text ', event_id)
+  ELSE concat(' Rejection detail ', worker, translate(concat(' failed_fields=[~impact~, ~f', event_id % 5, '~]'), '~', chr(39)), CASE WHEN event_id % 4 = 0 THEN '' ELSE concat(' preview=text ', event_id) END) END) AS line
+FROM (SELECT event_id, concat('worker', 10000 + event_id % 7, 'z') AS worker, CAST(floor(event_id / 7) AS BIGINT) % 6 AS kind, concat('2024-01-0', 2 + event_id % 2, ' ', {_PAD('event_id / 3600 % 24')}, ':', {_PAD('event_id / 60 % 60')}, ':', {_PAD('event_id % 60')}, '.', 100 + event_id % 900) AS logged FROM {{ledger}}) AS x"""
+_OWN = """own AS (SELECT strptime(logged, '%Y-%m-%d %H:%M:%S.%g') AS ts, line, CASE WHEN kind < 2 THEN 'passed' WHEN kind IN (2, 4) THEN 'failed' WHEN kind = 3 THEN 'mismatch' ELSE 'detail' END AS what,
+ CASE kind WHEN 3 THEN ['sentiment', 'f' || event_id % 3] WHEN 5 THEN ['impact', 'f' || event_id % 5] ELSE [] END AS fields, CASE WHEN kind = 3 OR (kind = 5 AND event_id % 4 <> 0) THEN 'text ' || event_id ELSE '' END AS preview FROM worker_log WHERE worker = 'worker10003z')"""
+P.add("a25_worker_fields", lambda t: G.worker_fields(_log(t), "worker10003"), f"WITH {_OWN}, f AS (SELECT unnest(fields) AS field FROM own) SELECT field, count(*) AS n, 100.0 * count(*) / (SELECT count(*) FROM f) AS share FROM f GROUP BY field", "worker_log")
+P.add("a25_worker_recent", lambda t: G.worker_recent(_log(t), "worker10003").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS")), f"""WITH {_OWN}, b AS (SELECT *, lag(what) OVER w AS bw, lag(ts) OVER w AS bt FROM own WHERE what <> 'detail' OR preview <> '' WINDOW w AS (PARTITION BY what = 'passed' ORDER BY ts, line)),
+f AS (SELECT 'failed' AS what, CASE WHEN bw = 'failed' THEN bt ELSE ts END AS ts, fields, preview FROM b WHERE what = 'mismatch' OR (what = 'detail' AND bw = 'failed') UNION ALL SELECT what, ts, fields, '' FROM b WHERE what = 'passed')
+SELECT what, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS ts, fields, preview, row_number() OVER (PARTITION BY what ORDER BY ts DESC, preview, fields) AS rank FROM f QUALIFY rank <= CASE what WHEN 'failed' THEN 10 ELSE 5 END""", "worker_log")
 _KINDS = "CASE event_id % 9 WHEN 0 THEN 'valid' WHEN 1 THEN 'timeout' WHEN 2 THEN 'timeout' WHEN 3 THEN 'ack_fail' WHEN 4 THEN 'faith' WHEN 5 THEN 'fail' WHEN 6 THEN 'invalid' WHEN 7 THEN 'faith' ELSE 'fail' END"
 
 
@@ -119,23 +132,25 @@ P.queries["x01_stream_epoch_points"] = lambda spark, d: J.run(J.epoch_points(_ev
 P.sql["x01_stream_epoch_points"] = "WITH e AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS epoch_start, user_id % 97 AS worker, round(abs(value))::BIGINT AS points, ts FROM events WHERE event_type = 'purchase') SELECT epoch_start, worker, sum(points)::BIGINT AS points FROM e WHERE epoch_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM e) GROUP BY ALL"
 P.queries["x02_stream_weight_window"] = lambda spark, d: J.run(J.weight_window(_events(spark, d).where("event_type = 'purchase'").select("ts", (F.col("user_id") % 7).alias("worker"), F.round(F.abs("value")).cast("long").alias("points")), 4))
 P.sql["x02_stream_weight_window"] = "WITH e AS (SELECT ts, user_id % 7 AS worker, round(abs(value))::BIGINT AS points FROM events WHERE event_type = 'purchase'), w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR * k AS window_end, worker, points FROM e, (VALUES (1), (2), (3), (4)) t(k)) SELECT window_end, worker, sum(points)::BIGINT AS points FROM w WHERE window_end <= (SELECT max(ts) - INTERVAL 2 HOUR FROM e) GROUP BY ALL"
-P.queries["x03_stream_reputation"] = lambda spark, d: J.run(J.reputation(_events(spark, d).where("event_type = 'view'").select((F.col("user_id") % 97).alias("target"), F.unix_timestamp("ts").alias("epoch"), (F.col("event_id") % 40).alias("article_id"), F.col("event_id").alias("sender"), (F.col("event_id") % 21 / 20).alias("score"), (F.col("event_id") % 5 / 2).alias("weight"))))
-P.sql["x03_stream_reputation"] = "WITH o AS (SELECT user_id % 97 AS target, floor(epoch(ts))::BIGINT AS epoch, event_id % 40 AS article_id, event_id AS sender, event_id % 21 / 20 AS score, least(1.0, 0.03 * (event_id % 5 / 2)) AS a FROM events WHERE event_type = 'view') SELECT target, max(epoch) AS epoch, list_reduce(list_prepend({'s': 0.5::DOUBLE, 'a': 1.0::DOUBLE}, list({'s': score::DOUBLE, 'a': a::DOUBLE} ORDER BY epoch, article_id, sender)), lambda x, y: {'s': x.s * (1 - y.a) + y.a * y.s, 'a': 1.0::DOUBLE}).s AS reputation, count(*) AS n, 0 AS late FROM o GROUP BY target"
+P.queries["x03_stream_reputation"] = lambda spark, d: J.run(J.reputation(_events(spark, d).where("event_type = 'view'").select((F.col("user_id") % 97).alias("target"), F.floor(F.unix_timestamp("ts") / 3600).alias("epoch"), (F.col("event_id") % 40).alias("article_id"), (F.col("event_id") % 3).alias("sender"), (F.col("event_id") % 21 / 20).alias("score"), (F.col("event_id") % 5 / 2).alias("weight"))))
+P.sql["x03_stream_reputation"] = """WITH o AS (SELECT user_id % 97 AS target, floor(epoch(ts) / 3600)::BIGINT AS epoch, event_id % 40 AS article_id, event_id % 3 AS sender, event_id % 21 / 20 AS score, event_id % 5 / 2 AS weight FROM events WHERE event_type = 'view'), g AS (SELECT *, max(epoch) OVER (PARTITION BY target) AS newest FROM o WHERE weight > 0),
+s AS (SELECT *, least(1.0, 0.03 * weight) AS a FROM g WHERE epoch < newest QUALIFY row_number() OVER (PARTITION BY target, epoch, article_id, sender ORDER BY score, weight DESC) = 1), l AS (SELECT target, max(epoch) AS epoch, list({'s': score::DOUBLE, 'a': a::DOUBLE} ORDER BY epoch, article_id, sender) AS l FROM s GROUP BY target)
+SELECT t.target, coalesce(l.epoch, -1) AS epoch, list_reduce(list_prepend({'s': 0.5::DOUBLE, 'a': 1.0::DOUBLE}, coalesce(l, [])), lambda x, y: {'s': x.s * (1 - y.a) + y.a * y.s, 'a': 1.0::DOUBLE}).s AS reputation, coalesce(len(l), 0) AS n, 0 AS late FROM (SELECT DISTINCT target FROM o) t LEFT JOIN l USING (target)"""
 P.queries["x04_stream_accept_broadcasts"] = lambda spark, d: J.run(J.accept_broadcasts(_events(spark, d).select((F.col("user_id") % 11).alias("sender"), F.floor(F.unix_timestamp("ts") / 3600).alias("epoch"), (F.floor(F.unix_timestamp("ts") / 3600) + F.when(F.col("event_id") % 17 == 0, 500).otherwise(0)).alias("seq"), F.col("event_id").alias("arrival"))))
 P.sql["x04_stream_accept_broadcasts"] = "WITH m AS (SELECT user_id % 11 AS sender, floor(epoch(ts) / 3600)::BIGINT AS epoch, event_id AS arrival FROM events WHERE event_id % 17 <> 0), s AS (SELECT *, coalesce(max(epoch) OVER (PARTITION BY sender ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS b FROM m) SELECT sender, epoch, epoch AS seq, arrival FROM s WHERE epoch > b"
-P.queries["x05_stream_leases"] = lambda spark, d: J.run(J.leases(_events(spark, d).select((F.col("user_id") % 300).alias("item"), (F.col("event_id") % 9).alias("worker"), F.unix_micros("ts").alias("ts_s"), F.when(F.col("event_type") == "click", "open").otherwise("done").alias("what")), 3_600_000_000))
-P.sql["x05_stream_leases"] = "WITH e AS (SELECT user_id % 300 AS item, event_id % 9 AS worker, epoch_us(ts) AS ts_s, event_type FROM events), n AS (SELECT *, lead(ts_s) OVER (PARTITION BY item ORDER BY ts_s) AS nxt FROM e) SELECT item, worker, ts_s AS opened_s FROM n WHERE event_type = 'click' AND nxt - ts_s > 3600000000"
+P.queries["x05_stream_leases"] = lambda spark, d: J.run(J.leases(_events(spark, d).select((F.col("user_id") % 300).alias("item"), (F.col("event_id") % 9).alias("worker"), "ts", F.when(F.col("event_type") == "click", "open").otherwise("done").alias("what")), 3600))
+P.sql["x05_stream_leases"] = "WITH e AS (SELECT user_id % 300 AS item, event_id % 9 AS worker, epoch_us(ts) AS us, event_type FROM events), n AS (SELECT *, lead(us) OVER (PARTITION BY item ORDER BY us) AS nxt FROM e), w AS (SELECT epoch_ms(max(ts)) - 600000 AS ms FROM events) SELECT item, worker, us AS opened_us FROM n, w WHERE event_type = 'click' AND (nxt - us > 3600000000 OR (nxt IS NULL AND (us + 3600000000) // 1000 + 1 < ms))"
 P.queries["x06_stream_worker_health"] = lambda spark, d: J.run(J.worker_health(_events(spark, d).selectExpr("user_id % 97 % 9 AS worker", "floor(unix_timestamp(ts) / 3600) * 3600 + event_id % 3600 AS ts_s", "event_id AS seq", f"{_KINDS} AS kind", "CASE WHEN event_id % 9 = 0 THEN value ELSE 0.3 END AS value")))
 P.queries["x08_dedup_recent"] = lambda spark, d: J.run(J.dedup_recent(_events(spark, d).select("ts", (F.col("user_id") * 10 + F.length("event_type")).alias("key")), "key", "365 days")).select("key")
 P.sql["x08_dedup_recent"] = "SELECT DISTINCT user_id * 10 + length(event_type) AS key FROM events"
 
 
 def _stream_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Macro terms and economies of arriving documents; the stateless part of triage, without the gazetteer."""
-    docs = J.stream(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Rate cut in "), F.when(F.col("doc_id") % 2 == 0, "Japan").otherwise("town"), F.lit(". "), "text").alias("t"))
-    macro, economy = F.col("t").rlike(M.MACRO), F.col("t").rlike(M.ECONOMIES) | F.col("t").rlike(M.ABBREVIATIONS)
-    return J.run(docs.select("doc_id", F.when(macro & economy, "relevant").when(macro, "borderline").otherwise("irrelevant").alias("label")))
+    """The articles as they arrive, with the gazetteer's tables as they are."""
+    arriving = spark.sql(spelled("articles", "spark"), documents=J.stream(spark, sf_dir, "documents"))
+    dims = [table(spark, sf_dir, name) for name in ("gazetteer", "word_freq", "common_words")]
+    return J.triage(arriving, lambda batch: matching.asset_matches(batch, *dims))
 
 
 P.queries["x09_stream_triage"] = _stream_triage
-P.sql["x09_stream_triage"] = f"WITH t AS (SELECT doc_id, 'Rate cut in ' || CASE WHEN doc_id % 2 = 0 THEN 'Japan' ELSE 'town' END || '. ' || text AS t FROM documents) SELECT doc_id, CASE WHEN regexp_matches(t, '{M.MACRO}') AND (regexp_matches(t, '{M.ECONOMIES}') OR regexp_matches(t, '{M.ABBREVIATIONS}')) THEN 'relevant' WHEN regexp_matches(t, '{M.MACRO}') THEN 'borderline' ELSE 'irrelevant' END AS label FROM t"
+P.sql["x09_stream_triage"] = rf"WITH {cte('articles')}, f AS ({matching.P.sql['f01_triage_stage']}) SELECT f.*, sha256(trim(regexp_replace(lower(concat(title, ' ', substr(body, 1, 500))), '\s+', ' ', 'g'))) AS content_hash, len(regexp_extract_all(body, '\S+')) AS word_count FROM f JOIN articles USING (article_id)"

@@ -80,7 +80,8 @@ DIALECT = {
 }
 
 
-def _spelled(name: str, engine: str) -> str:
+def spelled(name: str, engine: str) -> str:
+    """The SQL of a view, with the tables that it reads in braces."""
     sql = VIEWS[name]
     for word, text in DIALECT[engine].items():
         sql = sql.replace(f"{{{word}}}", text)
@@ -91,7 +92,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, or a view of them."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    sql = _spelled(name, "spark").replace('"end"', "`end`")
+    sql = spelled(name, "spark").replace('"end"', "`end`")
     return spark.sql(sql, **{x: table(spark, sf_dir, x) for x in set(re.findall(r"\{(\w+)\}", sql))})
 
 
@@ -100,7 +101,7 @@ def cte(*names: str) -> str:
     out: list[str] = []
 
     def add(name: str) -> None:
-        sql = _spelled(name, "duckdb")
+        sql = spelled(name, "duckdb")
         for x in re.findall(r"\{(\w+)\}", sql):
             if x in VIEWS:
                 add(x)

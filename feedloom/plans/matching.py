@@ -33,12 +33,12 @@ RANKED = "ranked AS (SELECT *, row_number() OVER (PARTITION BY article_id ORDER
 DIMS = ("articles", "gazetteer", "word_freq", "common_words", "assets")
 
 
-def _matches(articles: DataFrame, gazetteer: DataFrame, word_freq: DataFrame, common_words: DataFrame) -> DataFrame:
+def asset_matches(articles: DataFrame, gazetteer: DataFrame, word_freq: DataFrame, common_words: DataFrame) -> DataFrame:
     return M.asset_matches(M.gazetteer_hits(articles, gazetteer), M.keyword_flags(gazetteer, word_freq, common_words))
 
 
 def _subjects(articles, gazetteer, word_freq, common_words, assets) -> DataFrame:
-    found = M.title_subjects(_matches(articles, gazetteer, word_freq, common_words), articles, assets, common_words)
+    found = M.title_subjects(asset_matches(articles, gazetteer, word_freq, common_words), articles, assets, common_words)
     return M.primary_subjects(found, assets)
 
 
@@ -52,10 +52,10 @@ def _doc_assets(*dims) -> DataFrame:
 
 P.add("j02_keyword_flags", lambda g, w, c: M.keyword_flags(g, w, c), f"WITH {FLAGS.replace('FROM gazetteer g', 'FROM gazetteer_whole g')} SELECT * FROM flags", "gazetteer_whole", "word_freq", "common_words")
 P.add("j01_gazetteer_hits", lambda a, g: M.gazetteer_hits(a, g), f"WITH {HITS} SELECT * FROM hits", "articles", "gazetteer")
-P.add("a01_asset_matches", lambda a, g, w, c: _matches(a, g, w, c), f"WITH {FLAGS}, {HITS}, {MATCHES} SELECT * FROM matches", *DIMS[:4])
+P.add("a01_asset_matches", lambda a, g, w, c: asset_matches(a, g, w, c), f"WITH {FLAGS}, {HITS}, {MATCHES} SELECT * FROM matches", *DIMS[:4])
 P.add("a02_primary_subjects", lambda *d: _subjects(*d[:5]).select("article_id", "asset_id", "symbol", "relevance", "is_primary"), f"WITH {FLAGS}, {HITS}, {MATCHES}, {PRIMARY} SELECT * FROM subjects", *DIMS)
 P.add("k02_top_assets", lambda *d: _ranked(*d).where("rank <= 3").select("article_id", "symbol", "rank"), f"WITH {FLAGS}, {HITS}, {MATCHES}, {PRIMARY}, {RANKED} SELECT article_id, symbol, rank FROM ranked WHERE rank <= 3", *DIMS)
-P.add("f01_triage_stage", lambda a, g, w, c: M.triage_stage(a, _matches(a, g, w, c)), f"""WITH {FLAGS}, {HITS}, {MATCHES}, x AS (SELECT article_id, article_id IN (SELECT article_id FROM matches) AS has, title || chr(10) || substr(body, 1, 4000) AS t FROM articles), y AS (SELECT *, regexp_matches(t, '{MACRO}') AS macro, regexp_matches(t, '{ECON}') OR regexp_matches(t, '{ABBR}') AS economy FROM x)
+P.add("f01_triage_stage", lambda a, g, w, c: M.triage_stage(a, asset_matches(a, g, w, c)), f"""WITH {FLAGS}, {HITS}, {MATCHES}, x AS (SELECT article_id, article_id IN (SELECT article_id FROM matches) AS has, title || chr(10) || substr(body, 1, 4000) AS t FROM articles), y AS (SELECT *, regexp_matches(t, '{MACRO}') AS macro, regexp_matches(t, '{ECON}') OR regexp_matches(t, '{ABBR}') AS economy FROM x)
 SELECT article_id, CASE WHEN has OR (macro AND economy) THEN 'relevant' WHEN macro THEN 'borderline' ELSE 'irrelevant' END AS label, CASE WHEN NOT has AND NOT macro THEN 'non_economic' END AS reason_code, CASE WHEN has THEN 0.95 WHEN macro AND economy THEN 0.7 WHEN macro THEN 0.5 ELSE 0.8 END::DOUBLE AS confidence FROM y""", *DIMS[:4])
 P.add("j03_sector_hits", lambda a, s: M.sector_hits(a, s), r"""WITH x AS (SELECT article_id, lower(title || chr(10) || body) AS t FROM articles), e AS (SELECT article_id, sector_id, symbol, count(*) AS n FROM x JOIN sectors ON CASE kind WHEN 'cashtag' THEN contains(t, lower(keyword)) ELSE length(keyword) >= 3 AND regexp_matches(t, '\b' || lower(keyword) || '\b') END WHERE sector_id <> 9 GROUP BY ALL)
 SELECT article_id, sector_id, symbol, CASE WHEN n > 2 THEN 'high' WHEN n > 1 THEN 'medium' ELSE 'low' END AS confidence, row_number() OVER (PARTITION BY article_id ORDER BY n DESC, sector_id)::INT AS rank FROM e UNION ALL SELECT article_id, 9, 'OTHER', 'low', 1 FROM articles WHERE article_id NOT IN (SELECT article_id FROM e)""", "articles", "sectors")

@@ -21,6 +21,7 @@ COLUMNS: dict[str, list[str]] = {
     "a21_commit_votes": ["weight"],
     "a23_cycle_metrics": ["p50", "p95", "completion", "ack_fail_rate", "timeout_rate"],
     "a24_log_stats": ["accept_rate"],
+    "a25_worker_fields": ["share"],
     "a25_worker_report": ["rate"],
     "a27_gold_eval": ["asset_recall", "language_accuracy", "direction_agreement"],
     "e05_match_narratives": ["score"],
@@ -36,6 +37,7 @@ COLUMNS: dict[str, list[str]] = {
     "j10_asset_agreement": ["agreement"],
     "j11_clone_pairs": ["sim"],
     "j11_clone_pairs_differential": ["sim"],
+    "j13_resolve_entities": ["confidence"],
     "k06_trending_events": ["momentum"],
     "p1_apply_model": ["peak"],
     "p3_vector_norm": ["n", "c"],
@@ -62,4 +64,5 @@ COLUMNS: dict[str, list[str]] = {
     "w09_reputation": ["reputation", "gate"],
     "w12_rolling_latency": ["median"],
     "x03_stream_reputation": ["reputation"],
+    "x09_stream_triage": ["confidence"],
 }

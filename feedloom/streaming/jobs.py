@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
+from feedloom.functions.text import content_hash, words
 from feedloom.operators import health
 from feedloom.operators.ledger import ALPHA, LEASE_TTL_S, PRIOR, SEQ_SKEW
+from feedloom.operators.match import triage_stage
 from feedloom.shared import shared_dir, ship
 
 EPOCH = "1 hour"
@@ -31,6 +34,21 @@ def run(df: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{top}/rows")
 
 
+def run_batches(df: DataFrame, each: Callable[[DataFrame], DataFrame], schema: str) -> DataFrame:
+    """Run a batch job over each micro-batch of a stream and return all rows. A batch that is run again after a failure
+    writes the same folder anew, so its rows count once."""
+    spark = df.sparkSession
+    top = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    columns = StructType.fromDDL(schema).names
+    spark.createDataFrame([], schema).write.parquet(f"{top}/rows/batch=-1")
+
+    def put(batch: DataFrame, n: int) -> None:
+        each(batch).select(*columns).write.mode("overwrite").parquet(f"{top}/rows/batch={n}")
+
+    df.writeStream.foreachBatch(put).option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(f"{schema}, batch int").parquet(f"{top}/rows").drop("batch")
+
+
 def epoch_points(ledger: DataFrame, late: str = "2 hours") -> DataFrame:
     """epoch_start, worker, points: closed when the watermark, two epochs behind, has passed."""
     return ledger.withWatermark("ts", late).groupBy(F.window("ts", EPOCH), "worker").agg(F.sum("points").alias("points")).select(F.col("window.start").alias("epoch_start"), "worker", "points")
@@ -64,42 +82,78 @@ def accept_broadcasts(messages: DataFrame) -> DataFrame:
 
 
 def reputation(observations: DataFrame, alpha: float = ALPHA, prior: float = PRIOR) -> DataFrame:
-    """target, epoch, reputation, n, late after each batch: the moving average in order of epoch, article and sender.
+    """target, epoch, reputation, n, late after each batch: the moving average over the epochs that are closed.
 
-    Observations of an epoch that is already closed (before the last one seen) are dropped and counted.
+    An epoch of a target closes when an observation of a later one arrives. Until then the state keeps its observations:
+    those in bounds (score 0 to 1, weight above 0 and up to 10), and of each article and sender the lowest score, then the
+    larger weight, as the batch form does. Observations of a closed epoch are dropped and counted.
     """
 
     def update(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        value, n, closed, late = state.get if state.exists else (prior, 0, -1, 0)
-        rows = pd.concat(list(frames)).sort_values(["epoch", "article_id", "sender"])
-        late += int((rows["epoch"] < closed).sum())
-        for epoch, score, weight in rows.loc[rows["epoch"] >= closed, ["epoch", "score", "weight"]].itertuples(index=False):
-            a = min(1.0, alpha * max(weight, 0.0))
-            value, n, closed = (1 - a) * value + a * score, n + 1, int(epoch)
-        state.update((float(value), int(n), int(closed), int(late)))
+        value, n, late, closed, epoch, *kept = state.get if state.exists else (prior, 0, 0, -1, -1, [], [], [], [])
+        waiting = {epoch: {(a, s): (g, -w) for a, s, g, w in zip(*kept, strict=True)}} if kept[0] else {}
+        for frame in frames:
+            sane = frame[frame["score"].between(0, 1) & (frame["weight"] > 0) & (frame["weight"] <= 10)]
+            late += int((sane["epoch"] < epoch).sum())
+            for e, article, sender, score, weight in sane.loc[sane["epoch"] >= epoch, ["epoch", "article_id", "sender", "score", "weight"]].itertuples(index=False):
+                seen = waiting.setdefault(int(e), {})
+                seen[(article, sender)] = min(seen.get((article, sender), (score, -weight)), (score, -weight))
+        *closing, epoch = sorted(waiting) or [epoch]
+        for closed in closing:
+            for _, (score, negated) in sorted(waiting[closed].items()):
+                a = min(1.0, -alpha * negated)
+                value, n = (1 - a) * value + a * score, n + 1
+        last = waiting.get(epoch, {})
+        lists = [[int(a) for a, _ in last], [int(s) for _, s in last], [float(g) for g, _ in last.values()], [float(-w) for _, w in last.values()]]
+        state.update((float(value), int(n), int(late), int(closed), int(epoch), *lists))
         yield pd.DataFrame([(key[0], closed, value, n, late)], columns=["target", "epoch", "reputation", "n", "late"])
 
-    return observations.groupBy("target").applyInPandasWithState(update, "target long, epoch long, reputation double, n long, late long", "value double, n long, closed long, late long", "append", GroupStateTimeout.NoTimeout)
+    held = "value double, n long, late long, closed long, epoch long, articles array<long>, senders array<long>, scores array<double>, weights array<double>"
+    return observations.groupBy("target").applyInPandasWithState(update, "target long, epoch long, reputation double, n long, late long", held, "append", GroupStateTimeout.NoTimeout)
 
 
-def leases(transitions: DataFrame, ttl: int = LEASE_TTL_S) -> DataFrame:
-    """item, worker, opened_s of leases that no completion closed in time; a new dispatch starts the time anew.
+def leases(transitions: DataFrame, ttl: int = LEASE_TTL_S, late: str = "10 minutes") -> DataFrame:
+    """item, worker, opened_us of leases that no completion closed in time; a new dispatch starts the time anew.
 
-    transitions: item, worker, ts_s, what (open or done). A lease times out when a later transition of its item shows
-    that its time is over.
+    transitions: item, worker, ts, what (open or done). A lease times out when a later transition of its item shows that its
+    time of ``ttl`` seconds is over, or else by a timer, when the watermark, ``late`` behind the newest transition of all
+    items, passes its end. An item without an open lease keeps no state.
     """
+    span = ttl * 1_000_000
 
     def watch(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         opened, worker = state.get if state.exists else (-1, -1)
         out = []
-        for w, ts, what in pd.concat(list(frames)).sort_values("ts_s")[["worker", "ts_s", "what"]].itertuples(index=False):
-            if opened >= 0 and ts - opened > ttl:
-                out.append((key[0], worker, opened))
-            opened, worker = (int(ts), int(w)) if what == "open" else (-1, -1)
-        state.update((opened, worker))
-        yield pd.DataFrame(out, columns=["item", "worker", "opened_s"])
-
-    return transitions.groupBy("item").applyInPandasWithState(watch, "item long, worker long, opened_s long", "opened long, worker long", "append", GroupStateTimeout.NoTimeout)
+        if state.hasTimedOut:
+            out, opened = [(key[0], worker, opened)], -1
+        else:
+            for w, ts, what in pd.concat(list(frames)).sort_values("ts_us")[["worker", "ts_us", "what"]].itertuples(index=False):
+                if opened >= 0 and ts - opened > span:
+                    out.append((key[0], worker, opened))
+                opened, worker = (int(ts), int(w)) if what == "open" else (-1, -1)
+        end = (opened + span) // 1000 + 1
+        if opened >= 0 and end <= state.getCurrentWatermarkMs():
+            out, opened = [*out, (key[0], worker, opened)], -1
+        if opened >= 0:
+            state.update((opened, worker))
+            state.setTimeoutTimestamp(end)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["item", "worker", "opened_us"])
+
+    rows = transitions.withWatermark("ts", late).select("item", "worker", "ts", F.unix_micros("ts").alias("ts_us"), "what")
+    return rows.groupBy("item").applyInPandasWithState(watch, "item long, worker long, opened_us long", "opened long, worker long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def triage(articles: DataFrame, matches: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """article_id, label, reason_code, confidence, content_hash, word_count of arriving articles: the triage stage over each
+    micro-batch, with the gazetteer's matches that ``matches`` finds for it, and the proof of read."""
+
+    def each(batch: DataFrame) -> DataFrame:
+        proof = batch.select("article_id", content_hash(F.col("title"), F.col("body")).alias("content_hash"), F.size(words(F.col("body"))).cast("long").alias("word_count"))
+        return triage_stage(batch, matches(batch)).join(proof, "article_id")
+
+    return run_batches(articles, each, "article_id long, label string, reason_code string, confidence double, content_hash string, word_count long")
 
 
 def worker_health(events: DataFrame) -> DataFrame:

@@ -105,7 +105,9 @@ def test_health_backoff_and_parking(spark):
     got = {r.worker: r for r in health.worker_health(df).collect()}
     assert got[1].until == 4 + 30 and got[1].window == 1.0
     assert got[2].parked_until == 0 and got[3].window == 4.25
-    assert [(w, what) for w, _, what in rows(health.health_sessions(df))] == [(2, "parked"), (2, "unparked")]
+    assert [(w, what) for w, _, what, *_ in rows(health.health_sessions(df)) if what != "batch_size_changed"] == [(2, "parked"), (2, "unparked")]
+    sizes = sorted((w, t, a, b) for w, t, what, a, b in rows(health.health_sessions(df)) if what == "batch_size_changed")
+    assert sizes == [(1, 0, 12, 9), (1, 1, 9, 6), (1, 2, 6, 5), (1, 3, 5, 4), (2, 9, 12, 9), (3, 1, 12, 14)]
     assert rows(health.parked_spans(health.health_sessions(df))) == [(2, 9, 50)]
 
 
