@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from feedloom.llm import byte_bpe, decontamination, importance, language_id, licenses, main_text, near_duplicates, neighbours, token_files, toxicity
@@ -285,6 +286,33 @@ def test_licence_rules(spark):
     assert got == ["MIT", "Apache-2.0,Proprietary", "Apache-2.0", "", "", "", ""]
 
 
+def test_whole_licence_texts(spark):
+    import textwrap
+
+    s = licenses.SENTENCES
+    fill = lambda *xs: "\n\n".join(textwrap.fill(x, 76) for x in xs)
+    claim = "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY."
+    mit = fill("MIT License", "Copyright (c) 2020 Some Body", s["mit-0"], s["mit-1"], s["mit-2"] + " " + claim)
+    bsd = lambda *keys: fill("Copyright (c) 2020, Some Body", s["bsd-1"], *[f"{i}. {s[k]}" for i, k in enumerate(keys, 1)], claim)
+    isc = fill("Copyright 2020 Some Body", s["isc-1"], s["isc-2"])
+    lesser = "\n".join(f" * {x}" for x in textwrap.wrap(s["lgpl21-1"] + " " + s["gpl-2"].replace("program", "library"), 70))
+    title = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007"
+    texts = [
+        mit, mit.replace("\n", "\r\n"), bsd("bsd-2", "bsd-binary"), bsd("bsd-2", "bsd-binary", "bsd-3"), bsd("bsd-2", "bsd-binary", "bsd-4"), isc, lesser, title,
+        "// SPDX-License-Identifier: Apache-2.0\nint x;", "#!/bin/sh\n# SPDX-License-Identifier: GPL-2.0-or-later\n", "/* SPDX-License-Identifier: MIT */", "SPDX-License-Identifier: MIT-0\n", "SPDX-License-Identifier: Unheard-1.0\n",
+        fill(s["zlib-1"] + " " + s["zlib-2"]), s["zlib-1"] + " Some text. " + s["reserved"] + " " + s["zlib-2"],
+    ]
+    want = ["MIT", "MIT", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "ISC", "LGPL-2.1", "GPL-3.0", "Apache-2.0", "GPL-2.0", "MIT", "MIT-0", "", "Zlib", "Proprietary"]
+    assert [r.licences for r in licenses.scan(frame(spark, texts)).orderBy("doc_id").collect()] == want
+
+
+def test_licence_scan_replaces_columns_of_its_names(spark):
+    df = frame(spark, ["All rights reserved."]).withColumn("licences", F.lit("old")).withColumn("a.b", F.lit(1))
+    got = licenses.scan(df).first().asDict()
+    assert got["licences"] == "Proprietary" and got["a.b"] == 1
+    assert licenses.scan(df.limit(0)).count() == 0
+
+
 def test_licences_wrapped_over_lines(spark):
     import textwrap
 
@@ -311,7 +339,7 @@ limitations under the License.
     got = [(r.sentence_ids, r.licences) for r in licenses.scan(frame(spark, texts)).orderBy("doc_id").collect()]
     whole = ("apache-1,apache-2,apache-3,apache-4", "Apache-2.0")
     assert got[:3] == [whole] * 3
-    assert got[3:6] == [("bsd-1,bsd-2,bsd-3", "BSD-2-Clause,BSD-3-Clause"), ("gpl-1,gpl-2", "GPL-3.0"), ("mit-1,warranty-1", "MIT")]
+    assert got[3:6] == [("bsd-1,bsd-2,bsd-3", "BSD-3-Clause"), ("gpl-1,gpl-2", "GPL-3.0"), ("mit-1,warranty-1", "MIT")]
     # Run together on one line, "at" is followed by the address, so that sentence doesn't end.
     assert got[6] == ("apache-1,apache-2,apache-4", "Apache-2.0")
     assert got[7:] == [("", "")] * 5 + [("reserved", "Proprietary")]
