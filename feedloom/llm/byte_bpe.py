@@ -2,7 +2,8 @@
 
 Encoding cuts each text into the matches of the tokenizer's pattern. The distinct matches of an Arrow batch
 become (word, position, token) rows; a recursive query joins neighbouring tokens with the merge table and
-contracts the leftmost pair of least rank of every word, until no word has a pair left. Decoding joins every id
+contracts the leftmost pair of least rank of every word, together with pairs that no merge of a lower rank can ever
+reach, until no word has a pair left. Decoding joins every id
 with the vocabulary and puts the pieces together by an aggregation ordered by position. The encoder keeps the
 words that it has solved in dictionaries of bounded size, so a repeated word costs one lookup.
 
@@ -19,7 +20,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections import ChainMap
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import duckdb
 import numpy as np
@@ -31,7 +34,7 @@ from feedloom.llm.arrow import CACHE_BYTES, CHARS_A_BATCH, ENTRY_BYTES, held, sl
 from feedloom.shared import ship
 
 #: Words, and bytes of words, in one recursive query; tokens in one query that decodes.
-WORDS_A_QUERY, BYTES_A_QUERY = 20_000, 400_000
+WORDS_A_QUERY, BYTES_A_QUERY = 50_000, 800_000
 TOKENS_A_QUERY = 1_000_000
 LONG = 64
 
@@ -44,20 +47,22 @@ _START = """
  SELECT w, pos, tok, lead(tok) OVER x AS nt, lead(pos) OVER x AS np, true AS going FROM start
  WINDOW x AS (PARTITION BY w ORDER BY pos)"""
 
-#: One round: k packs the best pair of each word as (merged id, its position, the position it swallows).
-_LEFTMOST = f"""
-WITH RECURSIVE s AS ({_START}
+#: One round contracts the leftmost pair of least rank of each word (k packs rank and position) and, with it, every pair
+#: whose rank is below that of any merge that could ever cross its left or its right end (pairs.c, see RankCodec). Such a
+#: pair stays as it is until its turn comes, so taking it early changes nothing, and no two taken pairs share a token.
+#: A key is the word's number and the byte's position; windows without an order of their own read the rows as r sorts them.
+_LEFTMOST = """
+WITH RECURSIVE s AS (
+ SELECT key, tok, lead(tok) OVER (PARTITION BY key >> 23 ORDER BY key) AS nt, true AS going FROM start
  UNION ALL
- (WITH r AS (SELECT w, pos, tok, nt, np, m FROM (SELECT * FROM s WHERE going) q LEFT JOIN merges ON a = tok AND b = nt),
-  best AS (SELECT w, min((m::BIGINT << 46) | (pos::BIGINT << 23) | np) AS k FROM r WHERE m IS NOT NULL GROUP BY w),
-  j AS (SELECT r.w, pos, tok, nt, np, (k >> 46)::INTEGER AS mt, ((k >> 23) & 8388607)::INTEGER AS spot,
-               (k & 8388607)::INTEGER AS gone FROM r LEFT JOIN best ON best.w = r.w),
-  g AS (SELECT w, nt AS gnt, np AS gnp FROM j WHERE pos = gone)
-  SELECT j.w, pos, CASE WHEN pos = spot THEN mt ELSE tok END,
-         CASE WHEN pos = spot THEN gnt WHEN np = spot THEN mt ELSE nt END,
-         CASE WHEN pos = spot THEN gnp ELSE np END, spot IS NOT NULL
-  FROM j LEFT JOIN g ON g.w = j.w WHERE spot IS NULL OR pos <> gone))
-SELECT w, list(tok ORDER BY pos) AS ids FROM s WHERE NOT going GROUP BY w ORDER BY w"""
+ (WITH q AS (SELECT key, tok, nt, m, coalesce(c, 2147483647) AS c FROM (SELECT * FROM s WHERE going) live LEFT JOIN pairs ON a = tok AND b = nt),
+  best AS (SELECT key >> 23 AS w, min((m::BIGINT << 23) | (key & 8388607)) AS k FROM q WHERE m IS NOT NULL GROUP BY ALL),
+  r AS (SELECT key, tok, m, c, k FROM q LEFT JOIN best ON w = key >> 23 ORDER BY key),
+  h AS (SELECT key, tok, m, k IS NOT NULL AS going,
+               coalesce(m < lag(c) OVER () AND m < lead(c) OVER () OR k = (m::BIGINT << 23) | (key & 8388607), false) AS here FROM r),
+  t AS (SELECT key, going, lag(here, 1, false) OVER () AS gone, CASE WHEN here THEN m ELSE tok END AS tok FROM h)
+  SELECT key, tok, CASE WHEN key >> 23 = lead(key >> 23) OVER () THEN lead(tok) OVER () END, going FROM t WHERE NOT gone))
+SELECT list(tok) AS ids FROM (SELECT key, tok FROM s WHERE NOT going ORDER BY key) GROUP BY key >> 23 ORDER BY key >> 23"""
 
 #: As above for long words: every pair equal to the best one, each second of overlapping ones, goes in one round if
 #: no merge with the new token has a lower rank (merges.calm); else only the leftmost.
@@ -77,8 +82,9 @@ WITH RECURSIVE s AS ({_START}
   SELECT w, pos, tok, lead(tok) OVER x, lead(pos) OVER x, going FROM left_over WINDOW x AS (PARTITION BY w ORDER BY pos)))
 SELECT w, list(tok ORDER BY pos) AS ids FROM s WHERE NOT going GROUP BY w ORDER BY w"""
 
+#: The aggregate takes the rows as they are sorted: one thread reads them, in their order.
 _PIECES = """
-SELECT t.w, string_agg(piece, '' ORDER BY pos) AS text FROM tokens t JOIN vocabulary v ON v.id = t.id GROUP BY t.w ORDER BY t.w"""
+SELECT w, string_agg(piece, '') AS text FROM (SELECT w, pos, piece FROM tokens JOIN vocabulary USING (id) ORDER BY pos) GROUP BY w ORDER BY w"""
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -110,10 +116,24 @@ class RankCodec:
         rough = set(a[m < a].tolist()) | set(b[m < b].tolist())  # tokens that a merge of a lower rank takes in
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         self._table("merges", {"a": a, "b": b, "m": m, "calm": np.array([x not in rough for x in m.tolist()], bool)})
-        # Bytes as the characters U+0100 to U+01FF: text that the database can put together and that has no NUL.
+        # For tokens a and b side by side: m, what they merge into, and c, the least rank of any merge of a token that ends
+        # with a and one that starts with b. No other merge can ever cross the place between the two.
+        ends = [(i, ranks[t[x:]]) for t, i in ranks.items() for x in range(len(t)) if t[x:] in ranks]
+        starts = [(i, ranks[t[:x]]) for t, i in ranks.items() for x in range(1, len(t) + 1) if t[:x] in ranks]
+        for name, found in (("ends", ends), ("starts", starts)):
+            whole, piece = np.array(found, np.int32).reshape(-1, 2).T
+            self._table(name, {"whole": whole, "piece": piece})
+        self.db.execute(
+            "CREATE TABLE pairs AS SELECT a, b, m, c FROM (SELECT e.piece AS a, t.piece AS b, min(m) AS c FROM merges"
+            " JOIN ends e ON e.whole = merges.a JOIN starts t ON t.whole = merges.b GROUP BY e.piece, t.piece) LEFT JOIN merges USING (a, b)"
+        )
+        self.db.execute("DROP TABLE ends")
+        self.db.execute("DROP TABLE starts")
+        # Bytes 01 to 7F as their own characters, others as U+0100 and the byte: text that the database can put together and
+        # that has no NUL; the low byte of each character is the byte.
         self._table(
             "vocabulary",
-            {"id": np.fromiter(ranks.values(), np.int32), "piece": pa.array(["".join(chr(256 + x) for x in t) for t in ranks])},
+            {"id": np.fromiter(ranks.values(), np.int32), "piece": pa.array(["".join(chr(x if 0 < x < 128 else 256 + x) for x in t) for t in ranks])},
         )
         self.byte_id = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
         joined = {t[i : i + 2] for t in ranks for i in range(len(t) - 1)}
@@ -141,10 +161,13 @@ class RankCodec:
         finally:
             self.db.unregister(name)
 
-    def _contract(self, parts: list[bytes], sql: str) -> list[np.ndarray]:
-        """Ids of each part by the recursive query, ``WORDS_A_QUERY`` parts or ``BYTES_A_QUERY`` bytes at a time."""
-        out: list[np.ndarray] = []
-        at = 0
+    def _contract(self, parts: list[bytes], sql: str) -> tuple[bytes, list[int]]:
+        """Ids of all parts, one part after the other, as little-endian 32-bit integers, and the bytes at which parts begin and end.
+
+        The recursive query takes ``WORDS_A_QUERY`` parts or ``BYTES_A_QUERY`` bytes at a time.
+        """
+        out, cuts = [], [np.zeros(1, np.int64)]
+        at = done = 0
         while at < len(parts):
             end, size = at, 0
             while end < len(parts) and end - at < WORDS_A_QUERY and (size == 0 or size + len(parts[end]) < BYTES_A_QUERY):
@@ -154,11 +177,14 @@ class RankCodec:
             tokens = self.byte_id[np.frombuffer(b"".join(parts[at:end]), np.uint8)]
             word = np.repeat(np.arange(end - at, dtype=np.int32), lens)
             pos = (np.arange(size) - np.repeat(np.cumsum(lens) - lens, lens)).astype(np.int32)
-            ids = self._ask(sql, "start", {"w": word, "pos": pos, "tok": tokens}).column("ids").combine_chunks()
-            flat, cuts = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
-            out += [flat[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-            at = end
-        return out
+            ids = self._ask(sql, "start", {"w": word, "pos": pos, "tok": tokens, "key": word.astype(np.int64) << 23 | pos}).column("ids").combine_chunks()
+            flat, ends = ids.flatten().to_numpy(zero_copy_only=False), np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            if (np.add.reduceat(self.length[flat], np.concatenate([[0], ends[:-1]])) != lens).any():
+                raise RuntimeError("tokens of a word don't have its length")
+            out.append(flat.astype("<u4").tobytes())
+            cuts.append(4 * (done + ends))
+            at, done = end, done + len(flat)
+        return b"".join(out), np.concatenate(cuts).tolist()
 
     def _stitched(self, part: bytes, width: int, found: dict[bytes, np.ndarray]) -> np.ndarray | None:
         """Ids of a part from those of its overlapping windows, or None if two windows agree on no token.
@@ -190,7 +216,8 @@ class RankCodec:
         todo, width = sorted(parts), 2 * LONG
         while todo:
             windows = sorted({part[i : i + width] for part in todo for i in range(0, max(len(part) - width // 2, 1), width // 2)})
-            found = dict(zip(windows, self._contract(windows, _TOGETHER), strict=True))
+            flat, cuts = self._contract(windows, _TOGETHER)
+            found = dict(zip(windows, [np.frombuffer(flat[x:y], "<u4") for x, y in pairwise(cuts)], strict=True))
             left = []
             for part in todo:
                 ids = self._stitched(part, width, found)
@@ -201,44 +228,54 @@ class RankCodec:
             todo, width = left, 8 * width
         return done
 
-    def encode_words(self, words: list[str]) -> None:
-        """Put the ids of words that are not known yet into ``self.words``, as little-endian 32-bit integers."""
+    def encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of each word, as little-endian 32-bit integers."""
         coded = [x.encode() for x in words]
         short = [i for i, x in enumerate(coded) if len(x) <= LONG]
-        done = [x.tobytes() for x in self._contract([coded[i] for i in short], _LEFTMOST)]
-        self.words.update(zip([words[i] for i in short], done, strict=True))
-        self.size += sum(map(len, done)) + sum(len(coded[i]) for i in short) + ENTRY_BYTES * len(short)
+        flat, cuts = self._contract([coded[i] for i in short], _LEFTMOST)
+        solved = dict(zip([words[i] for i in short], [flat[x:y] for x, y in pairwise(cuts)], strict=True))
         if len(short) == len(words):
-            return
+            return solved
         parts, spans = [], []
         for word, data in zip(words, coded, strict=True):
             if len(data) > LONG:
                 codes = np.frombuffer(data, np.uint8)
                 cuts = [0, *(np.flatnonzero(~self.joined[codes[:-1], codes[1:]]) + 1).tolist(), len(data)]
                 spans.append((word, len(parts), len(parts) + len(cuts) - 1))
-                parts += [data[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+                parts += [data[x:y] for x, y in pairwise(cuts)]
         few = sorted({x for x in parts if len(x) <= LONG})
-        solved = {part: ids.tobytes() for part, ids in zip(few, self._contract(few, _LEFTMOST), strict=True)}
-        solved |= self._long({x for x in parts if len(x) > LONG})
-        for word, x, y in spans:
-            self.words[word] = b"".join([solved[part] for part in parts[x:y]])
-            self.size += 4 * len(word) + len(self.words[word])
-
-    def _solve(self, kept: dict[str, bytes], pieces: list[str], before: str) -> None:
-        """Ids of new pieces, each after ``before``, from those of their words."""
-        for i in range(0, len(pieces), WORDS_A_QUERY):
-            some = pieces[i : i + WORDS_A_QUERY]
-            found = [self.matches(before + x) for x in some]
-            self.encode_words(list(set().union(*found).difference(self.words)))
-            word = self.words.__getitem__
-            done = [b"".join(map(word, x)) for x in found]
-            kept.update(zip(some, done, strict=True))
-            self.size += sum(map(len, some)) + sum(map(len, done)) + ENTRY_BYTES * len(some)
+        flat, cuts = self._contract(few, _LEFTMOST)
+        done = dict(zip(few, [flat[x:y] for x, y in pairwise(cuts)], strict=True)) | self._long({x for x in parts if len(x) > LONG})
+        return solved | {word: b"".join([done[part] for part in parts[x:y]]) for word, x, y in spans}
+
+    def _learn(self, words: set[str]) -> None:
+        """Keep the ids of words that are not known yet."""
+        found = self.encode_words(list(words.difference(self.words)))
+        self.words |= found
+        self.size += sum(map(len, found)) + sum(map(len, found.values())) + ENTRY_BYTES * len(found)
+
+    def _solve(self, bare: list[str], after_space: list[str]) -> None:
+        """Ids of new pieces, those at a text's start and those after a space, from those of their words.
+
+        Words that are a whole piece are kept as such only.
+        """
+        for i in range(0, max(len(after_space), 1), WORDS_A_QUERY):
+            some = [(self.after_space, after_space[i : i + WORDS_A_QUERY], " "), (self.bare, [] if i else bare, "")]
+            found = [[self.matches(before + x) for x in pieces] for _, pieces, before in some]
+            fresh = self.encode_words(list(set(chain.from_iterable(chain(*found))).difference(self.words)))
+            parts = set(chain.from_iterable(x for x in chain(*found) if len(x) > 1)).intersection(fresh)
+            self.words.update((x, fresh[x]) for x in parts)
+            self.size += sum(len(x) + len(fresh[x]) for x in parts) + ENTRY_BYTES * len(parts)
+            fresh = ChainMap(fresh, self.words)
+            for (kept, pieces, _), words in zip(some, found, strict=True):
+                done = [fresh[x[0]] if len(x) == 1 else b"".join([self.words[y] for y in x]) for x in words]
+                kept.update(zip(pieces, done, strict=True))
+                self.size += sum(map(len, pieces)) + sum(map(len, done)) + ENTRY_BYTES * len(pieces)
 
     def _part(self, text: str) -> bytes:
         """Ids of a text with runs of white space: all its matches are looked up."""
         words = self.matches(text)
-        self.encode_words(list(set(words).difference(self.words)))
+        self._learn(set(words))
         return b"".join(map(self.words.__getitem__, words))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -249,8 +286,7 @@ class RankCodec:
             return [b"".join([self.encode([part])[0] for part in parts_of(x)]) if x and len(x) > CHARS_A_BATCH else self.encode([x])[0] for x in texts]
         cut = [None if not text or _RUN.search(text) else text.split(" ") for text in texts]
         plain = [x for x in cut if x]
-        self._solve(self.bare, list({x[0] for x in plain}.difference(self.bare)), "")
-        self._solve(self.after_space, list(set().union(*(x[1:] for x in plain)).difference(self.after_space)), " ")
+        self._solve(list({x[0] for x in plain}.difference(self.bare)), list(set().union(*(x[1:] for x in plain)).difference(self.after_space)))
         find = self.after_space.__getitem__
         out = []
         for text, x in zip(texts, cut, strict=True):
@@ -270,7 +306,7 @@ class RankCodec:
             some = ids[i : i + TOKENS_A_QUERY]
             found = self._ask(_PIECES, "tokens", {"w": row[i : i + TOKENS_A_QUERY], "pos": np.arange(len(some)), "id": some})
             for at, text in zip(found.column("w").to_pylist(), found.column("text").to_pylist(), strict=True):
-                out[at].append(text.encode("utf-16-le")[::2])  # the low bytes of U+0100 to U+01FF
+                out[at].append(text.encode() if text.isascii() else text.encode("utf-16-le")[::2])
         return [b"".join(x) for x in out]
 
 

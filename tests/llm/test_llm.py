@@ -426,3 +426,15 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "toxicity", "near_duplicates", "decontamination", "tokens"]
 
 
+
+
+def test_contraction_of_words_with_ties_equals_the_library():
+    with open(RANKS, "rb") as f:
+        own = byte_bpe.RankCodec(f.read(), public_tokenizers.PATTERN)
+    dice = random.Random(5)
+    words = ["".join(dice.choices("abe téhnrs-", k=dice.randint(1, 40))) for _ in range(3000)] + [x * n for x in "aeh-= " for n in range(1, 65)]
+    ranks = byte_bpe.read_ranks(open(RANKS, "rb").read())
+    library = tiktoken.Encoding("whole", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    found = own.encode_words(words)
+    assert {x: np.frombuffer(y, "<u4").tolist() for x, y in found.items()} == {x: library.encode(x) for x in words}
+    assert own.decode([found[x] for x in words]) == [x.encode() for x in words]
