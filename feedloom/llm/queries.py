@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.llm import byte_bpe, decontamination, importance, language_id, licenses, main_text, near_duplicates, neighbours, token_files, toxicity
+from feedloom.llm import byte_bpe, conversations, decontamination, importance, language_id, licenses, main_text, near_duplicates, neighbours, periodic_runs, spot_signatures, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,18 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(documents, size=3, numerator=85, denominator=100)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digests(table(spark, sf_dir, "conversations"))
+
+
+def op12_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spot_signatures.compare_edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_toxicity": op2_toxicity,
@@ -72,9 +84,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_learned_partitions": op8_learned_partitions,
     "op9_licence_scan": op9_licence_scan,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_spot_signatures": op12_spot_signatures,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": decontamination.oracle(),
     "op9_licence_scan": licenses.oracle(),
+    "op11_conversation_repair": conversations.oracle(),
+    "op12_spot_signatures": spot_signatures.oracle(),
 }
