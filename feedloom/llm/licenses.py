@@ -140,8 +140,9 @@ def _pieces() -> list[tuple[str, str]]:
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     body = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    # Capitals are free now: S parts sentences, L is a line end or clause end. Each pattern takes whole runs.
-    for pattern, mark in ((r"[.!?][ \t\r\n]+", "S"), (r"\n[^a-z0-9S]*\n", "S"), (r"[:;][ \t\r]+|\n", "L"), ("[^a-z0-9SL]+", " "), ("(?: ?L)+ ?", "L"), ("[ L]?S[ SL]*", "S")):
+    # Capitals are free now: S parts sentences, L is a line end or clause end. Each pattern takes whole runs by classes of
+    # characters: a repeated group would be matched by recursion, as deep as the run is long.
+    for pattern, mark in ((r"[.!?][ \t\r\n]+", "S"), (r"\n[^a-z0-9S]*\n", "S"), (r"[:;][ \t\r]+|\n", "L"), ("[^a-z0-9SL]+", " "), ("[ L]*L[ L]*", "L"), ("[ L]?S[ SL]*", "S")):
         body = F.regexp_replace(body, pattern, mark)
     known = F.create_map(*[F.lit(x) for pair in _pieces() for x in pair])
     wanted = "|".join(a.replace(" ", "[ L]") for a, _ in sorted(_pieces(), key=lambda x: -len(x[0])))
