@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,7 +46,8 @@ _FURNITURE_NAME = re.compile(
     r"(?:^|[\s_-])(?<!has-)(?<!with-)(?<!no-)(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|newsletter|subscri\w*|share|social|sidebar|side|widget|related|recommend\w*|"
     r"nav\w*|menu|breadcrumbs?|site-header|masthead|footer|copyright|comments?|replies|discussion|disqus|popup|modal|overlay|toolbar|pagination|pager|login|search|form|alert|complementary|contentinfo|navigation)(?:$|[\s_-])"
 )
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_PLAIN = re.compile(r"[^>\"']*")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _ENDS = {name: re.compile(f"</{name}", re.I) for name in RAW}
@@ -53,11 +55,56 @@ _SPACE = re.compile(r"\s+")
 ARTICLE, ELSEWHERE, OUT = 2, 1, 0
 
 
+class Tags:
+    """The tags of a page, one after the other, in time proportional to the page.
+
+    A ``>`` inside quotes doesn't end a tag; where a quote is never closed, the tag ends at the next ``>`` after its name.
+    Quotes that are known not to lead to an end are not followed again.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last, self.hopeless = page, page.rfind(">"), set()
+
+    def _end(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag whose attributes start at ``at``, or -1."""
+        page, opened, pos = self.page, [], at
+        while True:
+            pos = _PLAIN.match(page, pos).end()
+            if pos < len(page) and page[pos] == ">":
+                return pos
+            closed = page.find(page[pos], pos + 1) if pos < len(page) and pos not in self.hopeless else -1
+            if closed < 0:
+                self.hopeless.update(opened)
+                if pos < len(page):
+                    self.hopeless.add(pos)
+                return page.find(">", at)
+            opened.append(pos)
+            pos = closed + 1
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """Start, end, name (lower case; empty for comments and declarations), closing, and attributes of the next tag from ``at``."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0 and start < self.last:
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, len(page) if end < 0 else end + 3, "", False, ""
+            if page[start + 1] in "!?":
+                return start, page.find(">", start) + 1, "", False, ""
+            if found := _NAME.match(page, start + 1):
+                end = self._end(found.end())
+                return start, end + 1, found[2].lower(), bool(found[1]), page[found.end() : end]
+            at = start + 1
+        if start >= 0 and (comment := page.find("<!--", at)) >= 0:
+            return comment, len(page), "", False, ""
+        return None
+
+
 def lines(page: str | None) -> list[tuple[str, int]]:
     """Blocks of text of a page, in order, with where they stand: in the article, elsewhere, or in furniture."""
     out: list[tuple[str, int]] = []
     held: list[str] = []
     stack: list[tuple[str, int]] = []  # open elements that change the place: name, place outside
+    opened: Counter[str] = Counter()  # how many elements of a name are in the stack
     place, at = ELSEWHERE, 0
 
     def flush():
@@ -67,18 +114,19 @@ def lines(page: str | None) -> list[tuple[str, int]]:
             out.append((text, place))
 
     page = page or ""
-    while tag := _TAG.search(page, at):
-        held.append(page[at : tag.start()])
-        at = tag.end()
-        name = (tag[2] or "").lower()
+    tags = Tags(page)
+    while tag := tags.next(at):
+        held.append(page[at : tag[0]])
+        _, at, name, closing, attributes = tag
         if not name:
             continue
-        if name in RAW and not tag[1]:
+        if name in RAW and not closing:
             flush()
             if name == "head":
                 stack.append((name, place))
+                opened[name] += 1
                 place = OUT
-            elif not tag[3].rstrip().endswith("/"):  # what follows is no markup until the element's own end
+            elif not attributes.rstrip().endswith("/"):  # what follows is no markup until the element's own end
                 end = _ENDS[name].search(page, at)
                 at = end.start() if end else len(page)
             continue
@@ -86,19 +134,19 @@ def lines(page: str | None) -> list[tuple[str, int]]:
             flush()
         elif name == "br":
             held.append(" ")
-        if tag[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    place = stack[i][1]
-                    del stack[i:]
+        if closing:
+            while opened[name]:
+                last, place = stack.pop()
+                opened[last] -= 1
+                if last == name:
                     break
             continue
-        if name in VOID or tag[3].rstrip().endswith("/"):
+        if name in VOID or attributes.rstrip().endswith("/"):
             continue
         if name == "body" and stack and stack[0][0] == "head":  # a head that was not closed
             place = stack[0][1]
             stack.clear()
-        attributes = tag[3]
+            opened.clear()
         marks = " ".join(x or y or z for x, y, z in _NAMES.findall(attributes)).lower() if attributes else ""
         new = place
         if place != OUT:
@@ -113,6 +161,7 @@ def lines(page: str | None) -> list[tuple[str, int]]:
         if new != place and name in INLINE:
             flush()
         stack.append((name, place))
+        opened[name] += 1
         place = new
     held.append(page[at:])
     flush()

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -438,3 +439,23 @@ def test_contraction_of_words_with_ties_equals_the_library():
     found = own.encode_words(words)
     assert {x: np.frombuffer(y, "<u4").tolist() for x, y in found.items()} == {x: library.encode(x) for x in words}
     assert own.decode([found[x] for x in words]) == [x.encode() for x in words]
+
+
+# -- hostile texts: long runs of what a pattern repeats
+@pytest.mark.parametrize("mark", [": ", "; ", ".\n", "\n-", "! ? ", "\n", ". : "])
+def test_licences_of_long_runs_of_separators(spark, mark):
+    text = mark * 500_000 + "\nReleased under the MIT License.\n" + mark * 1000
+    assert licenses.scan(frame(spark, [text])).first().licences == "MIT"
+
+
+@pytest.mark.parametrize("piece", ["<a b='c", "<a '>'", "<div>", "<!", "<", "<!--", "<a \"'>", "</x><p class='ad'>"])
+def test_lines_of_pages_that_never_close(piece):
+    page = piece * (2_000_000 // len(piece)) + "</x>"
+    start = time.perf_counter()
+    main_text.lines(page)
+    assert time.perf_counter() - start < 30
+
+
+def test_tags_end_outside_of_quotes():
+    assert main_text.lines("<p title='a>b'>one</p>") == [("one", 1)]
+    assert main_text.lines("<p title='x>two</p>three") == [("two", 1), ("three", 1)]
