@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.functions import scores as S
@@ -72,54 +69,51 @@ def dedup_entities(entities: DataFrame, doc: str = "doc_id", most: int = ENTITIE
     return done.withColumn("rank", rank).where(F.col("rank") <= most).select(doc, "type", "e.name", "e.confidence", "e.role", "e.sentiment", "rank")
 
 
-def mention_counts(df: DataFrame, text: str = "text", forms: str = "forms") -> DataFrame:
-    """``df`` with mention_count (1 at least) and first_offset of any form of three letters or more, as whole words."""
-
-    @F.pandas_udf("mention_count long, first_offset long")
-    def count(texts: pd.Series, lists: pd.Series) -> pd.DataFrame:
-        out = []
-        for body, own in zip(texts, lists, strict=True):
-            spans = sorted(m.span() for f in {(f or "").strip().lower() for f in (own if own is not None else [])} if len(f) >= 3 for m in re.finditer(rf"\b{re.escape(f)}\b", (body or "").lower()))
-            n, end = 0, -1
-            for a, b in spans:
-                n, end = n + (a >= end), max(end, b)
-            out.append((max(1, n), spans[0][0] if spans else None))
-        return pd.DataFrame(out, columns=["mention_count", "first_offset"]).astype({"first_offset": "Int64"})
+def quoted(text: Column) -> Column:
+    """A text as a regular expression for itself."""
+    return F.regexp_replace(text, r"([\\^$.|?*+()\[\]{}-])", r"\\$1")
 
-    return df.withColumn("m", count(text, forms)).select(*df.columns, "m.mention_count", "m.first_offset")
 
+def match_starts(text: Column, pattern: Column) -> Column:
+    """Places (from 0) at which the occurrences of a pattern start that regexp_extract_all finds: what lies between them
+    and the occurrences before, added up."""
+    pieces = F.zip_with(F.split(text, pattern), F.regexp_extract_all(text, pattern, F.lit(0)), lambda gap, found: F.struct(F.length(gap).alias("gap"), F.length(found).alias("size")))
+    start = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("at"))
+    step = lambda acc, p: F.struct(F.when(p["size"].isNull(), acc["starts"]).otherwise(F.concat(acc["starts"], F.array(acc["at"] + p["gap"]))).alias("starts"), F.coalesce(acc["at"] + p["gap"] + p["size"], acc["at"]).alias("at"))
+    return F.aggregate(pieces, start, step, lambda acc: acc["starts"])
 
-def disclosure_tail(df: DataFrame, markers: list[str], text: str = "text", share: float = 0.4, most: int = 3000) -> DataFrame:
-    """``df`` with its text cut at the first disclosure marker in its last part; the text is cut to ``most`` characters before."""
 
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series) -> pd.Series:
-        found = re.compile("|".join(markers), re.I)
+def mention_counts(df: DataFrame, text: str = "text", forms: str = "forms") -> DataFrame:
+    """``df`` with mention_count (1 at least) and first_offset of any form of three letters or more, as whole words.
 
-        def one(body: str | None) -> str:
-            body = (body or "")[:most]
-            for m in found.finditer(body):
-                if m.start() >= share * len(body):
-                    return body[: m.start()].rstrip()
-            return body
+    Occurrences that overlap are one mention; those that touch are two.
+    """
+    body = F.lower(F.coalesce(F.col(text), F.lit("")))
+    own = F.array_distinct(F.filter(F.transform(F.coalesce(F.col(forms), F.array().cast("array<string>")), lambda f: F.lower(F.trim(F.coalesce(f, F.lit(""))))), lambda f: F.length(f) >= 3))
+    rows = df.withColumns({"_body": body, "_own": own})
+    spans = F.transform("_own", lambda f: F.transform(match_starts(F.col("_body"), F.concat(F.lit(r"\b"), quoted(f), F.lit(r"\b"))), lambda s: F.struct(s.alias("start"), (s + F.length(f)).alias("end"))))
+    rows = rows.withColumn("_spans", F.array_sort(F.flatten(spans)))
+    fold = lambda acc, s: F.struct((acc["n"] + (s["start"] >= acc["end"]).cast("int")).alias("n"), F.greatest(acc["end"], s["end"]).alias("end"))
+    count = F.aggregate("_spans", F.struct(F.lit(0).alias("n"), F.lit(-1).alias("end")), fold, lambda acc: acc["n"])
+    return rows.select(*df.columns, F.greatest(count, F.lit(1)).cast("long").alias("mention_count"), F.try_element_at("_spans", F.lit(1))["start"].cast("long").alias("first_offset"))
 
-        return texts.map(one)
 
-    return df.withColumn(text, cut(text))
+def disclosure_tail(df: DataFrame, markers: list[str], text: str = "text", share: float = 0.4, most: int = 3000) -> DataFrame:
+    """``df`` with its text cut at the first disclosure marker in its last part; the text is cut to ``most`` characters before."""
+    body = F.substring(F.coalesce(F.col(text), F.lit("")), 1, most)
+    starts = match_starts(body, F.lit(f"(?i)(?:{'|'.join(markers)})"))
+    first = F.try_element_at(F.filter(starts, lambda s: s >= share * F.length(body)), F.lit(1))
+    return df.withColumn(text, F.coalesce(F.regexp_replace(F.left(body, first), r"\s+\z", ""), body))
 
 
 def transcript_roster(df: DataFrame, text: str = "text", forms: str = "forms", primary: str = "is_primary") -> DataFrame:
     """Assets without those that a transcript only names as a broker: every mention is followed by a desk word within 40 characters."""
-
-    @F.pandas_udf("boolean")
-    def only_desk(texts: pd.Series, lists: pd.Series) -> pd.Series:
-        out = []
-        for body, own in zip(texts, lists, strict=True):
-            spots = [m.end() for f in (own if own is not None else []) if f and len(f) >= 3 for m in re.finditer(re.escape(f), body or "", re.I)]
-            out.append(bool(spots) and bool(re.search(CONFERENCE, body or "")) and all(re.search(DESK, body[x : x + 40], re.I) for x in spots))
-        return pd.Series(out)
-
-    return df.where(F.col(primary) | ~only_desk(text, forms))
+    body = F.coalesce(F.col(text), F.lit(""))
+    own = F.filter(F.coalesce(F.col(forms), F.array().cast("array<string>")), lambda f: F.length(f) >= 3)
+    rows = df.withColumns({"_body": body, "_own": own})
+    ends = F.flatten(F.transform("_own", lambda f: F.transform(match_starts(F.col("_body"), F.concat(F.lit("(?i)"), quoted(f))), lambda s: s + F.length(f))))
+    only_desk = F.col("_body").rlike(CONFERENCE) & (F.size("_ends") > 0) & F.forall("_ends", lambda e: F.substring(F.col("_body"), e + 1, F.lit(40)).rlike("(?i)" + DESK))
+    return rows.withColumn("_ends", ends).where(F.col(primary) | ~only_desk).select(*df.columns)
 
 
 def mention_sentences(sentences: DataFrame, assets: DataFrame, doc: str = "doc_id", most: int = MENTIONS) -> DataFrame:

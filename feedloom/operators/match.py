@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.functions.text import text_of
+from feedloom.operators.keywords import ANYWHERE, keyword_spots, standing
 from feedloom.shared import small
 
 # Thresholds, cue words and blocked acronyms of the matcher.
@@ -27,8 +28,6 @@ ECONOMIES = (
     r"federal reserve|bank of england|bank of japan|bundesbank|renminbi|pound sterling)\b"
 )
 ABBREVIATIONS = r"\b(U\.?S\.?A?|EU|UK|IMF|ECB|Fed|BOJ|PBOC|OPEC|Treasury)\b|\b(dollar|euro|yen|yuan|ruble|rupee)s?\b"
-#: First tokens of keywords up to which they are looked for by an expression instead of a join of all tokens.
-FIRST_TOKENS = 2000
 #: Phases of a match in order of strength, with relevance, bonus in the title, and confidence.
 KINDS = {"cashtag": (3.0, 3.0, 1.0), "case_sensitive": (2.0, 2.0, 0.95), "identifier": (1.0, 2.0, 0.9), "alias": (0.5, 0.0, 0.7)}
 #: How a dependency's relationship acts.
@@ -73,39 +72,15 @@ def keyword_flags(gazetteer: DataFrame, word_freq: DataFrame, common_words: Data
     return rows.select(*gazetteer.columns, ambiguous.alias("ambiguous"), ((alpha & (common | (F.length(F.trim("keyword")) <= 1))) | blocked).alias("weak"))
 
 
-def _pattern() -> Column:
-    """A keyword as a regular expression with its kind's boundaries."""
-    quoted = F.regexp_replace("keyword", r"([\\^$.|?*+()\[\]{}-])", r"\\$1")
-    return F.when(F.col("kind") == "cashtag", F.concat(F.lower(quoted), F.lit("(?![a-z0-9])"))).when(F.col("kind") == "case_sensitive", F.concat(F.lit(r"\b"), quoted, F.lit(r"\b"))).otherwise(F.concat(F.lit(r"\b"), F.lower(quoted), F.lit(r"\b")))
-
-
 def gazetteer_hits(articles: DataFrame, gazetteer: DataFrame, doc: str = "article_id") -> DataFrame:
     """One row for each (doc, asset, kind, keyword) with hits, in_title and context.
 
-    The distinct tokens of a text meet the keywords' first tokens in a broadcast join, so a text is searched only for
-    keywords that it can hold; the text itself never moves. context: a finance cue, $ or % within 100 characters of
-    any occurrence.
+    One pass of the keywords' automaton over each text. context: a finance cue, $ or % within 100 characters of any occurrence.
     """
     usable = gazetteer.where((F.col("kind").isin("cashtag", "case_sensitive")) | ((F.col("kind") == "identifier") & (F.length("keyword") >= 3)) | ((F.col("kind") == "alias") & (F.length("keyword") >= 4)))
-    first = F.regexp_extract(F.lower("keyword"), r"(?U)\w+", 0)
-    keys = usable.select("asset_id", "kind", "keyword", first.alias("token"), _pattern().alias("pattern"))
-    both = F.concat(text_of(F.col("title")), F.lit("\n"), text_of(F.col("body")))
-    docs = articles.select(doc, text_of(F.col("title")).alias("title"), both.alias("text"))
-    tokens = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))
-    firsts = [row.token for row in keys.select("token").distinct().limit(FIRST_TOKENS + 1).collect()]
-    if len(firsts) <= FIRST_TOKENS:  # few enough for the expression: only tokens that begin a keyword become rows with the text
-        tokens = F.array_intersect(tokens, F.array(*map(F.lit, firsts)).cast("array<string>"))
-    near = docs.withColumn("token", F.explode(tokens)).join(small(keys), "token")
-    own = F.when(F.col("kind") == "case_sensitive", F.col("text")).otherwise(F.lower("text"))
-    head = F.when(F.col("kind") == "case_sensitive", F.col("title")).otherwise(F.lower("title"))
-    found = near.select(doc, "asset_id", "kind", "keyword", own.alias("text"), F.split(own, F.col("pattern")).alias("parts"), (F.regexp_count(head, F.col("pattern")) > 0).alias("in_title")).where(F.size("parts") > 1)
-    # Starts of the occurrences: what lies between them, plus the keyword's length for each before.
-    size = F.length("keyword")
-    starts = F.aggregate(F.slice("parts", F.lit(1), F.size("parts") - 1), F.array().cast("array<int>"), lambda acc, p: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)) + size, F.lit(0)) + F.length(p))))
-    spots = found.select(doc, "asset_id", "kind", "keyword", "in_title", "text", starts.alias("starts"))
-    window = lambda s: F.substring(F.col("text"), F.greatest(s - WINDOW_CHARS, F.lit(0)) + 1, F.least(s, F.lit(WINDOW_CHARS)) + size + WINDOW_CHARS)
-    context = F.exists("starts", lambda s: window(s).rlike(FINANCE) | window(s).contains("$") | window(s).contains("%"))
-    return spots.select(doc, "asset_id", "kind", "keyword", F.size("starts").cast("long").alias("hits"), "in_title", context.alias("context"))
+    found = keyword_spots(articles, usable, doc, text_of(F.col("title")), text_of(F.col("body")), near=FINANCE + "|[$%]", around=WINDOW_CHARS)
+    named = found.join(small(usable.select("kind", "keyword", "asset_id").distinct()), ["kind", "keyword"])
+    return named.select(doc, "asset_id", "kind", "keyword", F.size("starts").cast("long").alias("hits"), "in_title", "context")
 
 
 def asset_matches(hits: DataFrame, flags: DataFrame, doc: str = "article_id") -> DataFrame:
@@ -170,10 +145,11 @@ def top_assets(matches: DataFrame, k: int = 20, doc: str = "article_id") -> Data
 def sector_hits(articles: DataFrame, sectors: DataFrame, doc: str = "article_id") -> DataFrame:
     """Sectors with evidence (cashtags anywhere, identifiers of three letters or more as words), most first; else OTHER (9).
 
-    The sectors are a handful of rows, so every text is tested against all of them without a join.
+    One pass of the automaton of all sectors' keywords over each text.
     """
-    text = F.lower(F.concat(text_of(F.col("title")), F.lit("\n"), text_of(F.col("body"))))
-    rows = articles.select(doc, text.alias("text")).join(F.broadcast(sectors.where("sector_id <> 9 AND (kind = 'cashtag' OR length(keyword) >= 3)")), F.when(F.col("kind") == "cashtag", F.contains("text", F.lower("keyword"))).otherwise(F.regexp_count("text", F.concat(F.lit(r"\b"), F.lower("keyword"), F.lit(r"\b"))) > 0))
+    usable = sectors.where("sector_id <> 9 AND (kind = 'cashtag' OR length(keyword) >= 3)").withColumn("kind", F.when(F.col("kind") == "cashtag", "cashtag").otherwise("identifier"))
+    found = keyword_spots(articles, usable, doc, text_of(F.col("title")), text_of(F.col("body")), lambda kind: standing(kind, ANYWHERE))
+    rows = found.select(doc, "kind", "keyword").join(small(usable), ["kind", "keyword"])
     counts = rows.groupBy(doc, "sector_id", "symbol").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
     order = Window.partitionBy(doc).orderBy(F.desc("n"), "sector_id")
     level = F.when(F.col("n") > 2, "high").when(F.col("n") > 1, "medium").otherwise("low")
@@ -188,8 +164,8 @@ def top_keyword_class(posts: DataFrame, registry: DataFrame, other: int = 0, doc
     A cashtag anywhere scores 1.0; otherwise more than one identifier .9 and a single one .8; ties by registry order;
     confidence is high from .9.
     """
-    body = text_of(F.col(text))
-    rows = posts.select(F.col(doc).alias(doc), body.alias("t")).join(F.broadcast(registry), F.when(F.col("kind") == "cashtag", F.contains(F.lower("t"), F.lower("keyword"))).when(F.col("kind") == "case_sensitive", F.regexp_count("t", F.concat(F.lit(r"\b"), F.col("keyword"), F.lit(r"\b"))) > 0).otherwise(F.regexp_count(F.lower("t"), F.concat(F.lit(r"\b"), F.lower("keyword"), F.lit(r"\b"))) > 0))
+    found = keyword_spots(posts, registry, doc, None, text_of(F.col(text)), lambda kind: standing(kind, ANYWHERE))
+    rows = found.select(doc, "kind", "keyword").join(small(registry.select("class_id", "kind", "keyword")), ["kind", "keyword"])
     per = rows.groupBy(doc, "class_id").agg(F.max(F.col("kind") == "cashtag").alias("tag"), F.count("*").alias("n"))
     score = F.when(F.col("tag"), 1.0).when(F.col("n") > 1, 0.9).otherwise(0.8)
     best = per.withColumn("score", score).withColumn("i", F.row_number().over(Window.partitionBy(doc).orderBy(F.desc("score"), "class_id"))).where("i = 1")

@@ -56,9 +56,34 @@ SELECT doc_id, pos, text, qid, qid_title, CASE WHEN surface IS NOT NULL THEN can
 P.add("a06_dedup_entities", lambda c: E.dedup_entities(_resolved(c)), """WITH r AS (SELECT doc_id, pos, CASE WHEN pos % 2 = 0 THEN 'Namex' ELSE 'NameX' END AS name, CASE WHEN doc_id % 2 = 0 THEN 'org' ELSE model END AS type, score::DOUBLE AS confidence, CASE WHEN (doc_id + pos) % 3 = 0 THEN 'subject' ELSE 'mentioned' END AS role, CASE WHEN (doc_id + pos) % 5 = 0 THEN 'bullish' END AS sentiment FROM candidates),
 w AS (SELECT doc_id, lower(name) AS key, type, min(pos) AS pos, arg_max(name, (confidence, -pos)) AS name, max(confidence) AS confidence, CASE WHEN bool_or(role = 'subject') THEN 'subject' ELSE 'mentioned' END AS role, max(sentiment) AS sentiment FROM r GROUP BY ALL)
 SELECT doc_id, type, name, confidence, role, sentiment, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rank FROM w QUALIFY rank <= 15""", "candidates")
-P.add("w02_mention_counts", lambda a: E.mention_counts(a.select("article_id", F.concat("title", F.lit(" "), "body").alias("text"), F.array(F.lit("Acme Corp"), F.lit("acme"), F.lit("XY"), F.lit("bitcoin")).alias("forms"))).drop("text", "forms"), None, "articles")
-P.add("t08_disclosure_tail", lambda a: E.disclosure_tail(a.select("article_id", "body"), [r"photo:", r"shares of", r"disclosure"], "body").select("article_id", F.length("body").alias("n")), None, "articles")
-P.add("f17_transcript_roster", lambda a: E.transcript_roster(a.select("article_id", F.concat("body", F.lit(" Prepared remarks. John Doe of Acme Securities asked."), F.when(F.col("article_id") % 2 == 0, " Acme gained.").otherwise("")).alias("text"), F.array(F.lit("Acme ")).alias("forms"), (F.col("article_id") % 10 == 0).alias("is_primary"))).select("article_id"), None, "articles")
+P.add(
+    "w02_mention_counts",
+    lambda a: E.mention_counts(a.select("article_id", F.concat("title", F.lit(" "), "body").alias("text"), F.array(*map(F.lit, ["Acme Corp", "acme", "XY", "corp gained", "bitcoin"])).alias("forms"))).drop("text", "forms"),
+    r"""WITH f(form) AS (VALUES ('acme corp'), ('acme'), ('corp gained'), ('bitcoin')),
+x AS (SELECT article_id, form, string_split(regexp_replace(lower(title || ' ' || body), '\b' || form || '\b', chr(1), 'g'), chr(1)) AS p FROM articles, f),
+s AS (SELECT article_id, length(form) AS n, unnest(list_transform(range(1, len(p)), lambda k: list_sum(list_transform(p[1:k], lambda y: length(y))) + (k - 1) * length(form))) AS start FROM x),
+i AS (SELECT article_id, start, start >= coalesce(max(start + n) OVER (PARTITION BY article_id ORDER BY start, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS new FROM s),
+g AS (SELECT article_id, count(*) FILTER (new) AS n, min(start) AS first FROM i GROUP BY article_id)
+SELECT article_id, greatest(coalesce(n, 0), 1) AS mention_count, first::BIGINT AS first_offset FROM articles LEFT JOIN g USING (article_id)""",
+    "articles",
+)
+P.add(
+    "t08_disclosure_tail",
+    lambda a: E.disclosure_tail(a.select("article_id", "body"), [r"photo:", r"shares of", r"disclosure"], "body").select("article_id", F.length("body").alias("n")),
+    r"""WITH x AS (SELECT article_id, substr(body, 1, 3000) AS b FROM articles), s AS (SELECT *, string_split(regexp_replace(b, '(?i)(photo:|shares of|disclosure)', chr(1) || '\1' || chr(1), 'g'), chr(1)) AS p FROM x),
+y AS (SELECT *, list_filter(list_transform(range(1, len(p) // 2 + 1), lambda k: list_sum(list_transform(p[1:2 * k - 1], lambda z: length(z)))), lambda z: z >= 0.4 * length(b))[1] AS first FROM s)
+SELECT article_id, length(CASE WHEN first IS NULL THEN b ELSE regexp_replace(left(b, first::BIGINT), '\s+$', '') END) AS n FROM y""",
+    "articles",
+)
+P.add(
+    "f17_transcript_roster",
+    lambda a: E.transcript_roster(a.select("article_id", F.concat("body", F.lit(" Prepared remarks. John Doe of Acme Securities asked."), F.when(F.col("article_id") % 2 == 0, " Acme gained.").otherwise("")).alias("text"), F.array(F.lit("Acme ")).alias("forms"), (F.col("article_id") % 10 == 0).alias("is_primary"))).select("article_id"),
+    rf"""WITH x AS (SELECT article_id, body || ' Prepared remarks. John Doe of Acme Securities asked.' || CASE WHEN article_id % 2 = 0 THEN ' Acme gained.' ELSE '' END AS t FROM articles),
+s AS (SELECT *, string_split(regexp_replace(t, '(?i)acme ', chr(1), 'g'), chr(1)) AS p FROM x),
+y AS (SELECT *, list_transform(range(1, len(p)), lambda k: list_sum(list_transform(p[1:k], lambda z: length(z))) + k * 5) AS ends FROM s)
+SELECT article_id FROM y WHERE article_id % 10 = 0 OR len(list_filter(ends, lambda e: NOT regexp_matches(substr(t, (e + 1)::BIGINT, 40), '(?i){E.DESK}'))) > 0""",
+    "articles",
+)
 P.add("t09_norm_text", lambda a: a.select("article_id", F.sha2(T.norm_text(F.col("body")), 256).alias("h")), r"SELECT article_id, sha256(trim(regexp_replace(nfc_normalize(body), '\s+', ' ', 'g'))) AS h FROM articles", "articles")
 
 

@@ -2,11 +2,12 @@
 
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from feedloom.operators import attest, compare, entities, events, health, ledger, match, models
+from feedloom.operators import attest, compare, entities, events, health, keywords, ledger, match, models
 from feedloom.sources import feeds
 
 
@@ -63,11 +64,56 @@ def test_mentions_merge_overlaps(spark):
     assert [(r.mention_count, r.first_offset) for r in entities.mention_counts(df).collect()] == [(2, 0), (1, None), (1, None)]
 
 
+def test_mentions_roster_and_starts_equal_brute_force(spark):
+    draw = random.Random(9)
+    words = ["Acme", "Corp", "acme", "$AB", "a.b", "x", "Securities", "asked", "gained", "earnings call transcript", "Capital Markets", "é"]
+    texts = [" ".join(draw.choices(words, k=draw.randint(0, 40))) for _ in range(120)]
+    forms = ["Acme Corp", "Corp acme", "acme", "a.b", "x", " Gained "]
+    df = spark.createDataFrame([(i, t, forms, i % 5 == 0) for i, t in enumerate(texts)], "id long, text string, forms array<string>, is_primary boolean")
+    got = {r.id: (r.mention_count, r.first_offset) for r in entities.mention_counts(df).collect()}
+    kept = {r.id for r in entities.transcript_roster(df).collect()}
+    for i, t in enumerate(texts):
+        spans = sorted(m.span() for f in {f.strip().lower() for f in forms} if len(f) > 2 for m in re.finditer(rf"\b{re.escape(f)}\b", t.lower()))
+        n = sum(a >= max([-1, *(e for _, e in spans[:k])]) for k, (a, _) in enumerate(spans))
+        assert got[i] == (max(1, n), spans[0][0] if spans else None), t
+        ends = [m.end() for f in forms if len(f) > 2 for m in re.finditer(re.escape(f), t, re.I)]
+        only = bool(ends) and bool(re.search(entities.CONFERENCE, t)) and all(re.search(entities.DESK, t[e : e + 40], re.I) for e in ends)
+        assert (i in kept) == (i % 5 == 0 or not only), t
+
+
 def test_disclosure_only_in_the_last_part(spark):
     df = spark.createDataFrame([("Disclosure: x. " + "a" * 50 + " Disclosure: y",), ("plain",), (None,)], "text string")
     assert [len(r.text) for r in entities.disclosure_tail(df, ["disclosure:"]).collect()] == [65, 5, 0]
 
 
+def test_automaton_equals_regular_expressions(spark):
+    draw = random.Random(4)
+    words = ["gold", "$ABC", "ABC", "acme corp", "corp", "a a", "$AB", "x-y", "the", "ÉTÉ", "é", ".", "$abc1", "goldé", "_gold", "İ"]
+    texts = ["".join(w + draw.choice([" ", " ", "", ",", "\n"]) for w in draw.choices(words, k=draw.randint(0, 30))) for _ in range(150)] + [None, ""]
+    table = [("cashtag", "$ABC"), ("cashtag", "$ab"), ("case_sensitive", "ABC"), ("case_sensitive", "abc"), ("identifier", "gold"), ("identifier", "Acme Corp"), ("alias", "a a"), ("identifier", "x-y"), ("alias", "été"), ("alias", "$ABC")]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    found = keywords.keyword_spots(docs, spark.createDataFrame(table, "kind string, keyword string"), "id", F.lit("gold x"), F.col("text"), near="acme", around=5)
+    got = {(r.id, r.kind, r.keyword): (r.starts, r.in_title, r.context) for r in found.collect()}
+    wanted = {}
+    for i, t in enumerate(texts):
+        text = "gold x\n" + (t or "")
+        for kind, k in table:
+            own, key = (text, k) if kind == "case_sensitive" else (text.lower(), k.lower())
+            pattern = re.escape(key) + "(?![a-z0-9])" if kind == "cashtag" else rf"\b{re.escape(key)}\b"
+            starts = [m.start() for m in re.finditer(pattern, own)]
+            if starts:
+                wanted[i, kind, k] = (starts, starts[0] + len(k) <= 6, any("acme" in own[max(s - 5, 0) : s + len(k) + 5] for s in starts))
+    assert got == wanted and len(wanted) > 200
+
+
+def test_automaton_of_two_hundred_thousand_keywords(spark):
+    table = spark.range(200_000).selectExpr("'identifier' AS kind", "concat('key', id, ' name') AS keyword")
+    docs = spark.createDataFrame([(i, f"of key{i * 997} name and key{i} names") for i in range(200)], "id long, text string")
+    found = keywords.keyword_spots(docs, table, "id", None, F.col("text"))
+    assert sorted((r.id, r.keyword, r.starts) for r in found.collect()) == [(i, f"key{i * 997} name", [3]) for i in range(200)]
+    assert table.selectExpr("sum(length(keyword) + 8)").first()[0] > keywords.CHARS  # more than one list
+
+
 def test_clone_pairs_need_three_vectors(spark):
     df = spark.createDataFrame([(1, 0, [1.0, 0.0]), (1, 1, [1.0, 0.0]), (2, 0, [1.0, 0.0]), (2, 1, [1.0, 0.0]), (2, 2, [0.0, 1.0])], "batch_id long, pos int, vector array<double>")
     assert rows(compare.clone_pairs(df)) == [(2, 0, 1, 1.0)]
