@@ -1,10 +1,12 @@
 """Quality by importance resampling.
 
 Two generative models of hashed n-grams are counted: the target (texts labelled good) and the raw corpus (all texts).
-A text's importance is the mean over its n-grams of log p_target - log p_raw, times ``LENGTH``: the log weight of a
-passage of that many n-grams, so that long texts don't win by length. Texts are drawn without replacement by the Gumbel
-top-k trick: the k largest of log weight + Gumbel noise, with noise that is a hash of the id, so a repeated task draws
-the same. k is the number of texts whose importance reaches the cut that tells the labelled texts apart best.
+A text's log importance weight is the sum over its n-grams of log p_target - log p_raw. A sum grows with the length of
+a text, so the level that stands for "as good as not" is learned too: the mean log ratio that tells the labelled texts
+apart best, times the number of n-grams, is taken off (it is the log weight of a text of that length at the cut). Texts
+are drawn without replacement by the Gumbel top-k trick: the k largest of what is left + Gumbel noise, with noise that
+is a hash of the id, so a repeated task draws the same. k is the number of texts above the cut. The noise decides among
+texts that few n-grams speak for or against, as it should; many n-grams outweigh it.
 
 The n-grams are single words and pairs, single word shapes and pairs, and whether a word repeats the one before, each
 in hash buckets of their own. The target model and the cut are fitted on a bounded sample (``PER_CLASS`` labelled rows
@@ -29,7 +31,7 @@ from feedloom.llm.arrow import KEY, PieceCache, held, row_key, slices
 from feedloom.llm.labelled import sample
 from feedloom.shared import ship, written
 
-PER_CLASS, LENGTH, PRIOR = 8000, 50.0, 0.5
+PER_CLASS, PRIOR = 8000, 0.5
 #: Characters whose n-grams are counted together.
 CHARS = 600_000
 WORD_BITS, SHAPE_BITS = 16, 12
@@ -177,15 +179,17 @@ def resample(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     scored = rows.select("doc_id", *KEY, "text", "label").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, row long, row2 long, label int, n_ngrams long, mean double")
     uniform = (F.pmod(F.xxhash64("row", F.lit(17)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    importance = F.col("mean") * LENGTH
-    scored = written(scored.select("doc_id", *KEY, "label", "n_ngrams", importance.alias("importance"), (importance - F.log(-F.log(uniform))).alias("gumbel_key")), "importance")
-    known = scored.where("label IS NOT NULL AND importance IS NOT NULL").groupBy("label", "importance").count()
-    known = known.orderBy(F.xxhash64("label", "importance"), "importance", "label").limit(4 * per_class).toPandas()  # bounded also where ids repeat
-    parts = [known.loc[known["label"] == x, "importance"].to_numpy() for x in (1, 0)]
-    usable = scored.where("importance IS NOT NULL")
+    scored = written(scored.select("doc_id", *KEY, "label", "n_ngrams", "mean", (-F.log(-F.log(uniform))).alias("noise")), "importance")
+    known = scored.where("label IS NOT NULL AND mean IS NOT NULL").groupBy("label", "mean").count()
+    known = known.orderBy(F.xxhash64("label", "mean"), "mean", "label").limit(4 * per_class).toPandas()  # bounded also where ids repeat
+    parts = [known.loc[known["label"] == x, "mean"].to_numpy() for x in (1, 0)]
+    both = bool(len(parts[0]) and len(parts[1]))
+    cut = cut_between(*parts) if both else 0.0
+    drawn = scored.select("doc_id", *KEY, "n_ngrams", "mean", (F.col("mean") * F.col("n_ngrams")).alias("importance"), ((F.col("mean") - cut) * F.col("n_ngrams") + F.col("noise")).alias("gumbel_key"))
+    usable = drawn.where("mean IS NOT NULL")
     least = float("-inf")
-    if len(parts[0]) and len(parts[1]):
-        k = usable.where(F.col("importance") >= cut_between(*parts)).count()
+    if both:
+        k = usable.where(F.col("mean") >= cut).count()
         least = kth_largest(usable.select("gumbel_key"), "gumbel_key", k) if k else float("inf")
     kept = F.coalesce(F.col("gumbel_key") >= F.lit(least), F.lit(False))
-    return scored.select("doc_id", *KEY, "n_ngrams", "importance", "gumbel_key", kept.alias("kept"))
+    return drawn.select("doc_id", *KEY, "n_ngrams", "importance", "gumbel_key", kept.alias("kept"))

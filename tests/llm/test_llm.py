@@ -459,3 +459,71 @@ def test_lines_of_pages_that_never_close(piece):
 def test_tags_end_outside_of_quotes():
     assert main_text.lines("<p title='a>b'>one</p>") == [("one", 1)]
     assert main_text.lines("<p title='x>two</p>three") == [("two", 1), ("three", 1)]
+
+
+# -- brute force and edge cases of the models
+def test_importance_weights_and_draw_equal_brute_force(spark):
+    draw = random.Random(11)
+    texts = [" ".join("".join(draw.choices("abc" if i % 3 else "xyzXYZ!", k=draw.randint(1, 4))) for _ in range(draw.randint(1, 30))) for i in range(300)] + [None, "", "w " * 200_000]
+    labels = {i: int(i % 3 > 0) for i in range(0, 200)}
+    docs = spark.createDataFrame([(i, t, 1.0, True) for i, t in enumerate(texts)], "doc_id long, text string, importance double, kept boolean")
+    got = {r.doc_id: r for r in importance.resample(docs, spark.createDataFrame(list(labels.items()), "doc_id long, quality int")).collect()}
+    owner, bucket = importance.ngrams(texts)
+    raw = np.bincount(bucket, minlength=importance.SIZE)
+    good = np.bincount(bucket[np.array([labels.get(i) == 1 for i in range(len(texts))])[owner]], minlength=importance.SIZE)
+    ratio, n = importance.log_ratio(good.astype(float), raw.astype(float)), np.bincount(owner, minlength=len(texts))
+    total = np.bincount(owner, weights=ratio[bucket], minlength=len(texts))
+    with np.errstate(invalid="ignore"):
+        mean = total / n
+    cut = importance.cut_between(*(np.array([mean[i] for i, x in labels.items() if x == side]) for side in (1, 0)))
+    noise = {r.doc_id: r.u for r in docs.selectExpr("doc_id", "(pmod(xxhash64(xxhash64(doc_id, text), 17), 4503599627370496) + 0.5D) / 4503599627370496D AS u").collect()}
+    keys = {i: (mean[i] - cut) * n[i] - np.log(-np.log(noise[i])) for i in range(len(texts)) if n[i]}
+    k = sum(mean[i] >= cut for i in keys)
+    kept = set(sorted(keys, key=lambda i: -keys[i])[:k])
+    assert {i for i, r in got.items() if r.kept} == kept and k < len(keys)
+    for i, r in got.items():
+        assert r.n_ngrams == n[i] and (r.importance is None if not n[i] else r.importance == pytest.approx(total[i]) and r.gumbel_key == pytest.approx(keys[i]))
+    assert importance.resample(docs.limit(0), spark.createDataFrame(list(labels.items()), "doc_id long, quality int")).count() == 0
+
+
+def test_toxicity_chain_equals_a_chain_by_hand(spark):
+    draw = random.Random(12)
+    rows = [(i, " ".join(draw.choices(["calm", "day", "sun", "tree"] + ["nasty", "vile"] * (i % 3 == 0), k=draw.randint(3, 20)))) for i in range(300)] + [(900, None), (901, "vile nasty " * 100_000)]
+    docs = spark.createDataFrame([(*r, "k", 0.5) for r in rows], "doc_id long, text string, label string, p_toxic double")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(240)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.classify(docs, labels).collect()}
+    known = spark.createDataFrame([(t, int(i % 3 == 0)) for i, t in rows[:240]], "text string, label int")
+    features = toxicity.Terms(toxicity.learned_terms(known))
+    x, places = features.features([t for _, t in rows[:240]])
+    toxic = np.array([float(i % 3 == 0) for i in range(240)])
+    fold = np.array([r.f for r in spark.range(240).selectExpr("pmod(xxhash64(id, 3), 5) AS f").collect()])
+    columns, betas = x, []
+    for y in (toxic * (places >= 1), toxic * (places >= toxicity.INSISTENT), toxic):
+        out = np.zeros(240)
+        for k in range(toxicity.FOLDS):
+            out[fold == k] = toxicity.probability(columns[fold == k], toxicity.logistic(columns[fold != k], y[fold != k]))
+        betas.append(toxicity.logistic(columns, y))
+        columns = np.column_stack([columns, out])
+    every, _ = features.features([t for _, t in rows])
+    for beta in betas:
+        every = np.column_stack([every, toxicity.probability(every, beta)])
+    for (i, _), p in zip(rows, every[:, -3:], strict=True):
+        assert (got[i].p_abusive, got[i].p_insistent, got[i].p_toxic) == pytest.approx(tuple(p), abs=1e-6)
+    assert all(got[i].is_toxic == ("nasty" in (t or "") or "vile" in (t or "")) for i, t in rows) and got[901].label == "k"
+    assert toxicity.classify(docs.limit(0), labels).count() == 0
+
+
+def test_empty_tables_of_pages_languages_and_vectors(spark):
+    assert main_text.extract(spark.createDataFrame([], "page_id long, url string, html string, shared int, row long")).count() == 0
+    assert language_id.identify(spark.createDataFrame([], "doc_id long, text string, lang string"), public_tokenizers.path("piece_bpe_32k.model")).count() == 0
+
+
+def test_probes_are_never_in_the_sample(spark):
+    draw = np.random.default_rng(4)
+    for n in (30, 400, 1000):
+        df = spark.createDataFrame([(i, draw.normal(size=4).tolist()) for i in range(n)], "vec_id long, vector array<double>")
+        learned = min(neighbours.SAMPLE, max(n - neighbours.PROBES, n // 2))
+        turn = df.withColumn("turn", neighbours._turn(F.col("vector")))
+        sample = {r.vec_id for r in turn.orderBy("turn", "vec_id").limit(learned).collect()}
+        probes = {r.vec_id for r in turn.orderBy(F.desc("turn"), F.desc("vec_id")).limit(min(neighbours.PROBES, n - learned)).collect()}
+        assert probes and not sample & probes
