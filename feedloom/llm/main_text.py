@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloom.llm.arrow import slices
+from feedloom.llm.arrow import possible, slices
 from feedloom.shared import ship, small, written
 
 # HTML elements by their part in a page.
@@ -305,6 +305,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
                     out.append("\n".join(kept_lines(lines(page), set(drop or ()))))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    rows = keyed.join(shared, "row", "left").select("page_id", "url", "html", "shared")
+    # Only pages that may have lines to delete meet the list of them; the others' html stays where it is.
+    rows = possible(keyed, shared).join(shared, "row", "left").select("page_id", "url", "html", "shared")
+    rows = rows.union(possible(keyed, shared, inside=False).select("page_id", "url", "html", F.lit(None).cast("array<int>")))
     kind = pages.schema[page_id].dataType.simpleString()
     return rows.mapInArrow(joined, f"page_id {kind}, url string, text string, n_chars long")
