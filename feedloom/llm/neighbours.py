@@ -6,9 +6,10 @@ of most neighbours while sizes stay balanced. A small classifier (one hidden lay
 neighbours. Every row of the table is put into its most probable partition; a query goes to its most probable ones, and
 the vectors there are compared with it exactly.
 
-How many partitions a query visits is measured on the whole table: for ``PROBES`` vectors that the classifier was not
-fitted on, an exact search over all rows gives the true neighbours, and the smallest number of visits that finds
-``RECALL`` of them is taken. Partitions number one for each ``TARGET`` rows, and at most one for each ``EDGES`` rows of the
+How many partitions a query visits is measured on the whole table: for up to ``PROBES`` vectors that the classifier was
+not fitted on, an exact search over all rows gives the true neighbours, and the smallest number of visits that finds
+``RECALL`` of them is taken. Sample and probes are the two ends of one order of the rows, by a hash of id and vector, and a
+small table keeps half of its rows out of the sample. Partitions number one for each ``TARGET`` rows, and at most one for each ``EDGES`` rows of the
 sample, which has to hold some of each; a larger ``sample`` lets them number more.
 
 Partitions are cut into blocks of candidates and of queries, so no task holds a whole partition, however many equal
@@ -165,16 +166,21 @@ def _placed(rows: DataFrame, model) -> DataFrame:
                 packed[i] = values[at : at + n].tobytes()
             if len(same := np.flatnonzero(lengths == common)):
                 part[same] = router.ranked(np.stack([values[offsets[i] : offsets[i] + common] for i in same]))[:, 0] if router else 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(part), pa.array(packed, pa.binary())], ["vec_id", "asked", "part", "vector"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), pa.array(part), pa.array(packed, pa.binary())], ["vec_id", "asked", "turn", "part", "vector"])
 
-    found = rows.select("vec_id", "asked", "length", "vector").mapInArrow(run, "vec_id long, asked boolean, part int, vector binary")
+    found = rows.select("vec_id", "asked", "length", "vector", _turn(F.col("vector")).alias("turn")).mapInArrow(run, "vec_id long, asked boolean, turn long, part int, vector binary")
     return written(found.select(F.monotonically_increasing_id().alias("row"), "*"), "index")
 
 
-def _visits(index: DataFrame, router: Router, k: int) -> int:
-    """Partitions that a query has to visit, from an exact search of all rows for vectors outside the sample."""
-    order = F.xxhash64("row", F.lit(29))
-    probes = index.where("part >= 0").orderBy(order.desc(), "row").select("row", "vector").limit(PROBES).toPandas()  # the sample has the smallest hashes
+def _turn(vector: Column) -> Column:
+    """The order of rows whose first ones are the sample, and whose last ones the probes."""
+    return F.xxhash64("vec_id", vector, F.lit(23))
+
+
+def _visits(index: DataFrame, router: Router, k: int, outside: int) -> int:
+    """Partitions that a query has to visit, from an exact search of all rows for vectors outside the sample, which leaves
+    ``outside`` rows."""
+    probes = index.where("part >= 0").orderBy(F.col("turn").desc(), F.desc("vec_id")).select("row", "vector").limit(min(PROBES, outside)).toPandas()
     x, own = np.stack([np.frombuffer(v, np.float64) for v in probes["vector"]]), probes["row"].to_numpy()
     asked = index.sparkSession.sparkContext.broadcast((x, own))  # PROBES vectors
 
@@ -208,16 +214,17 @@ def nearest(df: DataFrame, asked: Column | str = "vec_id % 100 = 0", k: int = 10
     rows = usable(df, vec_id, embedding, F.expr(asked) if isinstance(asked, str) else asked)
     sizes = rows.groupBy("length").count().orderBy(F.desc("count"), "length").limit(1000).collect()
     common, total = (sizes[0]["length"], sizes[0]["count"]) if sizes else (0, 0)
-    router = None
-    if total > 2 * k:
-        some = rows.where(F.col("length") == common).select("vec_id", "vector").orderBy(F.xxhash64("vec_id", F.lit(23)), "vec_id").limit(sample).toPandas()  # bounded by sample
+    router, learned = None, 0
+    if total > 2 * k:  # fewer rows are one partition, which is searched whole
+        learned = min(sample, max(total - PROBES, total // 2))
+        some = rows.where(F.col("length") == common).select("vec_id", "vector").orderBy(_turn(F.col("vector")), "vec_id").limit(learned).toPandas()  # bounded by sample
         x = np.array(some["vector"].tolist())
         router = learn(x, max(2, min(-(-total // target), len(x) // EDGES)))
         del some, x
     model = spark.sparkContext.broadcast((router, common))  # two small matrices
     index = _placed(rows, model)
     parts = router.parts if router else 1
-    visits = _visits(index, router, k) if router else 1
+    visits = _visits(index, router, k, total - learned) if router else 1
 
     def probes(frame: DataFrame, limit: int) -> DataFrame:
         """Query rows, once for each partition that they visit."""
