@@ -225,9 +225,13 @@ def failure_class(discrepancies: DataFrame, batch: str = "batch_id") -> DataFram
 def rarity_weights(reference: DataFrame, fields: list[str], least: int = 200) -> DataFrame:
     """field, label, weight: -log2 of the label's share (at least a hundredth); nothing below ``least`` records."""
     rows = reference.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("label")) for f in fields])).alias("x")).select("x.*")
-    counts = rows.groupBy("field", "label").agg(F.count("*").alias("n"))
+    return rarity_of_counts(rows.groupBy("field", "label").agg(F.count("*").alias("n")), least).drop("total")
+
+
+def rarity_of_counts(counts: DataFrame, least: int = 200) -> DataFrame:
+    """field, label, weight and total (records of the field) of counts (field, label, n): one row for each label."""
     total = F.sum("n").over(Window.partitionBy("field"))
-    return counts.withColumn("total", total).where(F.col("total") >= least).select("field", "label", (-F.log2(F.greatest(F.lit(0.01), F.col("n") / F.col("total")))).alias("weight"))
+    return counts.withColumn("total", total).where(F.col("total") >= least).select("field", "label", (-F.log2(F.greatest(F.lit(0.01), F.col("n") / F.col("total")))).alias("weight"), "total")
 
 
 def faithfulness(cosine: Column, copy_spread: Column, n_tokens: Column, own_polarity: Column, text_polarity: Column) -> Column:

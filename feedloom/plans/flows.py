@@ -132,17 +132,25 @@ P.queries["x01_stream_epoch_points"] = lambda spark, d: J.run(J.epoch_points(_ev
 P.sql["x01_stream_epoch_points"] = "WITH e AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS epoch_start, user_id % 97 AS worker, round(abs(value))::BIGINT AS points, ts FROM events WHERE event_type = 'purchase') SELECT epoch_start, worker, sum(points)::BIGINT AS points FROM e WHERE epoch_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM e) GROUP BY ALL"
 P.queries["x02_stream_weight_window"] = lambda spark, d: J.run(J.weight_window(_events(spark, d).where("event_type = 'purchase'").select("ts", (F.col("user_id") % 7).alias("worker"), F.round(F.abs("value")).cast("long").alias("points")), 4))
 P.sql["x02_stream_weight_window"] = "WITH e AS (SELECT ts, user_id % 7 AS worker, round(abs(value))::BIGINT AS points FROM events WHERE event_type = 'purchase'), w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR * k AS window_end, worker, points FROM e, (VALUES (1), (2), (3), (4)) t(k)) SELECT window_end, worker, sum(points)::BIGINT AS points FROM w WHERE window_end <= (SELECT max(ts) - INTERVAL 2 HOUR FROM e) GROUP BY ALL"
-P.queries["x03_stream_reputation"] = lambda spark, d: J.run(J.reputation(_events(spark, d).where("event_type = 'view'").select((F.col("user_id") % 97).alias("target"), F.floor(F.unix_timestamp("ts") / 3600).alias("epoch"), (F.col("event_id") % 40).alias("article_id"), (F.col("event_id") % 3).alias("sender"), (F.col("event_id") % 21 / 20).alias("score"), (F.col("event_id") % 5 / 2).alias("weight"))))
-P.sql["x03_stream_reputation"] = """WITH o AS (SELECT user_id % 97 AS target, floor(epoch(ts) / 3600)::BIGINT AS epoch, event_id % 40 AS article_id, event_id % 3 AS sender, event_id % 21 / 20 AS score, event_id % 5 / 2 AS weight FROM events WHERE event_type = 'view'), g AS (SELECT *, max(epoch) OVER (PARTITION BY target) AS newest FROM o WHERE weight > 0),
-s AS (SELECT *, least(1.0, 0.03 * weight) AS a FROM g WHERE epoch < newest QUALIFY row_number() OVER (PARTITION BY target, epoch, article_id, sender ORDER BY score, weight DESC) = 1), l AS (SELECT target, max(epoch) AS epoch, list({'s': score::DOUBLE, 'a': a::DOUBLE} ORDER BY epoch, article_id, sender) AS l FROM s GROUP BY target)
-SELECT t.target, coalesce(l.epoch, -1) AS epoch, list_reduce(list_prepend({'s': 0.5::DOUBLE, 'a': 1.0::DOUBLE}, coalesce(l, [])), lambda x, y: {'s': x.s * (1 - y.a) + y.a * y.s, 'a': 1.0::DOUBLE}).s AS reputation, coalesce(len(l), 0) AS n, 0 AS late FROM (SELECT DISTINCT target FROM o) t LEFT JOIN l USING (target)"""
-P.queries["x04_stream_accept_broadcasts"] = lambda spark, d: J.run(J.accept_broadcasts(_events(spark, d).select((F.col("user_id") % 11).alias("sender"), F.floor(F.unix_timestamp("ts") / 3600).alias("epoch"), (F.floor(F.unix_timestamp("ts") / 3600) + F.when(F.col("event_id") % 17 == 0, 500).otherwise(0)).alias("seq"), F.col("event_id").alias("arrival"))))
+P.queries["x03_stream_reputation"] = lambda spark, d: J.run(
+    J.reputation(_events(spark, d).where("event_type = 'view'").select("ts", (F.col("user_id") % 97).alias("target"), F.floor(F.unix_timestamp("ts") / 3600).alias("epoch"), (F.col("event_id") % 40).alias("article_id"), (F.col("event_id") % 3).alias("sender"), (F.col("event_id") % 21 / 20).alias("score"), (F.col("event_id") % 5 / 2).alias("weight")))
+)
+P.sql["x03_stream_reputation"] = """WITH o AS (SELECT ts, user_id % 97 AS target, floor(epoch(ts) / 3600)::BIGINT AS epoch, event_id % 40 AS article_id, event_id % 3 AS sender, event_id % 21 / 20 AS score, event_id % 5 / 2 AS weight FROM events WHERE event_type = 'view'),
+w AS (SELECT epoch_ms(max(ts)) AS newest FROM o),
+s AS (SELECT o.*, least(1.0, 0.03 * weight) AS a FROM o, w WHERE weight > 0 AND (epoch + 3) * 3600000 <= newest QUALIFY row_number() OVER (PARTITION BY target, epoch, article_id, sender ORDER BY score, weight DESC) = 1),
+l AS (SELECT target, list({'e': epoch, 's': score::DOUBLE, 'a': a::DOUBLE} ORDER BY epoch, article_id, sender) AS l FROM s GROUP BY target),
+k AS (SELECT DISTINCT target, epoch FROM s), f AS (SELECT k.target, k.epoch, list_filter(l, lambda x: x.e <= k.epoch) AS l FROM k JOIN l USING (target))
+SELECT target, epoch, list_reduce(list_prepend({'e': 0::BIGINT, 's': 0.5::DOUBLE, 'a': 1.0::DOUBLE}, l), lambda x, y: {'e': y.e, 's': x.s * (1 - y.a) + y.a * y.s, 'a': 1.0::DOUBLE}).s AS reputation, len(l) AS n, 0 AS late FROM f"""
+P.queries["x04_stream_accept_broadcasts"] = lambda spark, d: J.run(J.accept_broadcasts(_events(spark, d).select("ts", (F.col("user_id") % 11).alias("sender"), F.floor(F.unix_timestamp("ts") / 3600).alias("epoch"), (F.floor(F.unix_timestamp("ts") / 3600) + F.when(F.col("event_id") % 17 == 0, 500).otherwise(0)).alias("seq"), F.col("event_id").alias("arrival"))))
 P.sql["x04_stream_accept_broadcasts"] = "WITH m AS (SELECT user_id % 11 AS sender, floor(epoch(ts) / 3600)::BIGINT AS epoch, event_id AS arrival FROM events WHERE event_id % 17 <> 0), s AS (SELECT *, coalesce(max(epoch) OVER (PARTITION BY sender ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS b FROM m) SELECT sender, epoch, epoch AS seq, arrival FROM s WHERE epoch > b"
 P.queries["x05_stream_leases"] = lambda spark, d: J.run(J.leases(_events(spark, d).select((F.col("user_id") % 300).alias("item"), (F.col("event_id") % 9).alias("worker"), "ts", F.when(F.col("event_type") == "click", "open").otherwise("done").alias("what")), 3600))
 P.sql["x05_stream_leases"] = "WITH e AS (SELECT user_id % 300 AS item, event_id % 9 AS worker, epoch_us(ts) AS us, event_type FROM events), n AS (SELECT *, lead(us) OVER (PARTITION BY item ORDER BY us) AS nxt FROM e), w AS (SELECT epoch_ms(max(ts)) - 600000 AS ms FROM events) SELECT item, worker, us AS opened_us FROM n, w WHERE event_type = 'click' AND (nxt - us > 3600000000 OR (nxt IS NULL AND (us + 3600000000) // 1000 + 1 < ms))"
-P.queries["x06_stream_worker_health"] = lambda spark, d: J.run(J.worker_health(_events(spark, d).selectExpr("user_id % 97 % 9 AS worker", "floor(unix_timestamp(ts) / 3600) * 3600 + event_id % 3600 AS ts_s", "event_id AS seq", f"{_KINDS} AS kind", "CASE WHEN event_id % 9 = 0 THEN value ELSE 0.3 END AS value")))
-P.queries["x08_dedup_recent"] = lambda spark, d: J.run(J.dedup_recent(_events(spark, d).select("ts", (F.col("user_id") * 10 + F.length("event_type")).alias("key")), "key", "365 days")).select("key")
-P.sql["x08_dedup_recent"] = "SELECT DISTINCT user_id * 10 + length(event_type) AS key FROM events"
+P.queries["x06_stream_worker_health"] = lambda spark, d: J.run(J.worker_health(_events(spark, d).selectExpr("ts", "user_id % 97 % 9 AS worker", "floor(unix_timestamp(ts) / 3600) * 3600 + event_id % 3600 AS ts_s", "event_id AS seq", f"{_KINDS} AS kind", "CASE WHEN event_id % 9 = 0 THEN value ELSE 0.3 END AS value")))
+P.queries["x08_dedup_recent"] = lambda spark, d: J.run(J.dedup_recent(_events(spark, d).select("ts", (F.col("user_id") * 10 + F.length("event_type")).alias("key")), "key", 300))
+P.sql["x08_dedup_recent"] = """WITH k AS (SELECT user_id * 10 + length(event_type) AS key, list([epoch_us(ts)] ORDER BY ts) AS l FROM events GROUP BY 1)
+SELECT key, make_timestamp(unnest(list_reduce(l, lambda kept, x: CASE WHEN x[1] - kept[len(kept)] >= 300000000 THEN list_append(kept, x[1]) ELSE kept END))) AS ts FROM k"""
+P.queries["a10_running_rarity"] = lambda spark, d: J.running_rarity(J.stream(spark, d, "documents"), ["lang", "source"]).select("field", "label", F.round("weight", 6).alias("weight"), "total")
+P.sql["a10_running_rarity"] = "WITH c AS (SELECT 'lang' AS field, lang AS label, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY source), t AS (SELECT *, sum(n) OVER (PARTITION BY field) AS total FROM c) SELECT field, label, round(-log2(greatest(0.01, n / total)), 6) AS weight, total::BIGINT AS total FROM t WHERE total >= 200"
 
 
 def _stream_triage(spark: SparkSession, sf_dir: str) -> DataFrame:

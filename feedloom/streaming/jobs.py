@@ -13,11 +13,15 @@ from pyspark.sql.types import StructType
 
 from feedloom.functions.text import content_hash, words
 from feedloom.operators import health
-from feedloom.operators.ledger import ALPHA, LEASE_TTL_S, PRIOR, SEQ_SKEW
+from feedloom.operators.compare import rarity_of_counts
+from feedloom.operators.ledger import ALPHA, LEASE_TTL_S, MAX_WEIGHT, PRIOR, SEQ_SKEW
 from feedloom.operators.match import triage_stage
 from feedloom.shared import shared_dir, ship
+from feedloom.streaming import state
 
-EPOCH = "1 hour"
+EPOCH, EPOCH_MS = "1 hour", 3_600_000
+#: The state store that keeps maps and timers; its files are part of the checkpoint.
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,6 +34,7 @@ def run(df: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now, into a table of the shared folder."""
     spark = df.sparkSession
     top = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS_DB)
     df.writeStream.format("parquet").outputMode(mode).option("path", f"{top}/rows").option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{top}/rows")
 
@@ -59,57 +64,37 @@ def weight_window(ledger: DataFrame, k: int, late: str = "2 hours") -> DataFrame
     return ledger.withWatermark("ts", late).groupBy(F.window("ts", f"{k} hours", EPOCH), "worker").agg(F.sum("points").alias("points")).select(F.col("window.end").alias("window_end"), "worker", "points")
 
 
-def dedup_recent(rows: DataFrame, key: str, ttl: str = "300 seconds") -> DataFrame:
-    """The first row of each key; the same key within the time counts once."""
-    return rows.withWatermark("ts", ttl).dropDuplicatesWithinWatermark([key])
+def dedup_recent(rows: DataFrame, key: str, ttl: int = 300, late: str = "10 minutes") -> DataFrame:
+    """key and ts of the first row of each key; rows of the key less than ``ttl`` seconds after it count with it, and the
+    next one is a first row again. Inside a batch rows count in the order of their times; a row that is ``late`` is dropped."""
+    ship(rows.sparkSession)
+    given = rows.withWatermark("ts", late).select(F.col(key).cast("long").alias("key"), "ts", F.unix_micros("ts").alias("us"))
+    return given.groupBy("key").transformWithStateInPandas(state.Once(ttl), "key long, us long", "append", "eventTime").select(F.col("key").alias(key), F.timestamp_micros("us").alias("ts"))
 
 
-def accept_broadcasts(messages: DataFrame) -> DataFrame:
-    """sender, epoch, seq, arrival of messages that are in bounds and newer than the sender's last; state: that number."""
+def accept_broadcasts(messages: DataFrame, late: str = "2 hours", idle: int = 2 * SEQ_SKEW + 4) -> DataFrame:
+    """sender, epoch, seq, arrival of messages (those and ts) that are in bounds and newer than the sender's last.
 
-    def accept(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else -1
-        rows = pd.concat(list(frames)).sort_values("arrival")
-        out = []
-        for epoch, seq, arrival in zip(rows["epoch"], rows["seq"], rows["arrival"], strict=True):
-            if abs(seq - epoch) <= SEQ_SKEW and seq > last:
-                last = int(seq)
-                out.append((key[0], epoch, seq, arrival))
-        state.update((last,))
-        yield pd.DataFrame(out, columns=["sender", "epoch", "seq", "arrival"])
-
-    return messages.groupBy("sender").applyInPandasWithState(accept, "sender long, epoch long, seq long, arrival long", "last long", "append", GroupStateTimeout.NoTimeout)
+    A sender leaves the state after ``idle`` epochs: what it may send by then has a number above any that it sent before,
+    since numbers stay within ``SEQ_SKEW`` of the epoch and older rows are late.
+    """
+    ship(messages.sparkSession)
+    rows = messages.withWatermark("ts", late).select("sender", "ts", "epoch", "seq", "arrival", F.unix_millis("ts").alias("ms"))
+    return rows.groupBy("sender").transformWithStateInPandas(state.Newest(SEQ_SKEW, idle * EPOCH_MS), "sender long, epoch long, seq long, arrival long", "append", "eventTime")
 
 
-def reputation(observations: DataFrame, alpha: float = ALPHA, prior: float = PRIOR) -> DataFrame:
-    """target, epoch, reputation, n, late after each batch: the moving average over the epochs that are closed.
+def reputation(observations: DataFrame, alpha: float = ALPHA, prior: float = PRIOR, settle: int = 2, late_days: int = 7) -> DataFrame:
+    """target, epoch, reputation, n, late: a row for each epoch of a target when it is closed.
 
-    An epoch of a target closes when an observation of a later one arrives. Until then the state keeps its observations:
-    those in bounds (score 0 to 1, weight above 0 and up to 10), and of each article and sender the lowest score, then the
-    larger weight, as the batch form does. Observations of a closed epoch are dropped and counted.
+    An epoch closes for all targets ``settle`` epochs after its end in the time of the rows (ts) of any target, by a timer.
+    Until then the state keeps its observations: those in bounds (score 0 to 1, weight above 0 and up to 10), and of each
+    article and sender the lowest score, then the larger weight, as the batch form does. Observations of a closed epoch
+    are dropped and counted, for ``late_days`` days.
     """
-
-    def update(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        value, n, late, closed, epoch, *kept = state.get if state.exists else (prior, 0, 0, -1, -1, [], [], [], [])
-        waiting = {epoch: {(a, s): (g, -w) for a, s, g, w in zip(*kept, strict=True)}} if kept[0] else {}
-        for frame in frames:
-            sane = frame[frame["score"].between(0, 1) & (frame["weight"] > 0) & (frame["weight"] <= 10)]
-            late += int((sane["epoch"] < epoch).sum())
-            for e, article, sender, score, weight in sane.loc[sane["epoch"] >= epoch, ["epoch", "article_id", "sender", "score", "weight"]].itertuples(index=False):
-                seen = waiting.setdefault(int(e), {})
-                seen[(article, sender)] = min(seen.get((article, sender), (score, -weight)), (score, -weight))
-        *closing, epoch = sorted(waiting) or [epoch]
-        for closed in closing:
-            for _, (score, negated) in sorted(waiting[closed].items()):
-                a = min(1.0, -alpha * negated)
-                value, n = (1 - a) * value + a * score, n + 1
-        last = waiting.get(epoch, {})
-        lists = [[int(a) for a, _ in last], [int(s) for _, s in last], [float(g) for g, _ in last.values()], [float(-w) for _, w in last.values()]]
-        state.update((float(value), int(n), int(late), int(closed), int(epoch), *lists))
-        yield pd.DataFrame([(key[0], closed, value, n, late)], columns=["target", "epoch", "reputation", "n", "late"])
-
-    held = "value double, n long, late long, closed long, epoch long, articles array<long>, senders array<long>, scores array<double>, weights array<double>"
-    return observations.groupBy("target").applyInPandasWithState(update, "target long, epoch long, reputation double, n long, late long", held, "append", GroupStateTimeout.NoTimeout)
+    ship(observations.sparkSession)
+    behind = late_days * 24 * EPOCH_MS
+    rows = observations.withWatermark("ts", f"{late_days} days").select("target", "ts", "epoch", "article_id", "sender", F.col("score").cast("double").alias("score"), F.col("weight").cast("double").alias("weight"))
+    return rows.groupBy("target").transformWithStateInPandas(state.Reputation(alpha, prior, MAX_WEIGHT, EPOCH_MS, settle * EPOCH_MS, behind), "target long, epoch long, reputation double, n long, late long", "append", "eventTime")
 
 
 def leases(transitions: DataFrame, ttl: int = LEASE_TTL_S, late: str = "10 minutes") -> DataFrame:
@@ -121,10 +106,10 @@ def leases(transitions: DataFrame, ttl: int = LEASE_TTL_S, late: str = "10 minut
     """
     span = ttl * 1_000_000
 
-    def watch(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened, worker = state.get if state.exists else (-1, -1)
+    def watch(key, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        opened, worker = kept.get if kept.exists else (-1, -1)
         out = []
-        if state.hasTimedOut:
+        if kept.hasTimedOut:
             out, opened = [(key[0], worker, opened)], -1
         else:
             for w, ts, what in pd.concat(list(frames)).sort_values("ts_us")[["worker", "ts_us", "what"]].itertuples(index=False):
@@ -132,13 +117,13 @@ def leases(transitions: DataFrame, ttl: int = LEASE_TTL_S, late: str = "10 minut
                     out.append((key[0], worker, opened))
                 opened, worker = (int(ts), int(w)) if what == "open" else (-1, -1)
         end = (opened + span) // 1000 + 1
-        if opened >= 0 and end <= state.getCurrentWatermarkMs():
+        if opened >= 0 and end <= kept.getCurrentWatermarkMs():
             out, opened = [*out, (key[0], worker, opened)], -1
         if opened >= 0:
-            state.update((opened, worker))
-            state.setTimeoutTimestamp(end)
-        elif state.exists:
-            state.remove()
+            kept.update((opened, worker))
+            kept.setTimeoutTimestamp(end)
+        elif kept.exists:
+            kept.remove()
         yield pd.DataFrame(out, columns=["item", "worker", "opened_us"])
 
     rows = transitions.withWatermark("ts", late).select("item", "worker", "ts", F.unix_micros("ts").alias("ts_us"), "what")
@@ -156,16 +141,26 @@ def triage(articles: DataFrame, matches: Callable[[DataFrame], DataFrame]) -> Da
     return run_batches(articles, each, "article_id long, label string, reason_code string, confidence double, content_hash string, word_count long")
 
 
-def worker_health(events: DataFrame) -> DataFrame:
-    """A worker's state after each batch of its events (worker, ts_s, seq, kind, value)."""
+def worker_health(events: DataFrame, late: str = "2 hours", idle_days: int = 7) -> DataFrame:
+    """A worker's state after each batch of its events (worker, ts, ts_s, seq, kind, value); one that is idle for
+    ``idle_days`` days is forgotten."""
     ship(events.sparkSession)
+    rows = events.withWatermark("ts", late).select("worker", "ts", "ts_s", "seq", "kind", F.col("value").cast("double").alias("value"), F.unix_millis("ts").alias("ms"))
+    return rows.groupBy("worker").transformWithStateInPandas(state.Health(idle_days * 24 * EPOCH_MS), f"worker long, {health.STATE}", "append", "eventTime")
+
+
+def running_rarity(reference: DataFrame, fields: list[str], least: int = 200) -> DataFrame:
+    """field, label, weight, total after each micro-batch: the batch form's weights of the records so far (total), none
+    before there are ``least``. The state is one count for each field and label, added up before the shuffle."""
+    spark = reference.sparkSession
+    top = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = reference.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("label")) for f in fields])).alias("x")).select("x.*")
+    schema = "field string, label string, weight double, total long"
+    spark.createDataFrame([], schema).write.parquet(f"{top}/rows/batch=-1")
 
-    def fold(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = dict(zip(health.FIELDS, state.get, strict=True)) if state.exists else health.fresh()
-        rows = pd.concat(list(frames)).sort_values(["ts_s", "seq"])
-        for ts, kind, value in zip(rows["ts_s"], rows["kind"], rows["value"], strict=True):
-            health.step(now, float(ts), kind, None if pd.isna(value) else float(value))
-        state.update(tuple(float(now[f]) for f in health.FIELDS))
-        yield pd.DataFrame([(key[0], *(float(now[f]) for f in health.FIELDS))], columns=["worker", *health.FIELDS])
+    def put(counts: DataFrame, n: int) -> None:
+        rarity_of_counts(counts, least).write.mode("overwrite").parquet(f"{top}/rows/batch={n}")
 
-    return events.groupBy("worker").applyInPandasWithState(fold, f"worker long, {health.STATE}", health.STATE, "append", GroupStateTimeout.NoTimeout)
+    counts = rows.groupBy("field", "label").agg(F.count("*").alias("n"))
+    counts.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(f"{schema}, batch int").parquet(f"{top}/rows")
