@@ -62,6 +62,26 @@ def pieces(c: Column, pattern: str) -> Column:
     return F.filter(F.split(text_of(c), pattern), lambda x: x.rlike(r"(?U)\S"))
 
 
+def rounded(value: Column, places: int) -> Column:
+    """A value (below 2^40 or so) rounded to decimal places as its binary form lies, halves to the even digit.
+
+    The built-in forms round the shortest decimal form of a double: 2.675 would become 2.68, though the double lies below it.
+    Where that form is a half, the value is compared with it without error: a double in two halves of its bits.
+    """
+    scale = float(10 ** (places + 1))
+
+    def by_bits(x: Column) -> Column:
+        k = F.rint(x * scale)
+        high = x * 134217729.0 - (x * 134217729.0 - x)
+        off = (high * scale - k) + (x - high) * scale
+        down = F.floor(k / 10)
+        up = (off > 0) | ((off == 0) & (down % 2 == 1))
+        half = (F.abs(k) % 10 == 5) & (F.abs(x * scale - k) <= 1e-9 * F.greatest(F.abs(k), F.lit(1.0)))
+        return F.when(half, (down + up.cast("int")) / (scale / 10)).otherwise(F.round(x, places))
+
+    return F.element_at(F.transform(F.array(value.cast("double")), by_bits), 1)
+
+
 def length_features(body: Column) -> dict[str, Column]:
     """Counts of characters, words, sentences and paragraphs, and mean lengths; an empty text has none of any."""
     body = text_of(body)
@@ -74,8 +94,8 @@ def length_features(body: Column) -> dict[str, Column]:
         "word_count": n_words.cast("long"),
         "sentence_count": sentences.cast("long"),
         "paragraph_count": paragraphs.cast("long"),
-        "avg_sentence_length": n_words / F.greatest(sentences, F.lit(1)),
-        "avg_word_length": F.length(F.regexp_replace(body, SPACE, "")) / F.greatest(n_words, F.lit(1)),
+        "avg_sentence_length": rounded(n_words / F.greatest(sentences, F.lit(1)), 2),
+        "avg_word_length": rounded(F.length(F.regexp_replace(body, SPACE, "")) / F.greatest(n_words, F.lit(1)), 2),
     }
 
 
@@ -101,7 +121,7 @@ def readability(df: DataFrame, body: str) -> DataFrame:
     usable = (n > 0) & (sentences > 0)
     ease = 206.835 - 1.015 * (n / sentences) - 84.6 * (total / n)
     grade = 0.39 * (n / sentences) + 11.8 * (total / n) - 15.59
-    return rows.withColumns({"flesch_ease": F.when(usable, F.greatest(F.lit(0.0), F.least(F.lit(100.0), ease))), "flesch_kincaid": F.when(usable, F.greatest(F.lit(0.0), grade))}).drop("_words", "_sentences")
+    return rows.withColumns({"flesch_ease": F.when(usable, rounded(F.greatest(F.lit(0.0), F.least(F.lit(100.0), ease)), 2)), "flesch_kincaid": F.when(usable, rounded(F.greatest(F.lit(0.0), grade), 2))}).drop("_words", "_sentences")
 
 
 def density_features(body: Column) -> dict[str, Column]:
@@ -111,8 +131,8 @@ def density_features(body: Column) -> dict[str, Column]:
     quoted = F.aggregate(F.regexp_extract_all(body, F.lit(QUOTE), F.lit(0)), F.lit(0), lambda total, q: total + F.length(q))
     tickers = F.regexp_extract_all(body, F.lit(TICKER), F.lit(0))
     return {
-        "numeric_density": F.least(F.lit(1.0), F.regexp_count(body, F.lit(NUMBER)) / n),
-        "quote_density": F.least(F.lit(1.0), quoted / F.greatest(F.length(body), F.lit(1))),
+        "numeric_density": rounded(F.least(F.lit(1.0), F.regexp_count(body, F.lit(NUMBER)) / n), 4),
+        "quote_density": rounded(F.least(F.lit(1.0), quoted / F.greatest(F.length(body), F.lit(1))), 4),
         "ticker_mentions": F.size(tickers).cast("long"),
         "unique_tickers": F.size(F.array_distinct(tickers)).cast("long"),
         "link_count": F.regexp_count(body, F.lit(LINK)).cast("long"),
@@ -148,10 +168,10 @@ def language_style(body: Column, title: Column) -> dict[str, Column]:
 
     def share(terms: list[str]) -> Column:
         hits = F.size(F.filter(found, lambda w: bare_word(w).isin(terms)))
-        return F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), hits / n))
+        return F.when(n == 0, 0.0).otherwise(rounded(F.least(F.lit(1.0), hits / n), 4))
 
     bait = sum((text_of(title).rlike(p).cast("int") for p in CLICKBAIT), F.lit(0))
-    return {"hedging": share(HEDGING), "certainty": share(CERTAINTY), "clickbait": F.least(F.lit(1.0), bait / 3)}
+    return {"hedging": share(HEDGING), "certainty": share(CERTAINTY), "clickbait": rounded(F.least(F.lit(1.0), bait / 3), 4)}
 
 
 def clean_text(c: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.functions import scores as S
-from feedloom.shared import small, written
+from feedloom.shared import discard, ship, small, written
 
 # Bars and spans of clustering and matching.
 TITLE_COSINE, TITLE_JACCARD, MERGE_HOURS, MERGE_COSINE = 0.75, 0.6, 48, 0.80
@@ -18,6 +18,8 @@ SLUG, EMBEDDING, KEYWORDS = 0.95, 0.55, 0.50
 ACTIVE_AT, FADING_DAYS, DORMANT_DAYS = 20, 5, 30
 DRIFT, SPLIT_BELOW, MERGE_ABOVE = 0.05, 0.50, 0.85
 KNOWN_ABOVE, GROUP_ABOVE = 0.75, 0.70
+#: Pivots that cells of vectors have at most, and vectors that they are chosen from.
+PIVOTS, PIVOT_SAMPLE = 256, 4096
 
 
 def event_fingerprint(event_type: Column, date: Column, entities: Column) -> Column:
@@ -35,11 +37,13 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     while True:
         near = both.join(now.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         step = now.join(near, "id").select("id", "component", F.least("component", "near").alias("new"))
-        after = written(step.join(step.select(F.col("id").alias("new"), F.col("new").alias("far")), "new").select("id", "component", F.least("new", "far").alias("new")), "labels")
-        if after.where("new <> component").isEmpty():
+        after = written(step.join(step.select(F.col("id").alias("new"), F.col("new").alias("far")), "new").select("id", F.least("new", "far").alias("component"), (F.least("new", "far") != F.col("component")).alias("moved")), "labels")
+        discard(now)
+        now = after
+        if after.where("moved").isEmpty():
             break
-        now = after.select("id", F.col("new").alias("component"))
-    return nodes.select("id").join(after.select("id", F.col("new").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    discard(both)
+    return nodes.select("id").join(now.select("id", "component"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def star_edges(rows: DataFrame, key: str) -> DataFrame:
@@ -48,27 +52,86 @@ def star_edges(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(least, key).where("id <> b").select(F.col("id").alias("a"), "b")
 
 
-def similar_vectors(rows: DataFrame, above: float, within: str | None = None, block: int = 2000) -> DataFrame:
-    """a, b, sim: all pairs of rows (id, vector) with a dot product above the bar, without a miss: each block of rows meets
-    each other block of its group in one task, as a matrix product, and what is near the bar is computed again exactly.
+def pivots_of(x: np.ndarray, n: int) -> np.ndarray:
+    """Up to ``n`` rows that are far from each other: each next one is the row farthest from those before."""
+    chosen, far = [0], ((x - x[0]) ** 2).sum(axis=1)
+    while len(chosen) < min(n, len(x)) and far.max() > 0:
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+    return x[chosen]
 
-    Equal vectors are joined once through the smallest id, so a large group of copies makes no pairs of its own. Vectors of
-    different lengths and those with a null make no pair. The work is the square of a group's distinct vectors.
+
+def near_blocks(rows: DataFrame, above: float, within: str | None = None, block: int = 2000, most: int = PIVOTS) -> DataFrame:
+    """The blocks of vectors that :func:`similar_vectors` compares: g, dim, cell, kind, i, j (the block), side, id and vector.
+
+    Vectors belong to the cell of their nearest pivot. A vector x is near a vector y of another cell, with pivot p and
+    radius r, only if x p + |x| r, which x y can't exceed, is above the bar: x visits just those later cells. A cell's rows
+    are compared with each other (kind 0) and with its visitors (kind 1), in blocks of ``block`` rows.
     """
+    ship(rows.sparkSession)
     whole = "g IS NOT NULL AND size(vector) > 0 AND NOT exists(vector, x -> x IS NULL)"
-    one = rows.select((F.col(within) if within else F.lit(0)).alias("g"), "id", "vector").where(whole)
+    one = rows.select((F.col(within) if within else F.lit(0)).alias("g"), "id", F.col("vector").cast("array<double>").alias("vector")).where(whole)
     one = written(one.groupBy("g", "vector").agg(F.min("id").alias("id")).withColumn("dim", F.size("vector")), "vectors")
-    n = one.groupBy("g", "dim").agg(F.count("*").alias("n"))
-    # Blocks of a group: up to 8 for the sake of parallel tasks, then as many as the block's size asks for.
-    parts = F.greatest(F.least(F.lit(8), F.ceil(F.col("n") / 500)), F.ceil(F.col("n") / block)).cast("int")
-    placed = one.join(n, ["g", "dim"]).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    sent = placed.select("g", "dim", "id", "vector", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    sent = sent.select("g", "dim", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "vector")
+    some = one.orderBy(F.xxhash64("id", F.lit(31)), "id").select("dim", "vector").limit(PIVOT_SAMPLE).toPandas()  # bounded by the sample
+    count = one.count()
+    pivots = {int(dim): pivots_of(np.stack(part["vector"].to_list()), min(most, int(count**0.5) + 1)) for dim, part in some.groupby("dim")}
+    g = one.schema["g"].dataType.simpleString()
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch["cell"], batch["off"] = -1, np.inf
+            for dim, part in batch.groupby("dim"):
+                if dim in pivots:  # a length that the sample hasn't got is one cell
+                    x = np.stack(part["vector"].to_list())
+                    off = np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ pivots[dim].T + (pivots[dim] ** 2).sum(axis=1)[None, :], 0)
+                    batch.loc[part.index, "cell"], batch.loc[part.index, "off"] = off.argmin(axis=1), np.sqrt(off.min(axis=1))
+            yield batch
+
+    placed = written(one.select("g", "id", "vector", "dim").mapInPandas(place, f"g {g}, id long, vector array<double>, dim int, cell int, off double"), "vector-cells")
+    reach = {(r.dim, r.cell): r.off for r in placed.where("cell >= 0").groupBy("dim", "cell").agg(F.max("off").alias("off")).collect()}  # one row a pivot
+    radius = {dim: np.array([reach.get((dim, c), -np.inf) for c in range(len(p))]) for dim, p in pivots.items()}
+
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for dim, part in batch.groupby("dim"):
+                if dim in pivots:
+                    x, own = np.stack(part["vector"].to_list()), part["cell"].to_numpy()
+                    norms, r = np.sqrt((x * x).sum(axis=1)), radius[dim]
+                    with np.errstate(invalid="ignore"):
+                        bound = x @ pivots[dim].T + norms[:, None] * r[None, :] + 1e-6 * (1 + norms[:, None] * (1 + np.abs(np.where(np.isfinite(r), r, 0)))[None, :])
+                    i, cells = np.nonzero((bound > above) & np.isfinite(r)[None, :] & (np.arange(len(r))[None, :] > own[:, None]))
+                    out.append(part.iloc[i].assign(cell=cells.astype(np.int32)))
+            yield pd.concat(out)[["g", "id", "vector", "dim", "cell"]] if out else batch.iloc[:0][["g", "id", "vector", "dim", "cell"]]
+
+    visitors = written(placed.where("cell >= 0").mapInPandas(visit, f"g {g}, id long, vector array<double>, dim int, cell int"), "vector-visits")
+    key = ["g", "dim", "cell"]
+    n, v = placed.groupBy(*key).agg(F.count("*").alias("n")), visitors.groupBy(*key).agg(F.count("*").alias("v"))
+    # Blocks of a cell without a pivot: up to 8 for the sake of parallel tasks, then as many as the block's size asks for.
+    spread = F.when(F.col("cell") < 0, F.least(F.lit(8), F.ceil(F.col("n") / 500))).otherwise(1)
+    shape = n.join(v, key, "left").select(*key, F.greatest(spread, F.ceil(F.col("n") / block)).cast("int").alias("p"), F.coalesce(F.ceil(F.col("v") / block), F.lit(0)).cast("int").alias("q"))
+    turn = F.xxhash64("id")
+    own = placed.join(shape, key).withColumn("part", F.pmod(turn, F.col("p")).cast("int"))
+    inner = own.select(*key, F.lit(0).alias("kind"), "part", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("other"), "id", "vector")
+    inner = inner.select(*key, "kind", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), F.col("part").alias("side"), "id", "vector")
+    met = own.where("q > 0").select(*key, F.lit(1).alias("kind"), F.col("part").alias("i"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("j"), F.lit(0).alias("side"), "id", "vector")
+    come = visitors.join(shape, key).select(*key, F.lit(1).alias("kind"), F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("i"), F.pmod(turn, F.col("q")).cast("int").alias("j"), F.lit(1).alias("side"), "id", "vector")
+    return inner.union(met).union(come)
+
+
+def similar_vectors(rows: DataFrame, above: float, within: str | None = None, block: int = 2000) -> DataFrame:
+    """a, b, sim: all pairs of rows (id, vector) with a dot product above the bar, without a miss; see :func:`near_blocks`. A
+    block is compared in one task, as a matrix product, and what is near the bar is computed again exactly.
+
+    Equal vectors are joined once through the smallest id, so a large group of copies makes no pairs of its own. Vectors of
+    different lengths and those with a null make no pair. Pivots spare the pairs of vectors that lie in groups apart; where
+    vectors have no such structure the work is the square of a group's distinct vectors.
+    """
 
     def close(group: pd.DataFrame) -> pd.DataFrame:
-        i, j = group["i"].iloc[0], group["j"].iloc[0]
+        i, j, inner = group["i"].iloc[0], group["j"].iloc[0], group["kind"].iloc[0] == 0
         found = [pd.DataFrame({"a": np.array([], np.int64), "b": np.array([], np.int64), "sim": np.array([], float)})]
-        left, right = group[group["part"] == i], group[group["part"] == j]
+        left, right = (group[group["side"] == i], group[group["side"] == j]) if inner else (group[group["side"] == 0], group[group["side"] == 1])
         if len(left) and len(right):
             ids, other = left["id"].to_numpy(), right["id"].to_numpy()
             x, y = (np.stack(side["vector"].to_list()).astype(float) for side in (left, right))
@@ -76,7 +139,7 @@ def similar_vectors(rows: DataFrame, above: float, within: str | None = None, bl
             for at in range(0, len(x), 256):
                 p, q = np.nonzero(x[at : at + 256] @ y.T > above - slack)
                 p += at
-                kept = ids[p] < other[q] if i == j else np.ones(len(p), bool)
+                kept = ids[p] < other[q] if inner and i == j else np.ones(len(p), bool)
                 p, q = p[kept], q[kept]
                 for k in range(0, len(p), 50_000):
                     u, v = p[k : k + 50_000], q[k : k + 50_000]
@@ -85,7 +148,7 @@ def similar_vectors(rows: DataFrame, above: float, within: str | None = None, bl
                     found.append(pd.DataFrame({"a": np.minimum(ids[u], other[v]), "b": np.maximum(ids[u], other[v]), "sim": sim}))
         return pd.concat(found)
 
-    return sent.groupBy("g", "dim", "i", "j").applyInPandas(close, "a long, b long, sim double")
+    return near_blocks(rows, above, within, block).groupBy("g", "dim", "cell", "kind", "i", "j").applyInPandas(close, "a long, b long, sim double")
 
 
 def title_pairs(rows: DataFrame, least: float = TITLE_JACCARD) -> DataFrame:
@@ -162,11 +225,41 @@ def narrative_intensity(links: DataFrame) -> DataFrame:
     return days.join(daily, ["slug", "day"], "left").select("slug", "day", F.coalesce("articles", F.lit(0)).alias("articles"), "sentiment")
 
 
+def _days(links: DataFrame) -> DataFrame:
+    """slug, day, articles so far, the gaps before and after, and whether it was dormant before: one row for each day of a
+    narrative that has articles."""
+    days = links.groupBy("slug", "day").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("slug").orderBy("day")  # rows are days, however many articles they have
+    rows = days.select("slug", "day", F.sum("n").over(order).alias("articles"), F.lag("day").over(order).alias("before"), F.lead("day").over(order).alias("after"))
+    woken = F.max(F.coalesce(F.col("day") - F.col("before") >= DORMANT_DAYS, F.lit(False))).over(order)
+    return rows.withColumn("woken", woken)
+
+
+def _awake() -> Column:
+    """The state of a narrative on a day with articles: one that was dormant is active at once."""
+    return F.when((F.col("articles") >= ACTIVE_AT) | F.col("woken"), "active").otherwise("emerging")
+
+
+def narrative_history(links: DataFrame, as_of_day: int) -> DataFrame:
+    """slug, from_day, state: a row for each change of state up to ``as_of_day``.
+
+    A narrative is emerging, then active with enough articles; it is fading after five days without one and dormant after
+    thirty; the next article wakes it: active if it was dormant, or if it has enough articles.
+    """
+    rows = _days(links.where(F.col("day") <= as_of_day)).withColumn("until", F.coalesce("after", F.lit(as_of_day + 1)))
+    quiet = lambda days, name: rows.where(F.col("until") > F.col("day") + days).select("slug", (F.col("day") + days).alias("from_day"), F.lit(name).alias("state"))
+    states = rows.select("slug", F.col("day").alias("from_day"), _awake().alias("state")).union(quiet(FADING_DAYS, "fading")).union(quiet(DORMANT_DAYS, "dormant"))
+    # At the same day an article counts before the silence that would begin there.
+    states = states.groupBy("slug", "from_day").agg(F.min_by("state", F.col("state").isin("fading", "dormant")).alias("state"))
+    before = F.lag("state").over(Window.partitionBy("slug").orderBy("from_day"))
+    return states.withColumn("before", before).where(F.col("before").isNull() | (F.col("before") != F.col("state"))).select("slug", "from_day", "state")
+
+
 def narrative_lifecycle(links: DataFrame, as_of_day: int) -> DataFrame:
-    """slug, articles, idle_days, state."""
-    rows = links.groupBy("slug").agg(F.count("*").alias("articles"), (F.lit(as_of_day) - F.max("day")).alias("idle_days"))
-    state = F.when(F.col("idle_days") >= DORMANT_DAYS, "dormant").when(F.col("idle_days") >= FADING_DAYS, "fading").when(F.col("articles") >= ACTIVE_AT, "active").otherwise("emerging")
-    return rows.withColumn("state", state)
+    """slug, articles, idle_days, state: the state of :func:`narrative_history` on ``as_of_day``."""
+    last = _days(links).groupBy("slug").agg(F.max("articles").alias("articles"), (F.lit(as_of_day) - F.max("day")).alias("idle_days"), F.max("woken").alias("woken"))
+    state = F.when(F.col("idle_days") >= DORMANT_DAYS, "dormant").when(F.col("idle_days") >= FADING_DAYS, "fading").otherwise(_awake())
+    return last.withColumn("state", state).drop("woken")
 
 
 def narrative_candidates(unmatched: DataFrame, as_of_day: int, days: int = 7, articles: int = 10, sources: int = 3) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.text import text_of
 from feedloom.operators.keywords import ANYWHERE, keyword_spots, standing
-from feedloom.shared import small
+from feedloom.shared import discard, small, written
 
 # Thresholds, cue words and blocked acronyms of the matcher.
 AMBIGUOUS_LENGTH, AMBIGUOUS_ZIPF, AMBIGUOUS_ID_LENGTH, WINDOW_CHARS = 4, 2.4, 3, 100
@@ -199,6 +199,33 @@ def message_context(messages: DataFrame, back: int = 2) -> DataFrame:
     return rows.join(parents, F.col("reply_to") == F.col("parent"), "left").select("group_id", "message_id", F.when(F.col("reply_to").isNotNull(), F.when(F.col("known"), F.array("reply_to")).otherwise(F.array().cast("array<bigint>"))).otherwise(F.col("before")).alias("context"))
 
 
+def inherited_assets(messages: DataFrame, most: int = 64) -> DataFrame:
+    """message_id, inherited_asset, inherited_from: the asset (and message) of the nearest classified message (asset_id not
+    null) up the chain of replies (message_id, reply_to, asset_id); null without one.
+
+    Pointers are doubled: after k rounds 2^k messages of a chain are looked through, so a chain of any length takes a
+    logarithm of rounds (``most`` is never reached), and only chains without an answer go on. Chains that run in a circle
+    have none; they stop when the rounds have passed all messages.
+    """
+    own = messages.groupBy("message_id").agg(F.min("reply_to").alias("up"), F.min("asset_id").alias("asset"))  # equal ids count once
+    start = own.alias("m").join(own.select(F.col("message_id").alias("p"), F.col("asset").alias("p_asset"), F.col("up").alias("p_up")).alias("p"), F.col("up") == F.col("p"), "left")
+    now = start.select("message_id", F.when(F.col("p_asset").isNotNull(), F.col("p")).alias("source"), F.col("p_asset").alias("asset"), F.when(F.col("p_asset").isNull(), F.col("p")).alias("at"))
+    now, passed, total = written(now, "reply-chains"), 1, None
+    for _ in range(most):
+        open_rows = now.where("asset IS NULL AND at IS NOT NULL")
+        if open_rows.isEmpty():
+            break
+        total = now.count() if total is None else total
+        if passed > total:
+            break
+        far = now.select(F.col("message_id").alias("at"), F.col("source").alias("f_source"), F.col("asset").alias("f_asset"), F.col("at").alias("f_at"))
+        moved = open_rows.join(far, "at", "left").select("message_id", F.col("f_source").alias("source"), F.col("f_asset").alias("asset"), F.col("f_at").alias("at"))
+        after = written(now.where("asset IS NOT NULL OR at IS NULL").union(moved), "reply-chains")
+        discard(now)
+        now, passed = after, 2 * passed
+    return now.select("message_id", F.col("asset").alias("inherited_asset"), F.col("source").alias("inherited_from"))
+
+
 def triage_stage(articles: DataFrame, asset_docs: DataFrame, doc: str = "article_id") -> DataFrame:
     """doc, label, reason_code, confidence: market relevance by assets, then macro terms and named economies."""
     text = F.concat(text_of(F.col("title")), F.lit("\n"), F.substring(text_of(F.col("body")), 1, 4000))

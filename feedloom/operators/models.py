@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.functions.text import text_of
-from feedloom.shared import small
+from feedloom.shared import ship
 
 
 def apply_model(df: DataFrame, column: str, output: str, fn: Callable) -> DataFrame:
@@ -30,28 +31,70 @@ def _letters(text: str):
     return F.concat(F.lit(" "), F.regexp_replace(F.lower(text_of(F.col(text))), r"[^\p{L}]+", " "), F.lit(" "))
 
 
-def trigrams(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key and trigram, one row for each trigram of the whole text's words. The text is cut into characters once: taking
-    substrings at each place would cost the square of its length."""
-    spots = df.select(key, F.split(_letters(text), "").alias("c")).where(F.size("c") >= 3)
-    at = F.sequence(F.lit(0), F.size("c") - 3)
-    return spots.select(key, F.explode(F.transform(at, lambda i: F.concat(F.get("c", i), F.get("c", i + 1), F.get("c", i + 2)))).alias("trigram"))
+def _trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct trigrams of a text, each as a number of 63 bits, and how often each occurs."""
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    return np.unique((c[:-2] << 42) | (c[1:-1] << 21) | c[2:], return_counts=True) if len(c) > 2 else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _spelled(values: np.ndarray) -> list[str]:
+    return [chr(v >> 42) + chr((v >> 21) & 0x1FFFFF) + chr(v & 0x1FFFFF) for v in values.tolist()]
+
+
+def _numbered(trigrams: list[str]) -> np.ndarray:
+    return np.array([(ord(a) << 42) | (ord(b) << 21) | ord(c) for a, b, c in trigrams], np.int64)
 
 
 def learn_profiles(df: DataFrame, lang: str, text: str, most: int = 300) -> DataFrame:
-    """lang, trigram, weight: log shares of the commonest trigrams of each language."""
-    counts = trigrams(df, lang, text).groupBy(lang, "trigram").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy(lang).orderBy(F.desc("n"), "trigram"))
-    total = F.sum("n").over(Window.partitionBy(lang))
-    return counts.withColumn("total", total).withColumn("rank", rank).where(F.col("rank") <= most).select(F.col(lang).alias("lang"), "trigram", F.log(F.col("n") / F.col("total")).alias("weight"))
-
-
-def detect_language(df: DataFrame, profiles: DataFrame, key: str, text: str, floor: float = -12.0) -> DataFrame:
-    """key, code, confidence: the language whose profile fits a text's trigrams best, ("en", 0) for a text without any."""
-    langs = profiles.select("lang").distinct()
-    hits = trigrams(df, key, text).join(small(profiles), "trigram").groupBy(key, "lang").agg(F.sum(F.col("weight") - floor).alias("s"))
-    sizes = df.select(key, (F.length(_letters(text)) - 2).alias("n")).where("n > 0").groupBy(key).agg(F.sum("n").alias("total"))
-    rows = sizes.crossJoin(small(langs)).join(hits, [key, "lang"], "left").withColumn("score", F.coalesce("s", F.lit(0.0)) / F.col("total"))
-    each = Window.partitionBy(key)
-    rows = rows.withColumn("p", F.exp(F.col("score")) / F.sum(F.exp(F.col("score"))).over(each)).withColumn("i", F.row_number().over(each.orderBy(F.desc("score"), "lang"))).where("i = 1")
-    return df.select(key).join(rows.select(key, "lang", "p"), key, "left").select(key, F.coalesce("lang", F.lit("en")).alias("code"), F.coalesce("p", F.lit(0.0)).alias("confidence"))
+    """lang, trigram, weight: log shares of the commonest trigrams of each language. Tasks count the trigrams of
+    their texts; what they send is one row for each language and trigram that they met."""
+    ship(df.sparkSession)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, part in batch.groupby("lang"):
+                found = [_trigrams(x) for x in part["text"]]
+                values, place = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
+                yield pd.DataFrame({"lang": name, "trigram": _spelled(values), "n": np.bincount(place, weights=np.concatenate([n for _, n in found]), minlength=len(values)).astype(np.int64)})
+
+    counts = df.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), _letters(text).alias("text")).mapInPandas(count, "lang string, trigram string, n long").groupBy("lang", "trigram").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "trigram"))
+    total = F.sum("n").over(Window.partitionBy("lang"))
+    return counts.withColumn("total", total).withColumn("rank", rank).where(F.col("rank") <= most).select("lang", "trigram", F.log(F.col("n") / F.col("total")).alias("weight"))
+
+
+def detect_language(df: DataFrame, profiles: DataFrame, key: str, text: str, floor: float = -12.0, most: int = 1_000_000) -> DataFrame:
+    """key, code, confidence: the language whose profile fits a text's trigrams best, ("en", 0) for a text without any.
+
+    The profiles (a few hundred rows a language, ``most`` at most) are a broadcast table of weights; each text is looked up
+    in it where it is, so nothing is shuffled.
+    """
+    ship(df.sparkSession)
+    rows = profiles.limit(most + 1).toPandas()
+    if len(rows) > most:
+        raise ValueError(f"profiles have more than {most} rows")
+    numbers = _numbered(rows["trigram"].tolist())
+    langs, known = sorted(rows["lang"].unique()), np.unique(numbers)
+    table = np.zeros((len(known) + 1, len(langs)))  # the last row: trigrams that no profile has
+    table[np.searchsorted(known, numbers), [langs.index(x) for x in rows["lang"]]] = rows["weight"].to_numpy(float) - floor
+    shared = df.sparkSession.sparkContext.broadcast((langs, known, table))
+    kind = df.schema[key].dataType.simpleString()
+
+    def detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        langs, known, table = shared.value
+        for batch in batches:
+            codes, sure = [], []
+            for body in batch["text"]:
+                found, n = _trigrams(body)
+                if not len(found) or not langs:
+                    codes.append("en")
+                    sure.append(0.0)
+                    continue
+                at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+                score = n @ table[np.where(known[at] == found, at, len(known))] / n.sum()
+                p = np.exp(score)
+                codes.append(langs[int(np.argmax(score))])
+                sure.append(float(p.max() / p.sum()))
+            yield pd.DataFrame({key: batch[key], "code": codes, "confidence": sure})
+
+    return df.select(key, _letters(text).alias("text")).mapInPandas(detect, f"`{key}` {kind}, code string, confidence double")

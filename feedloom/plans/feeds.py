@@ -32,14 +32,41 @@ def _articles(links):
 
 P.add("e02_cluster_events", lambda e: E.cluster_events(_articles(e)), None, "event_links")
 P.add("e03_merge_clusters", lambda e: E.merge_clusters(e.select("id", "event_type", F.col("published_s").alias("first_s"), F.split("title", " ").alias("words"), "vector")), None, "event_links")
-P.add("j12_similar_vectors", lambda v: E.similar_vectors(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 0.7), None, "vectors")
+P.add(
+    "j12_similar_vectors",
+    lambda v: E.similar_vectors(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 0.35).withColumn("sim", F.round("sim", 6)),
+    f"WITH v AS (SELECT embedding AS v, min(vec_id) AS id FROM vectors GROUP BY embedding) SELECT a.id AS a, b.id AS b, round({_DOT('a.v', 'b.v')}, 6) AS sim FROM v a JOIN v b ON a.id < b.id WHERE {_DOT('a.v', 'b.v')} > 0.35",
+    "vectors",
+)
 P.add("e02_title_pairs", lambda e: E.title_pairs(e.select("id", F.split("title", " ").alias("words"))), """WITH s AS (SELECT list_sort(list_distinct(string_split(title, ' '))) AS w, min(id) AS id FROM event_links GROUP BY 1) SELECT a.id AS a, b.id AS b FROM s a JOIN s b ON a.id < b.id WHERE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.6""", "event_links")
 P.add("e04_event_summary", lambda e: E.event_summary(e), "SELECT event_id, count(*) AS articles, min(published_s) AS first_s, max(published_s) AS last_s, count(*) FILTER (sentiment = 'bullish') AS bullish, count(*) FILTER (sentiment = 'bearish') AS bearish, max(impact) AS impact, list_sort(list(DISTINCT entity)) AS entities FROM event_links GROUP BY event_id", "event_links")
 P.add("k01_select_narratives", lambda e, n: E.select_narratives(e.select("id", "vector", (F.col("id") % 2 == 0).alias("has_crypto")), n), f"SELECT id, n.slug, row_number() OVER (PARTITION BY id ORDER BY {_DOT('vector', 'centroid')} DESC, narrative_pos) AS rank FROM event_links e, narrative_dim n WHERE {_DOT('vector', 'centroid')} >= 0.3 AND (NOT crypto_only OR id % 2 = 0) QUALIFY rank <= 3", "event_links", "narrative_dim")
 P.add("e05_match_narratives", lambda e, n: E.match_narratives(e.select("id", "vector", F.array("slug").alias("slugs"), F.split("title", " ").alias("keywords")), n.select("slug", "centroid", F.array(F.lit("the"), F.lit("of")).alias("narrative_keywords"))), f"""WITH x AS (SELECT id, n.slug, e.slug = n.slug AS same, {_DOT('vector', 'centroid')} AS sim, len(list_intersect(list_distinct(string_split(title, ' ')), ['the', 'of'])) / len(list_distinct(list_concat(string_split(title, ' '), ['the', 'of']))) AS j FROM event_links e, narrative_dim n),
 y AS (SELECT id, slug, CASE WHEN same THEN 'slug' WHEN sim >= 0.55 THEN 'embedding' WHEN j >= 0.5 THEN 'keywords' END AS signal, CASE WHEN same THEN 0.95 WHEN sim >= 0.55 THEN sim ELSE j END::DOUBLE AS score FROM x) SELECT * FROM y WHERE signal IS NOT NULL""", "event_links", "narrative_dim")
 P.add("e06_narrative_intensity", lambda e: E.narrative_intensity(e.select("slug", "day", F.col("mood").alias("sentiment"))), "WITH d AS (SELECT slug, day, count(*) AS articles, avg(mood) AS sentiment FROM event_links GROUP BY ALL), s AS (SELECT slug, unnest(range(min(day), max(day) + 1)) AS day FROM d GROUP BY slug) SELECT s.slug, s.day, coalesce(articles, 0) AS articles, sentiment FROM s LEFT JOIN d ON d.slug = s.slug AND d.day = s.day", "event_links")
-P.add("e07_narrative_lifecycle", lambda e: E.narrative_lifecycle(e, _day(e)), f"WITH r AS (SELECT slug, count(*) AS articles, {_TOP} - max(day) AS idle_days FROM event_links GROUP BY slug) SELECT *, CASE WHEN idle_days >= 30 THEN 'dormant' WHEN idle_days >= 5 THEN 'fading' WHEN articles >= 20 THEN 'active' ELSE 'emerging' END AS state FROM r", "event_links")
+P.add(
+    "e07_narrative_lifecycle",
+    lambda e: E.narrative_lifecycle(e, _day(e)),
+    f"WITH d AS (SELECT slug, day, day - lag(day) OVER (PARTITION BY slug ORDER BY day) >= 30 AS woke FROM (SELECT DISTINCT slug, day FROM event_links)), w AS (SELECT slug, coalesce(bool_or(woke), false) AS woken FROM d GROUP BY slug), r AS (SELECT slug, count(*) AS articles, {_TOP} - max(day) AS idle_days FROM event_links GROUP BY slug) SELECT r.*, CASE WHEN idle_days >= 30 THEN 'dormant' WHEN idle_days >= 5 THEN 'fading' WHEN articles >= 20 OR woken THEN 'active' ELSE 'emerging' END AS state FROM r JOIN w USING (slug)",
+    "event_links",
+)
+
+
+def _thin(links):
+    """The articles of narratives by source, of which a few days in a hundred have any, so that they fall silent and wake."""
+    return links.select(F.concat_ws("/", "slug", "source").alias("slug"), (F.col("day") * 7).alias("day"))
+
+
+P.add(
+    "e07_narrative_history",
+    lambda e: E.narrative_history(_thin(e), 7 * _day(e)),
+    """WITH l AS (SELECT concat_ws('/', slug, source) AS slug, day * 7 AS day FROM event_links), t AS (SELECT max(day) AS top FROM l), d AS (SELECT slug, day, count(*) AS n FROM l GROUP BY ALL),
+r AS (SELECT slug, day, sum(n) OVER w AS articles, lag(day) OVER w AS before, coalesce(lead(day) OVER w, top + 1) AS until FROM d, t WINDOW w AS (PARTITION BY slug ORDER BY day)),
+x AS (SELECT *, max(coalesce(day - before >= 30, false)::INT) OVER (PARTITION BY slug ORDER BY day) = 1 AS woken FROM r),
+s AS (SELECT slug, day AS from_day, CASE WHEN articles >= 20 OR woken THEN 'active' ELSE 'emerging' END AS state FROM x UNION ALL SELECT slug, day + 5, 'fading' FROM x WHERE until > day + 5 UNION ALL SELECT slug, day + 30, 'dormant' FROM x WHERE until > day + 30)
+SELECT slug, from_day, state FROM s QUALIFY coalesce(lag(state) OVER (PARTITION BY slug ORDER BY from_day), '') <> state""",
+    "event_links",
+)
 P.add("e08_narrative_candidates", lambda e: E.narrative_candidates(e.select("id", "source", "day", F.split("title", " ").alias("keywords")), _day(e)), f"WITH k AS (SELECT DISTINCT id, source, unnest(string_split(title, ' ')) AS keyword FROM event_links WHERE day > {_TOP} - 7) SELECT keyword, count(DISTINCT id) AS articles, count(DISTINCT source) AS sources FROM k GROUP BY keyword HAVING count(DISTINCT id) >= 10 AND count(DISTINCT source) >= 3", "event_links")
 
 

@@ -80,6 +80,20 @@ def _messages(c: DataFrame) -> DataFrame:
 P.add("j08_message_context", lambda c: M.message_context(_messages(c)), """WITH m AS (SELECT conv_id AS group_id, conv_id * 100 + turn AS message_id, turn AS created, CASE WHEN turn % 3 = 2 THEN conv_id * 100 + turn - 2 END AS reply_to FROM conversations),
 b AS (SELECT *, list_filter([lag(message_id, 2) OVER w, lag(message_id, 1) OVER w], lambda x: x IS NOT NULL) AS before FROM m WINDOW w AS (PARTITION BY group_id ORDER BY created, message_id))
 SELECT group_id, message_id, CASE WHEN reply_to IS NULL THEN before WHEN reply_to IN (SELECT message_id FROM m) THEN [reply_to] ELSE [] END AS context FROM b""", "conversations")
+def _chains(c: DataFrame) -> DataFrame:
+    """Messages that reply to the one before, but for each fifth; each third one of these is classified."""
+    number, turn = F.col("conv_id") * 1000 + F.col("turn"), F.col("turn")
+    return c.select(number.alias("message_id"), F.when(turn % 5 != 0, number - 1).alias("reply_to"), F.when((F.col("conv_id") + turn) % 3 == 0, turn % 7).alias("asset_id"))
+
+
+P.add(
+    "j08_inherited_assets",
+    lambda c: M.inherited_assets(_chains(c)),
+    """WITH RECURSIVE m AS (SELECT conv_id * 1000 + turn AS id, CASE WHEN turn % 5 <> 0 THEN conv_id * 1000 + turn - 1 END AS up, CASE WHEN (conv_id + turn) % 3 = 0 THEN turn % 7 END AS asset FROM conversations),
+r AS (SELECT m.id, p.id AS at, p.asset, p.up FROM m JOIN m p ON p.id = m.up UNION ALL SELECT r.id, p.id, p.asset, p.up FROM r JOIN m p ON p.id = r.up WHERE r.asset IS NULL)
+SELECT m.id AS message_id, r.asset AS inherited_asset, r.at AS inherited_from FROM m LEFT JOIN r ON r.id = m.id AND r.asset IS NOT NULL""",
+    "conversations",
+)
 P.add("u02_merge_tickers", lambda *d: _doc_assets(*d).groupBy("article_id").agg(F.array_sort(F.collect_list("symbol")).alias("own")).select("article_id", M.merge_tickers(F.col("own"), F.array(F.lit("abc"), F.lit("new"), F.lit("NEW"))).alias("tickers")),
       f"WITH {_LINKS}, o AS (SELECT article_id, list(symbol ORDER BY symbol) AS own FROM da GROUP BY article_id) SELECT article_id, list_concat(own, list_filter(['ABC', 'NEW'], lambda t: NOT list_contains(own, t))) AS tickers FROM o", *DIMS)
 P.add("t39_gics_of_primary", lambda *d: _primary_sector(*d), f"""WITH {FLAGS}, {HITS}, {MATCHES}, {PRIMARY} SELECT article_id, s.symbol, CASE lower(trim(sector)) WHEN 'technology' THEN 7 WHEN 'energy' THEN 5 WHEN 'materials' THEN 5 WHEN 'finance' THEN 4 ELSE 9 END AS sector_id FROM subjects s JOIN assets a USING (asset_id) WHERE is_primary""", *DIMS)

@@ -23,15 +23,15 @@ _SENT = r"len(list_filter(string_split(regexp_replace(body, '([.!?])\s+', '\1' |
 _PARA = r"len(list_filter(string_split_regex(body, '\n\s*\n'), lambda x: regexp_matches(x, '\S')))"
 _LEN = rf"""a AS (SELECT *, len(regexp_extract_all(body, '\S+')) AS w, CASE WHEN body = '' THEN 0 ELSE greatest({_SENT}, 1) END AS s, CASE WHEN body = '' THEN 0 ELSE greatest({_PARA}, 1) END AS p FROM articles)"""
 P.add("t01_text_length", _features(T.length_features, "body"), rf"""WITH {_LEN}
-SELECT article_id, length(body) AS char_count, w AS word_count, s::BIGINT AS sentence_count, p::BIGINT AS paragraph_count, w / greatest(s, 1) AS avg_sentence_length, length(regexp_replace(body, '\s+', '', 'g')) / greatest(w, 1) AS avg_word_length FROM a""", "articles")
+SELECT article_id, length(body) AS char_count, w AS word_count, s::BIGINT AS sentence_count, p::BIGINT AS paragraph_count, printf('%.2f', w / greatest(s, 1))::DOUBLE AS avg_sentence_length, printf('%.2f', length(regexp_replace(body, '\s+', '', 'g')) / greatest(w, 1))::DOUBLE AS avg_word_length FROM a""", "articles")
 
 _BARE = rf"regexp_replace(lower(w), '^[{T.EDGE.replace("'", "''")}]+|[{T.EDGE.replace("'", "''")}]+$', '', 'g')"
 P.add("t02_readability", lambda df: T.readability(df.select("article_id", "body"), "body").drop("body"), rf"""WITH {_LEN},
 b AS (SELECT article_id, w, s, list_transform(list_transform(regexp_extract_all(body, '\S+'), lambda w: {_BARE}), lambda x: CASE WHEN length(x) <= 2 THEN 1 ELSE greatest(1, len(regexp_extract_all(x, '[aeiouy]+')) - CASE WHEN ends_with(x, 'e') AND len(regexp_extract_all(x, '[aeiouy]+')) > 1 THEN 1 ELSE 0 END) END) AS y FROM a)
-SELECT article_id, coalesce(list_sum(y), 0)::BIGINT AS syllables, CASE WHEN w > 0 THEN greatest(0.0, least(100.0, 206.835 - 1.015 * (w / s) - 84.6 * (list_sum(y) / w))) END::DOUBLE AS flesch_ease, CASE WHEN w > 0 THEN greatest(0.0, 0.39 * (w / s) + 11.8 * (list_sum(y) / w) - 15.59) END::DOUBLE AS flesch_kincaid FROM b""", "articles")
+SELECT article_id, coalesce(list_sum(y), 0)::BIGINT AS syllables, CASE WHEN w > 0 THEN printf('%.2f', greatest(0.0, least(100.0, 206.835::DOUBLE - 1.015::DOUBLE * (w / s) - 84.6::DOUBLE * (list_sum(y) / w)))::DOUBLE) END::DOUBLE AS flesch_ease, CASE WHEN w > 0 THEN printf('%.2f', greatest(0.0, 0.39::DOUBLE * (w / s) + 11.8::DOUBLE * (list_sum(y) / w) - 15.59::DOUBLE)::DOUBLE) END::DOUBLE AS flesch_kincaid FROM b""", "articles")
 
-P.add("t03_density", _features(T.density_features, "body"), rf"""SELECT article_id, least(1.0, len(regexp_extract_all(body, '{T.NUMBER}')) / greatest(len(regexp_extract_all(body, '\S+')), 1))::DOUBLE AS numeric_density,
- least(1.0, coalesce(list_sum(list_transform(regexp_extract_all(body, '{T.QUOTE}'), lambda q: length(q))), 0) / greatest(length(body), 1))::DOUBLE AS quote_density,
+P.add("t03_density", _features(T.density_features, "body"), rf"""SELECT article_id, printf('%.4f', least(1.0, len(regexp_extract_all(body, '{T.NUMBER}')) / greatest(len(regexp_extract_all(body, '\S+')), 1))::DOUBLE)::DOUBLE AS numeric_density,
+ printf('%.4f', least(1.0, coalesce(list_sum(list_transform(regexp_extract_all(body, '{T.QUOTE}'), lambda q: length(q))), 0) / greatest(length(body), 1))::DOUBLE)::DOUBLE AS quote_density,
  len(regexp_extract_all(body, '{T.TICKER}')) AS ticker_mentions, len(list_distinct(regexp_extract_all(body, '{T.TICKER}'))) AS unique_tickers, len(regexp_extract_all(body, '{T.LINK}')) AS link_count,
  len(regexp_extract_all(body, '!\[')) + len(regexp_extract_all(body, '(?i)<img')) AS image_count FROM articles""", "articles")
 P.add("t04_structure", _features(T.structure_flags, "body"), rf"""SELECT article_id, regexp_matches(body, '{T.TABLE}') AS has_table, regexp_matches(lower(body), 'chart|graph|figure|diagram') AS has_chart, regexp_matches(body, '{T.CODE}') AS has_code, len(regexp_extract_all(body, '{T.SUBHEADING}')) AS subheadings FROM articles""", "articles")
@@ -44,8 +44,8 @@ SELECT article_id, len(regexp_extract_all(title, '\S+')) AS title_words, regexp_
 
 _BAIT = " + ".join("regexp_matches(title, '" + p.replace("'", "''") + "')::INT" for p in T.CLICKBAIT)
 P.add("t06_language_style", _features(T.language_style, "body", "title"), rf"""WITH b AS (SELECT *, list_transform(regexp_extract_all(body, '\S+'), lambda w: {_BARE}) AS ws, {_BAIT} AS bait FROM articles)
-SELECT article_id, CASE WHEN len(ws) = 0 THEN 0.0 ELSE least(1.0, len(list_filter(ws, lambda w: w IN ({_in(T.HEDGING)}))) / len(ws)) END::DOUBLE AS hedging,
- CASE WHEN len(ws) = 0 THEN 0.0 ELSE least(1.0, len(list_filter(ws, lambda w: w IN ({_in(T.CERTAINTY)}))) / len(ws)) END::DOUBLE AS certainty, least(1.0, bait / 3.0)::DOUBLE AS clickbait FROM b""", "articles")
+SELECT article_id, CASE WHEN len(ws) = 0 THEN 0.0 ELSE printf('%.4f', least(1.0, len(list_filter(ws, lambda w: w IN ({_in(T.HEDGING)}))) / len(ws))::DOUBLE)::DOUBLE END AS hedging,
+ CASE WHEN len(ws) = 0 THEN 0.0 ELSE printf('%.4f', least(1.0, len(list_filter(ws, lambda w: w IN ({_in(T.CERTAINTY)}))) / len(ws))::DOUBLE)::DOUBLE END AS certainty, printf('%.4f', least(1.0, bait / 3.0)::DOUBLE)::DOUBLE AS clickbait FROM b""", "articles")
 
 _BASE = r"trim(regexp_replace(regexp_replace(x, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
 
@@ -67,7 +67,21 @@ P.add("t10_normalize_for_compare", lambda df: df.select("article_id", T.normaliz
 _HASH = r"sha256(trim(regexp_replace(lower(concat(title, ' ', substr(body, 1, 500))), '\s+', ' ', 'g')))"
 P.add("t11_content_hash", lambda df: df.select("article_id", T.content_hash(F.col("title"), F.col("body")).alias("h")), f"SELECT article_id, {_HASH} AS h FROM articles", "articles")
 # DuckDB counts bytes where the ratio counts characters, so there is no SQL: tests hold it against plain Python.
-P.add("t12_levenshtein_ratio", lambda df: df.repartition(64, "article_id").select("article_id", S.levenshtein_ratio(F.col("sub_text"), F.col("ref_text")).alias("r")), None, "pairs")
+_ASCII = r"[^\x00-\x7F]"  # what DuckDB would count as several characters
+
+
+def _edit_ratios(pairs):
+    plain = [F.regexp_replace(c, _ASCII, "?") for c in ("sub_text", "ref_text")]
+    return pairs.repartition(64, "article_id").select("article_id", S.whole_text_ratio(*plain).alias("r"))
+
+
+P.add(
+    "t12_levenshtein_ratio",
+    _edit_ratios,
+    rf"""WITH p AS (SELECT article_id, regexp_replace(sub_text, '{_ASCII}', '?', 'g') AS a, regexp_replace(ref_text, '{_ASCII}', '?', 'g') AS b FROM pairs)
+SELECT article_id, CASE WHEN a = b THEN 1.0 WHEN a = '' OR b = '' THEN 0.0 ELSE 1 - levenshtein(a, b) / greatest(length(a), length(b)) END::DOUBLE AS r FROM p""",
+    "pairs",
+)
 _J = "len(list_intersect(list_distinct(a), list_distinct(b))) / len(list_distinct(list_concat(a, b)))"
 
 

@@ -4,9 +4,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from feedloom.functions import scores, text
 from feedloom.operators import attest, compare, entities, events, health, keywords, ledger, match, models
 from feedloom.sources import feeds
 
@@ -173,6 +175,74 @@ def test_merkle_root_folds_like_a_list(spark):
         assert (got.root, got.n) == (level[0], n)
 
 
+def test_merkle_trees_of_several_blocks_and_proofs(spark):
+    import hashlib
+
+    def h(x):
+        return hashlib.sha256(x.encode()).hexdigest()
+
+    sizes = {1: 1023, 2: 1024, 3: 1025, 4: 2048, 5: 2051, 6: 3, 7: 4097}
+    data = [(v, 9, "article", str(i // 2), "w", "valid", "k", float(i // 2)) for v, n in sizes.items() for i in range(n)]
+    verdicts = spark.createDataFrame(data, "validator long, epoch long, resource_type string, resource_id string, worker string, verdict string, categorical_key string, points double").repartition(3)
+    plan = attest.merkle_roots(verdicts)
+    roots, own = {r.validator: (r.root, r.n) for r in plan.collect()}, {}
+    for r in attest.leaves(verdicts).collect():
+        own.setdefault(r.validator, []).append(r.leaf)
+    for v, n in sizes.items():
+        level = sorted(own[v])
+        while len(level) > 1:
+            level = [h(level[i] + level[min(i + 1, len(level) - 1)]) for i in range(0, len(level), 2)]
+        assert roots[v] == (level[0], n)
+    asked = spark.createDataFrame([(v, 9, sorted(own[v])[i]) for v, n in sizes.items() for i in (0, n // 2, n - 1)] + [(1, 9, "none")], "validator long, epoch long, leaf string")
+    proofs = attest.inclusion_proofs(verdicts, asked).withColumn("root", attest.proved_root(F.col("leaf"), F.col("proof"))).collect()
+    assert {(r.validator, r.leaf) for r in proofs} == {(v, leaf) for v, _, leaf in map(tuple, asked.where("leaf <> 'none'").collect())}
+    assert all(r.root == roots[r.validator][0] for r in proofs)
+    assert max(len(r.proof) for r in proofs) == 13 and all(r.proof == [] for r in proofs if sizes[r.validator] == 1)
+
+
+def test_numbers_round_as_they_lie(spark):
+    draw = random.Random(1)
+    values = [draw.randint(1, 4000) / draw.randint(1, 400) for _ in range(3000)] + [draw.randint(1, 100_000) / 1000 for _ in range(3000)] + [i / 8 for i in range(900)] + [2.675, 1.005, 0.0, 0.00005, 100.0]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select("x", text.rounded(F.col("x"), 2).alias("two"), text.rounded(F.col("x"), 4).alias("four")).collect()
+    assert all((r.two, r.four) == (round(r.x, 2), round(r.x, 4)) for r in got)
+
+
+def test_edit_distance_equals_the_table():
+    draw = random.Random(3)
+    for _ in range(300):
+        a, b = ("".join(draw.choices("abcé", k=draw.choice([0, 1, 3, 20, 70, 130]))) for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        assert scores.edit_distance(a, b) == row[-1]
+    assert scores.edit_distance("ab" * 20_000, "ba" * 20_000) == 2
+
+
+def test_inherited_assets_of_chains_and_circles(spark):
+    chain = [(i, i - 1 if i else None, 7 if i == 0 else None) for i in range(600)]  # all inherit from the first
+    circle = [(1000, 1002, None), (1001, 1000, None), (1002, 1001, None), (1003, 1002, None)]
+    other = [(2000, 2001, 5), (2001, 2000, None), (2002, 9999, None), (2003, 2001, 6), (2004, 2003, None), (2005, 2005, 3), (2006, 2006, None)]
+    got = {r.message_id: (r.inherited_asset, r.inherited_from) for r in match.inherited_assets(spark.createDataFrame([*chain, *circle, *other], "message_id long, reply_to long, asset_id int")).collect()}
+    assert all(got[i] == (7, 0) for i in range(1, 600)) and got[0] == (None, None)
+    assert all(got[i] == (None, None) for i in (1000, 1001, 1002, 1003, 2002, 2006))
+    assert (got[2000], got[2001], got[2003], got[2004], got[2005]) == ((5, 2000), (5, 2000), (5, 2000), (6, 2003), (3, 2005))
+
+
+def test_narratives_fade_sleep_and_wake(spark):
+    days = [(s, d) for s, ds in {"a": [0] * 25 + [4, 10, 50], "b": [0, 29], "c": [0, 30, 31], "d": [0, 5, 90]}.items() for d in ds]
+    got = {}
+    for r in events.narrative_history(spark.createDataFrame(days, "slug string, day long"), 92).orderBy("slug", "from_day").collect():
+        got.setdefault(r.slug, []).append((r.from_day, r.state))
+    assert got["a"] == [(0, "active"), (9, "fading"), (10, "active"), (15, "fading"), (40, "dormant"), (50, "active"), (55, "fading"), (80, "dormant")]
+    assert got["b"] == [(0, "emerging"), (5, "fading"), (29, "emerging"), (34, "fading"), (59, "dormant")]
+    assert got["c"] == [(0, "emerging"), (5, "fading"), (30, "active"), (36, "fading"), (61, "dormant")]
+    assert got["d"] == [(0, "emerging"), (10, "fading"), (35, "dormant"), (90, "active")]
+    now = {r.slug: r.state for r in events.narrative_lifecycle(spark.createDataFrame(days, "slug string, day long"), 92).collect()}
+    assert now == {slug: states[-1][1] for slug, states in got.items()}
+
+
 def test_gazetteer_boundaries(spark):
     articles = spark.createDataFrame([(1, "", "$ABCD and $ABC."), (2, "", "xacme corp acme corps"), (3, "Acme Corp", "acme corp stocks"), (4, None, None)], "article_id long, title string, body string")
     gazetteer = spark.createDataFrame([(1, "cashtag", "$ABC"), (1, "identifier", "acme corp"), (1, "identifier", "xx")], "asset_id int, kind string, keyword string")
@@ -221,7 +291,6 @@ def test_language_reads_the_whole_text(spark):
 
 
 def test_vector_pairs_miss_none_near_the_bar(spark):
-    import numpy as np
 
     # 400 pairs of a type just above the bar, and 100 just below; vectors of others are far away.
     rng, data, close = np.random.default_rng(7), [], set()
@@ -243,8 +312,21 @@ def test_vector_pairs_miss_none_near_the_bar(spark):
     assert all(event[a] == event[b] for a, b in close if b < 1000)
 
 
+def test_pivots_spare_most_pairs_of_clustered_vectors(spark):
+    draw = np.random.default_rng(6)
+    centres = draw.normal(size=(60, 16))
+    x = centres[draw.integers(0, 60, 3000)] + draw.normal(scale=0.15, size=(3000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    blocks = events.near_blocks(df, 0.9, block=150).groupBy("cell", "kind", "i", "j").agg(F.count_if(F.col("side") == F.when(F.col("kind") == 0, F.col("i")).otherwise(0)).alias("n"), F.count_if(F.col("side") == F.when(F.col("kind") == 0, F.col("j")).otherwise(1)).alias("m")).collect()
+    compared = sum(r.n * (r.n - 1) / 2 if r.kind == 0 and r.i == r.j else r.n * r.m for r in blocks)
+    assert compared < 0.1 * len(x) * (len(x) - 1) / 2
+    got = {(r.a, r.b) for r in events.similar_vectors(df, 0.9, block=150).collect()}
+    a, b = np.nonzero(np.triu(x @ x.T > 0.9, 1))
+    assert got == set(zip(a.tolist(), b.tolist(), strict=True)) and len(got) > 10_000
+
+
 def test_centroid_drift_streams_a_narrative(spark):
-    import numpy as np
 
     rng = np.random.default_rng(3)
     sizes = {"hot": 900, "b": 40, "c": 1, None: 5}
