@@ -129,12 +129,12 @@ def mention_sentences(sentences: DataFrame, assets: DataFrame, doc: str = "doc_i
 
 
 def aspect_votes(mentions: DataFrame, assets: DataFrame, directions: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """doc, ticker, direction, magnitude, confidence, from_article: the votes of an asset's mentions.
+    """doc, ticker, direction, magnitude, confidence, from_article, evidence: the votes of an asset's mentions.
 
-    A primary subject with little confidence, and an asset without mentions, take the article's direction (from_article).
+    evidence holds up to three sentences of the winning side (of the neutral ones on a draw), or else the first mention. A primary subject with little confidence, and an asset without mentions, take the article's direction (from_article).
     """
     vote = F.col("vote")
-    sums = mentions.groupBy(doc, "ticker").agg(F.count("*").alias("n"), F.count_if(vote == 1).alias("pos"), F.count_if(vote == -1).alias("neg"))
+    sums = mentions.groupBy(doc, "ticker").agg(F.count("*").alias("n"), F.count_if(vote == 1).alias("pos"), F.count_if(vote == -1).alias("neg"), F.array_sort(F.collect_list(F.struct("sent_pos", "vote", "text"))).alias("said"))  # at most MENTIONS
     rows = assets.select(doc, "ticker", "is_primary").join(sums, [doc, "ticker"], "left").join(directions, doc, "left")
     net, n = F.col("pos") - F.col("neg"), F.col("n")
     agree = F.greatest("pos", "neg")
@@ -143,7 +143,9 @@ def aspect_votes(mentions: DataFrame, assets: DataFrame, directions: DataFrame,
     weak = n.isNotNull() & F.col("is_primary") & (confidence < PRIMARY_FLOOR)
     none = n.isNull()
     own = F.coalesce("article_direction", F.lit("neutral"))
-    return rows.select(doc, "ticker", F.when(none | weak, own).otherwise(label).alias("direction"), F.when(none | weak, 0.4).otherwise(magnitude).alias("magnitude"), F.when(none, 0.3).when(weak, F.greatest(confidence, F.lit(0.3))).otherwise(confidence).alias("confidence"), (none | F.coalesce(weak, F.lit(False))).alias("from_article"))
+    side = F.slice(F.filter("said", lambda s: s["vote"] == F.signum(net)), 1, 3)
+    spans = F.transform(F.when(F.size(side) > 0, side).otherwise(F.slice("said", 1, 1)), lambda s: s["text"])
+    return rows.select(doc, "ticker", F.when(none | weak, own).otherwise(label).alias("direction"), F.when(none | weak, 0.4).otherwise(magnitude).alias("magnitude"), F.when(none, 0.3).when(weak, F.greatest(confidence, F.lit(0.3))).otherwise(confidence).alias("confidence"), (none | F.coalesce(weak, F.lit(False))).alias("from_article"), F.coalesce(spans, F.array().cast("array<string>")).alias("evidence"))
 
 
 def horizon_outlooks(mentions: DataFrame, votes: DataFrame, doc: str = "doc_id") -> DataFrame:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedloom.functions.scores import emission_gate
 from feedloom.shared import ship
 
 # Ladders and limits of a worker's health.
@@ -134,9 +135,33 @@ def parked_spans(sessions: DataFrame) -> DataFrame:
     return rows.where((F.col("what") == "parked") & (F.coalesce("before", F.lit("unparked")) == "unparked")).select("worker", F.col("ts_s").alias("start_s"), "end_s")
 
 
-def worker_status(health: DataFrame, live: DataFrame, nodes: DataFrame, as_of: int) -> DataFrame:
-    """One row for each worker known to health or alive, with defaults for what isn't known."""
+def worker_status(health: DataFrame, live: DataFrame, nodes: DataFrame, as_of: int, inflight: DataFrame | None = None, latency: DataFrame | None = None, reputation: DataFrame | None = None) -> DataFrame:
+    """One row for each worker known to health or alive, with defaults for what isn't known.
+
+    Besides uid, alive, window and cooldown: batches in flight (worker, inflight), streaks of timeouts, failed sends, failed
+    validations and unfaithful answers, the level of parking, the batch size, the median latency (worker, median) and the
+    multiplier of the emission gate (worker, reputation); these three are null or 0 where their tables aren't given.
+    """
     known = nodes.groupBy("worker").agg(F.min("uid").alias("uid"))
     rows = health.join(live.where("alive").select("worker", "alive"), "worker", "full_outer").join(known, "worker", "left")
+    for table, name in ((inflight, "inflight"), (latency, "median"), (reputation, "reputation")):
+        rows = rows.join(table.select("worker", name), "worker", "left") if table is not None else rows.withColumn(name, F.lit(None).cast("double"))
     left = F.greatest(F.coalesce("until", F.lit(0.0)), F.coalesce("parked_until", F.lit(0.0))) - as_of
-    return rows.select("worker", F.coalesce("uid", F.lit(-1)).alias("uid"), F.coalesce("alive", F.lit(False)).alias("alive"), F.coalesce("window", F.lit(WINDOW_START)).alias("window"), F.coalesce("timeouts", F.lit(0.0)).alias("timeouts"), F.greatest(F.lit(0.0), left).alias("cooldown_left"))
+    count = lambda name: F.coalesce(F.col(name), F.lit(0)).cast("long")
+    return rows.select(
+        "worker",
+        F.coalesce("uid", F.lit(-1)).alias("uid"),
+        F.coalesce("alive", F.lit(False)).alias("alive"),
+        F.coalesce("window", F.lit(WINDOW_START)).alias("window"),
+        count("inflight").alias("inflight"),
+        F.coalesce("timeouts", F.lit(0.0)).alias("timeouts"),
+        count("sends").alias("failed_sends"),
+        count("fails").alias("failed_validations"),
+        count("faiths").alias("unfaithful"),
+        count("park_level").alias("park_level"),
+        F.coalesce(F.floor(F.least(F.greatest("size", F.lit(SIZE_LEAST)), F.lit(SIZE_MOST))), F.lit(int(SIZE_START))).cast("long").alias("batch_size"),
+        F.greatest(F.lit(0.0), left).alias("cooldown_left"),
+        (left > 0).alias("on_cooldown"),
+        F.round("median", 2).alias("median_latency"),
+        F.round(emission_gate(F.col("reputation")), 3).alias("gate"),
+    )

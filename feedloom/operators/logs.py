@@ -70,6 +70,12 @@ def worker_fields(lines: DataFrame, prefix: str) -> DataFrame:
     return rows.join(F.broadcast(rows.agg(F.sum("n").alias("total"))), F.lit(True)).select("field", "n", (100.0 * F.col("n") / F.col("total")).alias("share"))  # a sum of one row
 
 
+def worker_mismatches(lines: DataFrame, prefix: str) -> DataFrame:
+    """field, submitted, reference, n: the values behind the failed fields of one worker, and how often each pair was logged."""
+    found = _details(lines, prefix).where("what = 'mismatch'").select(F.explode(F.regexp_extract_all(F.regexp_extract("line", MISMATCH, 2), F.lit(MISMATCHED), F.lit(0))).alias("m"))
+    return found.select(*[F.regexp_extract("m", MISMATCHED, i).alias(n) for i, n in ((1, "field"), (2, "submitted"), (3, "reference"))]).groupBy("field", "submitted", "reference").agg(F.count("*").alias("n"))
+
+
 def worker_recent(lines: DataFrame, prefix: str, failures: int = 10, passes: int = 5) -> DataFrame:
     """what (failed or passed), ts, fields, preview, rank: a worker's last failures and passes, newest first.
 

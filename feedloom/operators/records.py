@@ -137,13 +137,31 @@ def gold_eval(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     return recall.crossJoin(leaks).crossJoin(parts).crossJoin(rates)  # each is one row
 
 
-def corpus_compare(old: DataFrame, new: DataFrame) -> DataFrame:
-    """kind, key, old, new: counts of languages and tickers before and after, and of relabelled languages."""
-    kinds = [("language", "language", lambda d: d.select("id", F.col("language").alias("key"))), ("ticker", "ticker", lambda d: d.select("id", F.explode("assets").alias("key")))]
-    out = None
-    for kind, _, rows in kinds:
-        a, b = (rows(d).groupBy("key").agg(F.count("*").alias("n")) for d in (old, new))
-        part = a.withColumnRenamed("n", "old").join(b.withColumnRenamed("n", "new"), "key", "full_outer").select(F.lit(kind).alias("kind"), "key", F.coalesce("old", F.lit(0)).alias("old"), F.coalesce("new", F.lit(0)).alias("new"))
-        out = part if out is None else out.union(part)
+def corpus_compare(old: DataFrame, new: DataFrame, junk: list[str] | None = None, k: int = 12) -> DataFrame:
+    """kind, key, old, new: counts of languages and tickers before and after, of relabelled languages, of all mentions of
+    assets, of mentions of ``junk`` tickers, and of the ``k`` top tickers of either side (top_old, top_new; ties by ticker).
+
+    A frame with a column weak (booleans beside its assets: only ambiguous words and no cashtag speak for it) counts a junk
+    ticker only where it is weak.
+    """
+    sides = {"old": old, "new": new}
+    language = {side: d.select(F.col("language").alias("key")) for side, d in sides.items()}
+    weak = {side: F.col("weak") if "weak" in d.columns else F.transform("assets", lambda a: F.lit(True)) for side, d in sides.items()}
+    ticker = {side: d.select(F.explode(F.arrays_zip(F.col("assets").alias("key"), weak[side].alias("weak"))).alias("a")).select("a.key", "a.weak") for side, d in sides.items()}
+
+    def counted(kind: str, rows: dict[str, DataFrame]) -> DataFrame:
+        both = None
+        for side, d in rows.items():
+            n = F.lit(1).cast("long")
+            part = d.select("key", *[(n if x == side else n - 1).alias(x) for x in sides])
+            both = part if both is None else both.union(part)
+        return both.groupBy("key").agg(*[F.sum(x).alias(x) for x in sides]).select(F.lit(kind).alias("kind"), "key", *sides)
+
+    tickers = counted("ticker", ticker)
+    out = counted("language", language).union(tickers)
+    whole = lambda kind, rows: counted(kind, rows).groupBy("kind").agg(*[F.sum(x).alias(x) for x in sides]).select("kind", F.lit("all").alias("key"), *sides)
+    out = out.union(whole("mentions", ticker)).union(whole("junk", {side: d.where(F.col("weak") & F.col("key").isin(junk or [])) for side, d in ticker.items()}))
+    for side in sides:
+        out = out.union(tickers.where(F.col(side) > 0).orderBy(F.desc(side), "key").limit(k).select(F.lit(f"top_{side}").alias("kind"), "key", *sides))
     moved = old.select("id", F.col("language").alias("a")).join(new.select("id", F.col("language").alias("b")), "id").agg(F.count_if(F.col("a") != F.col("b")).alias("n"))
-    return out.union(moved.select(F.lit("relabelled").alias("kind"), F.lit("all").alias("key"), F.lit(0).alias("old"), F.col("n").alias("new")))
+    return out.union(moved.select(F.lit("relabelled").alias("kind"), F.lit("all").alias("key"), F.lit(0).cast("long").alias("old"), F.col("n").alias("new")))

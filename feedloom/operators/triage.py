@@ -50,7 +50,7 @@ def triage_events(labelled: DataFrame) -> DataFrame:
     kept = flagged & (F.col("flag") == "valuable") & F.col("valuable")
     plain = F.col("canary").isNull() & F.col("proof_ok")
     open_claim = (F.col("label") != "relevant") & ~kept & plain
-    sampled = Window.partitionBy("batch_id").orderBy(F.xxhash64("article_id"), "article_id")
+    sampled = Window.partitionBy("batch_id").orderBy(F.md5(F.col("article_id").cast("string")), "article_id")  # a draw that comes out the same again
     clean = rows.where(open_claim & ~F.col("has_asset") & (F.col("label") == "irrelevant")).withColumn("i", F.row_number().over(sampled)).where("i = 1 AND verdict")
     parts = [
         event(~F.col("proof_ok"), "hard", "proof_failure"),

@@ -106,10 +106,10 @@ def _lab(net: str, n: str, agree: str) -> str:
     return f"CASE WHEN {n} <= 0 OR {net} = 0 THEN 'neutral' ELSE (CASE WHEN abs({net}) / {n} >= 0.75 AND {agree} >= 2 THEN 'very_' WHEN abs({net}) / {n} >= 0.4 THEN '' ELSE 'slightly_' END) || (CASE WHEN {net} > 0 THEN 'bullish' ELSE 'bearish' END) END"
 
 
-_VOTES = f"""dir AS (SELECT doc_id, CASE WHEN sum(vote) > 0 THEN 'bullish' WHEN sum(vote) < 0 THEN 'bearish' ELSE 'neutral' END AS ad FROM mentions_in GROUP BY doc_id), su AS (SELECT doc_id, ticker, count(*) AS n, count(*) FILTER (vote = 1) AS p, count(*) FILTER (vote = -1) AS m FROM men GROUP BY ALL),
-ag AS (SELECT a.doc_id, a.ticker, is_primary, n, p - m AS net, greatest(p, m) AS agree, ad FROM assets_in a LEFT JOIN su USING (doc_id, ticker) LEFT JOIN dir ON dir.doc_id = a.doc_id),
+_VOTES = f"""dir AS (SELECT doc_id, CASE WHEN sum(vote) > 0 THEN 'bullish' WHEN sum(vote) < 0 THEN 'bearish' ELSE 'neutral' END AS ad FROM mentions_in GROUP BY doc_id), su AS (SELECT doc_id, ticker, count(*) AS n, count(*) FILTER (vote = 1) AS p, count(*) FILTER (vote = -1) AS m, list({{'v': vote, 't': text}} ORDER BY sent_pos) AS l FROM men GROUP BY ALL),
+ag AS (SELECT a.doc_id, a.ticker, is_primary, n, p - m AS net, greatest(p, m) AS agree, ad, l FROM assets_in a LEFT JOIN su USING (doc_id, ticker) LEFT JOIN dir ON dir.doc_id = a.doc_id),
 cf AS (SELECT *, {_lab('net', 'n', 'agree')} AS label, CASE WHEN net = 0 THEN 0.0 ELSE abs(net) / n END AS mag, agree / n * least(1.0, agree / 4) * (0.7 + 0.3 * CASE WHEN net = 0 THEN 0.0 ELSE abs(net) / n END) AS conf FROM ag),
-votes AS (SELECT doc_id, ticker, CASE WHEN n IS NULL OR (is_primary AND conf < 0.15) THEN ad ELSE label END AS direction, CASE WHEN n IS NULL OR (is_primary AND conf < 0.15) THEN 0.4 ELSE mag END::DOUBLE AS magnitude, CASE WHEN n IS NULL THEN 0.3 WHEN is_primary AND conf < 0.15 THEN greatest(conf, 0.3) ELSE conf END::DOUBLE AS confidence, n IS NULL OR (is_primary AND conf < 0.15) AS from_article FROM cf)"""
+votes AS (SELECT doc_id, ticker, CASE WHEN n IS NULL OR (is_primary AND conf < 0.15) THEN ad ELSE label END AS direction, CASE WHEN n IS NULL OR (is_primary AND conf < 0.15) THEN 0.4 ELSE mag END::DOUBLE AS magnitude, CASE WHEN n IS NULL THEN 0.3 WHEN is_primary AND conf < 0.15 THEN greatest(conf, 0.3) ELSE conf END::DOUBLE AS confidence, n IS NULL OR (is_primary AND conf < 0.15) AS from_article, CASE WHEN n IS NULL THEN [] WHEN len(list_filter(l, lambda x: x.v = sign(net))) = 0 THEN [l[1].t] ELSE list_transform(list_filter(l, lambda x: x.v = sign(net))[1:3], lambda x: x.t) END AS evidence FROM cf)"""
 _votes = lambda m, d: E.aspect_votes(_mentions(m, d), _assets(d), E.article_direction(m))
 P.add("a03_aspect_votes", _votes, f"WITH {_MEN}, {_VOTES} SELECT * FROM votes", "mentions_in", "documents")
 
@@ -142,7 +142,13 @@ ev AS (SELECT batch_id, article_id, 'hard' AS severity, 'proof_failure' AS code
  UNION ALL SELECT batch_id, article_id, 'hard', 'false_negative_deterministic' FROM op WHERE open_claim AND has_asset)"""
 _events = lambda i: G.triage_events(G.triage_labels(i)).where("code <> 'false_negative_llm'")
 P.add("w06_triage_events", _events, f"WITH {_EV} SELECT * FROM ev", "triage_items")
-P.add("w06_triage_events_sampled", lambda i: G.triage_events(G.triage_labels(i)), None, "triage_items")
+P.add(
+    "w06_triage_events_sampled",
+    lambda i: G.triage_events(G.triage_labels(i)),
+    f"""WITH {_EV}, dr AS (SELECT * FROM op WHERE open_claim AND NOT has_asset AND label = 'irrelevant' QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY md5(article_id::VARCHAR), article_id) = 1)
+SELECT * FROM ev UNION ALL SELECT batch_id, article_id, 'soft', 'false_negative_llm' FROM dr WHERE verdict""",
+    "triage_items",
+)
 P.add("w07_triage_routing", lambda i: G.triage_routing(G.triage_labels(i), _events(i)), f"""WITH {_EV}, ro AS (SELECT batch_id, article_id, CASE WHEN label = 'relevant' THEN 'relevant' WHEN fb AND flag = 'valuable' THEN 'valuable' WHEN fb THEN 'discard' WHEN label = 'borderline' THEN 'borderline' WHEN plain OR canary = 'neg' THEN 'retire' END AS route FROM op)
 SELECT * FROM ro WHERE route IS NOT NULL AND (route IN ('relevant', 'borderline') OR NOT EXISTS (SELECT 1 FROM ev WHERE ev.article_id = ro.article_id AND code <> 'proof_failure'))""", "triage_items")
 P.add("w08_observations", lambda i: G.observations(_events(i), i.where("article_id % 4 = 0").select("batch_id", "article_id", (F.col("article_id") % 10 / 10).alias("score"), (F.col("n") > 1000).alias("substantive")), i.groupBy("batch_id").agg(F.min("article_id").alias("first_article"), (F.count("*") >= 12).alias("full_push"))), f"""WITH {_EV}, al AS (SELECT batch_id, article_id, 0.0 AS score, CASE severity WHEN 'hard' THEN 2.0 ELSE 0.4 END AS weight FROM ev UNION ALL SELECT batch_id, article_id, article_id % 10 / 10, CASE WHEN n > 1000 THEN 2.0 ELSE 1.0 END FROM triage_items WHERE article_id % 4 = 0

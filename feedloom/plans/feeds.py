@@ -88,13 +88,13 @@ P.add("e12_narrative_text", lambda n: E.narrative_text(n.select("slug", "name",
 P.add("e13_consensus_read", lambda e: E.consensus_read(e.select((F.col("id") % 40).alias("article_id"), F.explode(F.array(F.struct(F.lit("sentiment").alias("field"), F.col("sentiment").alias("label")), F.struct(F.lit("entity").alias("field"), F.col("entity").alias("label")))).alias("v")).select("article_id", "v.*")), "WITH v AS (SELECT id % 40 AS article_id, 'sentiment' AS field, sentiment AS label FROM event_links UNION ALL SELECT id % 40, 'entity', entity FROM event_links), c AS (SELECT *, count(*) AS n FROM v GROUP BY ALL) SELECT article_id, field, label, n / sum(n) OVER (PARTITION BY article_id, field) AS confidence FROM c QUALIFY row_number() OVER (PARTITION BY article_id, field ORDER BY n DESC, label) = 1", "event_links")
 P.add("k06_trending_events", lambda e: E.trending_events(e, _day(e), 10), f"WITH r AS (SELECT event_id, count(*) FILTER (day > {_TOP} - 2) AS recent, count(*) FILTER (day BETWEEN {_TOP} - 8 AND {_TOP} - 2) AS earlier FROM event_links GROUP BY event_id) SELECT *, recent / 2 / (earlier / 7 + 1) AS momentum FROM r ORDER BY momentum DESC, event_id LIMIT 10", "event_links")
 P.add("a29_feed_stats", lambda e: E.feed_stats(e.where("source IS NOT NULL")), "SELECT source, day, sentiment, count(*) AS articles, grouping(source, day, sentiment) AS level FROM event_links WHERE source IS NOT NULL GROUP BY GROUPING SETS ((source, day, sentiment), (source), (day), (sentiment), ())", "event_links")
-P.add("k04_sample_batch", lambda a: a.withColumn("i", F.row_number().over(_w())).where("i <= 3").select("batch_id", "article_id"), None, "articles")
+P.add("k04_sample_batch", lambda a: a.withColumn("i", F.row_number().over(_w())).where("i <= 3").select("batch_id", "article_id"), "SELECT batch_id, article_id FROM articles QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY md5(article_id::VARCHAR), article_id) <= 3", "articles")
 
 
 def _w():
     from pyspark.sql import Window
 
-    return Window.partitionBy("batch_id").orderBy(F.xxhash64("article_id", F.lit(42)), "article_id")
+    return Window.partitionBy("batch_id").orderBy(F.md5(F.col("article_id").cast("string")), "article_id")
 
 
 def _apply_model(v):

@@ -97,6 +97,7 @@ FROM (SELECT event_id, concat('worker', 10000 + event_id % 7, 'z') AS worker, CA
 _OWN = """own AS (SELECT strptime(logged, '%Y-%m-%d %H:%M:%S.%g') AS ts, line, CASE WHEN kind < 2 THEN 'passed' WHEN kind IN (2, 4) THEN 'failed' WHEN kind = 3 THEN 'mismatch' ELSE 'detail' END AS what,
  CASE kind WHEN 3 THEN ['sentiment', 'f' || event_id % 3] WHEN 5 THEN ['impact', 'f' || event_id % 5] ELSE [] END AS fields, CASE WHEN kind = 3 OR (kind = 5 AND event_id % 4 <> 0) THEN 'text ' || event_id ELSE '' END AS preview FROM worker_log WHERE worker = 'worker10003z')"""
 P.add("a25_worker_fields", lambda t: G.worker_fields(_log(t), "worker10003"), f"WITH {_OWN}, f AS (SELECT unnest(fields) AS field FROM own) SELECT field, count(*) AS n, 100.0 * count(*) / (SELECT count(*) FROM f) AS share FROM f GROUP BY field", "worker_log")
+P.add("a25_worker_mismatches", lambda t: G.worker_mismatches(_log(t), "worker10003"), f"WITH {_OWN}, f AS (SELECT unnest(regexp_extract_all(line, '\\w+\\(m=[^|]+\\|v=[^)]+\\)')) AS m FROM own WHERE what = 'mismatch') SELECT regexp_extract(m, '^(\\w+)', 1) AS field, regexp_extract(m, 'm=([^|]+)', 1) AS submitted, regexp_extract(m, 'v=([^)]+)', 1) AS reference, count(*) AS n FROM f GROUP BY ALL", "worker_log")
 P.add("a25_worker_recent", lambda t: G.worker_recent(_log(t), "worker10003").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS")), f"""WITH {_OWN}, b AS (SELECT *, lag(what) OVER w AS bw, lag(ts) OVER w AS bt FROM own WHERE what <> 'detail' OR preview <> '' WINDOW w AS (PARTITION BY what = 'passed' ORDER BY ts, line)),
 f AS (SELECT 'failed' AS what, CASE WHEN bw = 'failed' THEN bt ELSE ts END AS ts, fields, preview FROM b WHERE what = 'mismatch' OR (what = 'detail' AND bw = 'failed') UNION ALL SELECT what, ts, fields, '' FROM b WHERE what = 'passed')
 SELECT what, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS ts, fields, preview, row_number() OVER (PARTITION BY what ORDER BY ts DESC, preview, fields) AS rank FROM f QUALIFY rank <= CASE what WHEN 'failed' THEN 10 ELSE 5 END""", "worker_log")
@@ -110,7 +111,17 @@ def _health_events(led: DataFrame) -> DataFrame:
 P.add("x06_worker_health", lambda led: H.worker_health(_health_events(led)), None, "ledger")
 P.add("x07_health_sessions", lambda led: H.health_sessions(_health_events(led)), None, "ledger")
 P.add("x07_parked_spans", lambda led: H.parked_spans(H.health_sessions(_health_events(led))), None, "ledger")
-P.add("j18_worker_status", lambda led, n: H.worker_status(H.worker_health(_health_events(led)), L.liveness(led.select("worker", (F.col("epoch") * 3600).alias("ts_s")), 1_704_100_000, 30 * 86_400), n, 1_704_100_000), None, "ledger", "nodes")
+P.add("j18_worker_status", lambda led, n: _status(led, n), None, "ledger", "nodes")
+
+
+def _status(led: DataFrame, nodes: DataFrame) -> DataFrame:
+    latency = L.rolling_latency(led.select("worker", "event_id", (F.col("epoch") * 3600).alias("ts_s"), "value")).groupBy("worker").agg(F.max_by("median", "event_id").alias("median"))
+    flying = led.where("event_type = 'click'").groupBy("worker").agg(F.count("*").alias("inflight"))
+    trust = led.groupBy("worker").agg((F.count_if(F.col("event_type") == "view") / F.count("*")).alias("reputation"))
+    live = L.liveness(led.select("worker", (F.col("epoch") * 3600).alias("ts_s")), 1_704_100_000, 30 * 86_400)
+    return H.worker_status(H.worker_health(_health_events(led)), live, nodes, 1_704_100_000, flying, latency, trust)
+
+
 P.add("a12_merkle_root", lambda led: _merkle(led), None, "ledger")
 
 

@@ -58,9 +58,12 @@ P.add("j17_message_group_class", _groups, None, "conversations", "gazetteer")
 P.add("a28_gazetteer_integrity", lambda g, a, w: R.gazetteer_integrity(g.union(g.sparkSession.createDataFrame([(2, "identifier", "acme corp", 20)], g.schema)), a, w, ["globex"]), "WITH g AS (SELECT * FROM gazetteer_whole UNION ALL SELECT 2, 'identifier', 'acme corp', 20), r AS (SELECT g.*, asset_class FROM g JOIN assets_whole a ON a.asset_id = g.asset_id WHERE kind IN ('identifier', 'alias')) SELECT keyword, 'shared' AS problem FROM r WHERE asset_class = 'equity' GROUP BY keyword HAVING count(DISTINCT asset_id) > 1 UNION SELECT keyword, 'banned' FROM r WHERE keyword = 'globex' UNION SELECT keyword, 'common' FROM r WHERE NOT contains(keyword, ' ') AND keyword IN (SELECT word FROM word_freq WHERE zipf >= 4.0)", "gazetteer_whole", "assets_whole", "word_freq")
 _PRED = lambda d, k: d.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % k == 0, "xx").otherwise(F.col("lang")).alias("language"), F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("ABC"))).otherwise(F.array(F.lit("XYZ"), F.concat(F.lit("T"), (F.col("doc_id") % k).cast("string")))).alias("assets"), F.array(F.lit("Acme Corp"), F.concat(F.lit("Firm"), (F.col("doc_id") % k).cast("string"))).alias("entities"), (F.col("doc_id") % 3 - 1).alias("direction"))
 P.add("a27_gold_eval", lambda d: R.gold_eval(_PRED(d, 7), d.select(F.col("doc_id").alias("id"), F.col("lang").alias("language"), F.array(F.lit("ABC")).alias("expect_assets"), F.array(F.lit("T1")).alias("forbid_assets"), F.array(F.lit("acme"), F.lit("corp firm1")).alias("forbid_entities"), (F.col("doc_id") % 2).alias("direction"))), "SELECT avg((doc_id % 3 = 0)::INT) AS asset_recall, count(*) FILTER (doc_id % 3 <> 0 AND doc_id % 7 = 1) AS forbidden_found, count(*) + count(*) FILTER (doc_id % 7 = 1) AS entity_leaks, avg((doc_id % 7 <> 0)::INT) FILTER (lang <> '') AS language_accuracy, avg((sign(doc_id % 2) = sign(doc_id % 3 - 1))::INT) AS direction_agreement FROM documents", "documents")
-P.add("a26_corpus_compare", lambda d: R.corpus_compare(_PRED(d, 7), _PRED(d, 5)), """WITH o AS (SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN 'xx' ELSE lang END AS language, CASE WHEN doc_id % 3 = 0 THEN ['ABC'] ELSE ['XYZ', 'T' || doc_id % 7] END AS assets FROM documents), n AS (SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN 'xx' ELSE lang END AS language, CASE WHEN doc_id % 3 = 0 THEN ['ABC'] ELSE ['XYZ', 'T' || doc_id % 5] END AS assets FROM documents),
+P.add("a26_corpus_compare", lambda d: R.corpus_compare(_PRED(d, 7).withColumn("weak", F.transform("assets", lambda a: (F.col("id") % 2 == 0) & (a != "ABC"))), _PRED(d, 5), ["ABC", "T1", "T2"], 4), """WITH o AS (SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN 'xx' ELSE lang END AS language, CASE WHEN doc_id % 3 = 0 THEN ['ABC'] ELSE ['XYZ', 'T' || doc_id % 7] END AS assets FROM documents), n AS (SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN 'xx' ELSE lang END AS language, CASE WHEN doc_id % 3 = 0 THEN ['ABC'] ELSE ['XYZ', 'T' || doc_id % 5] END AS assets FROM documents),
 a AS (SELECT 'language' AS kind, language AS key, 1 AS o, 0 AS n FROM o UNION ALL SELECT 'ticker', unnest(assets), 1, 0 FROM o UNION ALL SELECT 'language', language, 0, 1 FROM n UNION ALL SELECT 'ticker', unnest(assets), 0, 1 FROM n)
-SELECT kind, key, sum(o)::BIGINT AS old, sum(n)::BIGINT AS new FROM a GROUP BY ALL UNION ALL SELECT 'relabelled', 'all', 0, (SELECT count(*) FROM o JOIN n USING (id) WHERE o.language <> n.language)""", "documents")
+SELECT kind, key, sum(o)::BIGINT AS old, sum(n)::BIGINT AS new FROM a GROUP BY ALL UNION ALL SELECT 'mentions', 'all', sum(o)::BIGINT, sum(n)::BIGINT FROM a WHERE kind = 'ticker'
+UNION ALL SELECT 'junk', 'all', (SELECT count(*) FROM o, unnest(assets) t(x) WHERE id % 2 = 0 AND x IN ('T1', 'T2')), (SELECT count(*) FROM n, unnest(assets) t(x) WHERE x IN ('ABC', 'T1', 'T2'))
+UNION ALL SELECT 'top_old', key, old, new FROM (SELECT key, sum(o)::BIGINT AS old, sum(n)::BIGINT AS new FROM a WHERE kind = 'ticker' GROUP BY key HAVING old > 0 ORDER BY old DESC, key LIMIT 4)
+UNION ALL SELECT 'top_new', key, old, new FROM (SELECT key, sum(o)::BIGINT AS old, sum(n)::BIGINT AS new FROM a WHERE kind = 'ticker' GROUP BY key HAVING new > 0 ORDER BY new DESC, key LIMIT 4) UNION ALL SELECT 'relabelled', 'all', 0, (SELECT count(*) FROM o JOIN n USING (id) WHERE o.language <> n.language)""", "documents")
 
 
 def _dims(a, s):

@@ -152,3 +152,36 @@ def test_candidate_groups_match_brute_force(spark):
     got = events.candidate_groups(spark.createDataFrame(rows, "id long, vector array<double>"), spark.createDataFrame(slugs, "slug string, centroid array<double>"))
     assert {(r.id, r.merged_into, r.group_id) for r in got.collect()} == {(i, merged[i], group.get(i)) for i, _ in rows}
     assert len(set(group.values())) < len(group) and any(merged.values())
+
+
+def test_rotated_log_gives_the_same_rows_in_batch_and_as_a_stream(spark, tmp_path):
+    from feedloom.sources import worker_log
+
+    worker_log.register(spark)
+    folder, state, out = tmp_path / "logs", str(tmp_path / "state"), str(tmp_path / "out")
+    folder.mkdir()
+    log = folder / "worker.log"
+    line = lambda i: f"2024-01-0{1 + i // 400} 10:00:00.{100 + i % 400} line {i} é\n"
+
+    def read_on():
+        stream = spark.readStream.format("rotating_log").option("split", "1000").load(str(log))
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+        return sorted(r.value for r in spark.read.parquet(out).collect())
+
+    log.write_text("".join(map(line, range(300))) + "2024-01-01 10:00:00.999 half a li")
+    assert read_on() == sorted(line(i)[:-1] for i in range(300))
+    with log.open("a") as f:
+        f.write("ne\n" + "".join(map(line, range(300, 350))))
+    log.rename(folder / "worker.log.1")
+    log.write_text("".join(map(line, range(350, 900))))
+    (folder / "other.log").write_text("2024-01-01 10:00:00.000 of another log\n")
+    want = sorted([line(i)[:-1] for i in range(900)] + ["2024-01-01 10:00:00.999 half a line"])
+    assert read_on() == want
+    (folder / "worker.log.1").rename(folder / "worker.log.2")
+    log.rename(folder / "worker.log.1")
+    log.write_text(line(900))
+    want = sorted([*want, line(900)[:-1]])
+    assert read_on() == want == read_on()
+    batch = spark.read.format("rotating_log").option("split", "777").load(str(log))
+    assert sorted(r.value for r in batch.collect()) == want
+    assert batch.select("file", "at").distinct().count() == len(want) and batch.rdd.getNumPartitions() > 10
