@@ -119,8 +119,8 @@ def near_blocks(rows: DataFrame, above: float, within: str | None = None, block:
     return inner.union(met).union(come)
 
 
-def similar_vectors(rows: DataFrame, above: float, within: str | None = None, block: int = 2000) -> DataFrame:
-    """a, b, sim: all pairs of rows (id, vector) with a dot product above the bar, without a miss; see :func:`near_blocks`. A
+def similar_vectors(rows: DataFrame, above: float, within: str | None = None, block: int = 2000, grouped: bool = False) -> DataFrame:
+    """a, b, sim (and g, the group, if ``grouped``): all pairs of rows (id, vector) with a dot product above the bar, without a miss; see :func:`near_blocks`. A
     block is compared in one task, as a matrix product, and what is near the bar is computed again exactly.
 
     Equal vectors are joined once through the smallest id, so a large group of copies makes no pairs of its own. Vectors of
@@ -148,25 +148,30 @@ def similar_vectors(rows: DataFrame, above: float, within: str | None = None, bl
                     found.append(pd.DataFrame({"a": np.minimum(ids[u], other[v]), "b": np.maximum(ids[u], other[v]), "sim": sim}))
         return pd.concat(found)
 
-    return near_blocks(rows, above, within, block).groupBy("g", "dim", "cell", "kind", "i", "j").applyInPandas(close, "a long, b long, sim double")
+    blocks = near_blocks(rows, above, within, block)
+    kind = blocks.schema["g"].dataType.simpleString()
+    found = blocks.groupBy("g", "dim", "cell", "kind", "i", "j").applyInPandas(lambda group: close(group).assign(g=group["g"].iloc[0])[["g", "a", "b", "sim"]], f"g {kind}, a long, b long, sim double")
+    return found if grouped else found.drop("g")
 
 
-def title_pairs(rows: DataFrame, least: float = TITLE_JACCARD) -> DataFrame:
-    """a, b: pairs of titles (id, words) whose distinct words have a Jaccard similarity of ``least`` or more.
+def title_pairs(rows: DataFrame, least: float = TITLE_JACCARD, within: str | None = None) -> DataFrame:
+    """a, b (and g, the group, if ``within`` is given): pairs of titles (id, words) of a group whose distinct words have a
+    Jaccard similarity of ``least`` or more.
 
     Prefix filter: two sets that similar share one of the n - ceil(least n) + 1 rarest words of each. Equal sets are
     joined through the smallest id.
     """
-    sets = rows.select("id", F.array_sort(F.array_distinct("words")).alias("words")).where(F.size("words") > 0).groupBy("words").agg(F.min("id").alias("id"))
-    each = sets.select("id", F.size("words").alias("n"), F.explode("words").alias("word"))
-    counts = each.groupBy("word").agg(F.count("*").alias("c"))
-    order = F.row_number().over(Window.partitionBy("id").orderBy("c", "word"))
-    prefix = each.join(counts, "word").withColumn("i", order).where(F.col("i") <= F.col("n") - F.ceil(least * F.col("n")) + 1).select("id", "n", "word")
-    other = prefix.select(F.col("id").alias("b"), F.col("n").alias("m"), "word")
-    near = prefix.withColumnRenamed("id", "a").join(other, "word").where((F.col("a") < F.col("b")) & (F.least("n", "m") >= least * F.greatest("n", "m"))).select("a", "b").distinct()
-    w = sets.select("id", "words")
-    full = near.join(w.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(w.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
-    return full.where(S.jaccard(F.col("wa"), F.col("wb")) >= least).select("a", "b")
+    g = F.col(within) if within else F.lit(0)
+    sets = rows.select(g.alias("g"), "id", F.array_sort(F.array_distinct("words")).alias("words")).where(F.size("words") > 0).groupBy("g", "words").agg(F.min("id").alias("id"))
+    each = sets.select("g", "id", F.size("words").alias("n"), F.explode("words").alias("word"))
+    counts = each.groupBy("g", "word").agg(F.count("*").alias("c"))
+    order = F.row_number().over(Window.partitionBy("g", "id").orderBy("c", "word"))
+    prefix = each.join(counts, ["g", "word"]).withColumn("i", order).where(F.col("i") <= F.col("n") - F.ceil(least * F.col("n")) + 1).select("g", "id", "n", "word")
+    other = prefix.select("g", F.col("id").alias("b"), F.col("n").alias("m"), "word")
+    near = prefix.withColumnRenamed("id", "a").join(other, ["g", "word"]).where((F.col("a") < F.col("b")) & (F.least("n", "m") >= least * F.greatest("n", "m"))).select("g", "a", "b").distinct()
+    w = sets.select("g", "id", "words")
+    full = near.join(w.select("g", F.col("id").alias("a"), F.col("words").alias("wa")), ["g", "a"]).join(w.select("g", F.col("id").alias("b"), F.col("words").alias("wb")), ["g", "b"])
+    return full.where(S.jaccard(F.col("wa"), F.col("wb")) >= least).select(*(["g"] if within else []), "a", "b")
 
 
 def cluster_events(articles: DataFrame) -> DataFrame:
@@ -182,15 +187,42 @@ def cluster_events(articles: DataFrame) -> DataFrame:
     return components(edges, articles).withColumnRenamed("component", "event_id")
 
 
+def _timed_edges(rows: DataFrame, pairs: DataFrame, span: int) -> DataFrame:
+    """a, b: edges between rows (g, key, id, at, alike) of equal keys, or of keys whose least ids of a group are ``pairs``
+    (g, a, b), that lie within ``span`` seconds of each other.
+
+    Rows of a key whose times follow each other within the span are one segment, which is connected if rows of the key are
+    ``alike``; two segments have rows within the span exactly if their times from first to last come that near.
+    """
+    times = rows.groupBy("g", "key", "at").agg(F.min("id").alias("id"), F.min("alike").alias("alike"))  # a group has so many seconds at most
+    order = Window.partitionBy("g", "key").orderBy("at")
+    cut = F.coalesce(F.col("at") - F.lag("at").over(order) > span, F.lit(False)) | ~F.col("alike")
+    placed = times.withColumn("cut", cut.cast("int")).withColumn("segment", F.sum("cut").over(order)).withColumn("least", F.min("id").over(Window.partitionBy("g", "key")))
+    ends = placed.groupBy("g", "key", "segment", "least").agg(F.min("id").alias("rep"), F.min("at").alias("first"), F.max("at").alias("last"))
+    own = rows.where("alike").join(placed.select("g", "key", "at", "segment"), ["g", "key", "at"]).join(ends.select("g", "key", "segment", "rep"), ["g", "key", "segment"])
+    stars = own.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    side = lambda tag: ends.select("g", F.col("least").alias(tag), F.col("rep").alias(f"{tag}_rep"), F.col("first").alias(f"{tag}_first"), F.col("last").alias(f"{tag}_last"))
+    met = pairs.join(side("a"), ["g", "a"]).join(side("b"), ["g", "b"]).where((F.col("a_first") <= F.col("b_last") + span) & (F.col("b_first") <= F.col("a_last") + span))
+    return stars.union(met.select("a_rep", "b_rep"))
+
+
 def merge_clusters(events: DataFrame, hours: int = MERGE_HOURS) -> DataFrame:
     """id, component: events (id, event_type, first_s, words, vector) of a type, within 48 hours of each other, with similar
-    titles or close vectors. A range join by cells of the span."""
+    titles or close vectors.
+
+    Every two events within the span share one of the overlapping windows of twice the span; in a window of a type distinct
+    titles and vectors meet by prefixes and pivots (:func:`title_pairs`, :func:`similar_vectors`), and times are compared
+    for what is similar only.
+    """
     span = hours * 3600
     cell = F.floor(F.col("first_s") / span)
-    left = events.select(F.col("id").alias("a"), "event_type", F.col("first_s").alias("sa"), F.col("words").alias("wa"), F.col("vector").alias("va"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    right = events.select(F.col("id").alias("b"), "event_type", F.col("first_s").alias("sb"), F.col("words").alias("wb"), F.col("vector").alias("vb"), cell.alias("cell"))
-    near = left.join(right, ["event_type", "cell"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("sa") - F.col("sb")) <= span))
-    return components(near.where((S.jaccard(F.col("wa"), F.col("wb")) >= TITLE_JACCARD) | (S.dot(F.col("va"), F.col("vb")) >= MERGE_COSINE)).select("a", "b"), events)
+    rows = events.where("event_type IS NOT NULL").select("id", F.col("first_s").alias("at"), "words", F.col("vector").cast("array<double>").alias("vector"), "event_type", F.explode(F.array(cell - 1, cell)).alias("cell"))
+    rows = written(rows.withColumn("g", F.concat_ws("|", F.col("cell").cast("string"), F.col("event_type").cast("string"))).drop("cell", "event_type"), "merge-windows")
+    titles = rows.where("words IS NOT NULL").select("g", F.array_sort(F.array_distinct("words")).alias("key"), "id", "at", F.lit(True).alias("alike"))
+    vectors = rows.where("vector IS NOT NULL").select("g", F.col("vector").alias("key"), "id", "at", F.coalesce(S.dot(F.col("vector"), F.col("vector")) >= MERGE_COSINE, F.lit(False)).alias("alike"))
+    near = similar_vectors(rows.select("g", "id", "vector"), float(np.nextafter(MERGE_COSINE, 0)), "g", grouped=True)
+    edges = _timed_edges(titles, title_pairs(rows.select("g", "id", "words"), TITLE_JACCARD, "g"), span).union(_timed_edges(vectors, near.select("g", "a", "b"), span))
+    return components(edges, events)
 
 
 def event_summary(links: DataFrame) -> DataFrame:

@@ -312,6 +312,40 @@ def test_vector_pairs_miss_none_near_the_bar(spark):
     assert all(event[a] == event[b] for a, b in close if b < 1000)
 
 
+def test_merged_events_equal_brute_force(spark):
+    draw = random.Random(5)
+    base = [[draw.gauss(0, 1) for _ in range(6)] for _ in range(12)]
+
+    def unit(v):
+        n = sum(x * x for x in v) ** 0.5
+        return [x / n for x in v]
+
+    data = []
+    for i in range(260):
+        v = unit([x + draw.gauss(0, 0.25) for x in draw.choice(base)]) if draw.random() < 0.7 else unit(draw.choice(base))
+        v = draw.choice([v, v, v, [0.5 * x for x in v], None])
+        words = draw.choice([[], None, [f"w{draw.randrange(40)}" for _ in range(draw.randint(1, 4))], ["same", "title"]]) if draw.random() < 0.4 else [f"u{i}"]
+        data.append((i, draw.choice(["x", "x", "y", None]), draw.randrange(60) * 20_000 + draw.randrange(3), words, v))
+    links = {i: i for i, *_ in data}
+
+    def root(i):
+        while links[i] != i:
+            i = links[i]
+        return i
+
+    for a, ka, ta, wa, va in data:
+        for b, kb, tb, wb, vb in data:
+            if a < b and ka == kb and ka is not None and abs(ta - tb) <= 48 * 3600:
+                alike = wa is not None and wb is not None and (len(set(wa) & set(wb)) / len(set(wa) | set(wb)) >= 0.6 if set(wa) | set(wb) else True)
+                if alike or va and vb and sum(x * y for x, y in zip(va, vb, strict=True)) >= 0.8:
+                    x, y = root(a), root(b)
+                    links[max(x, y)] = min(x, y)
+    df = spark.createDataFrame(data, "id long, event_type string, first_s long, words array<string>, vector array<double>")
+    got = {r.id: r.component for r in events.merge_clusters(df).collect()}
+    assert got == {i: root(i) for i in links}
+    assert 20 < len(set(got.values())) < 240
+
+
 def test_pivots_spare_most_pairs_of_clustered_vectors(spark):
     draw = np.random.default_rng(6)
     centres = draw.normal(size=(60, 16))
