@@ -20,6 +20,8 @@ DRIFT, SPLIT_BELOW, MERGE_ABOVE = 0.05, 0.50, 0.85
 KNOWN_ABOVE, GROUP_ABOVE = 0.75, 0.70
 #: Pivots that cells of vectors have at most, and vectors that they are chosen from.
 PIVOTS, PIVOT_SAMPLE = 256, 4096
+#: Centroids that are broadcast together.
+CENTROIDS = 20_000
 
 
 def event_fingerprint(event_type: Column, date: Column, entities: Column) -> Column:
@@ -231,23 +233,65 @@ def event_summary(links: DataFrame) -> DataFrame:
     return links.groupBy("event_id").agg(F.count("*").alias("articles"), F.min("published_s").alias("first_s"), F.max("published_s").alias("last_s"), F.count_if(mood == "bullish").alias("bullish"), F.count_if(mood == "bearish").alias("bearish"), F.max("impact").alias("impact"), F.array_sort(F.collect_set("entity")).alias("entities"))
 
 
+def close_centroids(articles: DataFrame, narratives: DataFrame, least: float, at_once: int = CENTROIDS) -> DataFrame:
+    """id, slug, sim: articles (id, vector) and narratives (slug, centroid) with a dot product of ``least`` or more.
+
+    The centroids are broadcast as matrices of ``at_once`` rows at most, and a batch of articles is multiplied by one after
+    the other where it is: articles aren't moved, and only close pairs become rows. Vectors and centroids that are null, or
+    of different lengths, make no pair.
+    """
+    ship(articles.sparkSession)
+    usable = narratives.where("centroid IS NOT NULL AND size(centroid) > 0").select("slug", F.col("centroid").cast("array<double>").alias("centroid"))
+    parts = -(-usable.count() // at_once)
+    rows, out = articles.where("vector IS NOT NULL AND size(vector) > 0").select("id", F.col("vector").cast("array<double>").alias("vector")), None
+    kinds = f"id {articles.schema['id'].dataType.simpleString()}, slug {narratives.schema['slug'].dataType.simpleString()}, sim double"
+    for part in range(max(parts, 1)):
+        some = (usable if parts < 2 else usable.where(F.pmod(F.xxhash64("slug", "centroid"), F.lit(parts)) == part)).toPandas()  # about at_once rows
+        groups = [(np.array(g["slug"]), np.stack(g["centroid"].to_list())) for _, g in some.groupby(some["centroid"].map(len))] if len(some) else []
+        shared = articles.sparkSession.sparkContext.broadcast(groups)
+
+        def near(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                lengths = batch["vector"].map(len)
+                for slugs, y in shared.value:
+                    own = batch[lengths == y.shape[1]]
+                    for at in range(0, len(own), 256):
+                        ids, x = own["id"].to_numpy()[at : at + 256], np.stack(own["vector"].to_list()[at : at + 256])
+                        i, j = np.nonzero(x @ y.T >= least - 1e-9 * (1 + np.abs(x).max() * np.abs(y).max() * x.shape[1]))
+                        sim = np.cumsum(x[i] * y[j], axis=1)[:, -1] if len(i) else np.zeros(0)  # in the order of the expression dot
+                        kept = sim >= least
+                        yield pd.DataFrame({"id": ids[i[kept]], "slug": slugs[j[kept]], "sim": sim[kept]})
+
+        found = rows.mapInPandas(near, kinds)
+        out = found if out is None else out.union(found)
+    return out
+
+
 def select_narratives(articles: DataFrame, narratives: DataFrame, tau: float = 0.30, k: int = 3) -> DataFrame:
     """id, slug, rank: the first ``k`` narratives at or above ``tau``, by similarity; those of crypto alone only for
-    texts with a crypto term. Narratives are a few dozen rows."""
-    rows = articles.crossJoin(small(narratives)).withColumn("sim", S.dot(F.col("vector"), F.col("centroid")))
-    rows = rows.where((F.col("sim") >= tau) & (~F.col("crypto_only") | F.col("has_crypto")))
+    texts with a crypto term. Ids and slugs are unique."""
+    close = close_centroids(articles, narratives, tau).join(small(narratives.select("slug", "narrative_pos", "crypto_only")), "slug")
+    plain = close.where(~F.col("crypto_only")).unionByName(close.where("crypto_only").join(articles.where("has_crypto").select("id"), "id", "left_semi"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "narrative_pos"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "slug", "rank")
+    return plain.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "slug", "rank")
 
 
 def match_narratives(articles: DataFrame, narratives: DataFrame) -> DataFrame:
-    """id, slug, signal, score: by equal slug, else close vectors, else shared keywords; the best signal of each pair."""
-    rows = articles.crossJoin(small(narratives))
-    overlap = S.jaccard(F.transform("keywords", F.lower), F.transform("narrative_keywords", F.lower), 0.0)
-    sim = S.dot(F.col("vector"), F.col("centroid"))
-    signal = F.when(F.array_contains("slugs", F.col("slug")), "slug").when(sim >= EMBEDDING, "embedding").when(overlap >= KEYWORDS, "keywords")
-    score = F.when(signal == "slug", SLUG).when(signal == "embedding", sim).otherwise(overlap)
-    return rows.select("id", "slug", signal.alias("signal"), score.alias("score")).where("signal IS NOT NULL")
+    """id, slug, signal, score: by equal slug, else close vectors, else shared keywords; the best signal of each pair. Each
+    signal is a join of its own; ids and slugs are unique."""
+    named = articles.select("id", F.explode(F.array_distinct("slugs")).alias("slug")).join(small(narratives.select("slug")), "slug")
+    words = lambda c: F.array_distinct(F.transform(c, F.lower))
+    own = articles.select("id", F.size(words("keywords")).alias("n"), F.explode(words("keywords")).alias("word"))
+    theirs = narratives.select("slug", F.size(words("narrative_keywords")).alias("m"), F.explode(words("narrative_keywords")).alias("word"))
+    both = own.join(small(theirs), "word").groupBy("id", "slug").agg(F.count("*").alias("both"), F.max("n").alias("n"), F.max("m").alias("m"))
+    overlap = F.col("both") / (F.col("n") + F.col("m") - F.col("both"))
+    found = (
+        named.select("id", "slug", F.lit(1).alias("order"), F.lit("slug").alias("signal"), F.lit(SLUG).alias("score"))
+        .unionByName(close_centroids(articles, narratives, EMBEDDING).select("id", "slug", F.lit(2).alias("order"), F.lit("embedding").alias("signal"), F.col("sim").alias("score")))
+        .unionByName(both.where(overlap >= KEYWORDS).select("id", "slug", F.lit(3).alias("order"), F.lit("keywords").alias("signal"), overlap.alias("score")))
+    )
+    best = F.min(F.struct("order", "signal", "score")).alias("best")
+    return found.groupBy("id", "slug").agg(best).select("id", "slug", "best.signal", "best.score")
 
 
 def narrative_intensity(links: DataFrame) -> DataFrame:

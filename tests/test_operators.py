@@ -312,6 +312,16 @@ def test_vector_pairs_miss_none_near_the_bar(spark):
     assert all(event[a] == event[b] for a, b in close if b < 1000)
 
 
+def test_close_centroids_in_several_lists_equal_brute_force(spark):
+    draw = np.random.default_rng(9)
+    x, y = draw.normal(size=(70, 5)), draw.normal(size=(45, 5))
+    articles = spark.createDataFrame([*((i, v.tolist()) for i, v in enumerate(x)), (100, None), (101, []), (102, [1.0])], "id long, vector array<double>")
+    narratives = spark.createDataFrame([*((f"n{j}", v.tolist()) for j, v in enumerate(y)), ("none", None), ("short", [2.0])], "slug string, centroid array<double>")
+    for at_once in (20_000, 7):
+        got = {(r.id, r.slug): r.sim for r in events.close_centroids(articles, narratives, 1.5, at_once).collect()}
+        assert got == pytest.approx({(int(i), f"n{j}"): (x @ y.T)[i, j] for i, j in zip(*np.nonzero(x @ y.T >= 1.5), strict=True)} | {(102, "short"): 2.0})
+
+
 def test_merged_events_equal_brute_force(spark):
     draw = random.Random(5)
     base = [[draw.gauss(0, 1) for _ in range(6)] for _ in range(12)]
