@@ -159,7 +159,7 @@ def worker_status(health: DataFrame, live: DataFrame, nodes: DataFrame, as_of: i
         count("fails").alias("failed_validations"),
         count("faiths").alias("unfaithful"),
         count("park_level").alias("park_level"),
-        F.coalesce(F.floor(F.least(F.greatest("size", F.lit(SIZE_LEAST)), F.lit(SIZE_MOST))), F.lit(int(SIZE_START))).cast("long").alias("batch_size"),
+        F.floor(F.least(F.greatest(F.coalesce("size", F.lit(SIZE_START)), F.lit(SIZE_LEAST)), F.lit(SIZE_MOST))).cast("long").alias("batch_size"),
         F.greatest(F.lit(0.0), left).alias("cooldown_left"),
         (left > 0).alias("on_cooldown"),
         F.round("median", 2).alias("median_latency"),

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedloom.functions import scores, text
-from feedloom.operators import attest, compare, entities, events, health, keywords, ledger, match, models
+from feedloom.operators import attest, compare, entities, events, health, keywords, ledger, match, models, records
 from feedloom.sources import feeds
 
 
@@ -322,6 +322,21 @@ def test_close_centroids_in_several_lists_equal_brute_force(spark):
         assert got == pytest.approx({(int(i), f"n{j}"): (x @ y.T)[i, j] for i, j in zip(*np.nonzero(x @ y.T >= 1.5), strict=True)} | {(102, "short"): 2.0})
 
 
+def test_group_class_and_status_by_hand(spark):
+    messages = spark.createDataFrame([(1, "ann", "buy $ABC now"), (2, "bob", "why?"), (3, "cy", "gold, gold"), (4, "dee", "nothing")], "message_id long, sender string, content string")
+    context = spark.createDataFrame([(1, []), (2, [1]), (3, [2, 1]), (4, [])], "message_id long, context array<long>")
+    registry = spark.createDataFrame([(1, "cashtag", "$ABC"), (2, "identifier", "gold"), (2, "identifier", "now")], "class_id int, kind string, keyword string")
+    inherited = spark.createDataFrame([(4, 9)], "message_id long, class_id int")
+    got = {r.message_id: (r.class_id, r.confidence, r.message_count, r.contributing) for r in records.message_group_class(messages, context, registry, inherited).collect()}
+    assert got == {1: (1, "high", 1, [1]), 2: (1, "high", 2, [1]), 3: (1, "high", 3, [1, 3]), 4: (9, "high", 1, [])}
+    state = dict(health.fresh(), window=6.0, timeouts=2.0, sends=3.0, fails=1.0, faiths=4.0, park_level=1.0, until=130.0, parked_until=190.0, size=17.9)
+    known = spark.createDataFrame([(1, *map(float, state.values()))], f"worker long, {health.STATE}")
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    rows = health.worker_status(known, frame([(1, True), (2, True), (3, False)], "worker long, alive boolean"), frame([(1, 40), (1, 30)], "worker long, uid long"), 100, frame([(2, 5)], "worker long, inflight long"), frame([(1, 1.23456)], "worker long, median double"), frame([(1, 0.59)], "worker long, reputation double"))
+    got = {r.worker: tuple(r)[1:] for r in rows.collect()}
+    assert got == {1: (30, True, 6.0, 0, 2.0, 3, 1, 4, 1, 17, 90.0, True, 1.23, 0.5), 2: (-1, True, health.WINDOW_START, 5, 0.0, 0, 0, 0, 0, 12, 0.0, False, None, None)}
+
+
 def test_merged_events_equal_brute_force(spark):
     draw = random.Random(5)
     base = [[draw.gauss(0, 1) for _ in range(6)] for _ in range(12)]
