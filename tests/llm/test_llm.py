@@ -527,3 +527,51 @@ def test_probes_are_never_in_the_sample(spark):
         sample = {r.vec_id for r in turn.orderBy("turn", "vec_id").limit(learned).collect()}
         probes = {r.vec_id for r in turn.orderBy(F.desc("turn"), F.desc("vec_id")).limit(min(neighbours.PROBES, n - learned)).collect()}
         assert probes and not sample & probes
+
+
+# -- edge cases of stages and operators that no test above has
+def hostile(spark):
+    """Documents with null and repeated ids, equal rows, a very long text and columns whose names operators use themselves."""
+    draw = random.Random(21)
+    word = lambda: "".join(draw.choices("abcdefghij", k=draw.randint(2, 7)))
+    good = [" ".join(word() for _ in range(60)) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(good)] + [(i + 100, " ".join(word().upper() + "!!" for _ in range(60))) for i in range(20)]
+    rows += [(None, good[3] + " tail"), (None, None), (None, ""), (5, " ".join(word() for _ in range(60))), (7, good[7]), (7, good[7]), (300, " ".join(word() for _ in range(120_000)))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row long, row2 string, doc string, is_toxic int, kept string, part int, n_tokens long"
+    return spark.createDataFrame([(*r, "en", "s", len(r[1] or ""), 1, "x", "d", 0, "k", 3, 9) for r in rows], schema)
+
+
+def test_every_stage_of_the_pipeline_takes_hostile_rows(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = hostile(spark)
+    spark.createDataFrame([(i, int(i < 60), 0) for i in range(120) if i < 60 or i >= 100], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, " ".join(docs.where("doc_id = 2").first().text.split()[:20]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    counts = {}
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, docs, str(tmp_path))
+        empty = stage(spark, docs.limit(0), str(tmp_path))
+        assert empty.columns == found.columns and empty.count() == 0
+        if name != "tokens":
+            assert found.columns == docs.columns
+        found.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        counts[name] = docs.count()
+    ids = [r.doc_id for r in docs.select("doc_id").collect()]
+    # Repeated and null ids stay where their text does; the copy of 3 without an id goes, and two of the three equal rows 7.
+    assert counts["quality"] == counts["toxicity"] == 65 and counts["near_duplicates"] == 62 and counts["decontamination"] == 61
+    assert sorted(ids) == sorted([*(i for i in range(60) if i != 2), 5, 300])
+
+
+def test_token_files_of_long_texts_and_repeated_ids(spark):
+    own = Tokenizer.from_file(WORDS)
+    texts = [(1, "a b"), (1, "a b"), (1, "c"), (None, "d e"), (2, long_text(60_000))]
+    got = token_files.round_trip(spark.createDataFrame(texts, "doc_id long, text string"), WORDS, end_id=2).collect()
+    want = sorted((zlib.crc32(np.array([*own.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes())) for _, t in texts)
+    assert sorted(r.ids_crc32 for r in got) == want
+
+
+def test_near_duplicates_of_very_long_texts(spark):
+    text = long_text(150_000)
+    rows = [(1, text), (2, text + " end"), (3, long_text(150_000, 2)), (4, None)]
+    got = {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=3, numerator=85, denominator=100).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
