@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from feedloom.operators import match as M
 from feedloom.plans.inputs import Plans
+from feedloom.shared import small
 
 P = Plans()
 FIN, MACRO, ECON, ABBR = M.FINANCE, M.MACRO, M.ECONOMIES, M.ABBREVIATIONS
@@ -103,7 +104,7 @@ def _primary_sector(*d) -> DataFrame:
     from feedloom.functions.scores import gics_to_sector
 
     rows = _subjects(*d[:5]).where("is_primary").select("article_id", "asset_id", "symbol")
-    return rows.join(F.broadcast(d[4].select("asset_id", "sector")), "asset_id").select("article_id", "symbol", gics_to_sector(F.col("sector"))[0].alias("sector_id"))
+    return rows.join(small(d[4].select("asset_id", "sector")), "asset_id").select("article_id", "symbol", gics_to_sector(F.col("sector"))[0].alias("sector_id"))
 
 
 def _flagship(*d) -> DataFrame:

@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from feedloom.functions.text import content_hash, words
@@ -104,30 +102,9 @@ def leases(transitions: DataFrame, ttl: int = LEASE_TTL_S, late: str = "10 minut
     time of ``ttl`` seconds is over, or else by a timer, when the watermark, ``late`` behind the newest transition of all
     items, passes its end. An item without an open lease keeps no state.
     """
-    span = ttl * 1_000_000
-
-    def watch(key, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        opened, worker = kept.get if kept.exists else (-1, -1)
-        out = []
-        if kept.hasTimedOut:
-            out, opened = [(key[0], worker, opened)], -1
-        else:
-            for w, ts, what in pd.concat(list(frames)).sort_values("ts_us")[["worker", "ts_us", "what"]].itertuples(index=False):
-                if opened >= 0 and ts - opened > span:
-                    out.append((key[0], worker, opened))
-                opened, worker = (int(ts), int(w)) if what == "open" else (-1, -1)
-        end = (opened + span) // 1000 + 1
-        if opened >= 0 and end <= kept.getCurrentWatermarkMs():
-            out, opened = [*out, (key[0], worker, opened)], -1
-        if opened >= 0:
-            kept.update((opened, worker))
-            kept.setTimeoutTimestamp(end)
-        elif kept.exists:
-            kept.remove()
-        yield pd.DataFrame(out, columns=["item", "worker", "opened_us"])
-
+    ship(transitions.sparkSession)
     rows = transitions.withWatermark("ts", late).select("item", "worker", "ts", F.unix_micros("ts").alias("ts_us"), "what")
-    return rows.groupBy("item").applyInPandasWithState(watch, "item long, worker long, opened_us long", "opened long, worker long", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("item").transformWithStateInPandas(state.Leases(ttl), "item long, worker long, opened_us long", "append", "eventTime")
 
 
 def triage(articles: DataFrame, matches: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -92,6 +92,52 @@ class Newest(StatefulProcessor):
         pass
 
 
+class Leases(StatefulProcessor):
+    """worker and opened_us of an item's leases that no completion closed within ``ttl`` seconds, from its transitions (worker,
+    ts_us, what).
+
+    State: the open lease. It times out when a later transition shows that its time is over, or else by a timer; an item
+    without an open lease keeps no state.
+    """
+
+    def __init__(self, ttl: int):
+        self.span = ttl * US
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.lease = handle, handle.getValueState("lease", "opened long, worker long")
+
+    def _end(self, opened: int) -> int:
+        return (opened + self.span) // MS + 1
+
+    def _out(self, rows: list[tuple]) -> pd.DataFrame:
+        return _frame(rows, item="int64", worker="int64", opened_us="int64")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        opened, worker = self.lease.get() if self.lease.exists() else (-1, -1)
+        out, begun = [], False
+        for ts, _, w, what in sorted((ts, i, w, what) for frame in rows for i, (w, ts, what) in enumerate(frame[["worker", "ts_us", "what"]].itertuples(index=False, name=None))):
+            if opened >= 0 and ts - opened > self.span:
+                out.append((key[0], worker, opened))
+            opened, worker, begun = (ts, w, True) if what == "open" else (-1, -1, begun)
+        if opened >= 0 and begun:
+            self.lease.update((int(opened), int(worker)))
+            self.handle.registerTimer(self._end(opened))
+        elif opened < 0:
+            self.lease.clear()
+        if out:
+            yield self._out(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.lease.exists():
+            opened, worker = self.lease.get()
+            if self._end(opened) <= expiredTimerInfo.getExpiryTimeInMs():  # else it was opened anew
+                self.lease.clear()
+                yield self._out([(key[0], worker, opened)])
+
+    def close(self) -> None:
+        pass
+
+
 class Reputation(StatefulProcessor):
     """The moving average of a target's observations (epoch, article_id, sender, score, weight), a row for each closed epoch.
 
