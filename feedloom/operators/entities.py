@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions import scores as S
 from feedloom.functions.text import text_of
+from feedloom.functions.vectors import vector_sums
 from feedloom.shared import small
 
 # Thresholds of entities, votes and blocks.
@@ -197,13 +198,19 @@ def block_relevance(blocks: DataFrame, doc: str = "doc_id", floor: float = RELEV
     """doc, pos, cosine, relevant for good blocks (doc, pos, vector, title_vector): each against the mean of the others'
     mean and the title. A document with one block and no title is left as it is.
 
-    The mean of the others is (sum - own) / (n - 1), so the vectors are summed once by dimension.
+    The mean of the others is (sum - own) / (n - 1), so a document's vectors are summed once, and each block is compared in
+    its own row.
     """
-    flat = blocks.select(doc, "pos", F.posexplode("vector").alias("i", "x"), F.col("title_vector").alias("t"))
-    each = Window.partitionBy(doc, "i")
-    rows = flat.withColumn("n", F.count("*").over(each)).withColumn("others", (F.sum("x").over(each) - F.col("x")) / (F.col("n") - 1))
-    title = F.get("t", F.col("i")).cast("double")
-    anchor = F.when(F.col("n") < 2, title).when(title.isNull(), F.col("others")).otherwise((F.col("others") + title) / 2)
-    sums = rows.withColumn("a", anchor).groupBy(doc, "pos").agg(F.sum(F.col("x") * F.col("a")).alias("xa"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("a") * F.col("a")).alias("aa"))
-    cosine = F.col("xa") / F.sqrt(F.col("xx") * F.col("aa"))
-    return sums.select(doc, "pos", cosine.alias("cosine"), F.coalesce(cosine >= floor, F.lit(True)).alias("relevant"))
+    sums = vector_sums(blocks, doc, "vector").select(F.col(doc).alias("_doc"), "total", "n")
+    rows = blocks.select(doc, "pos", F.col("vector").cast("array<double>").alias("x"), F.col("title_vector").cast("array<double>").alias("t")).join(sums, F.col(doc).eqNullSafe(F.col("_doc")))
+
+    def anchor(x, i):
+        others, title = (F.get("total", i) - x) / (F.col("n") - 1), F.get("t", i)
+        return F.when(F.col("n") < 2, title).when(title.isNull(), others).otherwise((others + title) / 2)
+
+    added = lambda values: F.aggregate(values, F.lit(0.0), lambda total, v: total + v)
+    times = lambda a, b: added(F.zip_with(a, b, lambda u, v: u * v))
+    rows = rows.withColumn("a", F.transform("x", anchor))
+    cosine = times(F.col("x"), F.col("a")) / F.sqrt(times(F.col("x"), F.col("x")) * times(F.col("a"), F.col("a")))
+    found = rows.select(doc, "pos", cosine.alias("cosine"))
+    return found.select(doc, "pos", "cosine", F.coalesce(F.col("cosine") >= floor, F.lit(True)).alias("relevant"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.functions import scores as S
+from feedloom.functions.vectors import vector_sums
 from feedloom.shared import discard, ship, small, written
 
 # Bars and spans of clustering and matching.
@@ -389,8 +390,8 @@ def centroid_drift(vectors: DataFrame, alpha: float = DRIFT) -> DataFrame:
 
 def split_candidates(vectors: DataFrame, below: float = SPLIT_BELOW) -> DataFrame:
     """slug, n, cohesion of groups whose mean pairwise similarity is low, from the sum of their unit vectors: no pairs."""
-    sums = vectors.select("slug", F.posexplode("vector").alias("i", "x")).groupBy("slug", "i").agg(F.sum(F.col("x").cast("double")).alias("s"), F.count("*").alias("n"))
-    rows = sums.groupBy("slug").agg(F.max("n").alias("n"), F.sum(F.col("s") * F.col("s")).alias("q")).where("n > 1")
+    length = F.aggregate("total", F.lit(0.0), lambda q, x: q + x * x)
+    rows = vector_sums(vectors, "slug", "vector").select("slug", "n", length.alias("q")).where("n > 1")
     return rows.select("slug", "n", ((F.col("q") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("cohesion")).where(F.col("cohesion") < below)
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from feedloom.functions import scores, text
+from feedloom.functions import scores, text, vectors
 from feedloom.operators import attest, compare, entities, events, health, keywords, ledger, match, models, records
 from feedloom.sources import feeds
 
@@ -337,6 +337,24 @@ def test_group_class_and_status_by_hand(spark):
     assert got == {1: (30, True, 6.0, 0, 2.0, 3, 1, 4, 1, 17, 90.0, True, 1.23, 0.5), 2: (-1, True, health.WINDOW_START, 5, 0.0, 0, 0, 0, 0, 12, 0.0, False, None, None)}
 
 
+def test_vector_sums_take_nulls_and_lengths(spark):
+    rows = [("a", [1.0, 2.0]), ("a", [3.0, None]), ("a", None), ("b", [1.0]), ("b", [1.0, 5.0]), (None, [2.0])]
+    df = spark.createDataFrame(rows, "slug string, vector array<double>").repartition(3)
+    assert {r.slug: (r.total, r.n) for r in vectors.vector_sums(df, "slug", "vector").collect()} == {"a": ([4.0, 2.0], 3), "b": ([2.0, 5.0], 2), None: ([2.0], 1)}
+
+
+def test_block_relevance_by_hand(spark):
+    x = {0: [1.0, 0.0], 1: [0.6, 0.8], 2: [-1.0, 0.1]}
+    df = spark.createDataFrame([(1, p, v, [0.0, 1.0]) for p, v in x.items()] + [(2, 0, [1.0, 1.0], None), (3, 0, [1.0, 1.0], [1.0, -1.0])], "doc_id long, pos int, vector array<double>, title_vector array<double>")
+    got = {(r.doc_id, r.pos): (r.cosine, r.relevant) for r in entities.block_relevance(df).collect()}
+    for p, v in x.items():
+        others = np.mean([u for q, u in x.items() if q != p], axis=0)
+        a = (others + np.array([0.0, 1.0])) / 2
+        want = float(np.dot(v, a) / np.sqrt(np.dot(v, v) * np.dot(a, a)))
+        assert got[1, p] == (pytest.approx(want), want >= 0.05)
+    assert got[2, 0] == (None, True) and got[3, 0] == (pytest.approx(0.0), False)
+
+
 def test_merged_events_equal_brute_force(spark):
     draw = random.Random(5)
     base = [[draw.gauss(0, 1) for _ in range(6)] for _ in range(12)]
