@@ -21,6 +21,8 @@ DRIFT, SPLIT_BELOW, MERGE_ABOVE = 0.05, 0.50, 0.85
 KNOWN_ABOVE, GROUP_ABOVE = 0.75, 0.70
 #: Pivots that cells of vectors have at most, and vectors that they are chosen from.
 PIVOTS, PIVOT_SAMPLE = 256, 4096
+#: Rows of a group up to which its pairs are compared without pivots.
+FEW = 500
 #: Centroids that are broadcast together.
 CENTROIDS = 20_000
 
@@ -77,6 +79,7 @@ def near_blocks(rows: DataFrame, above: float, within: str | None = None, block:
     one = written(one.groupBy("g", "vector").agg(F.min("id").alias("id")).withColumn("dim", F.size("vector")), "vectors")
     some = one.orderBy(F.xxhash64("id", F.lit(31)), "id").select("dim", "vector").limit(PIVOT_SAMPLE).toPandas()  # bounded by the sample
     count = one.count()
+    many = one.groupBy("g", "dim").agg(F.count("*").alias("n")).where(F.col("n") > FEW).select("g", "dim", F.lit(True).alias("many"))
     pivots = {int(dim): pivots_of(np.stack(part["vector"].to_list()), min(most, int(count**0.5) + 1)) for dim, part in some.groupby("dim")}
     g = one.schema["g"].dataType.simpleString()
 
@@ -84,13 +87,15 @@ def near_blocks(rows: DataFrame, above: float, within: str | None = None, block:
         for batch in batches:
             batch["cell"], batch["off"] = -1, np.inf
             for dim, part in batch.groupby("dim"):
-                if dim in pivots:  # a length that the sample hasn't got is one cell
+                part = part[part["many"]]
+                if dim in pivots and len(part):  # a small group, and a length that the sample hasn't got, is one cell
                     x = np.stack(part["vector"].to_list())
                     off = np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ pivots[dim].T + (pivots[dim] ** 2).sum(axis=1)[None, :], 0)
                     batch.loc[part.index, "cell"], batch.loc[part.index, "off"] = off.argmin(axis=1), np.sqrt(off.min(axis=1))
-            yield batch
+            yield batch.drop(columns="many")
 
-    placed = written(one.select("g", "id", "vector", "dim").mapInPandas(place, f"g {g}, id long, vector array<double>, dim int, cell int, off double"), "vector-cells")
+    sized = one.join(small(many), ["g", "dim"], "left").select("g", "id", "vector", "dim", F.coalesce("many", F.lit(False)).alias("many"))
+    placed = written(sized.mapInPandas(place, f"g {g}, id long, vector array<double>, dim int, cell int, off double"), "vector-cells")
     reach = {(r.dim, r.cell): r.off for r in placed.where("cell >= 0").groupBy("dim", "cell").agg(F.max("off").alias("off")).collect()}  # one row a pivot
     radius = {dim: np.array([reach.get((dim, c), -np.inf) for c in range(len(p))]) for dim, p in pivots.items()}
 

@@ -102,7 +102,8 @@ def asset_matches(hits: DataFrame, flags: DataFrame, doc: str = "article_id") ->
         F.array_sort(F.collect_set(F.struct("phase", "pos", "keyword"))).alias("evidence"),
     )
     confidence = F.try_element_at(F.create_map(*[F.lit(x) for k, v in KINDS.items() for x in (k, v[2])]), F.col("first.kind"))
-    return found.where(F.col("strong") | (F.col("context") & F.col("corroborates"))).select(doc, "asset_id", "relevance", F.col("first.kind").alias("method"), confidence.alias("confidence"), "in_title", "strong", F.transform("evidence", lambda e: e["keyword"]).alias("evidence"))
+    # Written once: what follows reads it in several places, and texts are to be searched once.
+    return written(found.where(F.col("strong") | (F.col("context") & F.col("corroborates"))).select(doc, "asset_id", "relevance", F.col("first.kind").alias("method"), confidence.alias("confidence"), "in_title", "strong", F.transform("evidence", lambda e: e["keyword"]).alias("evidence")), "matches")
 
 
 def title_subjects(matches: DataFrame, articles: DataFrame, assets: DataFrame, common_words: DataFrame, doc: str = "article_id") -> DataFrame:
