@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -84,6 +85,35 @@ class Search:
             yield i, starts, low
 
 
+class Cue:
+    """A regular expression that is looked for around places of a text; ``stems`` are texts in lower case of which every
+    match holds one, so that it is tried only where one stands."""
+
+    def __init__(self, pattern: str, stems: list[str]):
+        self.pattern, self.stems = re.compile(pattern), ahocorasick.Automaton()
+        for stem in stems:
+            self.stems.add_word(stem, len(stem))
+        if stems:
+            self.stems.make_automaton()
+
+    def places(self, low: str) -> list[int] | None:
+        """Starts of the stems in a text in lower case; None if they don't tell."""
+        if not len(self.stems) or "\u017f" in low:  # the one letter whose lower case isn't the letter that it matches
+            return None
+        return sorted(last + 1 - size for last, size in self.stems.iter(low))
+
+    def near(self, own: str, starts: list[int], size: int, around: int, places: list[int] | None) -> bool:
+        for s in starts:
+            first, last = max(s - around, 0), s + size + around
+            if places is not None:
+                i = bisect_left(places, first)
+                if i == len(places) or places[i] >= last:
+                    continue
+            if self.pattern.search(own[first:last]):
+                return True
+        return False
+
+
 _BUILT: dict[str, Search] = {}
 
 
@@ -110,12 +140,12 @@ def standing(kind: str, tags: str = TAG) -> tuple[bool, str]:
     return kind == "case_sensitive", tags if kind == "cashtag" else WORD
 
 
-def keyword_spots(docs: DataFrame, keywords: DataFrame, doc: str, head: Column | None, body: Column, stands: Callable[[str], tuple[bool, str]] = standing, near: str | None = None, around: int = 100) -> DataFrame:
+def keyword_spots(docs: DataFrame, keywords: DataFrame, doc: str, head: Column | None, body: Column, stands: Callable[[str], tuple[bool, str]] = standing, near: str | None = None, stems: list[str] | None = None, around: int = 100) -> DataFrame:
     """``doc``, kind, keyword, starts, in_title and context: one row for each document and keyword (kind, keyword) found.
 
     The text is ``head``, a line end and ``body``, or ``body`` alone. starts are places in the text (in lower case unless the
     kind counts case), in_title says that an occurrence lies in ``head``, and context that ``near``, a regular expression, is
-    found within ``around`` characters of one.
+    found within ``around`` characters of one (see :class:`Cue` for ``stems``).
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(doc).alias(doc), (F.lit(None).cast("string") if head is None else head).alias("_head"), F.coalesce(body, F.lit("")).alias("_body"))
@@ -125,18 +155,21 @@ def keyword_spots(docs: DataFrame, keywords: DataFrame, doc: str, head: Column |
         shared = context.broadcast((uuid.uuid4().hex, some))
 
         def run(batches, shared=shared) -> Iterator[pa.RecordBatch]:
-            search, cue = _search(shared), re.compile(near) if near else None
+            search, cue = _search(shared), Cue(near, stems or []) if near else None
             for batch in batches:
                 at, found, size = [], [], 0
                 for i, (title, body) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                     text = body if title is None else f"{title}\n{body}"
-                    ends = {}
+                    ends, places = {}, False
                     for place, starts, own in search.spots(text):
                         keyword = search.rows[place]
                         n = len(keyword[0])
                         if id(own) not in ends:
                             ends[id(own)] = len(title if own is text else title.lower()) if title is not None else 0
-                        cued = cue is not None and any(cue.search(own[max(s - around, 0) : s + n + around]) for s in starts)
+                        if cue is not None and places is False:
+                            low = text.lower()
+                            places = cue.places(low) if len(low) == len(text) else None
+                        cued = cue is not None and cue.near(own, starts, n, around, places)
                         at.append(i)
                         found.append((keyword[1], keyword[0], starts, starts[0] + n <= ends[id(own)], cued))
                         size += len(starts)

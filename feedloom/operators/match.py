@@ -17,6 +17,11 @@ FINANCE = (
     r"trading|traded|traders?|investors?|rally|rallied|rallies|surged?|surges|plunged?|plunges|tumbled?|gains?|gained|selloff|sell-off|"
     r"bullish|bearish|yields?|bonds?|index|indices|markets?|exchange|earnings|revenue|prices?|spot|bullion|equit(?:y|ies)|valuations?|market\s+cap|safe\s+haven)\b"
 )
+#: Parts of which every finance cue holds one.
+FINANCE_STEMS = (
+    "etf fund stock share ticker nasdaq nyse cboe future option token coin crypto blockchain staking trad investor rally rallie surge plunge tumble gain selloff sell-off "
+    "bullish bearish yield bond index indices market exchange earnings revenue price spot bullion equit valuation safe $ %"
+).split()
 MACRO = (
     r"(?i)\b(central bank|interest rate|rate (?:cut|hike|decision)|monetary policy|inflation|cpi|ppi|gdp|unemployment|jobless|nonfarm|payrolls|recession|"
     r"stimulus|quantitative easing|bond yield|sovereign debt|fiscal (?:policy|deficit)|tariff|trade (?:war|deal|agreement|deficit)|sanction|embargo|export ban|"
@@ -78,7 +83,7 @@ def gazetteer_hits(articles: DataFrame, gazetteer: DataFrame, doc: str = "articl
     One pass of the keywords' automaton over each text. context: a finance cue, $ or % within 100 characters of any occurrence.
     """
     usable = gazetteer.where((F.col("kind").isin("cashtag", "case_sensitive")) | ((F.col("kind") == "identifier") & (F.length("keyword") >= 3)) | ((F.col("kind") == "alias") & (F.length("keyword") >= 4)))
-    found = keyword_spots(articles, usable, doc, text_of(F.col("title")), text_of(F.col("body")), near=FINANCE + "|[$%]", around=WINDOW_CHARS)
+    found = keyword_spots(articles, usable, doc, text_of(F.col("title")), text_of(F.col("body")), near=FINANCE + "|[$%]", stems=FINANCE_STEMS, around=WINDOW_CHARS)
     named = found.join(small(usable.select("kind", "keyword", "asset_id").distinct()), ["kind", "keyword"])
     return named.select(doc, "asset_id", "kind", "keyword", F.size("starts").cast("long").alias("hits"), "in_title", "context")
 

@@ -108,6 +108,17 @@ def test_automaton_equals_regular_expressions(spark):
     assert got == wanted and len(wanted) > 200
 
 
+def test_cues_with_stems_are_those_of_the_pattern():
+    draw, cue = random.Random(3), keywords.Cue(match.FINANCE + "|[$%]", match.FINANCE_STEMS)
+    words = ["ETFs", "funds", "a stock", "Shares", "nyse", "option", "trading", "Rallied", "rallies", "gained", "sell-off", "indices", "index", "market  cap", "safe haven", "equities", "x", "the", "5%", "$1", "İ", "ſhares", "overshares"]
+    for _ in range(500):
+        text = " ".join(draw.choices(words, weights=[1] * 16 + [30, 30] + [1] * 5, k=draw.randint(1, 60)))
+        low = text.lower()
+        places = cue.places(low) if len(low) == len(text) else None
+        for at in range(0, len(text), 7):
+            assert cue.near(text, [at], 3, 20, places) == bool(re.search(match.FINANCE + "|[$%]", text[max(at - 20, 0) : at + 23]))
+
+
 def test_automaton_of_two_hundred_thousand_keywords(spark):
     table = spark.range(200_000).selectExpr("'identifier' AS kind", "concat('key', id, ' name') AS keyword")
     docs = spark.createDataFrame([(i, f"of key{i * 997} name and key{i} names") for i in range(200)], "id long, text string")
