@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Hashable, Iterator
 
@@ -73,11 +74,13 @@ def held(key: Hashable, make: Callable[[], object]) -> object:
 
 
 def release() -> None:
-    """Let go of what this Python worker keeps for an earlier operator."""
+    """Let go of what this Python worker keeps for an earlier operator, and of the pages that its allocators keep of earlier tasks."""
     if _HELD:
         _HELD.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+        trim(0)
 
 
 class PieceCache:

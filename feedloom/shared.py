@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 #: Rows and bytes up to which a side is broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16_000_000
+#: Bytes, about, of the batches that Spark hands to Python: long texts come a few at a time, not by thousands of rows.
+ARROW_BATCH, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -73,8 +75,10 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for each Spark context."""
+    """Give the executors this package, once for each Spark context, and bound the batches of this session in bytes."""
     context = spark.sparkContext
+    if spark.conf.get(ARROW_BATCH, None) is None:
+        spark.conf.set(ARROW_BATCH, str(ARROW_BYTES))
     if getattr(context, "_feedloom_shipped", False):
         return
     top = os.path.dirname(os.path.abspath(__file__))

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -30,6 +31,16 @@ def long_text(n, seed=1):
     return " ".join("".join(draw.choices("abcdefgh", k=draw.randint(1, 9))) for _ in range(n))
 
 
+def test_batches_of_long_texts_are_bounded_in_bytes(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "size"])
+
+    docs = spark.range(3000).coalesce(1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
+    found = docs.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in found) == 3000 and max(r.size for r in found) < 10_000_000
+
+
 # -- 1: byte-level BPE
 def test_bpe_equals_the_library_and_decodes(spark):
     with open(RANKS, "rb") as f:
