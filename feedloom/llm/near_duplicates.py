@@ -8,9 +8,9 @@
    values with m matches the posterior probability (uniform prior) that the similarity reaches the threshold is a
    binomial sum, and a pair leaves when it falls below ``MISS``. Pairs that stay are checked on their full sets.
 4. The links give components. Members of a bucket that are still in different components are compared with each
-   other, in blocks: all of a bucket's members outside its largest component against all its members. Pairs inside
-   a component need no comparison, so a large group of copies costs its members and not its pairs, and no link
-   between components is lost.
+   other, in blocks: all of a bucket's members outside its largest component against all its members. Buckets of one
+   largest component are compared as one where that makes fewer pairs. Pairs inside a component need no comparison,
+   so a large group of copies costs its members and not its pairs, and no link between components is lost.
 
 No group is ever in one task as a whole: star groups and buckets are cut into blocks of about ``BLOCK`` members and
 ``SHINGLES`` shingles. Links, labels and fingerprints stay in tables in the shared folder, which are deleted as soon as
@@ -207,8 +207,9 @@ def confirmed(groups: DataFrame, docs: DataFrame, numerator: int, denominator: i
 
     def run(table: pa.Table) -> pa.RecordBatch | None:
         names, parts = table.column("class").to_pylist(), table.column("part").to_pylist()
-        once = np.unique(names, return_index=True)[1].tolist() if len(set(names)) < len(names) else list(range(len(names)))  # equal rows of the documents
-        first, other = (table.column(c).to_numpy(zero_copy_only=False)[once] for c in ("first", "other"))
+        once, row = np.unique(names, return_index=True, return_inverse=True)[1:]  # equal rows of the documents, and a class in both roles
+        first, other = (np.bincount(row, table.column(c).to_numpy(zero_copy_only=False)) > 0 for c in ("first", "other"))
+        once = once.tolist()
         sets = [shingle_set(table.column("text")[i].as_py(), size) for i in once]
         names, parts = [names[i] for i in once], [parts[i] for i in once]
         lens = np.array([len(x) for x in sets])
@@ -254,6 +255,37 @@ def components(links: DataFrame) -> DataFrame:
             return after
 
 
+def _sets(rest: DataFrame, mixed: DataFrame) -> DataFrame:
+    """one, set, class, n_shingles, part, minor: sets in which every minor has to meet every member.
+
+    ``rest``: bucket, largest, class, n_shingles, part, minor of the buckets in ``mixed`` (bucket, n, inner, largest).
+    Buckets that have their largest component in common are one set, whose members meet once, if that makes fewer pairs
+    than one bucket after the other: a large group of near copies shares nearly all of its bands.
+    """
+    pairs = F.sum(F.col("n").cast("double") * (F.col("n") - F.col("inner")))
+    apart = mixed.groupBy("largest").agg(pairs.alias("apart"))
+    named = rest.groupBy("largest", "class").agg(F.first("minor").alias("minor"))
+    together = named.groupBy("largest").agg((F.count("*").cast("double") * F.count_if("minor")).alias("together"))
+    one = apart.join(together, "largest").select("largest", (F.col("together") < F.col("apart")).alias("one"))
+    sets = mixed.join(one, "largest").select("bucket", "one", F.when(F.col("one"), F.col("largest")).otherwise(F.col("bucket")).alias("set"))
+    return rest.join(sets, "bucket").select("one", "set", "class", "n_shingles", "part", "minor").distinct()
+
+
+def _cells(placed: DataFrame) -> DataFrame:
+    """Groups (g, class, first, other, part) of a block of a set's minors and a block of its members each."""
+    of_minors = _blocks(F.count_if("minor"), F.sum(F.when(F.col("minor"), F.col("n_shingles")).otherwise(0)))
+    cut = placed.groupBy("one", "set").agg(of_minors.alias("firsts"), _blocks(F.count("*"), F.sum("n_shingles")).alias("others"))
+    placed = placed.join(cut, ["one", "set"])
+    own = lambda blocks, seed: F.pmod(F.xxhash64("class", F.lit(seed)), F.col(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    no, yes = F.lit(False), F.lit(True)
+    return (
+        placed.where("minor").select("one", "set", "class", "part", own("firsts", 13).alias("x"), every("others").alias("y"), yes.alias("first"), no.alias("other"))
+        .union(placed.select("one", "set", "class", "part", every("firsts").alias("x"), own("others", 11).alias("y"), no.alias("first"), yes.alias("other")))
+        .select(F.xxhash64("one", "set", "x", "y").alias("g"), "class", "first", "other", "part")
+    )
+
+
 def grouped(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:
     """row, row2, doc_id, n_shingles, part (a number for each group; null for an empty set) and component_id of every row.
 
@@ -292,22 +324,18 @@ def grouped(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     marks = [F.bit_xor(F.xxhash64("class", F.lit(i))).alias(f"mark{i}") for i in (0, 1)]
     tally = inside.groupBy("bucket", "part").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"), *marks)
     marks = [F.bit_xor(f"mark{i}").alias(f"mark{i}") for i in (0, 1)]
-    mixed = tally.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("shingles").alias("shingles"), F.count("*").alias("parts"), F.max(F.struct("n", "part"))["part"].alias("largest"), *marks)
+    most = F.max(F.struct("n", "part"))
+    mixed = tally.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), most["n"].alias("inner"), most["part"].alias("largest"), *marks)
     # Buckets with the same members count once.
-    mixed = mixed.where("parts > 1").groupBy("mark0", "mark1", "n").agg(F.min("bucket").alias("bucket"), F.min_by("largest", "bucket").alias("largest"), F.max("shingles").alias("shingles"))
-    rest = inside.join(mixed.select("bucket", "largest", _blocks(F.col("n"), F.col("shingles")).alias("blocks")), "bucket").withColumn("minor", F.col("part") != F.col("largest"))
-    rest = written(rest.withColumn("own", F.pmod(F.xxhash64("class", F.lit(11)), F.col("blocks")).cast("int")), "rest")
-    discard(members)
-    cells = F.sequence(F.lit(0), F.col("blocks") - 1)
-    key = F.xxhash64("bucket", "x", "y").alias("g")
-    groups = (
-        rest.where("minor").select("bucket", "class", "part", F.col("own").alias("x"), F.explode(cells).alias("y"), yes.alias("first"), no.alias("other"))
-        .union(rest.select("bucket", "class", "part", F.explode(cells).alias("x"), F.col("own").alias("y"), no.alias("first"), yes.alias("other")))
-        .select(key, "class", "first", "other", "part")
-    )
-    left = written(survivors(groups, classes, threshold), "survivors")
+    mixed = mixed.where("parts > 1").groupBy("mark0", "mark1", "n").agg(F.min("bucket").alias("bucket"), F.min_by("largest", "bucket").alias("largest"), F.max("inner").alias("inner"))
+    mixed = written(mixed, "mixed")
+    rest = inside.join(mixed.select("bucket", "largest"), "bucket").withColumn("minor", F.col("part") != F.col("largest"))
+    rest = written(rest.select("bucket", "largest", "class", "n_shingles", "part", "minor"), "rest")
+    placed = written(_sets(rest, mixed), "placed")
+    discard(members, mixed, rest)
+    left = written(survivors(_cells(placed), classes, threshold), "survivors")
     more = written(confirmed(left, docs, numerator, denominator, size), "links")
-    discard(rest, left, classes)
+    discard(placed, left, classes)
     if not more.isEmpty():
         discard(parts)
         parts = components(links.union(more))

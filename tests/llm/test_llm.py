@@ -401,6 +401,39 @@ def test_posterior_bound_is_a_binomial_tail():
         assert (draw < m).mean() < 1e-4 and m >= 0.5 * n
 
 
+def test_unlinked_members_of_a_large_group_meet_it_once_and_not_in_each_bucket(spark, monkeypatch):
+    draw = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(base)]
+    for i in range(260):
+        words = list(base)
+        for place in draw.sample(range(120), 3 if i % 3 else 6):  # 6: mostly below the threshold, with many bands in common
+            words[place] = f"x{i}-{place}"
+        texts.append(" ".join(words))
+    rows, survivors = [], near_duplicates.survivors
+    monkeypatch.setattr(near_duplicates, "BLOCK", 16)
+    monkeypatch.setattr(near_duplicates, "survivors", lambda groups, *rest: rows.append(groups.count()) or survivors(groups, *rest))
+    got = {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(frame(spark, texts), size=3, numerator=85, denominator=100).collect()}
+    sets = [{tuple(x.split()[i : i + 3]) for i in range(len(x.split()) - 2)} for x in texts]
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]) and want[i] != want[j]:
+                low, high = sorted((want[i], want[j]))
+                want = [low if x == high else x for x in want]
+    assert got == dict(enumerate(want)) and 1 < len(set(want)) < len(texts)
+    assert rows[1] < 6000, rows
+
+
+def test_near_duplicates_confirm_classes_that_are_first_and_other(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = near_duplicates._keyed(frame(spark, [text, text + " y"]), "doc_id", "text")
+    (a, b), names = docs.orderBy("doc_id").collect(), "g long, class long, first boolean, other boolean, part long, row long, row2 long"
+    for rows in ([(a, 0, True), (b, 1, True), (a, 0, False), (b, 1, False)], [(a, 0, False), (b, 1, False), (a, 0, True), (b, 1, True)]):
+        groups = spark.createDataFrame([(5, i, first, not first, i, r.row, r.row2) for r, i, first in rows], names).coalesce(1)
+        assert near_duplicates.confirmed(groups, docs, 85, 100, 3).count() == 1
+
+
 def test_near_duplicates_empty_table(spark):
     assert near_duplicates.near_duplicates(frame(spark, ["x"]).limit(0)).count() == 0
 
