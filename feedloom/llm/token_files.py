@@ -18,7 +18,9 @@ their names. A very long text is encoded part by part; it lies in one shard as a
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -29,9 +31,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
-from feedloom.llm.arrow import CACHE_BYTES, PieceCache, held, slices
+from feedloom.llm.arrow import CACHE_BYTES, ENTRY_BYTES, PieceCache, held, slices
 from feedloom.shared import shared_dir, ship, small
 
 CHUNK_BITS = 8
@@ -107,12 +109,40 @@ class Dac:
         return out
 
 
+#: The steps before the model for which :func:`encoder` cuts words itself; characters that NFC leaves alone and whose lower
+#: case is one character, and what the tokens of lower-cased text are.
+_STEPS = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+]
+_PLAIN = re.compile(r"[\t\n\r!-;=-~\xa1-\xff]+").fullmatch
+_TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\t\n\r0-9²³¹¼½¾a-zªµºß-öø-ÿ]+").findall
+
+
 def encoder(own: Tokenizer) -> PieceCache:
-    """Ids of texts, solved piece by piece: the tokenizer's tokens never cross white space, so texts may be cut at spaces."""
+    """Ids of texts, solved piece by piece: the tokenizer's tokens never cross white space, so texts may be cut at spaces.
+
+    New pieces have few words that are new, as words come with capitals and marks: where the steps before the model are the
+    known ones, the library's model gets each lower-cased word of plain pieces once, and the whole library all other pieces.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's threads would only contend
+    file = json.loads(own.to_str())
+    known = [file["normalizer"], file["pre_tokenizer"]] == _STEPS and not (file["post_processor"] or file["truncation"] or file["padding"])
+    known = known and file["model"]["type"] == "BPE" and not file["model"]["dropout"] and all("<" in x["content"] for x in file["added_tokens"])
+    model, parts = own.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    words: dict[str, bytes] = {}
 
     def solve(pieces: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in own.encode_batch_fast(pieces, add_special_tokens=False)]
+        cut = {x: _TOKENS(x.lower()) for x in pieces if _PLAIN(x)} if known else {}
+        if len(words) * ENTRY_BYTES > CACHE_BYTES:
+            words.clear()
+        for word in set().union(*cut.values()).difference(words):
+            coded = word if word.isascii() else parts.pre_tokenize_str(word)[0][0]
+            words[word] = array("I", [x.id for x in model.tokenize(coded)]).tobytes()
+        done = {x: b"".join([words[y] for y in found]) for x, found in cut.items()}
+        other = [x for x in pieces if x not in cut]
+        done.update((x, array("I", y.ids).tobytes()) for x, y in zip(other, own.encode_batch_fast(other, add_special_tokens=False), strict=True))
+        return [done[x] for x in pieces]
 
     return PieceCache(solve, 2 * CACHE_BYTES)
 

@@ -112,6 +112,27 @@ def test_chain_feeds_earlier_probabilities():
 
 
 # -- 3: token files
+def test_words_of_plain_pieces_are_encoded_once_and_like_the_library():
+    asked = []
+
+    class Counted:
+        def __init__(self, own):
+            self.own, self.model, self.to_str = own, own.model, own.to_str
+
+        def encode_batch_fast(self, pieces, **how):
+            asked.extend(pieces)
+            return self.own.encode_batch_fast(pieces, **how)
+
+    own, library, draw = token_files.encoder(Counted(Tokenizer.from_file(WORDS))), Tokenizer.from_file(WORDS), random.Random(3)
+    signs = [chr(i) for i in range(1, 256)] + list("''''stdmlrev<|> ") + ["́", "Σ", "İ", "ﬁ", "<|endoftext|>", "'ll", "'RE"]
+    texts = ["".join(draw.choices(signs, k=draw.randint(1, 30))) for _ in range(20_000)] + [x or "" for x in EDGE]
+    for text, ids in zip(texts, own.run(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    asked.clear()
+    own.run(["Quorv quorv, QUORV. (quorv) über Über, don't"])
+    assert not asked
+
+
 def test_token_files_round_trip_and_random_access(spark, tmp_path):
     own = Tokenizer.from_file(WORDS)
     texts = [*EDGE, long_text(500)]
