@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 CHARS_A_BATCH, ROWS_A_BATCH = 2_000_000, 4096
 #: Bytes, about, that a dictionary of solved pieces may hold before it starts anew, and what an entry costs beside its content.
 CACHE_BYTES, ENTRY_BYTES = 100_000_000, 200
+#: Bytes, about, that the two generations of :class:`Solved` may hold; as many as the fuller kind has on average.
+KEPT_BYTES = 50_000_000
 
 
 def slices(texts: list, most: int = CHARS_A_BATCH) -> Iterator[slice]:
@@ -83,6 +85,33 @@ def release() -> None:
         trim(0)
 
 
+class Solved:
+    """What has been solved, in two generations of half of ``most`` bytes each: what is asked for again moves on to the younger
+    one, and what isn't goes with the older one, so that frequent pieces stay and memory is bounded."""
+
+    def __init__(self, most: int):
+        self.most, self.known, self.older, self.size = most, {}, {}, 0
+
+    def turn(self) -> None:
+        """Drop the older generation if the younger one is full; only between batches, as lookups are made in ``known``."""
+        if self.size > self.most / 2:
+            self.known, self.older, self.size = {}, self.known, 0
+
+    def missing(self, asked: set[str]) -> list[str]:
+        """Those of ``asked`` that are to be solved; all others are in ``known`` now."""
+        left = asked.difference(self.known)
+        if self.older:
+            find = self.older.get
+            again = {x: y for x in left if (y := find(x)) is not None}
+            self.add(again)
+            left.difference_update(again)
+        return list(left)
+
+    def add(self, found: dict[str, bytes]) -> None:
+        self.known.update(found)
+        self.size += sum(map(len, found)) + sum(map(len, found.values())) + ENTRY_BYTES * len(found)
+
+
 class PieceCache:
     """What a function of a piece of text gives, for pieces between single spaces; solved once while it is kept.
 
@@ -90,18 +119,15 @@ class PieceCache:
     text is that of its pieces, put one after the other. What is kept is bounded in bytes.
     """
 
-    def __init__(self, solve: Callable[[list[str]], list[bytes]], most: int = CACHE_BYTES):
-        self.solve, self.most, self.known, self.size = solve, most, {}, 0
+    def __init__(self, solve: Callable[[list[str]], list[bytes]], most: int = KEPT_BYTES):
+        self.solve, self.kept = solve, Solved(most)
 
     def _learn(self, texts: list[list[str]]) -> None:
-        if self.size > self.most:
-            self.known, self.size = {}, 0
-        new = list(set().union(*texts).difference(self.known))
+        self.kept.turn()
+        new = self.kept.missing(set().union(*texts))
         for i in range(0, len(new), 50_000):
             part = new[i : i + 50_000]
-            done = self.solve(part)
-            self.known.update(zip(part, done, strict=True))
-            self.size += sum(map(len, part)) + sum(map(len, done)) + ENTRY_BYTES * len(part)
+            self.kept.add(dict(zip(part, self.solve(part), strict=True)))
 
     def run(self, texts: list[str | None]) -> list[bytes]:
         if sum(len(x) for x in texts if x) > 2 * CHARS_A_BATCH:  # very long texts go part by part
@@ -111,7 +137,7 @@ class PieceCache:
     def _some(self, texts: list[str | None]) -> list[bytes]:
         cut = [text.split(" ") if text else [] for text in texts]
         self._learn(cut)
-        find = self.known.__getitem__
+        find = self.kept.known.__getitem__
         return [b"".join(map(find, pieces)) for pieces in cut]
 
 

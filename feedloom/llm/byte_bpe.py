@@ -30,12 +30,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from feedloom.llm.arrow import CACHE_BYTES, CHARS_A_BATCH, ENTRY_BYTES, held, slices, with_columns, without
+from feedloom.llm.arrow import CHARS_A_BATCH, KEPT_BYTES, Solved, held, slices, with_columns, without
 from feedloom.shared import ship
 
-#: Words, and bytes of words, in one recursive query; tokens in one query that decodes.
-WORDS_A_QUERY, BYTES_A_QUERY = 50_000, 800_000
-TOKENS_A_QUERY = 1_000_000
+#: Words, and bytes of words, in one recursive query; tokens in one query that decodes. The memory that a query takes stays with
+#: the worker, so queries are small.
+WORDS_A_QUERY, BYTES_A_QUERY = 20_000, 150_000
+TOKENS_A_QUERY = 200_000
 LONG = 64
 
 #: A space inside or at the end of a run of white space, where cutting before each space would change matches.
@@ -144,10 +145,8 @@ class RankCodec:
         self.matches = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.length = np.zeros(max(ranks.values(), default=-1) + 1, np.int64)
         self.length[list(ranks.values())] = list(map(len, ranks))
-        self.words: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
-        self.after_space: dict[str, bytes] = {}
-        self.size = 0
+        # Nearly all that is solved are pieces after a space.
+        self.words, self.bare, self.after_space = Solved(KEPT_BYTES // 5), Solved(KEPT_BYTES // 10), Solved(KEPT_BYTES * 7 // 10)
 
     def _table(self, name: str, columns: dict) -> None:
         self.db.register("given", pa.table(columns))
@@ -248,12 +247,6 @@ class RankCodec:
         done = dict(zip(few, [flat[x:y] for x, y in pairwise(cuts)], strict=True)) | self._long({x for x in parts if len(x) > LONG})
         return solved | {word: b"".join([done[part] for part in parts[x:y]]) for word, x, y in spans}
 
-    def _learn(self, words: set[str]) -> None:
-        """Keep the ids of words that are not known yet."""
-        found = self.encode_words(list(words.difference(self.words)))
-        self.words |= found
-        self.size += sum(map(len, found)) + sum(map(len, found.values())) + ENTRY_BYTES * len(found)
-
     def _solve(self, bare: list[str], after_space: list[str]) -> None:
         """Ids of new pieces, those at a text's start and those after a space, from those of their words.
 
@@ -262,36 +255,33 @@ class RankCodec:
         for i in range(0, max(len(after_space), 1), WORDS_A_QUERY):
             some = [(self.after_space, after_space[i : i + WORDS_A_QUERY], " "), (self.bare, [] if i else bare, "")]
             found = [[self.matches(before + x) for x in pieces] for _, pieces, before in some]
-            fresh = self.encode_words(list(set(chain.from_iterable(chain(*found))).difference(self.words)))
+            fresh = self.encode_words(self.words.missing(set(chain.from_iterable(chain(*found)))))
             parts = set(chain.from_iterable(x for x in chain(*found) if len(x) > 1)).intersection(fresh)
-            self.words.update((x, fresh[x]) for x in parts)
-            self.size += sum(len(x) + len(fresh[x]) for x in parts) + ENTRY_BYTES * len(parts)
-            fresh = ChainMap(fresh, self.words)
+            self.words.add({x: fresh[x] for x in parts})
+            known, fresh = self.words.known, ChainMap(fresh, self.words.known)
             for (kept, pieces, _), words in zip(some, found, strict=True):
-                done = [fresh[x[0]] if len(x) == 1 else b"".join([self.words[y] for y in x]) for x in words]
-                kept.update(zip(pieces, done, strict=True))
-                self.size += sum(map(len, pieces)) + sum(map(len, done)) + ENTRY_BYTES * len(pieces)
+                kept.add(dict(zip(pieces, [fresh[x[0]] if len(x) == 1 else b"".join([known[y] for y in x]) for x in words], strict=True)))
 
     def _part(self, text: str) -> bytes:
         """Ids of a text with runs of white space: all its matches are looked up."""
         words = self.matches(text)
-        self._learn(set(words))
-        return b"".join(map(self.words.__getitem__, words))
+        self.words.add(self.encode_words(self.words.missing(set(words))))
+        return b"".join(map(self.words.known.__getitem__, words))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        if self.size > CACHE_BYTES:
-            self.words, self.bare, self.after_space, self.size = {}, {}, {}, 0
+        for kept in (self.words, self.bare, self.after_space):
+            kept.turn()
         if sum(len(x) for x in texts if x) > 2 * CHARS_A_BATCH:  # very long texts go part by part
             return [b"".join([self.encode([part])[0] for part in parts_of(x)]) if x and len(x) > CHARS_A_BATCH else self.encode([x])[0] for x in texts]
         cut = [None if not text or _RUN.search(text) else text.split(" ") for text in texts]
         plain = [x for x in cut if x]
-        self._solve(list({x[0] for x in plain}.difference(self.bare)), list(set().union(*(x[1:] for x in plain)).difference(self.after_space)))
-        find = self.after_space.__getitem__
+        self._solve(self.bare.missing({x[0] for x in plain}), self.after_space.missing(set().union(*(x[1:] for x in plain))))
+        bare, find = self.bare.known, self.after_space.known.__getitem__
         out = []
         for text, x in zip(texts, cut, strict=True):
             if x:
-                out.append(self.bare[x[0]] + b"".join(map(find, x[1:])))
+                out.append(bare[x[0]] + b"".join(map(find, x[1:])))
             else:
                 out.append(self._part(text) if text else b"")
         return out

@@ -3,8 +3,11 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -14,7 +17,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from feedloom.llm import byte_bpe, decontamination, importance, language_id, licenses, main_text, near_duplicates, neighbours, token_files, toxicity
+from feedloom.llm import arrow, byte_bpe, decontamination, importance, language_id, licenses, main_text, near_duplicates, neighbours, token_files, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -75,6 +78,44 @@ def test_bpe_empty_table(spark):
     assert byte_bpe.digests(frame(spark, ["x"]).limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_what_is_solved_is_bounded_and_keeps_what_is_asked_for():
+    asked = []
+
+    def solve(pieces):
+        asked.extend(pieces)
+        return [x.encode() for x in pieces]
+
+    cache = arrow.PieceCache(solve, 100_000)
+    for i in range(300):
+        assert cache.run([f"often {i}a {i}b {i}a", None])[0] == f"often{i}a{i}b{i}a".encode()
+        for j in range(20):
+            assert cache.run([f"often {i}-{j}"]) == [f"often{i}-{j}".encode()]
+        assert 200 * (len(cache.kept.known) + len(cache.kept.older)) <= 101_000
+    assert asked.count("often") == 1 and len(asked) == 1 + 300 * 22
+
+
+def test_memory_of_the_bpe_worker_is_bounded():
+    """Twelve batches of new words take 64 MB; they took 119 MB before dictionaries had two generations and queries were small."""
+    code = f"""
+import random, re, sys
+sys.path.insert(0, {str(Path(byte_bpe.__file__).parents[2])!r})
+from feedloom.llm import arrow, byte_bpe
+import public_tokenizers
+def size(): return sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+own = byte_bpe.RankCodec(open({RANKS!r}, "rb").read(), public_tokenizers.PATTERN)
+arrow.release()
+draw, before, most = random.Random(1), size(), 0
+for _ in range(12):
+    texts = [" ".join("".join(draw.choices("etaoinsh", k=draw.randint(2, 9))) for _ in range(500)) for _ in range(300)]
+    ids = own.encode(texts)
+    most = max(most, size())
+    assert [x.decode() for x in own.decode(ids)] == texts
+    most = max(most, size())
+print(most - before)
+"""
+    assert float(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) < 92
+
+
 # -- 2: toxicity
 def labelled(n=600):
     draw = random.Random(2)
