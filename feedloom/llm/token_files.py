@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from feedloom.llm.arrow import CACHE_BYTES, ENTRY_BYTES, PieceCache, held, slices
+from feedloom.llm.arrow import CACHE_BYTES, CHARS_A_BATCH, PieceCache, Solved, cuts, held, slices
 from feedloom.shared import shared_dir, ship, small
 
 CHUNK_BITS = 8
@@ -115,39 +115,66 @@ _STEPS = [
     {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
     {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
 ]
-_PLAIN = re.compile(r"[\t\n\r!-;=-~\xa1-\xff]+").fullmatch
-_TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\t\n\r0-9²³¹¼½¾a-zªµºß-öø-ÿ]+").findall
+_PLAIN = re.compile(r"[\t\n\r -;=-~\xa1-\xff]+").fullmatch
+_TOKENS = re.compile(r"[a-zªµºß-öø-ÿ]+|'(?:[stmd]|re|ve|ll)|[0-9²³¹¼½¾]|[^\t\n\r 0-9²³¹¼½¾a-zªµºß-öø-ÿ]+").findall
 
 
-def encoder(own: Tokenizer) -> PieceCache:
-    """Ids of texts, solved piece by piece: the tokenizer's tokens never cross white space, so texts may be cut at spaces.
+class Encoder:
+    """Ids of texts: the tokenizer's tokens never cross white space, so texts may be cut at spaces.
 
-    New pieces have few words that are new, as words come with capitals and marks: where the steps before the model are the
-    known ones, the library's model gets each lower-cased word of plain pieces once, and the whole library all other pieces.
+    Words come with capitals and marks, so pieces between spaces are new more often than words are: where the steps before
+    the model are the known ones, plain texts are cut into lower-cased words as a whole, and the library's model gets each
+    word once while it is kept. Of other texts, plain pieces are cut so, and the whole library gets all other pieces.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's threads would only contend
-    file = json.loads(own.to_str())
-    known = [file["normalizer"], file["pre_tokenizer"]] == _STEPS and not (file["post_processor"] or file["truncation"] or file["padding"])
-    known = known and file["model"]["type"] == "BPE" and not file["model"]["dropout"] and all("<" in x["content"] for x in file["added_tokens"])
-    model, parts = own.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-    words: dict[str, bytes] = {}
-
-    def solve(pieces: list[str]) -> list[bytes]:
-        cut = {x: _TOKENS(x.lower()) for x in pieces if _PLAIN(x)} if known else {}
-        if len(words) * ENTRY_BYTES > CACHE_BYTES:
-            words.clear()
-        for word in set().union(*cut.values()).difference(words):
-            coded = word if word.isascii() else parts.pre_tokenize_str(word)[0][0]
-            words[word] = array("I", [x.id for x in model.tokenize(coded)]).tobytes()
-        done = {x: b"".join([words[y] for y in found]) for x, found in cut.items()}
-        other = [x for x in pieces if x not in cut]
-        done.update((x, array("I", y.ids).tobytes()) for x, y in zip(other, own.encode_batch_fast(other, add_special_tokens=False), strict=True))
+
+    def __init__(self, own: Tokenizer):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's threads would only contend
+        file = json.loads(own.to_str())
+        known = [file["normalizer"], file["pre_tokenizer"]] == _STEPS and not (file["post_processor"] or file["truncation"] or file["padding"])
+        self.known = known and file["model"]["type"] == "BPE" and not file["model"]["dropout"] and all("<" in x["content"] for x in file["added_tokens"])
+        parts = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.own, self.model, self.coded = own, own.model, {i: parts.pre_tokenize_str(chr(i))[0][0] for i in range(0xA1, 0x100)}
+        self.words, self.pieces = Solved(2 * CACHE_BYTES), PieceCache(self._solve)
+
+    def _cut(self, text: str | None) -> list[str] | None:
+        return _TOKENS(text.lower()) if self.known and text and _PLAIN(text) else None
+
+    def _learn(self, words: set[str]) -> None:
+        tokenize, coded, found = self.model.tokenize, self.coded, {}
+        for word in self.words.missing(words):
+            found[word] = array("I", [x.id for x in tokenize(word if word.isascii() else word.translate(coded))]).tobytes()
+        self.words.add(found)
+
+    def _solve(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces of texts that are not plain."""
+        cut = {x: found for x in pieces if (found := self._cut(x)) is not None}
+        self._learn(set().union(*cut.values()))
+        find, other = self.words.known.__getitem__, [x for x in pieces if x not in cut]
+        done = {x: b"".join(map(find, found)) for x, found in cut.items()}
+        done.update((x, array("I", y.ids).tobytes()) for x, y in zip(other, self.own.encode_batch_fast(other, add_special_tokens=False), strict=True))
         return [done[x] for x in pieces]
 
-    return PieceCache(solve, 2 * CACHE_BYTES)
+    def run(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as unsigned 32-bit integers."""
+        if sum(len(x) for x in texts if x) > 2 * CHARS_A_BATCH:  # very long texts go part by part
+            return [b"".join([self._some([part])[0] for part in cuts(x)]) for x in texts]
+        return self._some(texts)
+
+    def _some(self, texts: list[str | None]) -> list[bytes]:
+        self.words.turn()
+        cut = [self._cut(x) for x in texts]
+        self._learn(set().union(*(x for x in cut if x)))
+        other = iter(self.pieces.run([x for x, found in zip(texts, cut, strict=True) if found is None]))
+        find = self.words.known.__getitem__
+        return [next(other) if found is None else b"".join(map(find, found)) for found in cut]
+
+
+def encoder(own: Tokenizer) -> Encoder:
+    """The encoder of a tokenizer."""
+    return Encoder(own)
 
 
-def _encoder(file: bytes) -> PieceCache:
+def _encoder(file: bytes) -> Encoder:
     """The encoder of this Python worker; it outlives a task."""
     return held(("token-files", hashlib.sha256(file).digest()), lambda: encoder(Tokenizer.from_buffer(file)))
 
@@ -218,8 +245,9 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 own, at, out = Dac(row["dac"]), 0, []
+                ids = memoryview(own.range(0, own.n).astype("<u4").tobytes())  # a shard is read in one go
                 for key, stop in zip(row["doc_ids"], row["ends"], strict=True):
-                    out.append((row["part"], row["seq"], key, at, stop - at, zlib.crc32(own.range(at, stop).astype("<u4").tobytes())))
+                    out.append((row["part"], row["seq"], key, at, stop - at, zlib.crc32(ids[4 * at : 4 * stop])))
                     at = stop
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)],

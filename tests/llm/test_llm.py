@@ -174,6 +174,18 @@ def test_words_of_plain_pieces_are_encoded_once_and_like_the_library():
     assert not asked
 
 
+def test_plain_texts_are_cut_into_words_as_a_whole():
+    own, library, draw = token_files.encoder(Tokenizer.from_file(WORDS)), Tokenizer.from_file(WORDS), random.Random(4)
+    signs = [chr(i) for i in range(0x21, 0x100) if not (chr(i) == "<" or 0x7F <= i < 0xA1)] + list("''''stdmlrev    \t\n\r") + ["'ll", "'RE"]
+    texts = ["".join(draw.choices(signs, k=draw.randint(1, 60))) for _ in range(5_000)]
+    for text, ids in zip(texts, own.run(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    assert not own.pieces.kept.known  # nothing was solved by pieces between spaces
+    own = token_files.encoder(Tokenizer.from_file(WORDS))
+    own.run(["Quorv, quorv. (QUORV) quorv's"])
+    assert sorted(own.words.known) == ["'s", "(", ")", ",", ".", "quorv"]
+
+
 def test_token_files_round_trip_and_random_access(spark, tmp_path):
     own = Tokenizer.from_file(WORDS)
     texts = [*EDGE, long_text(500)]
