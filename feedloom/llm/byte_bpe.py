@@ -5,7 +5,8 @@ become (word, position, token) rows; a recursive query joins neighbouring tokens
 contracts the leftmost pair of least rank of every word, together with pairs that no merge of a lower rank can ever
 reach, until no word has a pair left. Decoding joins every id
 with the vocabulary and puts the pieces together by an aggregation ordered by position. The encoder keeps the
-words that it has solved in dictionaries of bounded size, so a repeated word costs one lookup.
+words that it has solved in dictionaries of bounded size, so a repeated word costs one lookup; the dictionaries' keys are
+pieces between spaces, without the punctuation and line breaks at their ends.
 
 Edge cases: null and empty texts give no ids; repeated rows are encoded each for themselves; an empty table gives an
 empty table; columns of the input with the name of a result's column give way to it. Very long texts are encoded part
@@ -20,7 +21,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections import ChainMap
 from collections.abc import Iterator
 from itertools import chain, pairwise
 
@@ -35,14 +35,22 @@ from feedloom.shared import ship
 
 #: Words, and bytes of words, in one recursive query; tokens in one query that decodes. The memory that a query takes stays with
 #: the worker, so queries are small.
-WORDS_A_QUERY, BYTES_A_QUERY = 20_000, 150_000
+WORDS_A_QUERY, BYTES_A_QUERY = 30_000, 250_000
 TOKENS_A_QUERY = 200_000
+#: New pieces that are solved together.
+PIECES_AT_ONCE = 25_000
 LONG = 64
 
 #: A space inside or at the end of a run of white space, where cutting before each space would change matches.
-_RUN = re.compile(r"\s (?:\s|\Z)")
+_RUN = re.compile(r" (?<=\s )(?:\s|\Z)")
 #: A space between two other characters, before which a text may be cut.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Marks a piece that doesn't follow a space; texts that have this character themselves aren't cut into pieces.
+BARE = "\x01"
+#: Punctuation between a letter or digit and white space or the end, and a line break between two characters that are no
+#: white space. Each is a match of its own (no match crosses its ends), so words are solved once and not once for each mark.
+_MARK = re.compile(r"[!-/:-@\[-`{-~](?<=[0-9A-Za-zÀ-ÖØ-öø-ɏ].)[!-/:-@\[-`{-~]*(?=[ \n]|\Z)")
+_LINE = re.compile(r"\n(?<=[!-~À-ÖØ-öø-ɏ]\n)(?=[!-~À-ÖØ-öø-ɏ])")
 
 _START = """
  SELECT w, pos, tok, lead(tok) OVER x AS nt, lead(pos) OVER x AS np, true AS going FROM start
@@ -54,16 +62,16 @@ _START = """
 #: A key is the word's number and the byte's position; windows without an order of their own read the rows as r sorts them.
 _LEFTMOST = """
 WITH RECURSIVE s AS (
- SELECT key, tok, lead(tok) OVER (PARTITION BY key >> 23 ORDER BY key) AS nt, true AS going FROM start
+ SELECT key, tok, nt, true AS going FROM start
  UNION ALL
- (WITH q AS (SELECT key, tok, nt, m, coalesce(c, 2147483647) AS c FROM (SELECT * FROM s WHERE going) live LEFT JOIN pairs ON a = tok AND b = nt),
+ (WITH q AS (SELECT key, tok, nt, m, coalesce(c, 2147483647) AS c FROM (SELECT * FROM s WHERE going) live LEFT JOIN pairs ON ab = (tok::BIGINT << 32 | nt)),
   best AS (SELECT key >> 23 AS w, min((m::BIGINT << 23) | (key & 8388607)) AS k FROM q WHERE m IS NOT NULL GROUP BY ALL),
   r AS (SELECT key, tok, m, c, k FROM q LEFT JOIN best ON w = key >> 23 ORDER BY key),
   h AS (SELECT key, tok, m, k IS NOT NULL AS going,
                coalesce(m < lag(c) OVER () AND m < lead(c) OVER () OR k = (m::BIGINT << 23) | (key & 8388607), false) AS here FROM r),
   t AS (SELECT key, going, lag(here, 1, false) OVER () AS gone, CASE WHEN here THEN m ELSE tok END AS tok FROM h)
   SELECT key, tok, CASE WHEN key >> 23 = lead(key >> 23) OVER () THEN lead(tok) OVER () END, going FROM t WHERE NOT gone))
-SELECT list(tok) AS ids FROM (SELECT key, tok FROM s WHERE NOT going ORDER BY key) GROUP BY key >> 23 ORDER BY key >> 23"""
+SELECT (key >> 23)::INT AS w, tok FROM s WHERE NOT going ORDER BY key"""
 
 #: As above for long words: every pair equal to the best one, each second of overlapping ones, goes in one round if
 #: no merge with the new token has a lower rank (merges.calm); else only the leftmost.
@@ -81,7 +89,7 @@ WITH RECURSIVE s AS ({_START}
           FROM r LEFT JOIN take t ON t.w = r.w AND t.spot = r.pos LEFT JOIN best b ON b.w = r.w
           WHERE NOT EXISTS (SELECT 1 FROM take d WHERE d.w = r.w AND d.gone = r.pos))
   SELECT w, pos, tok, lead(tok) OVER x, lead(pos) OVER x, going FROM left_over WINDOW x AS (PARTITION BY w ORDER BY pos)))
-SELECT w, list(tok ORDER BY pos) AS ids FROM s WHERE NOT going GROUP BY w ORDER BY w"""
+SELECT w, tok FROM s WHERE NOT going ORDER BY w, pos"""
 
 #: The aggregate takes the rows as they are sorted: one thread reads them, in their order.
 _PIECES = """
@@ -102,6 +110,14 @@ def parts_of(text: str, most: int = CHARS_A_BATCH) -> Iterator[str]:
         start = cut.start() if cut else len(text)
 
 
+def pieces_of(text: str) -> list[str]:
+    """The pieces of a text without runs of white space: its matches, put together, are those of its pieces.
+
+    A piece follows a space, or begins with ``BARE`` and follows nothing.
+    """
+    return (BARE + _LINE.sub(f" {BARE}\n {BARE}", _MARK.sub(rf" {BARE}\g<0>", text))).split(" ")
+
+
 class RankCodec:
     """Merge table and vocabulary of one rank file in an in-memory DuckDB, with what has been solved so far."""
 
@@ -125,7 +141,7 @@ class RankCodec:
             whole, piece = np.array(found, np.int32).reshape(-1, 2).T
             self._table(name, {"whole": whole, "piece": piece})
         self.db.execute(
-            "CREATE TABLE pairs AS SELECT a, b, m, c FROM (SELECT e.piece AS a, t.piece AS b, min(m) AS c FROM merges"
+            "CREATE TABLE pairs AS SELECT a::BIGINT << 32 | b AS ab, m, c FROM (SELECT e.piece AS a, t.piece AS b, min(m) AS c FROM merges"
             " JOIN ends e ON e.whole = merges.a JOIN starts t ON t.whole = merges.b GROUP BY e.piece, t.piece) LEFT JOIN merges USING (a, b)"
         )
         self.db.execute("DROP TABLE ends")
@@ -145,8 +161,8 @@ class RankCodec:
         self.matches = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.length = np.zeros(max(ranks.values(), default=-1) + 1, np.int64)
         self.length[list(ranks.values())] = list(map(len, ranks))
-        # Nearly all that is solved are pieces after a space.
-        self.words, self.bare, self.after_space = Solved(KEPT_BYTES // 5), Solved(KEPT_BYTES // 10), Solved(KEPT_BYTES * 7 // 10)
+        # Nearly all that is solved are pieces of one match.
+        self.words, self.pieces = Solved(KEPT_BYTES // 10), Solved(KEPT_BYTES * 7 // 10)
 
     def _table(self, name: str, columns: dict) -> None:
         self.db.register("given", pa.table(columns))
@@ -165,20 +181,25 @@ class RankCodec:
 
         The recursive query takes ``WORDS_A_QUERY`` parts or ``BYTES_A_QUERY`` bytes at a time.
         """
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        total = np.cumsum(sizes)
         out, cuts = [], [np.zeros(1, np.int64)]
         at = done = 0
         while at < len(parts):
-            end, size = at, 0
-            while end < len(parts) and end - at < WORDS_A_QUERY and (size == 0 or size + len(parts[end]) < BYTES_A_QUERY):
-                size += len(parts[end])
-                end += 1
-            lens = np.fromiter(map(len, parts[at:end]), np.int64, end - at)
+            end = int(np.searchsorted(total, total[at] - sizes[at] + BYTES_A_QUERY))
+            end = max(at + 1, min(end, at + WORDS_A_QUERY))
+            lens = sizes[at:end]
+            ends = np.cumsum(lens)
             tokens = self.byte_id[np.frombuffer(b"".join(parts[at:end]), np.uint8)]
+            after = np.append(tokens[1:], np.int32(-1))
+            after[ends - 1] = -1
             word = np.repeat(np.arange(end - at, dtype=np.int32), lens)
-            pos = (np.arange(size) - np.repeat(np.cumsum(lens) - lens, lens)).astype(np.int32)
-            ids = self._ask(sql, "start", {"w": word, "pos": pos, "tok": tokens, "key": word.astype(np.int64) << 23 | pos}).column("ids").combine_chunks()
-            flat, ends = ids.flatten().to_numpy(zero_copy_only=False), np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-            if (np.add.reduceat(self.length[flat], np.concatenate([[0], ends[:-1]])) != lens).any():
+            pos = (np.arange(len(tokens)) - np.repeat(ends - lens, lens)).astype(np.int32)
+            start = {"w": word, "pos": pos} if sql is _TOGETHER else {"key": word.astype(np.int64) << 23 | pos, "nt": after}
+            found = self._ask(sql, "start", {"tok": tokens, **start})
+            flat, word = (found.column(x).to_numpy() for x in ("tok", "w"))
+            ends = np.searchsorted(word, np.arange(end - at), "right")
+            if (np.diff(np.append(0, np.cumsum(self.length[flat])[ends - 1])) != lens).any():
                 raise RuntimeError("tokens of a word don't have its length")
             out.append(flat.astype("<u4").tobytes())
             cuts.append(4 * (done + ends))
@@ -247,20 +268,24 @@ class RankCodec:
         done = dict(zip(few, [flat[x:y] for x, y in pairwise(cuts)], strict=True)) | self._long({x for x in parts if len(x) > LONG})
         return solved | {word: b"".join([done[part] for part in parts[x:y]]) for word, x, y in spans}
 
-    def _solve(self, bare: list[str], after_space: list[str]) -> None:
-        """Ids of new pieces, those at a text's start and those after a space, from those of their words.
-
-        Words that are a whole piece are kept as such only.
-        """
-        for i in range(0, max(len(after_space), 1), WORDS_A_QUERY):
-            some = [(self.after_space, after_space[i : i + WORDS_A_QUERY], " "), (self.bare, [] if i else bare, "")]
-            found = [[self.matches(before + x) for x in pieces] for _, pieces, before in some]
-            fresh = self.encode_words(self.words.missing(set(chain.from_iterable(chain(*found)))))
-            parts = set(chain.from_iterable(x for x in chain(*found) if len(x) > 1)).intersection(fresh)
-            self.words.add({x: fresh[x] for x in parts})
-            known, fresh = self.words.known, ChainMap(fresh, self.words.known)
-            for (kept, pieces, _), words in zip(some, found, strict=True):
-                kept.add(dict(zip(pieces, [fresh[x[0]] if len(x) == 1 else b"".join([known[y] for y in x]) for x in words], strict=True)))
+    def _solve(self, pieces: list[str]) -> None:
+        """Ids of new pieces from those of their words. Words that are a whole piece are kept as such only."""
+        for i in range(0, len(pieces), PIECES_AT_ONCE):
+            some = pieces[i : i + PIECES_AT_ONCE]
+            letters = [x for x in some if x.isalpha()]
+            words = self.matches(" " + " ".join(letters)) if letters else []
+            if len(words) != len(letters):  # a pattern that cuts between letters
+                letters, words = [], []
+            others = some if not letters else [x for x in some if not x.isalpha()]
+            found = list(map(self.matches, [x[1:] if x.startswith(BARE) else " " + x for x in others]))
+            parts = set(chain.from_iterable(found))
+            asked = parts.union(words)
+            fresh = self.encode_words(self.words.missing(asked))
+            self.words.add({x: fresh[x] for x in parts if x in fresh})
+            known = self.words.known
+            fresh |= {x: known[x] for x in asked if x not in fresh}
+            self.pieces.add(dict(zip(letters, map(fresh.__getitem__, words), strict=True)))
+            self.pieces.add({x: b"".join([fresh[z] for z in y]) for x, y in zip(others, found, strict=True)})
 
     def _part(self, text: str) -> bytes:
         """Ids of a text with runs of white space: all its matches are looked up."""
@@ -270,21 +295,14 @@ class RankCodec:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        for kept in (self.words, self.bare, self.after_space):
-            kept.turn()
+        self.words.turn()
+        self.pieces.turn()
         if sum(len(x) for x in texts if x) > 2 * CHARS_A_BATCH:  # very long texts go part by part
             return [b"".join([self.encode([part])[0] for part in parts_of(x)]) if x and len(x) > CHARS_A_BATCH else self.encode([x])[0] for x in texts]
-        cut = [None if not text or _RUN.search(text) else text.split(" ") for text in texts]
-        plain = [x for x in cut if x]
-        self._solve(self.bare.missing({x[0] for x in plain}), self.after_space.missing(set().union(*(x[1:] for x in plain))))
-        bare, find = self.bare.known, self.after_space.known.__getitem__
-        out = []
-        for text, x in zip(texts, cut, strict=True):
-            if x:
-                out.append(bare[x[0]] + b"".join(map(find, x[1:])))
-            else:
-                out.append(self._part(text) if text else b"")
-        return out
+        cut = [None if not text or BARE in text or _RUN.search(text) else pieces_of(text) for text in texts]
+        self._solve(self.pieces.missing(set().union(*filter(None, cut))))
+        find = self.pieces.known.__getitem__
+        return [b"".join(map(find, x)) if x else self._part(text) if text else b"" for text, x in zip(texts, cut, strict=True)]
 
     def decode(self, encoded: list[bytes]) -> list[bytes]:
         """Bytes of each id sequence."""

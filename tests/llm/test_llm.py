@@ -559,6 +559,39 @@ def test_contraction_of_words_with_ties_equals_the_library():
     assert own.decode([found[x] for x in words]) == [x.encode() for x in words]
 
 
+def test_bpe_solves_a_word_once_whatever_mark_follows():
+    """Words before punctuation, line breaks and at a text's end were solved anew for each mark."""
+    with open(RANKS, "rb") as f:
+        own = byte_bpe.RankCodec(f.read(), public_tokenizers.PATTERN)
+    asked, solve = [], own.encode_words
+    own.encode_words = lambda words: asked.extend(words) or solve(words)
+    for text in ("one shoned x", "two shoned, x", "y shoned. shoned! shoned;", "y shoned\nx shoned...\nx shoned"):
+        own.encode([text])
+    assert asked.count(" shoned") == 1
+
+
+def test_bpe_cuts_no_match_of_the_pattern():
+    with open(RANKS, "rb") as f:
+        data = f.read()
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(data), special_tokens={})
+    own, dice = byte_bpe.RankCodec(data, public_tokenizers.PATTERN), random.Random(11)
+    marks = [*" \n.,!'_-×÷\x01\x02\t\r\x1c\x85\xa0\u2028\u3000", " ", " ", "\n", ", ", ".\n", " \n", "'s", "'ll", "ab", "Z", "é", "ß", "7", "²", "½", "e\u0301", "\u0301", "漢", "я", "ا", "ª", "…", "’", "😀", "\U00016d40"]
+    texts = ["".join(dice.choices(marks, k=dice.randint(1, 12))) for _ in range(20_000)]
+    got = own.encode(texts)
+    for text, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text), repr(text)
+
+
+def test_bpe_of_patterns_that_cut_between_letters():
+    pattern = public_tokenizers.PATTERN.replace(r" ?\p{L}+", r" ?\p{Lu}?\p{Ll}+| ?\p{L}")
+    with open(RANKS, "rb") as f:
+        data = f.read()
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=byte_bpe.read_ranks(data), special_tokens={})
+    texts = ["one twoThree, fourFIVE sixSeven.", "plain words only", "oneTwo"]
+    got = byte_bpe.RankCodec(data, pattern).encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode_ordinary(x) for x in texts]
+
+
 # -- hostile texts: long runs of what a pattern repeats
 @pytest.mark.parametrize("mark", [": ", "; ", ".\n", "\n-", "! ? ", "\n", ". : "])
 def test_licences_of_long_runs_of_separators(spark, mark):
