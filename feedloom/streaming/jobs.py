@@ -22,10 +22,11 @@ EPOCH, EPOCH_MS = "1 hour", 3_600_000
 ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table of a folder as a stream of files."""
+def stream(spark: SparkSession, folder: str, name: str, size: int | None = None) -> DataFrame:
+    """A table of a folder, a file or a folder of files, as a stream: a file in each micro-batch, or files of ``size`` bytes together."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet*").option("maxFilesPerTrigger", 1).parquet(folder)
+    limit = ("maxBytesPerTrigger", size) if size else ("maxFilesPerTrigger", 1)
+    return spark.readStream.schema(schema).option(*limit).parquet(f"{folder}/{name}.parquet*")
 
 
 def run(df: DataFrame, mode: str = "append") -> DataFrame:

@@ -52,3 +52,37 @@ def test_events_take_all_articles_and_vectors(spark, tmp_path):
         assert sorted(r.id for r in entry.queries()[name](spark, str(tmp_path)).collect()) == [3, 4, 460, 499]
     drift = {r.slug: r.centroid for r in entry.queries()["e09_centroid_drift"](spark, str(tmp_path)).collect()}
     assert set(drift) == {"n3", "n4", "n5", "n2"}
+
+
+def _files(source, folder, n, **replaced):
+    """The given tables, with some of them as folders of ``n`` files."""
+    import pyarrow.parquet as pq
+
+    for table in TABLES:
+        if table not in replaced:
+            os.symlink(f"{source}/{table}.parquet", f"{folder}/{table}.parquet")
+    for table, order in replaced.items():
+        rows = pq.read_table(f"{source}/{table}.parquet").sort_by(order)
+        os.mkdir(f"{folder}/{table}.parquet")
+        for i in range(n):
+            pq.write_table(rows.slice(len(rows) * i // n, len(rows) * (i + 1) // n - len(rows) * i // n), f"{folder}/{table}.parquet/part-{i:04}.parquet")
+
+
+def same_as_sql(spark, name, folder):
+    frame = entry.queries()[name](spark, str(folder))
+    columns = sorted(frame.columns)
+    db = duckdb.connect()
+    for table in TABLES:
+        path = f"{folder}/{table}.parquet"
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{path}{'/*.parquet' if os.path.isdir(path) else ''}'")
+    result = db.execute(f"SELECT {', '.join(columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
+    found = sorted([plain(x) for x in row] for row in frame.select(*columns).collect())
+    assert found and found == sorted([plain(x) for x in row] for row in result)
+
+
+@pytest.mark.parametrize("small_batches", [False, True])
+def test_running_rarity_of_a_folder_of_files(spark, tmp_path, monkeypatch, small_batches):
+    if small_batches:
+        monkeypatch.setattr("feedloom.plans.flows.AT_ONCE", 1)
+    _files(FOLDER, tmp_path, 3, documents="doc_id")
+    same_as_sql(spark, "a10_running_rarity", tmp_path)
