@@ -86,3 +86,8 @@ def test_running_rarity_of_a_folder_of_files(spark, tmp_path, monkeypatch, small
         monkeypatch.setattr("feedloom.plans.flows.AT_ONCE", 1)
     _files(FOLDER, tmp_path, 3, documents="doc_id")
     same_as_sql(spark, "a10_running_rarity", tmp_path)
+
+
+def test_stream_triage_of_a_folder_of_files(spark, tmp_path):
+    _files(FOLDER, tmp_path, 3, documents="doc_id")
+    same_as_sql(spark, "x09_stream_triage", tmp_path)
