@@ -227,9 +227,10 @@ APPOSITIVES = ["principle", "effect", "equation", "paradox", "theorem", "conject
 
 def entity_text_trim(c: Column) -> Column:
     """An entity without a tail like "-backed ..." and then without one like " principle"; never trimmed to nothing."""
-    out = F.trim(text_of(c))
-    for pattern in (rf"(?i)^(.*?)-(?:{'|'.join(MODIFIERS)})\b.*$", rf"(?i)^(.+?)\s+(?:{'|'.join(APPOSITIVES)})$"):
-        head = F.trim(F.regexp_extract(out, pattern, 1))
+    stripped = lambda x: F.regexp_replace(x, r"^(?U:\s+)|(?U:\s+)$", "")
+    out = stripped(text_of(c))
+    for pattern in (rf"(?idU)^(.*?)-(?:{'|'.join(MODIFIERS)})\b.*$", rf"(?idU)^(.+?)\s+(?:{'|'.join(APPOSITIVES)})$"):
+        head = stripped(F.regexp_extract(out, pattern, 1))
         out = F.when(head == "", out).otherwise(head)
     return out
 

@@ -87,3 +87,8 @@ def test_copy_ratio(spark):
 def test_emission_gate(spark):
     assert one(spark, S.emission_gate(F.lit(0.59))) == pytest.approx(0.5)
     assert one(spark, S.emission_gate(F.lit(0.9), ceiling=0.5)) == pytest.approx(1.5)
+
+
+def test_entity_trim_takes_lines_and_spaces_as_python_does(spark):
+    assert one(spark, T.entity_text_trim(F.lit("\u00a0Elon\u2028Musk-backed firm\t"))) == "Elon\u2028Musk"
+    assert one(spark, T.entity_text_trim(F.lit("Acme\u00a0law"))) == "Acme"

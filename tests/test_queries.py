@@ -91,3 +91,13 @@ def test_running_rarity_of_a_folder_of_files(spark, tmp_path, monkeypatch, small
 def test_stream_triage_of_a_folder_of_files(spark, tmp_path):
     _files(FOLDER, tmp_path, 3, documents="doc_id")
     same_as_sql(spark, "x09_stream_triage", tmp_path)
+
+
+def test_entity_trim_follows_its_sql_on_odd_titles_and_large_ids(spark, tmp_path):
+    texts = [None, "", " x", "\tlead", "\x0bvt", "word\x0bmore z", "line\u2028sep y", "\x85nel", "state-owned firm", "-led", "plain words"]
+    rows = [(start + 105 * k + m, text, "en", "s") for start in (0, 2**31 + 7) for k, text in enumerate(texts) for m in range(105)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    for table in TABLES:
+        if table != "documents":
+            os.symlink(f"{FOLDER}/{table}.parquet", f"{tmp_path}/{table}.parquet")
+    same_as_sql(spark, "t38_entity_text_trim", tmp_path)
