@@ -23,6 +23,8 @@ KNOWN_ABOVE, GROUP_ABOVE = 0.75, 0.70
 PIVOTS, PIVOT_SAMPLE = 256, 4096
 #: Rows of a group up to which its pairs are compared without pivots.
 FEW = 500
+#: Rows of a block where pivots don't help, and of a frame of visits.
+WIDE, VISITS = 16_000, 16_000
 #: Centroids that are broadcast together.
 CENTROIDS = 20_000
 
@@ -71,16 +73,21 @@ def near_blocks(rows: DataFrame, above: float, within: str | None = None, block:
 
     Vectors belong to the cell of their nearest pivot. A vector x is near a vector y of another cell, with pivot p and
     radius r, only if x p + |x| r, which x y can't exceed, is above the bar: x visits just those later cells. A cell's rows
-    are compared with each other (kind 0) and with its visitors (kind 1), in blocks of ``block`` rows.
+    are compared with each other (kind 0) and with its visitors (kind 1), in blocks of ``block`` rows. Where visits would
+    be more copies of a group's vectors than its wide blocks need, the group is one cell (-1), cut into those.
     """
     ship(rows.sparkSession)
     whole = "g IS NOT NULL AND size(vector) > 0 AND NOT exists(vector, x -> x IS NULL)"
-    one = rows.select((F.col(within) if within else F.lit(0)).alias("g"), "id", F.col("vector").cast("array<double>").alias("vector")).where(whole)
-    one = written(one.groupBy("g", "vector").agg(F.min("id").alias("id")).withColumn("dim", F.size("vector")), "vectors")
+    kind = "array<float>" if rows.schema["vector"].dataType.simpleString() == "array<float>" else "array<double>"
+    given = rows.select((F.col(within) if within else F.lit(0)).alias("g"), "id", F.col("vector").cast(kind).alias("vector")).where(whole).withColumn("dim", F.size("vector"))
+    many = given.groupBy("g", "dim").agg(F.count("*").alias("n")).where(F.col("n") > FEW).select("g", "dim", F.lit(True).alias("many"))
+    few = lambda df: df.select("g", "dim", F.lit(-1).alias("cell"), F.lit(0).alias("kind"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "id", "vector")
+    if many.isEmpty():  # a group is one block, and its rows are dealt once
+        return few(given.repartition("g", "dim").groupBy("g", "dim", "vector").agg(F.min("id").alias("id")))
+    one = written(given.groupBy("g", "dim", "vector").agg(F.min("id").alias("id")), "vectors")
     some = one.orderBy(F.xxhash64("id", F.lit(31)), "id").select("dim", "vector").limit(PIVOT_SAMPLE).toPandas()  # bounded by the sample
     count = one.count()
-    many = one.groupBy("g", "dim").agg(F.count("*").alias("n")).where(F.col("n") > FEW).select("g", "dim", F.lit(True).alias("many"))
-    pivots = {int(dim): pivots_of(np.stack(part["vector"].to_list()), min(most, int(count**0.5) + 1)) for dim, part in some.groupby("dim")}
+    pivots = {int(dim): pivots_of(np.stack(part["vector"].to_list()).astype(float), min(most, int(count**0.5) + 1)) for dim, part in some.groupby("dim")}
     g = one.schema["g"].dataType.simpleString()
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -89,35 +96,49 @@ def near_blocks(rows: DataFrame, above: float, within: str | None = None, block:
             for dim, part in batch.groupby("dim"):
                 part = part[part["many"]]
                 if dim in pivots and len(part):  # a small group, and a length that the sample hasn't got, is one cell
-                    x = np.stack(part["vector"].to_list())
+                    x = np.stack(part["vector"].to_list()).astype(float)
                     off = np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ pivots[dim].T + (pivots[dim] ** 2).sum(axis=1)[None, :], 0)
                     batch.loc[part.index, "cell"], batch.loc[part.index, "off"] = off.argmin(axis=1), np.sqrt(off.min(axis=1))
             yield batch.drop(columns="many")
 
     sized = one.join(small(many), ["g", "dim"], "left").select("g", "id", "vector", "dim", F.coalesce("many", F.lit(False)).alias("many"))
-    placed = written(sized.mapInPandas(place, f"g {g}, id long, vector array<double>, dim int, cell int, off double"), "vector-cells")
+    placed = written(sized.mapInPandas(place, f"g {g}, id long, vector {kind}, dim int, cell int, off double"), "vector-cells")
+    discard(one)
     reach = {(r.dim, r.cell): r.off for r in placed.where("cell >= 0").groupBy("dim", "cell").agg(F.max("off").alias("off")).collect()}  # one row a pivot
     radius = {dim: np.array([reach.get((dim, c), -np.inf) for c in range(len(p))]) for dim, p in pivots.items()}
 
+    def reached(dim: int, part: pd.DataFrame) -> np.ndarray:
+        """Whether a row visits a cell."""
+        x, own = np.stack(part["vector"].to_list()).astype(float), part["cell"].to_numpy()
+        norms, r = np.sqrt((x * x).sum(axis=1)), radius[dim]
+        with np.errstate(invalid="ignore"):
+            bound = x @ pivots[dim].T + norms[:, None] * r[None, :] + 1e-6 * (1 + norms[:, None] * (1 + np.abs(np.where(np.isfinite(r), r, 0)))[None, :])
+        return (bound > above) & np.isfinite(r)[None, :] & (np.arange(len(r))[None, :] > own[:, None])
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for dim, part in batch.groupby("dim"):
+                visits = part[["g", "dim"]].assign(v=reached(dim, part).sum(axis=1))
+                yield visits.groupby(["g", "dim"], as_index=False).agg(n=("v", "size"), v=("v", "sum"))
+
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
             for dim, part in batch.groupby("dim"):
-                if dim in pivots:
-                    x, own = np.stack(part["vector"].to_list()), part["cell"].to_numpy()
-                    norms, r = np.sqrt((x * x).sum(axis=1)), radius[dim]
-                    with np.errstate(invalid="ignore"):
-                        bound = x @ pivots[dim].T + norms[:, None] * r[None, :] + 1e-6 * (1 + norms[:, None] * (1 + np.abs(np.where(np.isfinite(r), r, 0)))[None, :])
-                    i, cells = np.nonzero((bound > above) & np.isfinite(r)[None, :] & (np.arange(len(r))[None, :] > own[:, None]))
-                    out.append(part.iloc[i].assign(cell=cells.astype(np.int32)))
-            yield pd.concat(out)[["g", "id", "vector", "dim", "cell"]] if out else batch.iloc[:0][["g", "id", "vector", "dim", "cell"]]
-
-    visitors = written(placed.where("cell >= 0").mapInPandas(visit, f"g {g}, id long, vector array<double>, dim int, cell int"), "vector-visits")
+                step = max(1, VISITS // len(radius[dim]))
+                for at in range(0, len(part), step):
+                    i, cells = np.nonzero(reached(dim, rest := part.iloc[at : at + step]))
+                    yield rest.iloc[i].assign(cell=cells.astype(np.int32))[["g", "id", "vector", "dim", "cell"]]
+
+    spread = lambda n, size: F.greatest(F.least(F.lit(8), F.ceil(n / 500)), F.ceil(n / size))  # noqa: E731  for the sake of parallel tasks, then as the size asks for
+    celled = placed.where("cell >= 0")
+    wide = celled.mapInPandas(counted, f"g {g}, dim int, n long, v long").groupBy("g", "dim").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+    wide = written(wide.where(F.col("v") > F.col("n") * spread(F.col("n"), max(block, WIDE))).select("g", "dim", F.lit(True).alias("wide")), "wide")
+    placed = placed.join(small(wide), ["g", "dim"], "left").select("g", "id", "vector", "dim", F.when(F.col("wide"), -1).otherwise(F.col("cell")).alias("cell"))
+    visitors = written(placed.where("cell >= 0").mapInPandas(visit, f"g {g}, id long, vector {kind}, dim int, cell int"), "vector-visits")
     key = ["g", "dim", "cell"]
     n, v = placed.groupBy(*key).agg(F.count("*").alias("n")), visitors.groupBy(*key).agg(F.count("*").alias("v"))
-    # Blocks of a cell without a pivot: up to 8 for the sake of parallel tasks, then as many as the block's size asks for.
-    spread = F.when(F.col("cell") < 0, F.least(F.lit(8), F.ceil(F.col("n") / 500))).otherwise(1)
-    shape = n.join(v, key, "left").select(*key, F.greatest(spread, F.ceil(F.col("n") / block)).cast("int").alias("p"), F.coalesce(F.ceil(F.col("v") / block), F.lit(0)).cast("int").alias("q"))
+    parts = F.when(F.col("cell") < 0, spread(F.col("n"), max(block, WIDE))).otherwise(F.ceil(F.col("n") / block))
+    shape = small(n.join(v, key, "left").select(*key, parts.cast("int").alias("p"), F.coalesce(F.ceil(F.col("v") / block), F.lit(0)).cast("int").alias("q")))
     turn = F.xxhash64("id")
     own = placed.join(shape, key).withColumn("part", F.pmod(turn, F.col("p")).cast("int"))
     inner = own.select(*key, F.lit(0).alias("kind"), "part", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("other"), "id", "vector")
@@ -136,29 +157,33 @@ def similar_vectors(rows: DataFrame, above: float, within: str | None = None, bl
     vectors have no such structure the work is the square of a group's distinct vectors.
     """
 
-    def close(group: pd.DataFrame) -> pd.DataFrame:
-        i, j, inner = group["i"].iloc[0], group["j"].iloc[0], group["kind"].iloc[0] == 0
-        found = [pd.DataFrame({"a": np.array([], np.int64), "b": np.array([], np.int64), "sim": np.array([], float)})]
-        left, right = (group[group["side"] == i], group[group["side"] == j]) if inner else (group[group["side"] == 0], group[group["side"] == 1])
-        if len(left) and len(right):
-            ids, other = left["id"].to_numpy(), right["id"].to_numpy()
-            x, y = (np.stack(side["vector"].to_list()).astype(float) for side in (left, right))
+    blocks = near_blocks(rows, above, within, block)
+    g = blocks.schema["g"].dataType.simpleString()
+
+    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sides: dict[int, list] = {}
+        for batch in batches:
+            name, i, j, inner = batch["g"].iloc[0], batch["i"].iloc[0], batch["j"].iloc[0], batch["kind"].iloc[0] == 0
+            for side, part in batch.groupby("side"):
+                sides.setdefault(side, []).append((part["id"].to_numpy(), np.stack(part["vector"].to_list())))
+        left, right = (sides.get(i), sides.get(j)) if inner else (sides.get(0), sides.get(1))
+        if left and right:
+            ids, other = (np.concatenate([part[0] for part in side]) for side in (left, right))
+            x, y = (np.concatenate([part[1] for part in side]).astype(float) for side in (left, right))
+            sides.clear()
             slack = 1e-9 * (1 + np.abs(x).max() * np.abs(y).max() * x.shape[1])
             for at in range(0, len(x), 256):
                 p, q = np.nonzero(x[at : at + 256] @ y.T > above - slack)
                 p += at
                 kept = ids[p] < other[q] if inner and i == j else np.ones(len(p), bool)
                 p, q = p[kept], q[kept]
-                for k in range(0, len(p), 50_000):
-                    u, v = p[k : k + 50_000], q[k : k + 50_000]
+                for k in range(0, len(p), 20_000):
+                    u, v = p[k : k + 20_000], q[k : k + 20_000]
                     sim = np.cumsum(x[u] * y[v], axis=1)[:, -1]  # in the order of the expression dot
                     u, v, sim = u[sim > above], v[sim > above], sim[sim > above]
-                    found.append(pd.DataFrame({"a": np.minimum(ids[u], other[v]), "b": np.maximum(ids[u], other[v]), "sim": sim}))
-        return pd.concat(found)
+                    yield pd.DataFrame({"g": name, "a": np.minimum(ids[u], other[v]), "b": np.maximum(ids[u], other[v]), "sim": sim})
 
-    blocks = near_blocks(rows, above, within, block)
-    kind = blocks.schema["g"].dataType.simpleString()
-    found = blocks.groupBy("g", "dim", "cell", "kind", "i", "j").applyInPandas(lambda group: close(group).assign(g=group["g"].iloc[0])[["g", "a", "b", "sim"]], f"g {kind}, a long, b long, sim double")
+    found = blocks.groupBy("g", "dim", "cell", "kind", "i", "j").applyInPandas(close, f"g {g}, a long, b long, sim double")
     return found if grouped else found.drop("g")
 
 

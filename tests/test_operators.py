@@ -459,3 +459,13 @@ def test_subjects_by_name_in_the_title(spark):
     common = spark.createDataFrame([("target",)], "word string")
     got = {r.asset_id: r.in_title for r in match.title_subjects(matches, articles, assets, common).collect()}
     assert got == {1: True, 2: True, 3: False, 4: False}
+
+
+def test_vectors_without_structure_are_copied_for_wide_blocks_only(spark):
+    x = np.random.default_rng(4).normal(size=(1500, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    assert events.near_blocks(df, 0.35).count() <= 4 * len(x)  # visits to cells were some twenty copies of each
+    got = {(r.a, r.b) for r in events.similar_vectors(df, 0.35).collect()}
+    a, b = np.nonzero(np.triu(x @ x.T > 0.35, 1))
+    assert got == set(zip(a.tolist(), b.tolist(), strict=True)) and len(got) > 10_000
