@@ -25,6 +25,8 @@ PIVOTS, PIVOT_SAMPLE = 256, 4096
 FEW = 500
 #: Rows of a block where pivots don't help, and of a frame of visits.
 WIDE, VISITS = 16_000, 16_000
+#: Most frequent words that are ordered by their counts in titles.
+FREQUENT = 50_000
 #: Centroids that are broadcast together.
 CENTROIDS = 20_000
 
@@ -191,19 +193,26 @@ def title_pairs(rows: DataFrame, least: float = TITLE_JACCARD, within: str | Non
     """a, b (and g, the group, if ``within`` is given): pairs of titles (id, words) of a group whose distinct words have a
     Jaccard similarity of ``least`` or more.
 
-    Prefix filter: two sets that similar share one of the n - ceil(least n) + 1 rarest words of each. Equal sets are
-    joined through the smallest id.
+    Prefix filter: two sets that similar share one of the n - ceil(least n) + 1 rarest words of each, and the first that they
+    share leaves enough words after it in both. Sets carry 256 bits that their words set, so that most pairs that share such a
+    word, but too few others, end in the join. Equal sets are joined through the smallest id.
     """
     g = F.col(within) if within else F.lit(0)
-    sets = rows.select(g.alias("g"), "id", F.array_sort(F.array_distinct("words")).alias("words")).where(F.size("words") > 0).groupBy("g", "words").agg(F.min("id").alias("id"))
-    each = sets.select("g", "id", F.size("words").alias("n"), F.explode("words").alias("word"))
-    counts = each.groupBy("g", "word").agg(F.count("*").alias("c"))
-    order = F.row_number().over(Window.partitionBy("g", "id").orderBy("c", "word"))
-    prefix = each.join(counts, ["g", "word"]).withColumn("i", order).where(F.col("i") <= F.col("n") - F.ceil(least * F.col("n")) + 1).select("g", "id", "n", "word")
-    other = prefix.select("g", F.col("id").alias("b"), F.col("n").alias("m"), "word")
-    near = prefix.withColumnRenamed("id", "a").join(other, ["g", "word"]).where((F.col("a") < F.col("b")) & (F.least("n", "m") >= least * F.greatest("n", "m"))).select("g", "a", "b").distinct()
-    w = sets.select("g", "id", "words")
-    full = near.join(w.select("g", F.col("id").alias("a"), F.col("words").alias("wa")), ["g", "a"]).join(w.select("g", F.col("id").alias("b"), F.col("words").alias("wb")), ["g", "b"])
+    sets = written(rows.select(g.alias("g"), "id", F.array_sort(F.array_distinct("words")).alias("words")).where(F.size("words") > 0).groupBy("g", "words").agg(F.min("id").alias("id")), "titles")
+    each = sets.repartition("g", "id").select("g", "id", F.explode("words").alias("word"))
+    counts = sets.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "word").limit(FREQUENT)  # any order of words will do, rare ones first spare pairs
+    ordered = each.join(F.broadcast(counts), "word", "left").groupBy("g", "id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "word"))).alias("order"))
+    n, bits = F.size("order"), F.transform("words", lambda w: F.pmod(F.xxhash64(w), F.lit(256)).cast("int"))
+    word = lambda k: F.aggregate("bits", F.lit(0).cast("long"), lambda now, x: F.when(F.floor(x / 64) == k, now.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x % 64))).otherwise(now))
+    ordered = ordered.select("g", "id", n.alias("n"), F.transform("order", lambda x: x["word"]).alias("words")).withColumn("bits", bits)
+    ordered = written(ordered.select("g", "id", "n", "words", F.transform(F.slice("words", F.lit(1), (F.col("n") - F.ceil(least * F.col("n")) + 1).cast("int")), lambda w: F.xxhash64(w)).alias("prefix"), *[word(k).alias(f"w{k}") for k in range(4)]), "title-words")
+    discard(sets)
+    left = ordered.select("g", F.col("id").alias("a"), "n", *[f"w{k}" for k in range(4)], F.posexplode("prefix").alias("i", "word"))
+    right = ordered.select("g", F.col("id").alias("b"), F.col("n").alias("m"), *[F.col(f"w{k}").alias(f"v{k}") for k in range(4)], F.posexplode("prefix").alias("j", "word"))
+    needed = least * (F.col("n") + F.col("m")) - 1e-6  # of the words that both have, times 1 + least
+    apart = sum((F.bit_count(F.col(f"w{k}").bitwiseXOR(F.col(f"v{k}"))) for k in range(1, 4)), F.bit_count(F.col("w0").bitwiseXOR(F.col("v0"))))
+    near = left.join(right, ["g", "word"]).where((F.col("a") < F.col("b")) & (F.least("n", "m") >= least * F.greatest("n", "m")) & ((1 + least) * F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= needed) & ((1 + least) * (F.col("n") + F.col("m") - apart) / 2 >= needed)).select("g", "a", "b").distinct()
+    full = near.join(ordered.select("g", F.col("id").alias("a"), F.col("words").alias("wa")), ["g", "a"]).join(ordered.select("g", F.col("id").alias("b"), F.col("words").alias("wb")), ["g", "b"])
     return full.where(S.jaccard(F.col("wa"), F.col("wb")) >= least).select(*(["g"] if within else []), "a", "b")
 
 

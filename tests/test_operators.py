@@ -469,3 +469,19 @@ def test_vectors_without_structure_are_copied_for_wide_blocks_only(spark):
     got = {(r.a, r.b) for r in events.similar_vectors(df, 0.35).collect()}
     a, b = np.nonzero(np.triu(x @ x.T > 0.35, 1))
     assert got == set(zip(a.tolist(), b.tolist(), strict=True)) and len(got) > 10_000
+
+
+def test_title_pairs_of_long_titles_end_in_the_join(spark):
+    random.seed(8)
+    base = [random.sample(range(400), random.randint(5, 40)) for _ in range(25)]
+    sets = [sorted({*random.sample(w, int(len(w) * random.choice((0.7, 0.8, 0.9, 1)))), *random.sample(range(400), random.randint(0, 3))}) for w in base for _ in range(8)]
+    df = spark.createDataFrame([(i, f"g{i % 2}", [f"w{x}" for x in w]) for i, w in enumerate(sets)], "id long, kind string, words array<string>")
+    first, want = {}, set()
+    for i, w in enumerate(sets):
+        first.setdefault((i % 2, frozenset(w)), i)
+    for (g, a), i in first.items():
+        want |= {(f"g{g}", i, j) for (h, b), j in first.items() if g == h and i < j and len(a & b) >= 0.6 * len(a | b)}
+    found = events.title_pairs(df, within="kind")
+    assert {tuple(r) for r in found.select("g", "a", "b").collect()} == want and len(want) > 100
+    # Pairs that share too few words don't reach the shuffle that makes pairs distinct.
+    assert "bit_count" in found._jdf.queryExecution().optimizedPlan().toString()
