@@ -485,3 +485,13 @@ def test_title_pairs_of_long_titles_end_in_the_join(spark):
     assert {tuple(r) for r in found.select("g", "a", "b").collect()} == want and len(want) > 100
     # Pairs that share too few words don't reach the shuffle that makes pairs distinct.
     assert "bit_count" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_vectors_of_many_types_without_structure_are_not_sent_to_every_cell(spark):
+    x = np.random.default_rng(6).normal(size=(1400, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, f"t{i % 2}", v.tolist()) for i, v in enumerate(x)], "id long, type string, vector array<double>")
+    assert events.near_blocks(df, 0.75, "type").count() <= 3 * len(x)
+    got = {(r.a, r.b) for r in events.similar_vectors(df, 0.75, "type").collect()}
+    a, b = np.nonzero(np.triu(x @ x.T > 0.75, 1))
+    assert got == {(i, j) for i, j in zip(a.tolist(), b.tolist(), strict=True) if i % 2 == j % 2}
