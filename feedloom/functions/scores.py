@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -74,8 +76,10 @@ def levenshtein_ratio(a: Column, b: Column) -> Column:
 def edit_distance(a: str, b: str) -> int:
     """Edits (insert, delete, replace) between two texts, by bit vectors: a column of the table is two numbers of as many
     bits as the shorter text has characters, and a step to the next column is a few operations on whole numbers."""
-    while a and b and a[0] == b[0] and len(a) < 64:
-        a, b = a[1:], b[1:]
+    same = len(os.path.commonprefix((a, b)))
+    a, b = a[same:], b[same:]
+    same = len(os.path.commonprefix((a[::-1], b[::-1])))
+    a, b = a[: len(a) - same], b[: len(b) - same]
     if len(a) > len(b):
         a, b = b, a
     if not a:
@@ -89,20 +93,16 @@ def edit_distance(a: str, b: str) -> int:
         for i in found:
             bits[i >> 3] |= 1 << (i & 7)
         masks[c] = int.from_bytes(bits, "little")
-    last, whole = 1 << (len(a) - 1), (1 << len(a)) - 1
-    up, down, distance = whole, 0, len(a)  # where the table grows and falls by one from row to row
+    whole = (1 << len(a)) - 1
+    up, down = whole, 0  # where the table grows and falls by one from row to row
+    get = masks.get
     for c in b:
-        same = masks.get(c, 0)
-        x = same | down
-        equal = (((same & up) + up) ^ up) | same
-        grows, falls = down | (whole & ~(equal | up)), up & equal
-        if grows & last:
-            distance += 1
-        elif falls & last:
-            distance -= 1
-        grows, falls = (grows << 1 | 1) & whole, (falls << 1) & whole
-        up, down = falls | (whole & ~(x | grows)), grows & x
-    return distance
+        same = get(c, 0)
+        equal = (((same & up) + up) ^ up | same | down) & whole
+        grows = ((down | whole ^ (equal | up)) << 1 | 1) & whole
+        up = (equal & up) << 1 & whole | whole ^ (equal | grows)
+        down = grows & equal
+    return len(b) + up.bit_count() - down.bit_count()  # from the top of the last column to its end
 
 
 def whole_text_ratio(a: Column, b: Column) -> Column:

@@ -92,3 +92,22 @@ def test_emission_gate(spark):
 def test_entity_trim_takes_lines_and_spaces_as_python_does(spark):
     assert one(spark, T.entity_text_trim(F.lit("\u00a0Elon\u2028Musk-backed firm\t"))) == "Elon\u2028Musk"
     assert one(spark, T.entity_text_trim(F.lit("Acme\u00a0law"))) == "Acme"
+
+
+def test_edit_distance_looks_at_what_differs_only():
+    random = __import__("random").Random(3)
+    for _ in range(300):
+        a = "".join(random.choices("abé", k=random.randint(0, 90)))
+        b = a[: random.randint(0, 90)] + "b" + a[random.randint(0, 90) :] if random.random() < 0.5 else "".join(random.choices("abé", k=random.randint(0, 90)))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(before + (x != y), row[j] + 1, row[j - 1] + 1)
+        assert S.edit_distance(a, b) == row[-1]
+    import time
+
+    long = "abcdefghij" * 20_000
+    start = time.process_time()
+    assert S.edit_distance(long + "x" + long, long + "yz" + long) == 2
+    assert time.process_time() - start < 5
