@@ -257,11 +257,13 @@ def merge_clusters(events: DataFrame, hours: int = MERGE_HOURS) -> DataFrame:
     for what is similar only.
     """
     span = hours * 3600
-    cell = F.floor(F.col("first_s") / span)
-    rows = events.where("event_type IS NOT NULL").select("id", F.col("first_s").alias("at"), "words", F.col("vector").cast("array<double>").alias("vector"), "event_type", F.explode(F.array(cell - 1, cell)).alias("cell"))
-    rows = written(rows.withColumn("g", F.concat_ws("|", F.col("cell").cast("string"), F.col("event_type").cast("string"))).drop("cell", "event_type"), "merge-windows")
-    titles = rows.where("words IS NOT NULL").select("g", F.array_sort(F.array_distinct("words")).alias("key"), "id", "at", F.lit(True).alias("alike"))
-    vectors = rows.where("vector IS NOT NULL").select("g", F.col("vector").alias("key"), "id", "at", F.coalesce(S.dot(F.col("vector"), F.col("vector")) >= MERGE_COSINE, F.lit(False)).alias("alike"))
+    kind = "array<float>" if events.schema["vector"].dataType.simpleString() == "array<float>" else "array<double>"
+    given = written(events.where("event_type IS NOT NULL").select("id", F.col("first_s").alias("at"), "words", F.col("vector").cast(kind).alias("vector"), F.col("event_type").cast("string").alias("event_type")), "merge-events")
+    rows = given.withColumn("cell", F.explode(F.array(F.floor(F.col("at") / span) - 1, F.floor(F.col("at") / span)))).withColumn("g", F.concat_ws("|", F.col("cell").cast("string"), "event_type")).drop("cell", "event_type")
+    # Two hashes of 64 bits stand for a title or a vector where only equality counts.
+    twice = lambda c: F.struct(F.xxhash64(c).alias("x"), F.xxhash64(F.lit(7), c).alias("y"))
+    titles = rows.where("words IS NOT NULL").select("g", twice(F.array_sort(F.array_distinct("words"))).alias("key"), "id", "at", F.lit(True).alias("alike"))
+    vectors = rows.where("vector IS NOT NULL").select("g", twice(F.col("vector")).alias("key"), "id", "at", F.coalesce(S.dot(F.col("vector"), F.col("vector")) >= MERGE_COSINE, F.lit(False)).alias("alike"))
     near = similar_vectors(rows.select("g", "id", "vector"), float(np.nextafter(MERGE_COSINE, 0)), "g", grouped=True)
     edges = _timed_edges(titles, title_pairs(rows.select("g", "id", "words"), TITLE_JACCARD, "g"), span).union(_timed_edges(vectors, near.select("g", "a", "b"), span))
     return components(edges, events)

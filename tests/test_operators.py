@@ -495,3 +495,27 @@ def test_vectors_of_many_types_without_structure_are_not_sent_to_every_cell(spar
     got = {(r.a, r.b) for r in events.similar_vectors(df, 0.75, "type").collect()}
     a, b = np.nonzero(np.triu(x @ x.T > 0.75, 1))
     assert got == {(i, j) for i, j in zip(a.tolist(), b.tolist(), strict=True) if i % 2 == j % 2}
+
+
+def test_merge_clusters_writes_a_vector_once(spark, monkeypatch):
+    x = np.random.default_rng(2).normal(size=(40, 4)).round(3)
+    x[20:, :] = x[:20, :] * 2
+    x[5], x[25] = [0.0, 1.0, 0.0, 0.0], [-0.0, 1.0, 0.0, 0.0]  # equal, though their bits differ
+    data = [(i, "t", i * 3600 * 5, [f"w{i}"], v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(data, "id long, event_type string, first_s long, words array<string>, vector array<float>")
+    tables, write = [], events.written
+
+    def put(frame, name):
+        tables.append(write(frame, name))
+        return tables[-1]
+
+    monkeypatch.setattr(events, "written", put)
+    got = {r.id: r.component for r in events.merge_clusters(df, hours=120).collect()}
+    assert sum(t.count() for t in tables if "vector" in t.columns) == len(x)
+    y, want = x.astype(np.float32).astype(float), list(range(len(x)))
+    for _ in x:
+        for i, a in enumerate(y):
+            for j, b in enumerate(y):
+                if abs(i - j) * 5 <= 120 and a @ b >= 0.8:
+                    want[i] = want[j] = min(want[i], want[j])
+    assert got == dict(enumerate(want))
